@@ -11,11 +11,13 @@ joining is associative. A piece without seams is re-encoded whole. Decoding conc
 from __future__ import annotations
 
 import base64
+import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import tiktoken
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -93,14 +95,20 @@ def decode_tree(ids: np.ndarray, decode: Callable[[list[int]], bytes], leaf: int
     return decode_tree(ids[:mid], decode, leaf) + decode_tree(ids[mid:], decode, leaf)
 
 
-_loaded: dict[tuple[int, str], tiktoken.Encoding] = {}
+_loaded: dict[tuple[str, str], tiktoken.Encoding] = {}
 
 
-def _worker_encoding(files, pattern: str) -> tiktoken.Encoding:
-    key = (files.id if hasattr(files, "id") else 0, pattern)
-    if key not in _loaded:
-        _loaded[key] = load(files.value, pattern)
-    return _loaded[key]
+def _worker_encoding(files: Broadcast, digest: str, pattern: str) -> tiktoken.Encoding:
+    """The encoding of a broadcast rank file, kept per worker under the file's digest."""
+    if (digest, pattern) not in _loaded:
+        _loaded[digest, pattern] = load(files.value, pattern)
+    return _loaded[digest, pattern]
+
+
+def _share_ranks(df: DataFrame, rank_path: str) -> tuple[Broadcast, str]:
+    with open(rank_path, "rb") as f:
+        ranks = f.read()
+    return df.sparkSession.sparkContext.broadcast(ranks), hashlib.sha256(ranks).hexdigest()
 
 
 def _array_of(ids: list[np.ndarray]) -> pa.Array:
@@ -114,15 +122,13 @@ def bpe_encode(df: DataFrame, rank_path: str, pattern: str, text_col: str = "tex
     own, special strings as ordinary text. Null and empty texts give an empty array. An input column with
     the name of ``out_col`` is replaced. One pass without a shuffle; the rank file is broadcast (its size is
     that of the vocabulary)."""
-    spark = df.sparkSession
-    with open(rank_path, "rb") as f:
-        files = spark.sparkContext.broadcast(f.read())
+    files, digest = _share_ranks(df, rank_path)
     df = rename_clashes(df, [out_col], keep=(text_col,)) if out_col != text_col else df
     others = [c for c in df.columns if c != out_col]
     rows = df.select(F.coalesce(F.col(text_col), F.lit("")).alias("__t"), F.struct(*[F.col(c) for c in others]).alias("__row"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = _worker_encoding(files, pattern).encode_to_numpy
+        encode = _worker_encoding(files, digest, pattern).encode_to_numpy
         ordinary = lambda s: encode(s, disallowed_special=())
         for b in slices(batches, "__t", 2 << 20):
             ids = [encode_tree(t, ordinary, leaf) for t in b.column(0).to_pylist()]
@@ -134,14 +140,12 @@ def bpe_encode(df: DataFrame, rank_path: str, pattern: str, text_col: str = "tex
 
 def bpe_decode(df: DataFrame, rank_path: str, pattern: str, ids_col: str = "token_ids", out_col: str = "decoded", *, leaf: int = 4096) -> DataFrame:
     """``df`` with ``out_col`` (binary): the bytes of the ids. Null counts as no ids; an id outside the ranks raises."""
-    spark = df.sparkSession
-    with open(rank_path, "rb") as f:
-        files = spark.sparkContext.broadcast(f.read())
+    files, digest = _share_ranks(df, rank_path)
     others = [c for c in df.columns if c != out_col]
     rows = df.select(F.coalesce(F.col(ids_col), F.array().cast("array<int>")).alias("__ids"), F.struct(*[F.col(c) for c in others]).alias("__row"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        decode = _worker_encoding(files, pattern).decode_bytes
+        decode = _worker_encoding(files, digest, pattern).decode_bytes
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
                 b = whole.slice(at, 256)

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import math
 import re
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -88,13 +89,14 @@ class Predictor:
 
     def clear(self) -> None:
         self.row: dict[str, int] = {}
+        self.used = 0
         self.table = np.zeros((1024, len(self.model.langs)))
 
     def _add(self, word: str) -> int:
         if not any(map(str.isalpha, word)):
             self.row[word] = -1
             return -1
-        i = sum(1 for _ in ()) or self.used
+        i = self.used
         if i == len(self.table):
             self.table = np.concatenate([self.table, np.zeros_like(self.table)])
         self.table[i] = self.model.score_word(word)
@@ -102,14 +104,11 @@ class Predictor:
         self.used += 1
         return i
 
-    used = 0
-
     def predict(self, text: str | None) -> tuple[str, float]:
         words = _RUN.findall(text.lower()) if text else []
         if words and self.model.langs:
             if len(self.row) > self.size:
                 self.clear()
-                self.used = 0
             rows = list(map(self.row.get, words))
             if None in rows:
                 row = self.row
@@ -123,7 +122,7 @@ class Predictor:
         return UNDETERMINED, 0.0
 
 
-_worker: dict[object, Predictor] = {}
+_worker: dict[str, Predictor] = {}
 
 
 def identify(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -132,11 +131,10 @@ def identify(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     ``und`` with score 0 if the text is null or has no letter, or if the model has no language. ``score`` is the
     softmax weight of the best language on mean log frequency per word, between 0 and 1.
     """
-    shared = df.sparkSession.sparkContext.broadcast(model)
+    shared, key = df.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = shared.id
         if key not in _worker:
             _worker.clear()
             _worker[key] = Predictor(shared.value)
@@ -158,3 +156,15 @@ def identify_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """``id_col, held_out, lang_pred, score``: fitted on the rows of ``df`` that are not held out, applied to all."""
     model = fit(df.where(~held_out(id_col)), text_col, lang_col, **limits)
     return identify(df, model, id_col, text_col).withColumn("held_out", held_out(id_col)).select(id_col, "held_out", "lang_pred", "score")
+
+
+def keep_identified(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", *, min_score: float = 0.3, **limits) -> DataFrame:
+    """The rows of ``df`` whose language can be told, with their columns; one pass, no shuffle.
+
+    Fitted as in :func:`identify_documents`. Rejected: texts that are null or have no letter, and texts with a
+    score below ``min_score`` (with four languages, chance is 0.25).
+    """
+    model = fit(df.where(~held_out(id_col)), text_col, lang_col, **limits)
+    rows = df.select(F.struct(*[F.col(c) for c in df.columns]).alias("row"), F.col(text_col).alias("text"))
+    found = identify(rows, model, "row", "text")
+    return found.where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= min_score)).select("row.*")

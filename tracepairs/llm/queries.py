@@ -5,10 +5,23 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from tracepairs.llm.bpe_tree import token_digests
 from tracepairs.llm.exact_dedup import exact_dedup
+from tracepairs.llm.langid import identify_documents
+from tracepairs.llm.media import decode_avi, feature, text_to_avi
 from tracepairs.llm.mixing import mix
 from tracepairs.llm.ngram_join import ngram_jaccard_components
+from tracepairs.llm.shuffle_shards import shuffled_shards
+from tracepairs.llm.suffix_dedup import remove_repeats
+from tracepairs.llm.token_counts import count_tokens
+from tracepairs.llm.warc import page_records
+
+try:
+    import public_tokenizers as _vocabularies
+except ModuleNotFoundError:  # then only the queries that need a vocabulary fail, when they run
+    _vocabularies = None
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,21 +32,106 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_components(_documents(spark, sf_dir))
 
 
+def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_digests(_documents(spark, sf_dir), _vocabularies.path("byte_bpe_multi_50k.tiktoken"), _vocabularies.PATTERN)
+
+
+def op3_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = _documents(spark, sf_dir).select("doc_id", "text", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes"))
+    stored = text_to_avi(texts, "text", "media").drop("text")
+    stored = stored.withColumns({"media_bytes": F.octet_length("media").cast("long"), "media_sha256": F.sha2("media", 256)})
+    read = decode_avi(stored, "media", keep_media=False)
+    return read.select(
+        "doc_id",
+        "n_bytes",
+        F.octet_length("samples").cast("long").alias("payload_bytes"),
+        F.sha2("samples", 256).alias("payload_sha256"),
+        F.crc32(F.substring("samples", -32, 32)).alias("tail_crc32"),
+        "media_bytes",
+        "media_sha256",
+        feature(F.col("n_frames"), F.col("clips")).alias("feature"),
+    )
+
+
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return page_records(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spans = remove_repeats(_documents(spark, sf_dir).select("doc_id", "text"), length=200)
+    n_removed = F.aggregate("removed", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
+    return spans.select(
+        "doc_id",
+        F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes"),
+        n_removed.alias("n_removed"),
+        F.size("removed").cast("long").alias("n_spans"),
+        F.sha2("kept_bytes", 256).alias("kept_sha256"),
+    )
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify_documents(_documents(spark, sf_dir))
+
+
+def op7_external_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sharded = shuffled_shards(_documents(spark, sf_dir).select("doc_id", "text"), 8)
+    text = F.coalesce("text", F.lit(""))
+    return sharded.select(
+        "doc_id",
+        (F.octet_length(text) + 1).cast("long").alias("size"),
+        F.crc32(text).alias("text_crc32"),
+        F.lit("rows").alias("law"),
+        "shard",
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_documents(spark, sf_dir))
 
 
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return count_tokens(_documents(spark, sf_dir), _vocabularies.path("word_bpe_49k.json"))
+
+
 def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
+_ALL = (
+    op1_ngram_jaccard_join,
+    op2_byte_bpe,
+    op3_media_columns,
+    op4_warc,
+    op5_suffix_dedup,
+    op6_language_id,
+    op7_external_shuffle,
+    op8_exact_dedup,
+    op9_token_counts,
+    op10_mix_sources,
+)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ngram_jaccard_join, op8_exact_dedup, op10_mix_sources)}
+    return {f.__name__: f for f in _ALL}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_exact_dedup": OP8_SQL, "op10_mix_sources": OP10_SQL}
+    return {"op4_warc": OP4_SQL, "op8_exact_dedup": OP8_SQL, "op10_mix_sources": OP10_SQL}
+
 
+OP4_SQL = """
+WITH p AS (
+  SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages
+), g AS (
+  SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS last_id FROM p
+)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN payload_bytes >= 1000 AND page_id <> last_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 1000 AND page_id <> last_id THEN last_id END AS refers_to
+FROM g
+"""
 
 OP8_SQL = r"""
 WITH d AS (
