@@ -9,8 +9,9 @@ does not fit a task, but equal strings can be brought together first:
 2. Contexts are counted by (k-gram, context). Contexts that occur again are repeated throughout. K-grams with
    one context are settled by that count.
 3. *Suffix arrays.* The different contexts of the other k-grams meet, one of each, in blocks of bounded size. A
-   block is sorted into a suffix array (prefix doubling); previous and next smaller positions in suffix order
-   and the common prefixes with them give the longest previous factor of each position, and its earlier match.
+   block is sorted into a suffix array (prefix doubling) of the suffixes that have ``length`` bytes; previous and
+   next smaller positions in suffix order and the common prefixes with them give the longest previous factor
+   of each position, as far as it reaches ``length``, and its earlier match.
    A k-gram with more than ``group_most`` contexts is not gathered: its windows are compared by 128-bit
    fingerprints, which are counted map-side, so any size of group is exact.
 4. Spans return to their texts, are merged, and the bytes removed.
@@ -118,6 +119,44 @@ def longest_previous_factors(data: np.ndarray, starts: np.ndarray, depth: int) -
     return out, source
 
 
+def bounded_factors(data: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Positions whose longest previous factor has ``length`` bytes or more, and an earlier match of each.
+
+    As :func:`longest_previous_factors`, but the suffix array holds only suffixes that have ``length`` bytes, in the
+    order of these bytes, and common prefixes count as ``length`` or nothing. ``length`` must be 8 or more.
+    """
+    n = len(data)
+    size = np.diff(np.append(starts, n))
+    left = np.repeat(starts + size, size) - np.arange(n)
+    wide = np.concatenate([data, np.zeros(8, np.uint8)]).astype(np.uint64)
+    key = np.zeros(n, np.uint64)
+    for k in range(8):
+        key |= wide[k : k + n] << np.uint64(56 - 8 * k)
+    at, h = np.flatnonzero(left >= 8), 8
+    key = key[at]
+    while True:
+        order = np.argsort(key)
+        key = key[order]
+        place = np.cumsum(np.concatenate([[0], key[1:] != key[:-1]])) if len(key) else np.empty(0, np.int64)
+        if h >= length:
+            break
+        rank = np.zeros(n, np.int64)
+        rank[at[order]] = place
+        step = min(h, length - h)
+        at, h = np.flatnonzero(left >= h + step), h + step
+        key = rank[at] * (n + 1) + rank[at + step]
+    sa = at[order]
+    lcp = np.zeros(len(sa), np.int64)
+    lcp[1:] = np.where(place[1:] == place[:-1], length, 0)
+    before, with_before = _smaller(sa, lcp)
+    back, with_back = _smaller(sa[::-1], np.concatenate([[0], lcp[1:][::-1]]))
+    after, with_after = np.where(back >= 0, len(sa) - 1 - back, -1)[::-1], with_back[::-1]
+    source = np.where(with_before > 0, before, after)
+    found = np.flatnonzero((with_before > 0) | (with_after > 0))
+    by_position = found[np.argsort(sa[found])]
+    return sa[by_position], sa[source[by_position]]
+
+
 # --- anchors --------------------------------------------------------------------------------------------
 
 
@@ -152,7 +191,7 @@ def anchors(data: np.ndarray, offs: np.ndarray, length: int, gram: int = GRAM) -
 
 def _cut_anchors(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "text", 4 << 20):
+        for b in slices(batches, "text", 1 << 20):
             data, offs = raw(b.column(1))
             keys = b.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
             text, fp, context, first, last = anchors(data, offs, length)
@@ -207,9 +246,8 @@ def _factor_block(length: int, keep_first: bool, piece_bytes: int):
             own = order[lo:hi]
             data = np.frombuffer(b"".join([bodies[i] for i in own]), np.uint8)
             starts = ends[lo:hi] - size[lo:hi] - base
-            lpf, source = longest_previous_factors(data, starts, length)
-            later = np.flatnonzero(lpf >= length)
-            marks = later if keep_first else np.unique(np.concatenate([later, source[later]]))
+            later, source = bounded_factors(data, starts, length)
+            marks = later if keep_first else np.unique(np.concatenate([later, source]))
             row = np.searchsorted(starts, marks, "right") - 1
             single = n[own[row]] == 1 if not keep_first else np.ones(len(row), bool)  # contexts that occur again are marked already
             marks, row = marks[single], row[single]
@@ -266,7 +304,9 @@ def repeated_spans(
         whole = whole.where((F.col("k") != F.col("first.k")) | (F.col("at") != F.col("first.at")))
     whole = whole.select("k", F.col("at").alias("lo"), (F.col("at") + F.col("windows") + (length - 1)).alias("hi"))
 
-    grams = contexts.groupBy("gram").agg(F.count(F.lit(1)).alias("contexts")).where("contexts > 1")
+    # of a k-gram, contexts are compared if there are several, and some that the count has not settled
+    grams = contexts.groupBy("gram").agg(F.count(F.lit(1)).alias("contexts"), F.min("n").alias("least")).where("contexts > 1")
+    grams = (grams if keep_first else grams.where("least = 1")).drop("least")
     wanted = contexts.join(grams, "gram").select("gram", "n", "contexts", "first.*")
     by_text = wanted.groupBy("k").agg(F.collect_list(F.struct("gram", "n", "at", "windows", "contexts")).alias("own"))
     cut = texts.join(by_text, "k").select("k", "text", "own").mapInArrow(_cut_contexts(length), "k long, gram long, n long, at int, windows int, body binary")
