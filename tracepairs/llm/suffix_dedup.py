@@ -294,7 +294,10 @@ def repeated_spans(
     smallest (k, position) stays. ``group_most``, ``block_bytes`` and ``piece_bytes`` bound a task's memory and do
     not change the result.
     """
-    found = materialize(texts.select("k", "text").mapInArrow(_cut_anchors(length), "k long, gram long, context long, at int, windows int"), "anchors")
+    every = texts.select("k", "text").mapInArrow(_cut_anchors(length), "k long, gram long, context long, at int, windows int")
+    # most k-grams occur once; cutting anchors again costs less than keeping those of the whole corpus
+    often = every.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram")
+    found = materialize(every.join(often, "gram", "left_semi"), "anchors")
     contexts = found.groupBy("gram", "context").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("k", "at", "windows")).alias("first"))
     contexts = materialize(contexts, "contexts")
     again = contexts.where("n > 1").select("gram", "context", "first")
