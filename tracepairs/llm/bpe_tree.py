@@ -21,7 +21,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracepairs.llm.common import raw, rename_clashes, slices
+from tracepairs.llm.common import map_arrow, raw, rename_clashes, slices
 
 #: Characters that some regex engine counts as white space (fixed values).
 _ANY_SPACE = frozenset(
@@ -135,7 +135,7 @@ def bpe_encode(df: DataFrame, rank_path: str, pattern: str, text_col: str = "tex
             yield pa.RecordBatch.from_arrays([b.column(1), _array_of(ids)], names=["__row", "__ids"])
 
     schema = f"__row {rows.schema['__row'].dataType.simpleString()}, __ids array<int>"
-    return rows.mapInArrow(run, schema).select("__row.*", F.col("__ids").alias(out_col))
+    return map_arrow(rows, run, schema).select("__row.*", F.col("__ids").alias(out_col))
 
 
 def bpe_decode(df: DataFrame, rank_path: str, pattern: str, ids_col: str = "token_ids", out_col: str = "decoded", *, leaf: int = 4096) -> DataFrame:
@@ -155,17 +155,35 @@ def bpe_decode(df: DataFrame, rank_path: str, pattern: str, ids_col: str = "toke
                 yield pa.RecordBatch.from_arrays([b.column(1), pa.array(out, pa.binary())], names=["__row", "__out"])
 
     schema = f"__row {rows.schema['__row'].dataType.simpleString()}, __out binary"
-    return rows.mapInArrow(run, schema).select("__row.*", F.col("__out").alias(out_col))
+    return map_arrow(rows, run, schema).select("__row.*", F.col("__out").alias(out_col))
+
+
+def bpe_round_trip(df: DataFrame, rank_path: str, pattern: str, text_col: str = "text", ids_col: str = "token_ids", out_col: str = "decoded", *, leaf: int = 8192) -> DataFrame:
+    """``df`` with ``ids_col`` as of :func:`bpe_encode` and ``out_col`` as of :func:`bpe_decode` on these ids, in one
+    pass of one Python worker. Input columns of these names are replaced."""
+    files, digest = _share_ranks(df, rank_path)
+    others = [c for c in df.columns if c not in (ids_col, out_col)]
+    rows = df.select(F.coalesce(F.col(text_col), F.lit("")).alias("__t"), F.struct(F.lit(0).alias("__x"), *[F.col(c) for c in others]).alias("__row"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoding = _worker_encoding(files, digest, pattern)
+        ordinary = lambda s: encoding.encode_to_numpy(s, disallowed_special=())
+        for b in slices(batches, "__t", 1 << 20):
+            ids = [encode_tree(t, ordinary, leaf) for t in b.column(0).to_pylist()]
+            decoded = pa.array([decode_tree(x, encoding.decode_bytes) for x in ids], pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column(1), _array_of(ids), decoded], names=["__row", "__ids", "__out"])
+
+    schema = f"__row {rows.schema['__row'].dataType.simpleString()}, __ids array<int>, __out binary"
+    out = map_arrow(rows, run, schema)
+    return out.select(*[F.col("__row").getField(c).alias(c) for c in others], F.col("__ids").alias(ids_col), F.col("__out").alias(out_col))
 
 
 def token_digests(df: DataFrame, rank_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """``id_col, n_tokens, ids_sha256, decoded_sha256`` of each row: encoded, then decoded from the ids."""
-    encoded = bpe_encode(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), rank_path, pattern, **options)
-    digests = encoded.select(
-        "id",
-        "token_ids",
+    found = bpe_round_trip(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), rank_path, pattern, **options)
+    return found.select(
+        F.col("id").alias(id_col),
         F.size("token_ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join("token_ids", ","), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
     )
-    decoded = bpe_decode(digests, rank_path, pattern)
-    return decoded.select(F.col("id").alias(id_col), "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -39,6 +41,42 @@ def materialize(df: DataFrame, name: str, options: dict[str, str] | None = None)
     return spark.read.schema(df.schema).parquet(path)
 
 
+_BATCH_BYTES = 8 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Arrow batches of at most 8 MB (or one row) between the JVM and Python: records may be long, and Spark's default
+    of 64 MB is held several times over by each worker. A smaller setting of the session stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(key).rstrip("b")) > _BATCH_BYTES:
+        spark.conf.set(key, f"{_BATCH_BYTES}b")
+
+
+def _give_back_memory() -> None:
+    """Unused memory of Arrow's pool and of the C heap goes back to the system; reused workers else keep it."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not every C library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def lean(run):
+    """The Arrow function ``run``, which gives unused memory back at the end of each task."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            _give_back_memory()
+
+    return wrapped
+
+
+def map_arrow(df: DataFrame, run, schema: str) -> DataFrame:
+    """``df.mapInArrow`` with bounded batches."""
+    bound_batches(df.sparkSession)
+    return df.mapInArrow(lean(run), schema)
+
+
 def maybe_broadcast(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
     """Hint a broadcast when the measured ``rows`` are within ``limit``; otherwise leave a shuffled join."""
     return F.broadcast(df) if rows <= limit else df

@@ -19,44 +19,47 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracepairs.llm.common import materialize, slices
+from tracepairs.llm.common import map_arrow, materialize, slices
 
 UNDETERMINED = "und"
 _RUN = re.compile(r"[^\W\d_]+")
 MAX_GRAM = 4
 
 
+class Table:
+    """Smoothed log frequencies by key: one matrix with a column per language, and the row of each key."""
+
+    def __init__(self, rows: list, langs: list[str]):
+        """``rows``: (lang, key, n)."""
+        at = {x: i for i, x in enumerate(langs)}
+        self.row: dict[str, int] = {}
+        keys = np.array([self.row.setdefault(key, len(self.row)) for _, key, _ in rows], np.int64)
+        counts = np.zeros((len(self.row), len(langs)))
+        np.add.at(counts, (keys, np.array([at[lang] for lang, _, _ in rows], np.int64)), [n for _, _, n in rows])
+        self.score = np.log((counts + 0.5) / (counts.sum(axis=0) + 0.5 * len(counts))).astype(np.float32) if len(counts) else counts
+
+
 @dataclass
 class Model:
-    """Log frequencies by word and by n-gram, one column per language; ``floor`` is for what a language lacks."""
+    """Tables of words and of n-grams (by length, 1 first)."""
 
     langs: list[str]
-    words: dict[str, np.ndarray] = field(default_factory=dict)
-    grams: list[dict[str, np.ndarray]] = field(default_factory=list)  # by length, 1 first
+    words: Table
+    grams: list[Table] = field(default_factory=list)
 
     def score_word(self, word: str) -> np.ndarray:
-        found = self.words.get(word)
+        found = self.words.row.get(word)
         if found is not None:
-            return found
+            return self.words.score[found]
         edged = f"<{word}>"
         for n in range(MAX_GRAM, 0, -1):  # back off to the longest n-grams of which one is known
             table = self.grams[n - 1]
-            hits = [table[g] for i in range(len(edged) - n + 1) if (g := edged[i : i + n]) in table]
+            hits = [table.row[g] for i in range(len(edged) - n + 1) if (g := edged[i : i + n]) in table.row]
             if hits:
-                return np.mean(hits, axis=0)
+                return table.score[hits].mean(axis=0)
         return np.zeros(len(self.langs))
 
 
-def _log_table(rows: list, langs: list[str]) -> dict[str, np.ndarray]:
-    """Smoothed log frequencies from (lang, key, n) rows."""
-    at = {x: i for i, x in enumerate(langs)}
-    counts: dict[str, np.ndarray] = {}
-    for lang, key, n in rows:
-        counts.setdefault(key, np.zeros(len(langs)))[at[lang]] += n
-    total = sum(counts.values(), np.zeros(len(langs))) + 0.5 * len(counts)
-    return {k: np.log((v + 0.5) / total) for k, v in counts.items()}
-
-
 def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", *, max_train_docs: int = 20_000, max_words: int = 40_000, max_grams: int = 40_000) -> Model:
     """Fit on rows with a text and a label. ``max_words`` and ``max_grams`` (per length) bound the tables per language."""
     rows = labelled.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
@@ -71,26 +74,26 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", *,
         return [(r[0], r[1], r[2]) for r in ranked.where(F.col("r") <= most).select("lang", key, "n").collect()]
 
     langs = sorted(r[0] for r in words.select("lang").distinct().collect())
-    model = Model(langs, _log_table(top(words, "w", max_words), langs))
+    model = Model(langs, Table(top(words, "w", max_words), langs))
     edged = words.select("lang", "n", F.concat(F.lit("<"), "w", F.lit(">")).alias("e"))
     for k in range(1, MAX_GRAM + 1):
         grams = F.transform(F.sequence(F.lit(1), F.length("e") - (k - 1)), lambda i: F.substring(F.col("e"), i, F.lit(k)))
         each = edged.where(F.length("e") >= k).select("lang", "n", F.explode(grams).alias("g"))
-        model.grams.append(_log_table(top(each.groupBy("lang", "g").agg(F.sum("n").alias("n")), "g", max_grams), langs))
+        model.grams.append(Table(top(each.groupBy("lang", "g").agg(F.sum("n").alias("n")), "g", max_grams), langs))
     return model
 
 
 class Predictor:
     """Scores texts; keeps the scores of up to ``cache_size`` words."""
 
-    def __init__(self, model: Model, cache_size: int = 300_000):
+    def __init__(self, model: Model, cache_size: int = 100_000):
         self.model, self.size = model, cache_size
         self.clear()
 
     def clear(self) -> None:
         self.row: dict[str, int] = {}
         self.used = 0
-        self.table = np.zeros((1024, len(self.model.langs)))
+        self.table = np.zeros((1024, len(self.model.langs)), np.float32)
 
     def _add(self, word: str) -> int:
         if not any(map(str.isalpha, word)):
@@ -116,7 +119,7 @@ class Predictor:
             at = np.array(rows)
             at = at[at >= 0]
             if len(at):
-                mean = self.table[at].mean(axis=0)
+                mean = self.table[at].mean(axis=0, dtype=np.float64)
                 best = int(mean.argmax())
                 return self.model.langs[best], float(1 / np.exp(mean - mean[best]).sum())
         return UNDETERMINED, 0.0
@@ -139,11 +142,12 @@ def identify(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
             _worker.clear()
             _worker[key] = Predictor(shared.value)
         predict = _worker[key].predict
-        for b in slices(batches, "text", 2 << 20):
-            found = [predict(t) for t in b.column(1).to_pylist()]
+        for b in slices(batches, "text", 1 << 20):
+            found = [predict(t.as_py()) for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], names=["id", "lang_pred", "score"])
+        _worker.clear()  # workers are reused by other stages
 
-    out = rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, lang_pred string, score double")
+    out = map_arrow(rows, run, f"id {rows.schema['id'].dataType.simpleString()}, lang_pred string, score double")
     return out.withColumnRenamed("id", id_col)
 
 

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracepairs.llm.common import raw, slices
+from tracepairs.llm.common import map_arrow, raw, slices
 from tracepairs.llm.mjpeg import encode_frames, luma_samples
 
 SIDE = 24
@@ -202,7 +202,7 @@ def text_to_avi(df: DataFrame, text_col: str = "text", out_col: str = "media", f
             files = [write_avi(frames[lo:hi], SIDE * 8, SIDE * 8, fps) for lo, hi in zip(cut[:-1], cut[1:])]
             yield pa.RecordBatch.from_arrays([b.column(1), pa.array(files, pa.binary())], names=["__row", out_col])
 
-    return _flat(rows.mapInArrow(run, f"__row {rows.schema['__row'].dataType.simpleString()}, {out_col} binary"), df, made)
+    return _flat(map_arrow(rows, run, f"__row {rows.schema['__row'].dataType.simpleString()}, {out_col} binary"), df, made)
 
 
 DECODED = ["n_frames", "bad_frames", "fps", "samples", "clips", "error"]
@@ -240,7 +240,7 @@ def decode_avi(df: DataFrame, media_col: str = "media", *, keep_media: bool = Tr
             yield pa.RecordBatch.from_arrays([b.column(1), *[pa.array(c, t) for c, t in zip(zip(*out), types)]], names=["__row", *DECODED])
 
     schema = f"__row {rows.schema['__row'].dataType.simpleString()}, n_frames int, bad_frames int, fps double, samples binary, clips array<{CLIP}>, error string"
-    return _flat(rows.mapInArrow(run, schema), kept, DECODED)
+    return _flat(map_arrow(rows, run, schema), kept, DECODED)
 
 
 def _shots(found: list[np.ndarray | None], cut: list[int]) -> np.ndarray:

@@ -28,12 +28,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracepairs.llm.common import (
-    maybe_broadcast, materialize, mix, partitions, prefix_hash, raw, slices, span_hash,
-)
+from tracepairs.llm.common import map_arrow, materialize, maybe_broadcast, mix, partitions, prefix_hash, raw, slices, span_hash
 from tracepairs.llm.components import connected_components
 
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 LOCAL_HOT = 8
 _DOC = np.dtype([("id", "<i8"), ("d1", "<u8"), ("d2", "<u8"), ("n", "<i4"), ("posted", "<i4"), ("hot", "<i4")])
 
@@ -341,7 +339,7 @@ def ngram_jaccard_components(
     narrow = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     known = narrow.where("id is not null")
     parts = max(partitions(spark), int((known.agg(F.sum(F.octet_length("text"))).first()[0] or 0) >> 26))
-    posts = known.mapInArrow(_post(width, posted_share, parts), "pid int, grams binary, own binary, sets binary, docs binary")
+    posts = map_arrow(known, _post(width, posted_share, parts), "pid int, grams binary, own binary, sets binary, docs binary")
     screen = materialize(posts.groupBy("pid").applyInArrow(_count_shared, _SCREEN), "screen")
     docs = screen.where("id is not null").drop("shared")
     shared = screen.where("id is null").groupBy("d1").agg(F.sum("shared").alias("shared"))
@@ -354,7 +352,7 @@ def ngram_jaccard_components(
     n_open = open_.count()
 
     wanted = maybe_broadcast(open_.select(F.col("rep").alias("id")).distinct(), n_open)
-    sets = known.join(wanted, "id", "left_semi").mapInArrow(_full_sets(width), "id long, d1 long, d2 long, grams array<long>")
+    sets = map_arrow(known.join(wanted, "id", "left_semi"), _full_sets(width), "id long, d1 long, d2 long, grams array<long>")
     sets = sets.join(maybe_broadcast(open_.select(F.col("rep").alias("id"), "d1", "d2"), n_open), ["id", "d1", "d2"], "left_semi")
     sets = materialize(sets.dropDuplicates(["id", "d1", "d2"]).select("id", "grams"), "sets")
 
@@ -377,7 +375,7 @@ def ngram_jaccard_components(
     mine = F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")
     placed = placed.select("component", "chunks", F.col("node").alias("id"), mine.alias("mine"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other"))
     placed = placed.select("component", "chunks", "id", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
-    packed = ordered.select("id", "n", "grams").mapInArrow(_pack, "id long, n int, shared_grams binary")
+    packed = map_arrow(ordered.select("id", "n", "grams"), _pack, "id long, n int, shared_grams binary")
     tasks = placed.join(packed, "id").groupBy("component", "i", "j")
     links = materialize(tasks.applyInArrow(_join_block(num, den), "a long, b long"), "links")
     cut = placed.where("chunks > 1").limit(1).count() > 0
@@ -387,7 +385,7 @@ def ngram_jaccard_components(
     all_reps = classes.select("d1", "d2", "rep").join(of_class, ["d1", "d2"], "left").select("d1", "d2", F.coalesce("component", "rep").alias("class_component"))
     with_set = docs.where("n > 0").join(all_reps, ["d1", "d2"])
     result = with_set.select("id", "n", F.col("class_component").alias("c")).unionByName(docs.where("n = 0").select("id", "n", F.col("id").alias("c")))
-    nulls = narrow.where("id is null").mapInArrow(_full_sets_null(width), "n int").select(F.lit(None).cast("long").alias("id"), "n", F.lit(None).cast("long").alias("c"))
+    nulls = map_arrow(narrow.where("id is null"), _full_sets_null(width), "n int").select(F.lit(None).cast("long").alias("id"), "n", F.lit(None).cast("long").alias("c"))
     result = result.unionByName(nulls)
     return result.select(F.col("id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), F.col("c").alias("component_id"))
 

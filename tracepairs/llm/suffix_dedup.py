@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracepairs.llm.common import materialize, mix, prefix_hash, raw, slices, span_hash
+from tracepairs.llm.common import map_arrow, materialize, mix, prefix_hash, raw, slices, span_hash
 
 GRAM = 40
 _POS_BITS = 28
@@ -294,7 +294,7 @@ def repeated_spans(
     smallest (k, position) stays. ``group_most``, ``block_bytes`` and ``piece_bytes`` bound a task's memory and do
     not change the result.
     """
-    every = texts.select("k", "text").mapInArrow(_cut_anchors(length), "k long, gram long, context long, at int, windows int")
+    every = map_arrow(texts.select("k", "text"), _cut_anchors(length), "k long, gram long, context long, at int, windows int")
     # most k-grams occur once; cutting anchors again costs less than keeping those of the whole corpus
     often = every.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram")
     found = materialize(every.join(often, "gram", "left_semi"), "anchors")
@@ -312,7 +312,7 @@ def repeated_spans(
     grams = (grams if keep_first else grams.where("least = 1")).drop("least")
     wanted = contexts.join(grams, "gram").select("gram", "n", "contexts", "first.*")
     by_text = wanted.groupBy("k").agg(F.collect_list(F.struct("gram", "n", "at", "windows", "contexts")).alias("own"))
-    cut = texts.join(by_text, "k").select("k", "text", "own").mapInArrow(_cut_contexts(length), "k long, gram long, n long, at int, windows int, body binary")
+    cut = map_arrow(texts.join(by_text, "k").select("k", "text", "own"), _cut_contexts(length), "k long, gram long, n long, at int, windows int, body binary")
     hot = grams.where(F.col("contexts") > group_most).select("gram")
     cut = materialize(cut, "bodies")
     n_hot = hot.count()
@@ -324,7 +324,7 @@ def repeated_spans(
     spans = whole.unionByName(factors)
     if n_hot:
         large = cut.join(F.broadcast(hot) if n_hot <= 500_000 else hot, "gram", "left_semi")
-        prints = materialize(large.select("k", "body", "at", "n").mapInArrow(_window_prints(length), "k long, at int, h1 long, h2 long, n long"), "prints")
+        prints = materialize(map_arrow(large.select("k", "body", "at", "n"), _window_prints(length), "k long, at int, h1 long, h2 long, n long"), "prints")
         twice = prints.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("k", "at")).alias("first")).where("times > 1")
         marked = prints.join(twice, ["h1", "h2"])
         marked = marked.where((F.col("k") != F.col("first.k")) | (F.col("at") != F.col("first.at"))) if keep_first else marked.where("n = 1")
@@ -382,6 +382,6 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(kept, pa.binary()), pa.array(removed, kind)], names=["row", "text", *made])
 
     joined = rows.join(per_text, "k", "left").select("row", "text", "spans")
-    out = joined.mapInArrow(run, f"row {rows.schema['row'].dataType.simpleString()}, text string, kept_bytes binary, removed {_SPANS}")
+    out = map_arrow(joined, run, f"row {rows.schema['row'].dataType.simpleString()}, text string, kept_bytes binary, removed {_SPANS}")
     back = {text_col: F.when(~F.col("row.__null"), F.col("text"))}
     return out.select(*[back.get(c, F.col("row").getField(c)).alias(c) for c in others], *made)

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tracepairs.llm.common import SPACE_CLASS, raw, slices
+from tracepairs.llm.common import SPACE_CLASS, map_arrow, raw, slices
 
 _LONG = 256  # longer pre-tokens are encoded each time and kept nowhere
 
@@ -81,5 +81,5 @@ def count_tokens(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", tex
             n = count_slice([data[lo:hi] for lo, hi in zip(offs[:-1], offs[1:])], _state["cache"], own)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.diff(offs)), pa.array(n, pa.int64())], names=["id", "n_bytes", "n_tokens"])
 
-    out = rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, n_bytes long, n_tokens long")
+    out = map_arrow(rows, run, f"id {rows.schema['id'].dataType.simpleString()}, n_bytes long, n_tokens long")
     return out.select(F.col("id").alias(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))

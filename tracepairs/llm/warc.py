@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracepairs.llm.common import materialize, maybe_broadcast, raw, slices
+from tracepairs.llm.common import map_arrow, materialize, maybe_broadcast, raw, slices
 
 _MAGIC = b"\x1f\x8b\x08"
 _VERSION = re.compile(rb"WARC/1\.[01]\r\n")
@@ -186,7 +186,7 @@ def read_archives(archives: DataFrame, name_col: str = "archive", content_col: s
                 for i in range(0, len(rows), 2000):
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[i : i + 2000]), _READ_TYPES)], names=_READ_NAMES)
 
-    return archives.select(F.col(name_col).cast("string"), F.col(content_col)).mapInArrow(run, _READ)
+    return map_arrow(archives.select(F.col(name_col).cast("string"), F.col(content_col)), run, _READ)
 
 
 def _bare(value: str | None) -> str | None:
@@ -242,7 +242,7 @@ def write_archives(
         if parts:
             yield closed()
 
-    out = marked.mapInArrow(run, "archive string, content binary")
+    out = map_arrow(marked, run, "archive string, content binary")
     return materialize(out, "warc", {"parquet.block.size": str(16 << 20), "compression": "none"})
 
 
