@@ -9,7 +9,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tracepairs.llm.bpe_tree import bpe_decode, bpe_encode
+from tracepairs.llm.bpe_tree import bpe_round_trip
 from tracepairs.llm.common import materialize
 from tracepairs.llm.exact_dedup import drop_copies
 from tracepairs.llm.langid import keep_identified
@@ -42,7 +42,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """``documents`` with token ids and the bytes decoded from them."""
     ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    return bpe_decode(bpe_encode(docs, ranks, public_tokenizers.PATTERN, out_col=TOKEN_IDS), ranks, public_tokenizers.PATTERN, TOKEN_IDS, DECODED)
+    return bpe_round_trip(docs, ranks, public_tokenizers.PATTERN, ids_col=TOKEN_IDS, out_col=DECODED)
 
 
 STAGES = [
