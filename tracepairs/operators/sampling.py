@@ -86,8 +86,11 @@ def process_rows(spark: SparkSession, count: int, seed: int) -> DataFrame:
     rng, rows = random.Random(seed), []
     for i in range(count):
         t = rng.choice(TEMPLATES)
-        values = {name: rng.randint(*span) for name, span in t["draw"].items()}
-        values |= {name: eval(formula, {"__builtins__": {}}, dict(values)) for name, formula in t["derive"].items()}  # noqa: S307 - formulas above
+        right_name, wrong_name = t["final"]
+        values = {right_name: 0, wrong_name: 0}
+        while values[right_name] == values[wrong_name]:  # the mistake must show in the answer
+            values = {name: rng.randint(*span) for name, span in t["draw"].items()}
+            values |= {name: eval(formula, {"__builtins__": {}}, dict(values)) for name, formula in t["derive"].items()}  # noqa: S307 - formulas above
         right, wrong = ([s.format(**values) for s in t[which]] for which in ("right", "wrong"))
         rows.append((f"process_{i:05d}", t["gold"], t["prompt"].format(**values), str(values[t["final"][0]]), right, wrong, str(values[t["final"][1]])))
     schema = "id string, gold_earliest_error_step int, prompt string, answer string, correct_steps array<string>, incorrect_steps array<string>, incorrect_final_answer string"
