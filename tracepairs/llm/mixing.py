@@ -100,11 +100,13 @@ def mix(
 
 
 def take_mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
-    """The documents of the mix with the columns of ``df``, once for each repeat; ids must be unique.
+    """The documents of the mix with the columns of ``df``, once for each repeat.
 
-    A document at the cut is kept whole: the cut is a budget in words, not an edit of the text.
+    A document at the cut is kept whole: the cut is a budget in words, not an edit of the text. Documents without
+    words are not taken. Rows that repeat an id are each taken as often as the one of them that is taken most.
     """
     chosen = mix(df, id_col, text_col, source_col, **options).where("taken > 0")
-    chosen = chosen.select(F.col(id_col).alias("__id"), F.ceil(F.col("taken") / F.col("size")).cast("int").alias("__times"))
-    rows = df.join(chosen, F.col(id_col) == F.col("__id"))
+    times = F.max(F.ceil(F.col("taken") / F.col("size")).cast("int")).alias("__times")
+    chosen = chosen.groupBy(F.col(id_col).alias("__id")).agg(times)
+    rows = df.where(word_count(F.col(text_col)) > 0).join(chosen, F.col(id_col).eqNullSafe(F.col("__id")))
     return rows.withColumn("__n", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*df.columns)
