@@ -78,7 +78,8 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *
         "id", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256"
     )
     again = flagged.where("possible").select("id", "text_sha256")
-    groups = again.groupBy("text_sha256").agg(F.min("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+    # written before it is joined: a join of two exchanges can be split where a group is hot
+    groups = materialize(again.groupBy("text_sha256").agg(F.min("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")), "groups")
     joined = again.join(groups, "text_sha256").select(
         "id", "keep_id", "group_size", F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256"
     )
