@@ -296,7 +296,8 @@ def repeated_spans(
     """
     every = map_arrow(texts.select("k", "text"), _cut_anchors(length), "k long, gram long, context long, at int, windows int")
     # most k-grams occur once; cutting anchors again costs less than keeping those of the whole corpus
-    often = every.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram")
+    # (tables of counts are written before they are joined: a join of two exchanges can be split where a key is hot)
+    often = materialize(every.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram"), "often")
     found = materialize(every.join(often, "gram", "left_semi"), "anchors")
     contexts = found.groupBy("gram", "context").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("k", "at", "windows")).alias("first"))
     contexts = materialize(contexts, "contexts")
@@ -309,7 +310,7 @@ def repeated_spans(
 
     # of a k-gram, contexts are compared if there are several, and some that the count has not settled
     grams = contexts.groupBy("gram").agg(F.count(F.lit(1)).alias("contexts"), F.min("n").alias("least")).where("contexts > 1")
-    grams = (grams if keep_first else grams.where("least = 1")).drop("least")
+    grams = materialize((grams if keep_first else grams.where("least = 1")).drop("least"), "grams")
     wanted = contexts.join(grams, "gram").select("gram", "n", "contexts", "first.*")
     by_text = wanted.groupBy("k").agg(F.collect_list(F.struct("gram", "n", "at", "windows", "contexts")).alias("own"))
     cut = map_arrow(texts.join(by_text, "k").select("k", "text", "own"), _cut_contexts(length), "k long, gram long, n long, at int, windows int, body binary")
@@ -326,6 +327,7 @@ def repeated_spans(
         large = cut.join(F.broadcast(hot) if n_hot <= 500_000 else hot, "gram", "left_semi")
         prints = materialize(map_arrow(large.select("k", "body", "at", "n"), _window_prints(length), "k long, at int, h1 long, h2 long, n long"), "prints")
         twice = prints.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("k", "at")).alias("first")).where("times > 1")
+        twice = materialize(twice, "twice")
         marked = prints.join(twice, ["h1", "h2"])
         marked = marked.where((F.col("k") != F.col("first.k")) | (F.col("at") != F.col("first.at"))) if keep_first else marked.where("n = 1")
         spans = spans.unionByName(marked.select("k", F.col("at").alias("lo"), (F.col("at") + length).alias("hi")))
