@@ -150,10 +150,8 @@ def _post(width: int, share: float, parts: int):
             cut = np.searchsorted(pid[order], np.arange(parts + 1, dtype=np.uint64))
             doc_cut = np.searchsorted(doc_pid[doc_order], np.arange(parts + 1, dtype=np.uint64))
             rows = []
-            for p in range(parts):
+            for p in np.flatnonzero((cut[1:] > cut[:-1]) | (doc_cut[1:] > doc_cut[:-1])).tolist():
                 lo, hi = cut[p], cut[p + 1]
-                if hi == lo and doc_cut[p] == doc_cut[p + 1]:
-                    continue
                 who, own = np.unique(d[lo:hi], return_inverse=True)
                 own = own.astype(np.uint16)
                 own[flag[lo:hi]] = 0xFFFF  # shared by many already
