@@ -2,13 +2,14 @@
 
 The tokenizer's normaliser and splitting pattern never join characters across ASCII white space, so a text has
 as many tokens as its white-space-separated pre-tokens together. Tier one is a broadcast table of the
-token counts of frequent pre-tokens (at most ``table_size`` entries, chosen on a bounded number of
-documents: it only saves time, never changes a count). Tier two is a cache in each worker, bounded by
+token counts of the pre-tokens most frequent in the whole table (at most ``table_size`` entries, found by
+summaries of bounded size, one a task; it only saves time, never changes a count). Tier two is a cache in each worker, bounded by
 ``cache_size``, that the library fills for pre-tokens not met before.
 """
 
 from __future__ import annotations
 
+import collections
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,19 +18,49 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tracepairs.llm.common import SPACE_CLASS, map_arrow, raw, slices
+from tracepairs.llm.common import map_arrow, raw, slices
 
 _LONG = 256  # longer pre-tokens are encoded each time and kept nowhere
 
 
-def frequent_lengths(df: DataFrame, text_col: str, tokenizer: Tokenizer, *, table_docs: int = 2000, table_size: int = 65_536) -> dict[bytes, int]:
-    """Token counts of the most frequent pre-tokens of the first ``table_docs`` rows."""
-    words = df.select(F.explode(F.split(F.col(text_col), f"[{SPACE_CLASS}]+")).alias("w")) if table_docs <= 0 else (
-        df.select(text_col).limit(table_docs).select(F.explode(F.split(F.col(text_col), f"[{SPACE_CLASS}]+")).alias("w"))
-    )
-    top = words.where((F.col("w") != "") & (F.octet_length("w") < _LONG)).groupBy("w").count().orderBy(F.desc("count"), "w").limit(table_size)
-    found = [r.w for r in top.collect()]
-    return {w.encode(): len(e.ids) for w, e in zip(found, tokenizer.encode_batch(found, add_special_tokens=False))}
+def _summary(share: float, size: int):
+    """The words that make up ``share`` or more of a task's words, with their counts.
+
+    Counts are kept for a bounded number of words: when there are over four times ``size``, the count of the
+    word at rank ``size`` is taken off all, and words without a rest go (Misra and Gries, 1982).
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts, total = collections.Counter(), 0
+        for b in slices(batches, "text", 1 << 20):
+            data, offs = raw(b.column(0))
+            data = data.tobytes()
+            for lo, hi in zip(offs[:-1], offs[1:]):
+                words = data[lo:hi].split()
+                total += len(words)
+                counts.update(words)
+            if len(counts) > 4 * size:
+                off = -int(np.partition(-np.fromiter(counts.values(), np.int64, len(counts)), size)[size])
+                counts = collections.Counter({w: n - off for w, n in counts.items() if n > off})
+        often = [(w, n) for w, n in counts.items() if n >= share * total and len(w) < _LONG]
+        if often:
+            words, n = zip(*often)
+            yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(n, pa.int64())], names=["w", "n"])
+
+    return run
+
+
+def frequent_lengths(df: DataFrame, text_col: str, tokenizer: Tokenizer, *, table_share: float = 5e-6, table_size: int = 65_536) -> dict[bytes, int]:
+    """Token counts of the most frequent pre-tokens of all rows, ``table_size`` at most.
+
+    Each task counts its own words and hands on only those with a share of ``table_share``: summaries of bounded
+    size are summed, not pre-tokens.
+    """
+    texts = df.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    parts = map_arrow(texts, _summary(table_share, table_size), "w binary, n long")
+    top = parts.groupBy("w").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "w").limit(table_size)
+    found = [bytes(r.w) for r in top.select("w").collect()]
+    return {w: len(e.ids) for w, e in zip(found, tokenizer.encode_batch([w.decode() for w in found], add_special_tokens=False))}
 
 
 def count_slice(texts: list[bytes], cache: dict[bytes, int], tokenizer: Tokenizer) -> list[int]:
@@ -48,7 +79,7 @@ def count_slice(texts: list[bytes], cache: dict[bytes, int], tokenizer: Tokenize
 _state: dict[str, object] = {}
 
 
-def count_tokens(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", *, limit: int = 2048, cache_size: int = 400_000, table_docs: int = 2000, table_size: int = 65_536) -> DataFrame:
+def count_tokens(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", *, limit: int = 2048, cache_size: int = 400_000, table_share: float = 5e-6, table_size: int = 65_536) -> DataFrame:
     """``id_col, n_bytes, n_tokens, over_limit`` for each row.
 
     Counts are those of the library without begin, end or added special tokens; special strings within a
@@ -61,7 +92,7 @@ def count_tokens(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", tex
     tokenizer = Tokenizer.from_str(spec)
     tokenizer.no_truncation()
     tokenizer.no_padding()
-    table = frequent_lengths(df, text_col, tokenizer, table_docs=table_docs, table_size=table_size)
+    table = frequent_lengths(df, text_col, tokenizer, table_share=table_share, table_size=table_size)
     shared = spark.sparkContext.broadcast((spec, table))
     rows = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
