@@ -1,9 +1,11 @@
 """Language identification: known words first, shorter and shorter character n-grams for unseen ones.
 
 The model holds, per language, log frequencies of the most frequent words and of character n-grams (with
-word edges) of lengths 1 to 4. It is fitted on labelled rows only: all of them up to ``max_train_docs``,
-beyond that those whose text hash falls below the matching threshold. Counting words and n-grams is a
-grouped aggregation; only the bounded tables of the model reach the driver and the workers.
+word edges) of lengths 1 to 4. It is fitted on the different texts of labelled rows: all of them up to
+``max_train_docs`` rows, beyond that those whose hash falls below the matching threshold. Each text counts
+once for a label, so a large group of copies neither outgrows that bound nor outweighs other texts.
+Counting words and n-grams is a grouped aggregation; only the bounded tables of the model reach the driver
+and the workers.
 """
 
 from __future__ import annotations
@@ -66,7 +68,7 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", *,
     n = rows.count()
     if n > max_train_docs:
         rows = rows.where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < math.floor(max_train_docs / n * (1 << 30)))
-    words = rows.select("lang", F.explode(F.split(F.lower("text"), r"[^\p{L}]+")).alias("w")).where("w != '' AND length(w) <= 40")
+    words = rows.distinct().select("lang", F.explode(F.split(F.lower("text"), r"[^\p{L}]+")).alias("w")).where("w != '' AND length(w) <= 40")
     words = materialize(words.groupBy("lang", "w").agg(F.count(F.lit(1)).alias("n")), "words")
 
     def top(df: DataFrame, key: str, most: int) -> list:
