@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tracepairs.llm import queries as Q
 from tracepairs.llm.bpe_tree import bpe_decode, bpe_encode, bpe_round_trip, encode_tree, load, token_digests
 from tracepairs.llm.exact_dedup import drop_copies, exact_dedup
-from tracepairs.llm.langid import identify_documents, keep_identified
+from tracepairs.llm.langid import fit, identify_documents, keep_identified
 from tracepairs.llm.media import DECODED, clip_rows, decode_avi, text_to_avi
 from tracepairs.llm.mixing import mix, take_mix
 from tracepairs.llm.ngram_join import drop_near_copies, ngram_jaccard_components
@@ -273,6 +273,8 @@ def test_language_id(spark, docs, empty, sf_dir):
     assert all((r.lang_pred == "und") == (not letters(t)) for r, t in ((rows[d], t) for d, t, *_ in docs[1] if d is not None))
     assert identify_documents(empty).count() == 0
     assert keep_identified(docs[0]).columns == docs[0].columns
+    once, often = (fit(df) for df in (docs[0], docs[0].union(docs[0]).union(docs[0])))  # copies count once
+    assert once.words.row.keys() == often.words.row.keys() and all((once.words.score[i] == often.words.score[often.words.row[w]]).all() for w, i in once.words.row.items())
     table = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang")
     held = Q.op6_language_id(spark, sf_dir).where("held_out").join(table, "doc_id").collect()
     assert sum(r.lang == r.lang_pred for r in held) / len(held) > 0.97
@@ -329,7 +331,7 @@ def test_token_counts(spark, docs, empty):
     assert count_tokens(empty, WORDS).count() == 0
 
 
-def test_mix(spark, docs, empty):
+def test_mix(spark, docs, empty, sf_dir):
     df, rows = docs
     got = mix(df).collect()
     assert len(got) == len(rows) and mix(empty).count() == 0
@@ -354,6 +356,8 @@ def test_mix(spark, docs, empty):
     assert all(abs(taken[s] - target[s]) <= 1 for s in names)
     mixed = take_mix(df)
     assert mixed.columns == df.columns and 0 < mixed.count()
+    table = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    assert sorted(mix(table, range_rows=1).collect()) == sorted(mix(table).collect())  # as many ranges as rows, or 256
 
 
 def test_sql(spark, sf_dir):

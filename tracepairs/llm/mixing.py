@@ -58,7 +58,7 @@ def mix(
     weights: tuple[int, ...] = (1, 2, 3),
     max_epochs: int = 3,
     seed: str = "mix-1",
-    ranges: int = 256,
+    range_rows: int = 100_000,
 ) -> DataFrame:
     """Per row: ``id_col, source_col, size, source_size, target, taken``.
 
@@ -67,7 +67,8 @@ def mix(
     Sources are ordered by code point, null (a source of its own) last, and weigh ``weights`` in turn.
     Null and blank texts have size 0 and are taken 0 times. Rows with equal ids keep an order by size;
     equal rows share the cut in either order, with equal sums. An empty table gives an empty result.
-    Text in other columns is never read.
+    Text in other columns is never read. There are as many key ranges as keep one at about ``range_rows``
+    rows whatever the size of the input (256 at least); their number does not change the result.
     """
     sized = materialize(
         df.select(
@@ -77,7 +78,9 @@ def mix(
             F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit("")))).alias("__key"),
         ),
         "sizes",
-    ).withColumn("__range", F.floor(F.conv(F.substring("__key", 1, 6), 16, 10).cast("long") * ranges / 2**24))
+    )
+    ranges = min(2**24, max(256, -(-sized.count() // range_rows)))
+    sized = sized.withColumn("__range", F.floor(F.conv(F.substring("__key", 1, 6), 16, 10).cast("long") * ranges / 2**24))
     # grouped by (source, range) and then source: a hot source meets as `ranges` partial sums
     cuts = sized.groupBy("__src", "__range").agg(F.sum("size").alias("range_size"))
     earlier = Window.partitionBy("__src").orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
