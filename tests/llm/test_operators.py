@@ -12,11 +12,12 @@ from pyspark.sql import functions as F
 
 from tracepairs.llm import queries as Q
 from tracepairs.llm.bpe_tree import bpe_decode, bpe_encode, bpe_round_trip, encode_tree, load, token_digests
+from tracepairs.llm.common import map_arrow
 from tracepairs.llm.exact_dedup import drop_copies, exact_dedup
 from tracepairs.llm.langid import fit, identify_documents, keep_identified
 from tracepairs.llm.media import DECODED, clip_rows, decode_avi, text_to_avi
 from tracepairs.llm.mixing import mix, take_mix
-from tracepairs.llm.ngram_join import drop_near_copies, ngram_jaccard_components
+from tracepairs.llm.ngram_join import _DOC, _post, drop_near_copies, ngram_jaccard_components
 from tracepairs.llm.shuffle_shards import shuffled_shards, write_shards
 from tracepairs.llm.suffix_dedup import remove_repeats
 from tracepairs.llm.token_counts import count_tokens
@@ -114,6 +115,17 @@ def test_ngram_join(spark, docs, empty, options):
     assert kept.columns == df.columns and {r.doc_id for r in kept.collect()} == {d for d, _, c in want if d == c} | {None}
 
 
+def test_ngram_join_spreads_copies(spark):
+    """Copies, and texts without words, do not meet in one group of the screen."""
+    n, parts = 6000, 12
+    text = F.when(F.col("id") % 3 == 0, "one text of a very large group of copies").when(F.col("id") % 3 == 1, " ")
+    same_id = spark.range(n).select(F.lit(5).cast("long").alias("id"), F.lit("a b c d e f").alias("text")).repartition(24)
+    for df, most in ((spark.range(n).select("id", text.alias("text")), 2 * n / parts), (same_id, n / 2)):
+        posts = map_arrow(df, _post(5, 0.5, parts), "pid int, grams binary, own binary, sets binary, docs binary")
+        sizes = [r.n / _DOC.itemsize for r in posts.groupBy("pid").agg(F.sum(F.length("docs")).alias("n")).collect()]
+        assert sum(sizes) == n and max(sizes) < most
+
+
 def test_ngram_join_on_the_test_table(spark, sf_dir):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
     least, known, label = components(rows)

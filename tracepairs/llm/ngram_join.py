@@ -7,7 +7,8 @@ class. Then:
    set posts its n-grams below a universal hash threshold; one that shares with other sets fewer of the
    posted n-grams than ``posted - n / 5`` can link to nothing and is settled. Postings travel as packed arrays,
    partitioned by n-gram; n-grams that are frequent within a slice of the input are counted there and posted
-   once, so no n-gram brings a growing group to one task.
+   once, so no n-gram brings a growing group to one task. The documents' own records travel in the same groups,
+   spread by id and task, so that copies of one text do not meet in one group.
 2. *Global order.* For the sets that remain, document frequencies are counted and n-grams ordered from rare
    to frequent. Linked sets share an n-gram within their prefixes in this order; components over shared
    prefix n-grams are the blocks.
@@ -25,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -117,6 +119,7 @@ def _post(width: int, share: float, parts: int):
     limit = np.uint64(int(share * (1 << 63)) * 2)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task = mix(np.array([TaskContext.get().partitionId()], np.uint64))
         for b in slices(batches, "text", SLICE_BYTES):
             ids = _ids(b)
             d, h, n = shingle_sets(*raw(b.column(1)), width)
@@ -144,7 +147,8 @@ def _post(width: int, share: float, parts: int):
             d, h, flag = d[keep], h[keep], often[keep]
             docs = np.zeros(len(ids), _DOC)
             docs["id"], docs["d1"], docs["d2"], docs["n"], docs["posted"], docs["hot"] = ids, d1, d2, n, posted, hot
-            pid, doc_pid = (h >> np.uint64(8)) % np.uint64(parts), d1 % np.uint64(parts)
+            # nothing needs the records of a text together: rows of one id are spread by task, all others by id
+            pid, doc_pid = (h >> np.uint64(8)) % np.uint64(parts), mix(ids.view(np.uint64) ^ task) % np.uint64(parts)
             order, doc_order = np.argsort(pid, kind="stable"), np.argsort(doc_pid, kind="stable")
             h, d, flag, docs = h[order], d[order], flag[order], docs[doc_order]
             cut = np.searchsorted(pid[order], np.arange(parts + 1, dtype=np.uint64))
@@ -336,7 +340,8 @@ def ngram_jaccard_components(
     num, den = threshold
     narrow = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     known = narrow.where("id is not null")
-    parts = max(partitions(spark), int((known.agg(F.sum(F.octet_length("text"))).first()[0] or 0) >> 26))
+    volume = F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + F.lit(_DOC.itemsize))  # null and empty texts have records too
+    parts = max(partitions(spark), int((known.agg(volume).first()[0] or 0) >> 26))
     posts = map_arrow(known, _post(width, posted_share, parts), "pid int, grams binary, own binary, sets binary, docs binary")
     screen = materialize(posts.groupBy("pid").applyInArrow(_count_shared, _SCREEN), "screen")
     docs = screen.where("id is not null").drop("shared")
