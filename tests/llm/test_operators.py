@@ -241,6 +241,42 @@ def test_salvage(spark):
     assert collections.Counter(r.kind for r in rows) == {"record": 3, "gap": 1}
 
 
+def test_salvage_inside_members(spark):
+    def member(data, level=6):
+        z = zlib.compressobj(level, zlib.DEFLATED, 31)
+        return z.compress(data) + z.flush()
+
+    random_bytes = random.Random(3).randbytes
+    bodies = [random_bytes(3000) for _ in range(6)]
+    parts = [build_record("response", f"urn:page:{i}", "http://x", b, hashlib.sha1(b).hexdigest()) for i, b in enumerate(bodies)]
+    names = lambda found: [r.headers["warc-record-id"][10:-1] for r in found]
+    at = [sum(map(len, parts[:i])) for i in range(7)]
+    plain = bytearray(b"".join(parts))
+    plain[at[2] + 1000] ^= 8
+    one = member(bytes(plain))
+    records, gaps = salvage(one + member(parts[0]))  # a bad record in a sound member
+    assert names(records) == ["0", "1", "3", "4", "5", "0"]
+    assert [g[:2] for g in gaps] == [(0, len(one))] and f"bytes {at[2]} to {at[3]} " in gaps[0][2]
+    for level in (0, 6):
+        whole = member(b"".join(parts), level)
+        records, gaps = salvage(whole[: len(whole) * 7 // 12])  # the tail is lost
+        assert names(records) == ["0", "1", "2"] and len(gaps) == 1 and gaps[0][1] == len(whole) * 7 // 12
+        assert {(r.offset, r.end) for r in records} == {(0, gaps[0][0])}
+        records, gaps = salvage(whole[: len(whole) * 7 // 12] + member(parts[5]))  # another member follows the cut
+        assert names(records) == ["0", "1", "2", "5"] and len(gaps) == 1
+        crc = bytearray(whole)
+        crc[-6] ^= 1
+        records, gaps = salvage(bytes(crc) + member(parts[0]))  # only the checksum is damaged
+        assert names(records) == [*"012345", "0"] and len(gaps) == 1 and gaps[0][1] == len(whole)
+    for shift in range(0, 3000, 500):  # a flipped bit of the compressed data costs its own record, at most all later ones
+        bad = bytearray(member(b"".join(parts)))
+        bad[len(bad) * 2 // 5 + shift // 10] ^= 4
+        got = names(salvage(bytes(bad))[0])
+        assert got[:2] == ["0", "1"] and "2" not in got and got == sorted(set(got))
+    rows = read_archives(spark.createDataFrame([("x", bytearray(one))], "archive string, content binary")).collect()
+    assert collections.Counter(r.kind for r in rows) == {"record": 5, "gap": 1}
+
+
 # --- 5: suffix-array dedup ---------------------------------------------------------------------------------------------
 
 

@@ -2,7 +2,8 @@
 
 The reader checks every gzip member (CRC), version line, header block, length, end of record and payload digest.
 After a failed check it searches for the next member or version line at which a whole valid record stands,
-goes on from there, and logs the bytes in between as a quarantined gap.
+goes on from there, and logs the bytes in between as a quarantined gap. Inside a gzip member it does the same with
+the inflated content, also with what was inflated before a member was cut short or failed its checks.
 
 Archives are rows (archive, content), as Spark's ``binaryFile`` source gives them (path, content).
 """
@@ -126,34 +127,96 @@ def _inflate(data: bytes, at: int) -> tuple[bytes, int]:
     return b"".join(out), min(p, len(data)) - len(z.unused_data)
 
 
+def _inflate_broken(data: bytes, at: int, most: int | None = None) -> tuple[bytes, int]:
+    """What the broken member at ``at`` gives before its error, and where that is; with ``most``, the offset after the
+    last byte that the first ``most`` bytes need."""
+    z, out, size, p, step, view = zlib.decompressobj(31), [], 0, at, 1 << 16, memoryview(data)
+    while p < len(data) and (most is None or size < most):
+        ahead = z.copy()
+        try:
+            piece = ahead.decompress(view[p : p + step])
+        except zlib.error:
+            piece = None
+        if step > 1 and (piece is None or (most is not None and size + len(piece) >= most)):
+            step >>= 4
+            continue
+        if piece is None:
+            break
+        z, size, p = ahead, size + len(piece), p + step
+        out.append(piece)
+    return b"".join(out), min(p, len(data))
+
+
+def _records(content: bytes) -> tuple[list[tuple[Record, int, int]], list[tuple[int, int, str]]]:
+    """The valid records of a member's content with their inner ranges, and the inner gaps (start, end, reason)."""
+    found, gaps, at, bad = [], [], 0, None
+    while at < len(content):
+        try:
+            r, end = read_record(content, at)
+        except Invalid as e:
+            bad = bad or (at, str(e))
+            later = _VERSION.search(content, at + 1)
+            at = later.start() if later else len(content)
+            continue
+        if bad:
+            gaps.append((bad[0], at, bad[1]))
+            bad = None
+        found.append((r, at, end))
+        at = end
+    if bad:
+        gaps.append((bad[0], len(content), bad[1]))
+    return found, gaps
+
+
 def salvage(data: bytes) -> tuple[list[Record], list[tuple[int, int, str]]]:
-    """All valid records in order, with offsets in the archive, and the gaps (start, end, reason)."""
+    """All valid records in order, with offsets in the archive, and the gaps (start, end, reason).
+
+    A gap between records of one member has the member's offset and end; its range in the inflated content is in the
+    reason. Records of a member that fails its own checks are kept if they pass theirs, and end where the last byte of
+    the member that they need stands; the rest of the member is a gap. A record that is all of a member falls with it.
+    """
     records: list[Record] = []
     gaps: list[tuple[int, int, str]] = []
     at, bad = 0, None  # bad: start and reason of the open gap
     while at < len(data):
+        found, inner, error = [], [], None
         try:
             if data.startswith(_MAGIC, at):
-                content, end = _inflate(data, at)
-                found, inner = [], 0
-                while inner < len(content):
-                    r, inner = read_record(content, inner)
+                try:
+                    content, end = _inflate(data, at)
+                    found, inner = _records(content)
+                except Invalid as e:
+                    error = str(e)
+                    content, end = _inflate_broken(data, at)
+                    found, inner = _records(content)
+                    if found and (found[0][1], found[0][2]) == (0, len(content)):
+                        found = []
+                    if found:
+                        inner = [g for g in inner if g[0] < found[-1][1]]  # what follows is in the gap to come
+                        end = _inflate_broken(data, at, found[-1][2])[1]
+                if not found and (error or inner):
+                    raise Invalid(error or inner[0][2])
+                for r, _, _ in found:
                     r.offset, r.end = at, end
-                    found.append(r)
             else:
                 r, end = read_record(data, at)
                 r.offset, r.end = at, end
-                found = [r]
+                found = [(r, 0, 0)]
         except Invalid as e:
             bad = bad or (at, str(e))
-            later = _NEXT.search(data, at + 1)
+            later = _NEXT.search(data, at + 1 if error or not data.startswith(_MAGIC, at) else end)
             at = later.start() if later else len(data)
             continue
         if bad:
             gaps.append((bad[0], at, bad[1]))
             bad = None
-        records += found
+        records += [r for r, _, _ in found]
+        gaps += [(at, end, f"{why}; bytes {lo} to {hi} of the member's content") for lo, hi, why in inner]
         at = end
+        if error:
+            bad = (at, error)
+            later = _NEXT.search(data, at)
+            at = later.start() if later else len(data)
     if bad:
         gaps.append((bad[0], len(data), bad[1]))
     return records, gaps
@@ -170,7 +233,8 @@ def read_archives(archives: DataFrame, name_col: str = "archive", content_col: s
     """One row per salvaged record (``kind`` 'record') and per quarantined byte gap (``kind`` 'gap', with ``reason``).
 
     ``payload_bytes`` and ``payload_digest`` (hex SHA-1) are of the payload that was read; for revisits, of the
-    payload they refer to, as their headers say. In a multi-record member a failed record costs the whole member.
+    payload they refer to, as their headers say. Records around a failed one in a gzip member are salvaged too; the gap
+    has the member's range and names its own range in the content (see :func:`salvage`).
     Archives may be gzip members, plain records or both. Null or empty content has no records and no gaps.
     A task holds one archive at a time; no shuffle.
     """
