@@ -14,7 +14,7 @@ from tracepairs.llm import queries as Q
 from tracepairs.llm.bpe_tree import bpe_decode, bpe_encode, bpe_round_trip, encode_tree, load, token_digests
 from tracepairs.llm.common import map_arrow
 from tracepairs.llm.exact_dedup import drop_copies, exact_dedup
-from tracepairs.llm.langid import fit, identify_documents, keep_identified
+from tracepairs.llm.langid import fit, identify_documents, keep_identified, train_limits
 from tracepairs.llm.media import DECODED, clip_rows, decode_avi, text_to_avi
 from tracepairs.llm.mixing import mix, take_mix
 from tracepairs.llm.ngram_join import _DOC, _post, drop_near_copies, ngram_jaccard_components
@@ -329,6 +329,19 @@ def test_language_id(spark, docs, empty, sf_dir):
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) for r in Q.op6_language_id(spark, sf_dir).collect())
 
 
+def test_language_sample_of_copies_and_a_rare_language(spark):
+    """The sample has as many different texts as its bound says, whatever is copied, and every language."""
+    texts = [("en", f"english{''.join(chr(97 + int(c)) for c in str(i))}") for i in range(300)]
+    rows = [(t, x) for x, t in texts] + [(texts[i][1], "en") for i in range(20) for _ in range(500)]
+    rows += [(f"rare{c}", "xx") for c in "abc"] + [("alone", "yy")]
+    model = fit(spark.createDataFrame(rows, "text string, lang string"), max_train_docs=100)
+    words = model.words.row.keys()
+    assert model.langs == ["en", "xx", "yy"]
+    assert {"rarea", "rareb", "rarec", "alone"} <= words
+    assert 70 <= sum(w.startswith("english") for w in words) <= 130
+    assert train_limits({"a": 1000, "b": 1000, "c": 10}, 110) == {"a": 0.05, "b": 0.05, "c": 1.0}
+
+
 # --- 7: sharding ------------------------------------------------------------------------------------------------------------
 
 

@@ -2,8 +2,10 @@
 
 The model holds, per language, log frequencies of the most frequent words and of character n-grams (with
 word edges) of lengths 1 to 4. It is fitted on the different texts of labelled rows: all of them up to
-``max_train_docs`` rows, beyond that those whose hash falls below the matching threshold. Each text counts
-once for a label, so a large group of copies neither outgrows that bound nor outweighs other texts.
+``max_train_docs`` different texts. Beyond that each language has an equal share of this number, what small
+languages leave goes to the others, and those texts are learned whose hash falls below the threshold of their
+language. Each text counts once for a label, so a large group of copies neither outgrows that bound nor
+outweighs other texts; and every language keeps at least one text, however rare it is.
 Counting words and n-grams is a grouped aggregation; only the bounded tables of the model reach the driver
 and the workers.
 """
@@ -62,12 +64,28 @@ class Model:
         return np.zeros(len(self.langs))
 
 
+def train_limits(counts: dict[str, int], most: int) -> dict[str, float]:
+    """The share of the different texts of each language to learn from: ``most`` texts are dealt out evenly, and what
+    a language does not have goes to the others."""
+    shares, left = {}, float(most)
+    for i, (lang, n) in enumerate(sorted(counts.items(), key=lambda x: (x[1], x[0]))):
+        take = min(n, left / (len(counts) - i))
+        shares[lang] = take / n
+        left -= take
+    return shares
+
+
 def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", *, max_train_docs: int = 20_000, max_words: int = 40_000, max_grams: int = 40_000) -> Model:
     """Fit on rows with a text and a label. ``max_words`` and ``max_grams`` (per length) bound the tables per language."""
     rows = labelled.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    n = rows.count()
-    if n > max_train_docs:
-        rows = rows.where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < math.floor(max_train_docs / n * (1 << 30)))
+    place = F.pmod(F.xxhash64("text"), F.lit(1 << 30))
+    texts = rows.select("lang", F.xxhash64("text").alias("h"), place.alias("place")).distinct()
+    counts = texts.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.min("place").alias("first")).collect()
+    if sum(r.n for r in counts) > max_train_docs:
+        shares = train_limits({r.lang: r.n for r in counts}, max_train_docs)
+        limits = [(r.lang, max(math.floor(shares[r.lang] * (1 << 30)), r.first + 1)) for r in counts]
+        limits = labelled.sparkSession.createDataFrame(limits, "lang string, below long")
+        rows = rows.join(F.broadcast(limits), "lang").where(place < F.col("below")).select("text", "lang")
     words = rows.distinct().select("lang", F.explode(F.split(F.lower("text"), r"[^\p{L}]+")).alias("w")).where("w != '' AND length(w) <= 40")
     words = materialize(words.groupBy("lang", "w").agg(F.count(F.lit(1)).alias("n")), "words")
 
