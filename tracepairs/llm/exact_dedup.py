@@ -4,7 +4,8 @@ Pass one sets, for every row, two cells of a bit space (two halves of a 64-bit h
 text) and keeps the cells that more than one row set: counting is map-side combined, and what remains is
 packed into 4 KB bitmaps with Spark's bitmap aggregates. Pass two looks both cells of each row up in the
 broadcast bitmaps. A row with a cell of its own has a text that no other row has and passes straight
-through; only the other rows (the copies, and a few false positives) shuffle.
+through; of pass two only the other rows (the copies, and a few false positives) shuffle. Pass one shuffles
+two (cell, count) records of nearly every row.
 
 The bitmaps are bounded: ``cells_per_row`` cells for each counted row, never more than ``max_cells``
 (2**30 cells are 128 MB). Beyond that the filter passes more rows on, and the result stays exact.
