@@ -292,7 +292,7 @@ def brute_spans(rows, length, keep_first):
     return gone
 
 
-@pytest.mark.parametrize("options", [{}, {"group_most": 1}, {"piece_bytes": 2000, "block_bytes": 5000}])
+@pytest.mark.parametrize("options", [{}, {"piece_bytes": 300, "block_bytes": 5000}])
 def test_suffix_dedup(spark, docs, empty, options):
     df, rows = docs
     texts = [(r[1] or "").encode() for r in rows]
@@ -304,10 +304,44 @@ def test_suffix_dedup(spark, docs, empty, options):
     got = by_id(found.withColumn("n", F.size("removed")), "kept_bytes", "n", "text")
     assert {k: sorted(v, key=repr) for k, v in got.items()} == {k: sorted(v, key=repr) for k, v in want.items()}
     assert remove_repeats(empty).count() == 0
-    first = remove_repeats(df.where("doc_id is not null").dropDuplicates(["doc_id"]), length=60, keep_first=True, **options)
-    n_first = sum(sum(map(sum, brute_spans([t for t, r in zip(texts, rows) if r[0] is not None][:-1], 60, True))) for _ in [0])
-    got_first = sum(s.end - s.start for r in first.collect() for s in r.removed)
-    assert 0 < got_first and abs(got_first - n_first) <= 0.35 * n_first  # which occurrence is first differs, one of each stays
+    ordered = sorted({(r[0], r[1]) for r in rows if r[0] is not None}, key=lambda r: r[0])
+    first = remove_repeats(df.where("doc_id is not null"), length=60, keep_first=True, **options)
+    gone = brute_spans([(t or "").encode() for _, t in ordered], 60, True)
+    want = {d: bytes(x for x, y in zip((t or "").encode(), g) if not y) for (d, t), g in zip(ordered, gone)}
+    assert {r.doc_id: bytes(r.kept_bytes) for r in first.collect()} == want and any(map(any, gone))
+
+
+@pytest.mark.parametrize("n", [900, 1100, 20_000])
+def test_suffix_dedup_of_a_common_line(spark, n):
+    """Any number of contexts of one k-gram goes through the arrays: a line that is too short to remove, and one that is
+    not, each between other texts in every document."""
+    own = random.Random(n)
+    chars = lambda k: "".join(own.choices("abcdefghij ", k=k))
+    short, long = chars(190), chars(210)
+    texts = [chars(own.randint(20, 60)) + (short if i % 2 else long) + chars(own.randint(20, 60)) for i in range(n)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(8)
+    gone = brute_spans([t.encode() for t in texts], 200, False)
+    for options in ({}, {"piece_bytes": 40_000}):
+        got = {r.doc_id: bytes(r.kept_bytes) for r in remove_repeats(df, **options).select("doc_id", "kept_bytes").collect()}
+        assert got == {i: bytes(x for x, y in zip(t.encode(), g) if not y) for i, (t, g) in enumerate(zip(texts, gone))}
+
+
+def test_longest_previous_factors():
+    import numpy as np
+
+    from tracepairs.llm.suffix_dedup import longest_previous_factors
+
+    own = random.Random(2)
+    for length in (8, 13, 40):
+        strings = [bytes(own.choices(b"ab", k=own.randint(0, 90))) for _ in range(12)] + [b"a" * 60, b"a" * 45]
+        data = b"".join(strings)
+        starts = np.cumsum([0, *map(len, strings)])[:-1]
+        whole = [(s + i, t[i : i + length]) for s, t in zip(starts, strings) for i in range(len(t) - length + 1)]
+        at, factor, source = longest_previous_factors(np.frombuffer(data, np.uint8), starts, length)
+        assert at.tolist() == [p for p, _ in whole]
+        for i, (p, w) in enumerate(whole):
+            best = max((next((k for k in range(length) if w[k] != v[k]), length) for _, v in whole[:i]), default=0)
+            assert factor[i] == best and (not best or source[i] < p and data[source[i] : source[i] + best] == w[:best])
 
 
 # --- 6: language ID -------------------------------------------------------------------------------------------------------

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import contextlib
 import ctypes
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -21,11 +23,22 @@ WORD_RE = rf"[^{SPACE_CLASS}]+"
 BROADCAST_ROWS = 500_000
 
 
+#: A key with more than this share of the rows is hot: there are fewer than 1 / share of them, however large the input.
+HOT_SHARE = 1e-4
+
+_tables: list[list[str]] = [[]]
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in ``spark.checkpoint.dir``; a local one is set only where that is unset (tests)."""
+    """The folder named in ``spark.checkpoint.dir``. Where it is unset, a local master gets a temporary one (tests); on
+    a cluster this raises, as executors would write where the driver does not read."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not path:
-        path = f"file://{tempfile.mkdtemp(prefix='tracepairs-')}"
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        own = tempfile.mkdtemp(prefix="tracepairs-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        path = f"file://{own}"
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
 
@@ -33,14 +46,55 @@ def shared_dir(spark: SparkSession) -> str:
 def materialize(df: DataFrame, name: str, options: dict[str, str] | None = None) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back, which cuts its lineage.
 
-    The table survives lost executors; each call uses a new folder, so retries never meet old rows.
+    The table survives lost executors; each call uses a new folder, so retries never meet old rows. It stays until
+    the innermost :func:`stage_tables` ends, or :func:`remove_tables`.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _tables[-1].append(path)
     df.write.options(**options or {}).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def remove_tables(spark: SparkSession, paths: list[str] | None = None) -> None:
+    """Delete the tables of :func:`materialize` (all that are not deleted yet, or ``paths``). DataFrames that read them
+    must have been used before."""
+    for path in list(_tables[-1] if paths is None else paths):
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        for own in _tables:
+            if path in own:
+                own.remove(path)
+
+
+@contextlib.contextmanager
+def stage_tables(spark: SparkSession, keep: int = 0):
+    """Tables written inside are deleted at its end, but for the last ``keep`` ones, which pass to the scope around."""
+    _tables.append([])
+    try:
+        yield
+    finally:
+        own = _tables.pop()
+        gone = own[: len(own) - keep] if keep else own
+        _tables[-1] += own[len(own) - keep :] if keep else []
+        remove_tables(spark, gone)
+
+
+def join_hot(left: DataFrame, right: DataFrame, on: list[str], count_col: str) -> DataFrame:
+    """Inner join with a table of one row per key that says how many rows of ``left`` have it (``count_col``).
+
+    Keys with over ``HOT_SHARE`` of the rows are joined by broadcast: there are at most 1 / HOT_SHARE of them at any
+    size. In the join of the others no key has more than that share, so no task is hot. Keys are not null.
+    """
+    total = right.agg(F.sum(count_col)).first()[0] or 0
+    is_hot = F.col(count_col) > max(total * HOT_SHARE, 1)
+    hot, rest = right.where(is_hot), right.where(~is_hot)
+    if not hot.limit(1).count():
+        return left.join(right, on)
+    with_hot = left.join(F.broadcast(hot), on)
+    return with_hot.unionByName(left.join(F.broadcast(hot.select(*on)), on, "left_anti").join(rest, on))
+
+
 _BATCH_BYTES = 8 << 20
 
 

@@ -6,20 +6,23 @@ does not fit a task, but equal strings can be brought together first:
 1. *Anchors.* Each window of ``length`` bytes has an anchor: its least k-gram by hash, leftmost of equals. Equal
    windows have equal anchors at the same place. The windows of one anchor are consecutive; the bytes that
    they cover are the anchor's context. Every window of a text is in exactly one context.
-2. Contexts are counted by (k-gram, context). Contexts that occur again are repeated throughout. K-grams with
-   one context are settled by that count.
-3. *Suffix arrays.* The different contexts of the other k-grams meet, one of each, in blocks of bounded size. A
-   block is sorted into a suffix array (prefix doubling) of the suffixes that have ``length`` bytes; previous and
-   next smaller positions in suffix order and the common prefixes with them give the longest previous factor
-   of each position, as far as it reaches ``length``, and its earlier match.
-   A k-gram with more than ``group_most`` contexts is not gathered: its windows are compared by 128-bit
-   fingerprints, which are counted map-side, so any size of group is exact.
-4. Spans return to their texts, are merged, and the bytes removed.
+2. *Equal contexts* of a k-gram are merged into one by 128-bit fingerprints, before anything is gathered. All
+   windows of a context that occurs again are repeated.
+3. *Suffix arrays.* The different contexts of a k-gram meet in one piece of a block. A piece is sorted into a
+   suffix array (prefix doubling) of the suffixes that have ``length`` bytes; the previous and next smaller
+   positions in suffix order, with the prefixes shared on the way, give the longest previous factor of each position
+   and its earlier match.
+4. *Split groups.* A group of more contexts than a piece holds is split: all its windows agree in a core around the
+   anchor, and each window agrees with its equals in half of the remaining bytes before the core or in half of
+   those after it. So each context goes on as at most two shorter ones, its windows with the larger half before the
+   core and the others, under the core grown by that half; then steps 2 and 3 again. Equal windows stay
+   together; contexts that share less fall apart. Cores reach ``length`` after log2(length) splits at most, where
+   all contexts of a group are equal, so any number of contexts of one k-gram ends in pieces.
+5. Spans return to their texts, are merged, and the bytes removed.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracepairs.llm.common import map_arrow, materialize, mix, prefix_hash, raw, slices, span_hash
+from tracepairs.llm.common import join_hot, map_arrow, materialize, maybe_broadcast, mix, prefix_hash, raw, slices, span_hash
 
 GRAM = 40
 _POS_BITS = 28
@@ -36,49 +39,6 @@ _POS_BITS = 28
 # --- suffix arrays ------------------------------------------------------------------------------------
 
 
-def suffix_ranks(data: np.ndarray, ends: np.ndarray, depth: int) -> tuple[np.ndarray, list[tuple[int, np.ndarray]]]:
-    """Suffix order by the first ``depth`` bytes or more (ties by position), and ranks by prefix length.
-
-    ``ends[i]`` is the end of the string that position i is in: suffixes stop there and no match goes beyond.
-    """
-    n = len(data)
-    padded = np.concatenate([data.astype(np.uint64) + np.uint64(1), np.zeros(8, np.uint64)])
-    left = np.minimum(ends - np.arange(n), 7)
-    key = np.zeros(n, np.uint64)
-    for k in range(7):  # 9 bits a byte, 0 beyond the end
-        key |= np.where(k < left, padded[k : k + n], np.uint64(0)) << np.uint64(9 * (6 - k))
-    levels, h = [], 7
-    order = np.argsort(key, kind="stable")
-    ordered = key[order]
-    while True:
-        rank = np.empty(n, np.int64)
-        rank[order] = np.cumsum(np.concatenate([[1], ordered[1:] != ordered[:-1]]))
-        levels.append((h, rank))
-        if h >= depth:
-            return order, levels
-        i = np.arange(n)
-        beyond = i + h >= ends
-        second = np.where(beyond, 0, rank[np.minimum(i + h, n - 1)])
-        key = rank * (n + 1) + second
-        order = np.argsort(key, kind="stable")
-        ordered, h = key[order], h * 2
-
-
-def common_prefixes(a: np.ndarray, b: np.ndarray, data: np.ndarray, ends: np.ndarray, levels: list[tuple[int, np.ndarray]]) -> np.ndarray:
-    """Lengths of the common prefixes of the suffixes at a and at b (up to twice the deepest level)."""
-    n, done = len(data), np.zeros(len(a), np.int64)
-    for h, rank in reversed(levels):
-        x, y = a + done, b + done
-        inside = (x + h <= ends[a]) & (y + h <= ends[b])
-        same = inside & (rank[np.minimum(x, n - 1)] == rank[np.minimum(y, n - 1)])
-        done += np.where(same, h, 0)
-    for _ in range(levels[0][0] - 1):
-        x, y = a + done, b + done
-        inside = (x < ends[a]) & (y < ends[b])
-        done += inside & (data[np.minimum(x, n - 1)] == data[np.minimum(y, n - 1)])
-    return done
-
-
 def _smaller(sa: np.ndarray, lcp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For each place in suffix order the nearest place before it with a smaller position (-1: none), and the
     length that the two suffixes share. ``lcp[i]`` is shared by the suffixes at places i - 1 and i."""
@@ -95,35 +55,11 @@ def _smaller(sa: np.ndarray, lcp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.where(shared > 0, to, -1), np.where(to >= 0, shared, 0)
 
 
-def longest_previous_factors(data: np.ndarray, starts: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each position the longest match with an earlier position (exact up to ``depth``), and that position.
+def longest_previous_factors(data: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Positions with ``length`` bytes before the end of their string, the longest match of each with such a position
+    before it (up to ``length``; 0: none), and where that match starts (-1: none).
 
-    ``starts``: where the strings in ``data`` start; no match goes beyond the end of a string.
-    """
-    n = len(data)
-    if n == 0:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    size = np.diff(np.append(starts, n))
-    ends = np.repeat(starts + size, size)
-    sa, levels = suffix_ranks(data, ends, depth)
-    lcp = np.zeros(n, np.int64)
-    lcp[1:] = common_prefixes(sa[:-1], sa[1:], data, ends, levels)
-    before, with_before = _smaller(sa, lcp)
-    back, with_back = _smaller(sa[::-1], np.concatenate([[0], lcp[1:][::-1]]))
-    after, with_after = np.where(back >= 0, n - 1 - back, -1)[::-1], with_back[::-1]
-    nearer = with_before >= with_after
-    place = np.where(nearer, before, after)
-    out, source = np.empty(n, np.int64), np.empty(n, np.int64)
-    out[sa] = np.where(nearer, with_before, with_after)
-    source[sa] = np.where(place >= 0, sa[place], -1)
-    return out, source
-
-
-def bounded_factors(data: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Positions whose longest previous factor has ``length`` bytes or more, and an earlier match of each.
-
-    As :func:`longest_previous_factors`, but the suffix array holds only suffixes that have ``length`` bytes, in the
-    order of these bytes, and common prefixes count as ``length`` or nothing. ``length`` must be 8 or more.
+    ``starts``: where the strings in ``data`` start; no match goes beyond the end of a string. ``length``: 8 or more.
     """
     n = len(data)
     size = np.diff(np.append(starts, n))
@@ -133,28 +69,41 @@ def bounded_factors(data: np.ndarray, starts: np.ndarray, length: int) -> tuple[
     for k in range(8):
         key |= wide[k : k + n] << np.uint64(56 - 8 * k)
     at, h = np.flatnonzero(left >= 8), 8
-    key = key[at]
+    key, ranks = key[at], []  # ranks: by the first h bytes, of positions that have them
     while True:
         order = np.argsort(key)
         key = key[order]
         place = np.cumsum(np.concatenate([[0], key[1:] != key[:-1]])) if len(key) else np.empty(0, np.int64)
+        rank = np.zeros(n, np.int32)
+        rank[at[order]] = place
+        ranks.append((h, rank))
         if h >= length:
             break
-        rank = np.zeros(n, np.int64)
-        rank[at[order]] = place
         step = min(h, length - h)
         at, h = np.flatnonzero(left >= h + step), h + step
-        key = rank[at] * (n + 1) + rank[at + step]
+        key = rank[at].astype(np.int64) * (n + 1) + rank[at + step]
     sa = at[order]
-    lcp = np.zeros(len(sa), np.int64)
-    lcp[1:] = np.where(place[1:] == place[:-1], length, 0)
+    if not len(sa):
+        return sa, sa.copy(), sa.copy()
+    a, b, same = sa[:-1], sa[1:], np.zeros(max(len(sa) - 1, 0), np.int64)
+    for h, rank in reversed(ranks):
+        fits = np.flatnonzero(same + h <= length)
+        equal = fits[rank[a[fits] + same[fits]] == rank[b[fits] + same[fits]]]
+        same[equal] += h
+    for _ in range(7):
+        more = np.flatnonzero(same < length)
+        more = more[data[a[more] + same[more]] == data[b[more] + same[more]]]
+        same[more] += 1
+    lcp = np.concatenate([[0], same])
     before, with_before = _smaller(sa, lcp)
-    back, with_back = _smaller(sa[::-1], np.concatenate([[0], lcp[1:][::-1]]))
+    back, with_back = _smaller(sa[::-1], np.concatenate([[0], same[::-1]]))
     after, with_after = np.where(back >= 0, len(sa) - 1 - back, -1)[::-1], with_back[::-1]
-    source = np.where(with_before > 0, before, after)
-    found = np.flatnonzero((with_before > 0) | (with_after > 0))
-    by_position = found[np.argsort(sa[found])]
-    return sa[by_position], sa[source[by_position]]
+    nearer = with_before >= with_after
+    place = np.where(nearer, before, after)
+    factor = np.where(nearer, with_before, with_after)
+    source = np.where(place >= 0, sa[place], -1)
+    by_position = np.argsort(sa)
+    return sa[by_position], factor[by_position], source[by_position]
 
 
 # --- anchors --------------------------------------------------------------------------------------------
@@ -162,10 +111,10 @@ def bounded_factors(data: np.ndarray, starts: np.ndarray, length: int) -> tuple[
 
 def anchors(data: np.ndarray, offs: np.ndarray, length: int, gram: int = GRAM) -> tuple[np.ndarray, ...]:
     """Contexts of a slice of texts: text index, k-gram fingerprint, context fingerprint, first and last window
-    start (in the slice)."""
+    start and the anchor's position (in the slice)."""
     n, none = len(data), np.empty(0, np.int64)
     if n < length:
-        return none, none.astype(np.uint64), none.astype(np.uint64), none, none
+        return none, none.astype(np.uint64), none.astype(np.uint64), none, none, none
     prefix = prefix_hash(data)
     at = np.arange(n - gram + 1)
     h = span_hash(prefix, at, at + gram)
@@ -180,31 +129,37 @@ def anchors(data: np.ndarray, offs: np.ndarray, length: int, gram: int = GRAM) -
     text = np.repeat(np.arange(len(offs) - 1), np.diff(offs))[: len(anchor)]
     inside = np.flatnonzero(np.arange(len(anchor)) + length <= offs[1:][text])
     if not len(inside):
-        return none, none.astype(np.uint64), none.astype(np.uint64), none, none
+        return none, none.astype(np.uint64), none.astype(np.uint64), none, none, none
     a = anchor[inside]
     new = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (np.diff(inside) != 1)]))
     first, last = inside[new], inside[np.append(new[1:], len(inside)) - 1]
     a = a[new]
     context = mix(span_hash(prefix, first, last + length) + (a - first).astype(np.uint64))
-    return text[first], h[a], context, first, last
+    return text[first], h[a], context, first, last, a
+
+
+_ANCHORS = "k long, o long, gram long, context long, at int, windows int, pos int"
 
 
 def _cut_anchors(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text", 1 << 20):
-            data, offs = raw(b.column(1))
-            keys = b.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            text, fp, context, first, last = anchors(data, offs, length)
+            data, offs = raw(b.column(2))
+            k, o = (b.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (0, 1))
+            text, fp, context, first, last, anchor = anchors(data, offs, length)
             own = offs[text]
-            cols = [keys[text], fp.view(np.int64), context.view(np.int64), (first - own).astype(np.int32), (last - first + 1).astype(np.int32)]
+            small = [(first - own).astype(np.int32), (last - first + 1).astype(np.int32), (anchor - first).astype(np.int32)]
+            cols = [k[text], o[text], fp.view(np.int64), context.view(np.int64), *small]
             for lo in range(0, len(text), 100_000):
-                yield pa.RecordBatch.from_arrays([pa.array(c[lo : lo + 100_000]) for c in cols], names=["k", "gram", "context", "at", "windows"])
+                yield pa.RecordBatch.from_arrays([pa.array(c[lo : lo + 100_000]) for c in cols], names=[x.split()[0] for x in _ANCHORS.split(", ")])
 
     return run
 
 
 # --- contexts ---------------------------------------------------------------------------------------------
 
+_FIELDS = ("gram", "o", "at", "windows", "pos", "open")
+
 
 def _cut_contexts(length: int):
     """Rows (k, text, list of contexts) -> one row per context with its bytes."""
@@ -222,17 +177,58 @@ def _cut_contexts(length: int):
                     part = own.slice(lo, 5000)
                     bodies = [blob[s : s + n + length - 1] for s, n in zip(at[lo : lo + 5000].tolist(), windows[lo : lo + 5000].tolist())]
                     k = pa.array(np.repeat(b.column(0).to_numpy(zero_copy_only=False), len(bodies)))
-                    yield pa.RecordBatch.from_arrays([k, *[part.field(x) for x in ("gram", "n", "at", "windows")], pa.array(bodies, pa.binary())], names=["k", "gram", "n", "at", "windows", "body"])
+                    yield pa.RecordBatch.from_arrays([k, *[part.field(x) for x in _FIELDS], pa.array(bodies, pa.binary())], names=["k", *_FIELDS, "body"])
 
     return run
 
 
+def _split(length: int):
+    """Contexts of groups that are too large -> at most two shorter ones each, under a core that is larger by half of
+    the bytes that were not in it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, "body", 1 << 20):
+            col = dict(zip(b.schema.names, b.columns))
+            data, offs = raw(col["body"])
+            prefix = prefix_hash(data)
+            at, windows, pos, core = (col[x].to_numpy().astype(np.int64) for x in ("at", "windows", "pos", "core"))
+            gram = col["gram"].to_numpy().view(np.uint64)
+            half = (length - core + 1) // 2
+            cut = np.clip(pos - half + 1, 0, windows)  # windows before this have ``half`` bytes or more before the core
+            for side, lo, hi in ((1, np.zeros_like(cut), cut), (2, cut, windows)):
+                i = np.flatnonzero(hi > lo)
+                if not len(i):
+                    continue
+                first, end = offs[i] + lo[i], offs[i] + hi[i] + length - 1
+                inner = offs[i] + (pos - half if side == 1 else pos)[i]  # the new core starts here
+                grown = (core + (half if side == 1 else length - core - half + 1))[i]
+                group = mix(gram[i] * np.uint64(5) ^ span_hash(prefix, inner, inner + grown) ^ np.uint64(side))
+                context = mix(span_hash(prefix, first, end) + (inner - first).astype(np.uint64))
+                bodies = pa.array([data[x:y].tobytes() for x, y in zip(first.tolist(), end.tolist())], pa.binary())
+                i32 = lambda x: pa.array(x.astype(np.int32))
+                rows = pa.array(i)
+                yield pa.RecordBatch.from_arrays(
+                    [col["k"].take(rows), col["o"].take(rows), pa.array(group.view(np.int64)), pa.array(context.view(np.int64)), i32(at[i] + lo[i]), i32((hi - lo)[i]), i32(inner - first), i32(grown), col["open"].take(rows), bodies],
+                    names=_SPLIT_NAMES,
+                )
+
+    return run
+
+
+_SPLIT = _ANCHORS + ", core int, open boolean, body binary"
+_SPLIT_NAMES = [x.split()[0] for x in _SPLIT.split(", ")]
+
+
 def _factor_block(length: int, keep_first: bool, piece_bytes: int):
-    """Suffix arrays over the contexts of a block, piece by piece; pieces hold whole groups of a k-gram."""
+    """Arrays over the contexts of a block, piece by piece; pieces hold whole groups, at most one that is larger than
+    ``piece_bytes`` or any number that are not."""
 
     def run(table: pa.Table) -> pa.Table:
-        k, gram, at, n = (table.column(c).to_numpy() for c in ("k", "gram", "at", "n"))
-        order = np.lexsort((at, k, gram))
+        k, o, gram, at, open_ = (table.column(c).to_numpy() for c in ("k", "o", "gram", "at", "open"))
+        order = np.lexsort((at, k, o, gram))
+        again = np.zeros(len(order), bool)  # a row of the table that is there twice comes twice
+        again[1:] = np.all([x[order][1:] == x[order][:-1] for x in (gram, k, at)], axis=0)
+        order = order[~again]
         bodies = table.column("body").to_pylist()
         size = np.array([len(bodies[i]) for i in order])
         ends = np.cumsum(size)
@@ -246,11 +242,14 @@ def _factor_block(length: int, keep_first: bool, piece_bytes: int):
             own = order[lo:hi]
             data = np.frombuffer(b"".join([bodies[i] for i in own]), np.uint8)
             starts = ends[lo:hi] - size[lo:hi] - base
-            later, source = bounded_factors(data, starts, length)
-            marks = later if keep_first else np.unique(np.concatenate([later, source]))
+            position, factor, source = longest_previous_factors(data, starts, length)
+            repeated = factor >= length
+            marks = position[repeated]
+            if not keep_first:  # an earlier match is repeated too
+                marks = np.unique(np.concatenate([marks, source[repeated]]))
             row = np.searchsorted(starts, marks, "right") - 1
-            single = n[own[row]] == 1 if not keep_first else np.ones(len(row), bool)  # contexts that occur again are marked already
-            marks, row = marks[single], row[single]
+            todo = open_[own[row]].astype(bool)
+            marks, row = marks[todo], row[todo]
             if len(marks):
                 new = np.concatenate([[True], (np.diff(marks) != 1) | (np.diff(row) != 0)])
                 a, z = marks[new], marks[np.append(np.flatnonzero(new)[1:], len(marks)) - 1]
@@ -263,75 +262,60 @@ def _factor_block(length: int, keep_first: bool, piece_bytes: int):
     return run
 
 
-def _window_prints(length: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "body", 1 << 20):
-            data, offs = raw(b.column(1))
-            prefix = prefix_hash(data)
-            other = prefix_hash(data[::-1])
-            windows = np.maximum(np.diff(offs) - length + 1, 0)
-            row = np.repeat(np.arange(b.num_rows), windows)
-            s = np.arange(len(row)) - np.repeat(np.cumsum(windows) - windows, windows) + offs[:-1][row]
-            h1 = span_hash(prefix, s, s + length).view(np.int64)
-            h2 = span_hash(other, len(data) - s - length, len(data) - s).view(np.int64)
-            at = b.column(2).to_numpy()[row] + s - offs[:-1][row]
-            cols = [b.column(0).to_numpy()[row], at.astype(np.int32), h1, h2, b.column(3).to_numpy()[row]]
-            for lo in range(0, len(row), 100_000):
-                yield pa.RecordBatch.from_arrays([pa.array(c[lo : lo + 100_000]) for c in cols], names=["k", "at", "h1", "h2", "n"])
-
-    return run
+# --- the operator ---------------------------------------------------------------------------------------
 
 
-# --- the operator ---------------------------------------------------------------------------------------
+def _merged(found: DataFrame, length: int, keep_first: bool, level: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Of the occurrences of contexts ``found``: the spans of contexts that occur again (but of the first occurrence, if
+    that is to stay), the different contexts with the first occurrence of each, and the groups in which
+    different contexts have to be compared (gram, contexts)."""
+    first = F.min(F.struct(*[c for c in ("o", "k", "at", "windows", "pos", "core", "body") if c in found.columns])).alias("first")
+    contexts = materialize(found.groupBy("gram", "context").agg(F.count(F.lit(1)).alias("n"), first, F.max("open").alias("any_open")), f"contexts{level}")
+    again = contexts.where("n > 1 AND any_open").select("gram", "context", "n", F.col("first.o").alias("o1"), F.col("first.k").alias("k1"), F.col("first.at").alias("at1"))
+    whole = join_hot(found.where("open").select("gram", "context", "o", "k", "at", "windows"), again, ["gram", "context"], "n")
+    if keep_first:
+        whole = whole.where("NOT (o <=> o1 AND k = k1 AND at = at1)")
+    whole = whole.select("k", F.col("at").alias("lo"), (F.col("at") + F.col("windows") + (length - 1)).alias("hi"))
+    contexts = contexts.select("gram", "first.*", (F.col("any_open") & (F.lit(keep_first) | (F.col("n") == 1))).alias("open"))
+    groups = contexts.groupBy("gram").agg(F.count(F.lit(1)).alias("contexts"), F.max("open").alias("todo")).where("contexts > 1 AND todo")
+    return whole, contexts, materialize(groups.drop("todo"), f"groups{level}")
 
 
-def repeated_spans(
-    texts: DataFrame, *, length: int = 200, keep_first: bool = False, group_most: int = 1000, block_bytes: int = 8 << 20, piece_bytes: int = 1 << 20
-) -> DataFrame:
-    """``k, lo, hi``: byte ranges to remove from the texts with key ``k`` (columns ``k`` long, ``text``).
+def repeated_spans(texts: DataFrame, *, length: int = 200, keep_first: bool = False, block_bytes: int = 8 << 20, piece_bytes: int = 1 << 20) -> DataFrame:
+    """``k, lo, hi``: byte ranges to remove from the texts (columns ``k`` long, ``o`` long, ``text``).
 
-    Ranges may overlap. Rows with equal keys must have equal texts. With ``keep_first`` the occurrence with the
-    smallest (k, position) stays. ``group_most``, ``block_bytes`` and ``piece_bytes`` bound a task's memory and do
-    not change the result.
+    Ranges may overlap. Rows with equal keys ``k`` must have equal texts. With ``keep_first`` the occurrence with the
+    smallest (o, k, position) stays. ``block_bytes`` and ``piece_bytes`` bound a task's memory and do not change the
+    result: a group of contexts that may exceed a piece is split.
     """
-    every = map_arrow(texts.select("k", "text"), _cut_anchors(length), "k long, gram long, context long, at int, windows int")
+    if length < GRAM:
+        raise ValueError(f"length must be {GRAM} or more")
+    every = map_arrow(texts.select("k", "o", "text"), _cut_anchors(length), _ANCHORS)
     # most k-grams occur once; cutting anchors again costs less than keeping those of the whole corpus
-    # (tables of counts are written before they are joined: a join of two exchanges can be split where a key is hot)
-    often = materialize(every.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram"), "often")
-    found = materialize(every.join(often, "gram", "left_semi"), "anchors")
-    contexts = found.groupBy("gram", "context").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("k", "at", "windows")).alias("first"))
-    contexts = materialize(contexts, "contexts")
-    again = contexts.where("n > 1").select("gram", "context", "first")
-    # contexts that occur again: all their windows (but the first one's, if that is to stay)
-    whole = found.join(again, ["gram", "context"])
-    if keep_first:
-        whole = whole.where((F.col("k") != F.col("first.k")) | (F.col("at") != F.col("first.at")))
-    whole = whole.select("k", F.col("at").alias("lo"), (F.col("at") + F.col("windows") + (length - 1)).alias("hi"))
-
-    # of a k-gram, contexts are compared if there are several, and some that the count has not settled
-    grams = contexts.groupBy("gram").agg(F.count(F.lit(1)).alias("contexts"), F.min("n").alias("least")).where("contexts > 1")
-    grams = materialize((grams if keep_first else grams.where("least = 1")).drop("least"), "grams")
-    wanted = contexts.join(grams, "gram").select("gram", "n", "contexts", "first.*")
-    by_text = wanted.groupBy("k").agg(F.collect_list(F.struct("gram", "n", "at", "windows", "contexts")).alias("own"))
-    cut = map_arrow(texts.join(by_text, "k").select("k", "text", "own"), _cut_contexts(length), "k long, gram long, n long, at int, windows int, body binary")
-    hot = grams.where(F.col("contexts") > group_most).select("gram")
-    cut = materialize(cut, "bodies")
-    n_hot = hot.count()
-    small = cut.join(F.broadcast(hot) if n_hot <= 500_000 else hot, "gram", "left_anti") if n_hot else cut
-    total = small.agg(F.sum(F.octet_length("body"))).first()[0] or 0
-    blocks = max(1, -(-total // block_bytes))
-    block = F.pmod(F.xxhash64("gram"), F.lit(blocks)).alias("block")
-    factors = small.select(block, "k", "gram", "n", "at", "body").groupBy("block").applyInArrow(_factor_block(length, keep_first, piece_bytes), "k long, lo int, hi int")
-    spans = whole.unionByName(factors)
-    if n_hot:
-        large = cut.join(F.broadcast(hot) if n_hot <= 500_000 else hot, "gram", "left_semi")
-        prints = materialize(map_arrow(large.select("k", "body", "at", "n"), _window_prints(length), "k long, at int, h1 long, h2 long, n long"), "prints")
-        twice = prints.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("k", "at")).alias("first")).where("times > 1")
-        twice = materialize(twice, "twice")
-        marked = prints.join(twice, ["h1", "h2"])
-        marked = marked.where((F.col("k") != F.col("first.k")) | (F.col("at") != F.col("first.at"))) if keep_first else marked.where("n = 1")
-        spans = spans.unionByName(marked.select("k", F.col("at").alias("lo"), (F.col("at") + length).alias("hi")))
-    return spans
+    often = materialize(every.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "often")
+    found = materialize(every.join(often.select("gram"), "gram", "left_semi"), "anchors").withColumn("open", F.lit(True))
+    most = max(2, piece_bytes // (2 * length))  # contexts of a group that surely fit a piece
+    spans, contexts, groups = _merged(found, length, keep_first, 0)
+    wanted = join_hot(contexts, groups, ["gram"], "contexts")
+    by_text = wanted.groupBy("k").agg(F.collect_list(F.struct(*_FIELDS, "contexts")).alias("own"))
+    schema = "k long, gram long, o long, at int, windows int, pos int, open boolean, body binary"
+    bodies = map_arrow(texts.join(by_text, "k").select("k", "text", "own"), _cut_contexts(length), schema).withColumn("core", F.lit(GRAM))
+    for level in range(1, 2 + length.bit_length()):
+        bodies = materialize(bodies, f"bodies{level}")
+        large = groups.where(F.col("contexts") > most)
+        n_large = large.count()
+        small = bodies.join(maybe_broadcast(large.select("gram"), n_large), "gram", "left_anti") if n_large else bodies
+        total = small.agg(F.sum(F.octet_length("body"))).first()[0] or 0
+        block = F.pmod(F.xxhash64("gram"), F.lit(max(1, -(-total // block_bytes)))).alias("block")
+        blocks = small.select(block, "k", "o", "gram", "at", "open", "body").groupBy("block")
+        spans = spans.unionByName(blocks.applyInArrow(_factor_block(length, keep_first, piece_bytes), "k long, lo int, hi int"))
+        if not n_large:
+            return spans
+        parts = map_arrow(join_hot(bodies, large, ["gram"], "contexts").select(*[x for x in _SPLIT_NAMES if x != "context"]), _split(length), _SPLIT)
+        whole, contexts, groups = _merged(materialize(parts, f"parts{level}"), length, keep_first, level)
+        spans = spans.unionByName(whole)
+        bodies = join_hot(contexts, groups, ["gram"], "contexts").select(*bodies.columns)
+    raise AssertionError("a core of full length leaves no different contexts")
 
 
 def merge(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -344,6 +328,11 @@ def merge(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return lo[new], reach[np.append(np.flatnonzero(new)[1:], len(lo)) - 1]
 
 
+def _reserved(columns: list[str]) -> str:
+    """A field name that no column has (a struct may not be empty)."""
+    return "_" * (1 + max(map(len, columns), default=0))
+
+
 _SPANS = "array<struct<start: int, end: int>>"
 
 
@@ -351,15 +340,20 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """``df`` with ``kept_bytes`` (binary: the UTF-8 bytes that stay) and ``removed`` (maximal runs, start and end).
 
     Each byte goes that a string of ``length`` bytes covers which starts anywhere else too, in the same text or
-    another (``keep_first``: which also starts earlier). Texts are compared as UTF-8 bytes; a match never crosses
-    texts; null counts as empty. Rows that repeat id and text are copies of each other; columns with the
-    names of the results are replaced. An empty table gives an empty result.
+    another. With ``keep_first`` each goes that is covered by a string which also starts earlier, by (id, position): the
+    id must be a number then; null comes last, rows that repeat an id are in an order by a hash of their text. Texts are
+    compared as UTF-8 bytes; a match never crosses texts; null counts as empty. Rows that repeat id and text are judged
+    as one text that has itself as a copy, and give equal results (with ``keep_first`` the copy is not seen as one:
+    they are one row written twice). Columns with the names of the results are replaced. An empty table gives an empty
+    result.
     """
     made = ["kept_bytes", "removed"]
     others = [c for c in df.columns if c not in made]
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = df.select(F.xxhash64(F.col(id_col), text).alias("k"), text.alias("text"), F.struct(*[F.col(c) for c in others if c != text_col], F.col(text_col).isNull().alias("__null")).alias("row"))
-    spans = repeated_spans(rows.select("k", "text"), **options)
+    text = F.col(text_col)
+    key = F.xxhash64(F.col(id_col), F.coalesce(text, F.lit("")))
+    place = F.coalesce(F.col(id_col).cast("long"), F.lit(2**63 - 1)) if options.get("keep_first") else F.lit(0).cast("long")
+    rows = df.select(key.alias("k"), place.alias("o"), text.alias("text"), F.struct(F.lit(0).alias(_reserved(others)), *[F.col(c) for c in others if c != text_col]).alias("row"))
+    spans = repeated_spans(rows.select("k", "o", F.coalesce("text", F.lit("")).alias("text")), **options)
     per_text = spans.groupBy("k").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -385,5 +379,4 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     joined = rows.join(per_text, "k", "left").select("row", "text", "spans")
     out = map_arrow(joined, run, f"row {rows.schema['row'].dataType.simpleString()}, text string, kept_bytes binary, removed {_SPANS}")
-    back = {text_col: F.when(~F.col("row.__null"), F.col("text"))}
-    return out.select(*[back.get(c, F.col("row").getField(c)).alias(c) for c in others], *made)
+    return out.select(*[(F.col("text") if c == text_col else F.col("row").getField(c)).alias(c) for c in others], *made)
