@@ -86,11 +86,11 @@ def join_hot(left: DataFrame, right: DataFrame, on: list[str], count_col: str) -
     Keys with over ``HOT_SHARE`` of the rows are joined by broadcast: there are at most 1 / HOT_SHARE of them at any
     size. In the join of the others no key has more than that share, so no task is hot. Keys are not null.
     """
-    total = right.agg(F.sum(count_col)).first()[0] or 0
-    is_hot = F.col(count_col) > max(total * HOT_SHARE, 1)
-    hot, rest = right.where(is_hot), right.where(~is_hot)
-    if not hot.limit(1).count():
+    total, most = right.agg(F.sum(count_col), F.max(count_col)).first()
+    limit = max((total or 0) * HOT_SHARE, 1)
+    if (most or 0) <= limit:
         return left.join(right, on)
+    hot, rest = right.where(F.col(count_col) > limit), right.where(F.col(count_col) <= limit)
     with_hot = left.join(F.broadcast(hot), on)
     return with_hot.unionByName(left.join(F.broadcast(hot.select(*on)), on, "left_anti").join(rest, on))
 

@@ -6,17 +6,22 @@ class. Then:
 1. *Screen.* Two sets that link differ, on either side, in at most a fifth of their n-grams (at 0.8). Every
    set posts its n-grams below a universal hash threshold; one that shares with other sets fewer of the
    posted n-grams than ``posted - n / 5`` can link to nothing and is settled. Postings travel as packed arrays,
-   partitioned by n-gram; n-grams that are frequent within a slice of the input are counted there and posted
-   once, so no n-gram brings a growing group to one task. The documents' own records travel in the same groups,
-   spread by id and task, so that copies of one text do not meet in one group.
-2. *Global order.* For the sets that remain, document frequencies are counted and n-grams ordered from rare
-   to frequent. Linked sets share an n-gram within their prefixes in this order; components over shared
-   prefix n-grams are the blocks.
-3. *Prefix trees.* The sets of a block are stored in a trie (most frequent n-gram first); a walk carries
-   the overlaps of all queries with the path so far and leaves a subtree when, with the n-grams that
-   remain, no query can reach the threshold with any set in it. Blocks over a size are cut into chunks,
-   and every pair of chunks is one task, so that no block is gathered whole.
-4. Links give components by large-star and small-star steps (only for blocks that were cut; in others the
+   partitioned by n-gram. Each task combines them first: it posts equal sets once, and an n-gram that it has met in
+   many sets once more, as shared, and never again. So a common n-gram or a large group of copies brings a few
+   records of each task to one task, not one of each document. The documents' own records travel in the same groups,
+   spread by id and task.
+2. *Global order.* For the sets that remain, document frequencies are counted, and n-grams are ordered by the power
+   of two of their frequency, then by fingerprint: rare ones first. Linked sets share an n-gram within their prefixes
+   in this order; components over shared prefix n-grams are the blocks.
+3. *Prefix trees.* The sets of a block are stored in a trie in the global order (frequent n-grams at the root); a walk
+   carries the overlaps of all queries with the path so far and leaves a subtree when, with the n-grams that
+   remain, no query can reach the threshold with any set in it.
+4. *Large blocks* are dealt out to chunks, one task each, and a few sets of the block go to all its chunks. The links
+   within chunks and to these sets join most near copies of a block. What is left to compare are pairs with a member
+   that is not in the largest component of its block: these light members meet, for each prefix n-gram that they
+   have, the sets of the block with that n-gram. So a block of near copies costs rows in proportion to its sets. Only where
+   very many light members share one prefix n-gram with very many sets do copies grow, by the number of chunks.
+5. Links give components by large-star and small-star steps (only where blocks were cut; in others the
    task that holds the block has settled them).
 """
 
@@ -30,11 +35,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracepairs.llm.common import map_arrow, materialize, maybe_broadcast, mix, partitions, prefix_hash, raw, slices, span_hash
+from tracepairs.llm.common import join_hot, map_arrow, materialize, maybe_broadcast, mix, partitions, prefix_hash, raw, slices, span_hash
 from tracepairs.llm.components import connected_components
 
 SLICE_BYTES = 2 << 20
-LOCAL_HOT = 8
+#: Sets of a slice, and of a task, that share an n-gram before it counts as shared by many.
+LOCAL_HOT, TASK_HOT = 8, 16
+_COUNTERS, _REMEMBERED = 1 << 22, 1 << 20
 _DOC = np.dtype([("id", "<i8"), ("d1", "<u8"), ("d2", "<u8"), ("n", "<i4"), ("posted", "<i4"), ("hot", "<i4")])
 
 
@@ -115,35 +122,55 @@ def _ids(batch: pa.RecordBatch) -> np.ndarray:
 # --- 1: the screen ---------------------------------------------------------------------------------
 
 
+def _in(known: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Which of ``x`` are in the sorted ``known``."""
+    if not len(known):
+        return np.zeros(len(x), bool)
+    return known[np.minimum(np.searchsorted(known, x), len(known) - 1)] == x
+
+
+def _add(known: np.ndarray, new: np.ndarray) -> np.ndarray:
+    """Sorted union; starts anew when it would be large, which only repeats records."""
+    return np.union1d(known, new) if len(known) < _REMEMBERED else np.unique(new)
+
+
 def _post(width: int, share: float, parts: int):
-    limit = np.uint64(int(share * (1 << 63)) * 2)
+    limit = np.uint64(min(int(share * (1 << 63)) * 2, (1 << 64) - 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = mix(np.array([TaskContext.get().partitionId()], np.uint64))
+        # what this task has met: sets by n-gram (n-grams that share a counter count too high, which only opens more sets),
+        # posted sets, and n-grams posted as shared
+        met, posted_sets, told = np.zeros(_COUNTERS, np.uint32), np.empty(0, np.uint64), np.empty(0, np.uint64)
         for b in slices(batches, "text", SLICE_BYTES):
             ids = _ids(b)
             d, h, n = shingle_sets(*raw(b.column(1)), width)
             d1, d2 = set_digests(d, h, n)
-            low = h < limit
+            low = h <= limit
             d, h = d[low], h[low]
             posted = np.bincount(d, minlength=len(ids))
-            # equal sets of this slice are posted once
+            # equal sets are posted once by a task
             _, once = np.unique(d1, return_index=True)
             is_first = np.zeros(len(ids), bool)
             is_first[once] = True
+            is_first &= ~_in(posted_sets, d1)
+            posted_sets = _add(posted_sets, d1[is_first])
             keep = is_first[d]
             d, h = d[keep], h[keep]
-            # n-grams that many sets of this slice have are known to be shared: posted once, counted here
+            # n-grams that many sets have are known to be shared: posted once, counted here
             order = np.argsort(h, kind="stable")
             d, h = d[order], h[order]
             begin = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.empty(0, np.int64)
             count = np.diff(np.append(begin, len(h)))
-            often = np.repeat(count >= LOCAL_HOT, count)
+            slot = (h[begin] >> np.uint64(16)).astype(np.int64) % _COUNTERS
+            np.add.at(met, slot, count.astype(np.uint32))
+            many = (count >= LOCAL_HOT) | (met[slot] >= TASK_HOT)
+            often = np.repeat(many, count)
             hot = np.bincount(d[often], minlength=len(ids))
-            if len(d1):
-                hot = hot[once][np.searchsorted(d1[once], d1)]
             keep = ~often
-            keep[begin] = True
+            new = many & ~_in(told, h[begin])
+            keep[begin[new]] = True
+            told = _add(told, h[begin[new]])
             d, h, flag = d[keep], h[keep], often[keep]
             docs = np.zeros(len(ids), _DOC)
             docs["id"], docs["d1"], docs["d2"], docs["n"], docs["posted"], docs["hot"] = ids, d1, d2, n, posted, hot
@@ -228,7 +255,8 @@ def _full_sets(width: int):
 def trie_join(sets: list[np.ndarray], sizes: np.ndarray, num: int, den: int) -> np.ndarray:
     """Smallest index linked (directly or over others) with each set; Jaccard >= num / den, exactly.
 
-    ``sets`` may leave out n-grams that no other set of the list has; ``sizes`` are the whole sizes.
+    ``sets`` are numbers in the global order, rare ones low, and may leave out n-grams that no other set of the list
+    has; ``sizes`` are the whole sizes.
     """
     m = len(sets)
     parent = np.arange(m)
@@ -242,13 +270,10 @@ def trie_join(sets: list[np.ndarray], sizes: np.ndarray, num: int, den: int) ->
     if m < 2:
         return parent
     owner = np.repeat(np.arange(m), [len(s) for s in sets])
-    flat = np.concatenate(sets)
-    _, rank, df = np.unique(flat, return_inverse=True, return_counts=True)
-    place = np.empty(len(df), np.int64)
-    place[np.argsort(-df, kind="stable")] = np.arange(len(df))  # frequent first
-    rank = place[rank]
+    _, rank, df = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    rank, df = len(df) - 1 - rank, df[::-1]  # frequent ones first
     order = np.lexsort((owner, rank))
-    post, post_at = owner[order], np.concatenate([[0], np.cumsum(df[np.argsort(-df, kind="stable")])])
+    post, post_at = owner[order], np.concatenate([[0], np.cumsum(df)])
     cuts = np.cumsum([len(s) for s in sets])[:-1]
     paths = [np.sort(x) for x in np.split(rank, cuts)]
     by_path = sorted(range(m), key=lambda i: paths[i].astype(">i4").tobytes())
@@ -293,14 +318,12 @@ def trie_join(sets: list[np.ndarray], sizes: np.ndarray, num: int, den: int) ->
 
 def _join_block(num: int, den: int):
     def run(table: pa.Table) -> pa.Table:
-        ids = table.column("id").to_numpy().astype(np.int64)
-        sizes = table.column("n").to_numpy().astype(np.int64)
-        by_id = np.argsort(ids, kind="stable")
-        grams = [np.frombuffer(x, "<i8") for x in table.column("shared_grams").to_pylist()]
-        least = trie_join([grams[i] for i in by_id], sizes[by_id], num, den)
-        ids = ids[by_id]
-        moved = least != np.arange(len(ids))
-        return pa.table([pa.array(ids[moved]), pa.array(ids[least[moved]])], names=["a", "b"])
+        nodes, once = np.unique(table.column("node").to_numpy(), return_index=True)
+        sizes = table.column("n").to_numpy()[once]
+        packed = table.column("keys").to_pylist()
+        least = trie_join([np.frombuffer(packed[i], "<i8") for i in once], sizes, num, den)
+        moved = least != np.arange(len(nodes))
+        return pa.table([pa.array(nodes[moved]), pa.array(nodes[least[moved]])], names=["a", "b"])
 
     return run
 
@@ -311,12 +334,36 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flat, offs = lists.flatten().to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
         offs = offs - offs[0]
         packed = [flat[lo:hi].astype("<i8").tobytes() for lo, hi in zip(offs[:-1], offs[1:])]
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(packed, pa.binary())], names=["id", "n", "shared_grams"])
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(packed, pa.binary())], names=["node", "n", "keys"])
 
 
 # --- the operator ------------------------------------------------------------------------------------
 
 
+def _link_large(members: DataFrame, ordered: DataFrame, packed: DataFrame, links: DataFrame, join, chunk_sets: int, chunk_grams: int) -> DataFrame:
+    """The links of blocks that were cut (``members``: node, component, m) which ``links`` may lack: of pairs with a member
+    outside the largest component of its block."""
+    labels = connected_components(links).withColumnRenamed("component", "label")
+    members = materialize(members.join(labels, "node", "left").select("node", "component", "m", F.coalesce("label", "node").alias("label")), "members")
+    sizes = members.groupBy("component", "label").agg(F.count(F.lit(1)).alias("size"), F.first("m").alias("m"))
+    largest = materialize(sizes.groupBy("component").agg(F.max_by("label", F.struct("size", "label")).alias("largest"), F.first("m").alias("m")), "largest")
+    tagged = join_hot(members.drop("m"), largest, ["component"], "m").select("node", "component", (F.col("label") != F.col("largest")).alias("light"))
+    postings = ordered.where("in_prefix > 0").join(tagged, "node")
+    postings = postings.select("component", "node", "light", F.size("keys").alias("g"), F.explode(F.slice("keys", 1, F.col("in_prefix"))).alias("key"))
+    postings = materialize(postings, "prefixes")
+    groups = postings.groupBy("component", "key").agg(F.count(F.lit(1)).alias("m"), F.sum("g").alias("g"), F.count_if("light").alias("r"), F.sum(F.when(F.col("light"), F.col("g"))).alias("rg"))
+    groups = materialize(groups.where("r > 0 AND m > 1"), "light")
+    whole, light = (F.greatest(F.lit(1), F.ceil(F.col(x) / chunk_sets), F.ceil(F.col(y) / chunk_grams)).cast("int") for x, y in (("m", "g"), ("r", "rg")))
+    placed = join_hot(postings.drop("g"), groups.withColumns({"whole": whole, "parts": light}), ["component", "key"], "m")
+    i, j = (F.pmod(F.xxhash64(F.lit(seed), "node"), F.col(x)).cast("int") for seed, x in ((1, "whole"), (2, "parts")))
+    mine = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda x: F.struct(i.alias("i"), x.alias("j")))
+    all_ = F.transform(F.sequence(F.lit(0), F.col("whole") - 1), lambda x: F.struct(x.alias("i"), j.alias("j")))
+    both = F.array_distinct(F.concat(mine, F.when(F.col("light"), all_).otherwise(F.array().cast("array<struct<i:int,j:int>>"))))
+    placed = placed.select("component", "key", "node", F.explode(both).alias("t"))
+    tasks = placed.join(packed, "node").groupBy("component", "key", "t").applyInArrow(join, "a long, b long")
+    return materialize(tasks, "links")
+
+
 def ngram_jaccard_components(
     df: DataFrame,
     id_col: str = "doc_id",
@@ -327,14 +374,16 @@ def ngram_jaccard_components(
     posted_share: float = 0.5,
     chunk_sets: int = 2048,
     chunk_grams: int = 2_000_000,
+    shared_sets: int = 128,
 ) -> DataFrame:
     """``id_col, n_shingles, component_id``: one row per input row.
 
     Two documents link when ``den * |A & B| >= num * |A | B|``. ``component_id`` is the smallest id reachable
     by links, itself included. Null texts and texts without words have no n-grams and link with nothing;
     rows with a null id get a null component and take no part. Rows that repeat an id are judged each by
-    its own text. ``posted_share`` trades the volume of the screen for its sharpness, ``chunk_*`` bound the
-    memory of a trie task; none of them changes the result. An empty table gives an empty result.
+    its own text. Ids are whole numbers of 64 bits. ``posted_share`` (0 to 1) trades the volume of the screen for its
+    sharpness, ``chunk_*`` bound the memory of a trie task, ``shared_sets`` of a large block go to all its tasks; none of
+    them changes the result. An empty table gives an empty result.
     """
     spark = df.sparkSession
     num, den = threshold
@@ -347,47 +396,55 @@ def ngram_jaccard_components(
     docs = screen.where("id is not null").drop("shared")
     shared = screen.where("id is null").groupBy("d1").agg(F.sum("shared").alias("shared"))
     classes = docs.where("n > 0").groupBy("d1", "d2").agg(
-        F.min("id").alias("rep"), F.min("n").alias("n"), F.min("posted").alias("posted"), F.max("hot").alias("hot")
+        F.min("id").alias("rep"), F.min("n").alias("n"), F.min("posted").alias("posted"), F.max("hot").alias("hot"), F.count(F.lit(1)).alias("copies")
     )
     slack = F.floor(F.col("n") * (den - num) / den)
-    open_ = classes.join(shared, "d1", "left").where(F.coalesce("shared", F.lit(0)) + F.col("hot") >= F.col("posted") - slack)
-    open_ = materialize(open_.select("rep", "d1", "d2", "n"), "open")
+    may_link = F.coalesce("shared", F.lit(0)) + F.col("hot") >= F.col("posted") - slack
+    classes = materialize(classes.join(shared, "d1", "left").select("rep", "d1", "d2", "n", "copies", may_link.alias("open")), "classes")
+    open_ = materialize(classes.where("open").select("rep", "d1", "d2", "n", F.monotonically_increasing_id().alias("node")), "open")
     n_open = open_.count()
 
     wanted = maybe_broadcast(open_.select(F.col("rep").alias("id")).distinct(), n_open)
     sets = map_arrow(known.join(wanted, "id", "left_semi"), _full_sets(width), "id long, d1 long, d2 long, grams array<long>")
-    sets = sets.join(maybe_broadcast(open_.select(F.col("rep").alias("id"), "d1", "d2"), n_open), ["id", "d1", "d2"], "left_semi")
-    sets = materialize(sets.dropDuplicates(["id", "d1", "d2"]).select("id", "grams"), "sets")
-
-    postings = sets.select("id", F.explode("grams").alias("gram"))
-    often = postings.groupBy("gram").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    ordered = postings.join(often, "gram").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("df", "gram"))).alias("o"))
-    n, slack = F.col("n"), F.floor(F.col("n") * (den - num) / den)
-    ordered = ordered.join(open_.select(F.col("rep").alias("id"), "n"), "id").where(F.size("o") >= n - slack)
-    in_prefix = F.greatest(F.lit(0), slack + 1 - (n - F.size("o"))).cast("int")
-    ordered = materialize(ordered.select("id", "n", F.col("o.gram").alias("grams"), in_prefix.alias("in_prefix")), "ordered")
-
-    prefixes = ordered.where("in_prefix > 0").select("id", F.explode(F.slice("grams", 1, F.col("in_prefix"))).alias("gram"))
-    pivots = prefixes.groupBy("gram").agg(F.min("id").alias("pivot"), F.count(F.lit(1)).alias("members")).where("members > 1")
-    edges = prefixes.join(pivots, "gram").where("id != pivot").select(F.col("id").alias("a"), F.col("pivot").alias("b")).distinct()
+    sets = sets.join(maybe_broadcast(open_.select(F.col("rep").alias("id"), "d1", "d2", "n", "node"), n_open), ["id", "d1", "d2"])
+    sets = materialize(sets.dropDuplicates(["node"]).select("node", "n", "grams"), "sets")
+
+    postings = sets.select("node", "n", F.explode("grams").alias("gram"))
+    often = materialize(postings.groupBy("gram").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "often")
+    # the global order as one number: the power of two of the frequency, then 58 bits of the fingerprint
+    key = F.shiftleft(F.floor(F.log2("df")).cast("long"), 58).bitwiseOR(F.shiftrightunsigned("gram", 6))
+    ordered = join_hot(postings, often, ["gram"], "df").groupBy("node", "n").agg(F.array_sort(F.collect_list(key)).alias("keys"))
+    ordered = ordered.where(F.size("keys") >= F.col("n") - slack)
+    in_prefix = F.greatest(F.lit(0), slack + 1 - (F.col("n") - F.size("keys"))).cast("int")
+    ordered = materialize(ordered.withColumn("in_prefix", in_prefix), "ordered")
+
+    prefixes = ordered.where("in_prefix > 0").select("node", F.explode(F.slice("keys", 1, F.col("in_prefix"))).alias("key"))
+    pivots = materialize(prefixes.groupBy("key").agg(F.min("node").alias("pivot"), F.count(F.lit(1)).alias("members")).where("members > 1"), "pivots")
+    edges = join_hot(prefixes, pivots, ["key"], "members").where("node != pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b"))
     blocks = materialize(connected_components(edges), "blocks")
 
-    weight = blocks.join(ordered.select(F.col("id").alias("node"), F.size("grams").alias("g")), "node").groupBy("component").agg(F.count(F.lit(1)).alias("m"), F.sum("g").alias("g"))
+    weight = blocks.join(ordered.select("node", F.size("keys").alias("g")), "node").groupBy("component").agg(F.count(F.lit(1)).alias("m"), F.sum("g").alias("g"))
     chunks = F.greatest(F.ceil(F.col("m") / chunk_sets), F.ceil(F.col("g") / chunk_grams)).cast("int")
-    placed = blocks.join(weight.select("component", F.when(chunks > 1, chunks * 2).otherwise(1).alias("chunks")), "component")
-    mine = F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")
-    placed = placed.select("component", "chunks", F.col("node").alias("id"), mine.alias("mine"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other"))
-    placed = placed.select("component", "chunks", "id", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
-    packed = map_arrow(ordered.select("id", "n", "grams"), _pack, "id long, n int, shared_grams binary")
-    tasks = placed.join(packed, "id").groupBy("component", "i", "j")
-    links = materialize(tasks.applyInArrow(_join_block(num, den), "a long, b long"), "links")
-    cut = placed.where("chunks > 1").limit(1).count() > 0
-    labels = connected_components(links) if cut else links.select(F.col("a").alias("node"), F.col("b").alias("component"))
-
-    of_class = open_.join(labels, F.col("rep") == F.col("node")).select("d1", "d2", "component")
-    all_reps = classes.select("d1", "d2", "rep").join(of_class, ["d1", "d2"], "left").select("d1", "d2", F.coalesce("component", "rep").alias("class_component"))
-    with_set = docs.where("n > 0").join(all_reps, ["d1", "d2"])
-    result = with_set.select("id", "n", F.col("class_component").alias("c")).unionByName(docs.where("n = 0").select("id", "n", F.col("id").alias("c")))
+    placed = materialize(join_hot(blocks, materialize(weight.select("component", "m", chunks.alias("chunks")), "weight"), ["component"], "m"), "placed")
+    to_all = (F.col("chunks") > 1) & (F.pmod(F.xxhash64(F.lit(3), "node"), F.col("m")) < shared_sets)
+    home = F.array(F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
+    dealt = placed.select("component", "node", F.explode(F.when(to_all, F.sequence(F.lit(0), F.col("chunks") - 1)).otherwise(home)).alias("chunk"))
+    packed = map_arrow(ordered.select("node", "n", "keys"), _pack, "node long, n int, keys binary")
+    links = materialize(dealt.join(packed, "node").groupBy("component", "chunk").applyInArrow(_join_block(num, den), "a long, b long"), "links")
+    large = placed.where("chunks > 1")
+    if large.limit(1).count():
+        links = links.unionByName(_link_large(large.select("node", "component", "m"), ordered, packed, links, _join_block(num, den), chunk_sets, chunk_grams))
+        labels = connected_components(links)
+    else:
+        labels = links.select(F.col("a").alias("node"), F.col("b").alias("component"))
+        labels = labels.unionByName(labels.select(F.col("component").alias("node"), "component").distinct())
+
+    linked = materialize(open_.join(labels, "node").select("d1", "d2", "rep", "component"), "linked")
+    least = materialize(linked.groupBy("component").agg(F.min("rep").alias("least"), F.count(F.lit(1)).alias("size")), "least")
+    of_class = join_hot(linked, least, ["component"], "size").select("d1", "d2", "least")
+    labelled = classes.join(of_class, ["d1", "d2"], "left").select("d1", "d2", "copies", F.coalesce("least", "rep").alias("c"))
+    with_set = join_hot(docs.where("n > 0").select("id", "n", "d1", "d2"), materialize(labelled, "labelled"), ["d1", "d2"], "copies")
+    result = with_set.select("id", "n", "c").unionByName(docs.where("n = 0").select("id", "n", F.col("id").alias("c")))
     nulls = map_arrow(narrow.where("id is null"), _full_sets_null(width), "n int").select(F.lit(None).cast("long").alias("id"), "n", F.lit(None).cast("long").alias("c"))
     result = result.unionByName(nulls)
     return result.select(F.col("id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), F.col("c").alias("component_id"))
@@ -403,7 +460,9 @@ def _full_sets_null(width: int):
 
 
 def drop_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``df`` whose id is the smallest of its component (rows with a null id stay)."""
-    gone = ngram_jaccard_components(df, id_col, text_col, **options).where(F.col("component_id") != F.col(id_col))
-    gone = materialize(gone.select(F.col(id_col).alias("__gone")).distinct(), "gone")
+    """The rows of ``df`` whose id is the smallest of its component. Rows with a null id stay, and all rows of an id of
+    which some row is the smallest of its component."""
+    found = ngram_jaccard_components(df, id_col, text_col, **options).where(F.col(id_col).isNotNull())
+    gone = found.groupBy(F.col(id_col).alias("__gone")).agg(F.every(F.col("component_id") != F.col(id_col)).alias("__all")).where("__all")
+    gone = materialize(gone.select("__gone"), "gone")
     return df.join(maybe_broadcast(gone, gone.count()), F.col(id_col) == F.col("__gone"), "left_anti")
