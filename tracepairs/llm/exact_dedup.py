@@ -1,25 +1,27 @@
 """Exact deduplication by two-pass Bloom filtering, in DataFrame functions only.
 
-Pass one sets, for every row, two cells of a bit space (two halves of a 64-bit hash of the normalised
-text) and keeps the cells that more than one row set: counting is map-side combined, and what remains is
-packed into 4 KB bitmaps with Spark's bitmap aggregates. Pass two looks both cells of each row up in the
-broadcast bitmaps. A row with a cell of its own has a text that no other row has and passes straight
-through; of pass two only the other rows (the copies, and a few false positives) shuffle. Pass one shuffles
-two (cell, count) records of nearly every row.
-
-The bitmaps are bounded: ``cells_per_row`` cells for each counted row, never more than ``max_cells``
-(2**30 cells are 128 MB). Beyond that the filter passes more rows on, and the result stays exact.
+Pass one counts one 60-bit hash of each row's normalised text, combined map-side, and puts the hashes that occur again
+into a blocked Bloom filter: a hash chooses a block of 32,768 cells and two cells in it, and blocks are packed into
+4 KB bitmaps by Spark's bitmap aggregates. Pass two looks the cells of each row up in the broadcast bitmaps. A row with
+a cell that is not set has a text that no other row has and passes straight through; only the other rows (the copies,
+and a few false positives) shuffle.
+
+What shuffles for a row with a text of its own is thus its (hash, count) of pass one, and nothing else.
+The filter grows with the hashes that occur again, by ``cells_per_hash`` each. Above ``max_cells`` (2**30 cells are
+128 MB) it is cut by ranges of blocks, and pass two runs once for each range, over the rows of that range.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracepairs.llm.common import SPACE_CLASS, materialize, rename_clashes
+from tracepairs.llm.common import SPACE_CLASS, join_hot, materialize
 
 RESULT = ["keep_id", "group_size", "kept", "text_sha256"]
-_BLOCK = 32_768  # cells in one bitmap of Spark's bitmap functions
+_BLOCK_BITS = 15  # cells in one bitmap of Spark's bitmap functions, as a power of two
 
 
 def normalised(text: Column) -> Column:
@@ -32,37 +34,37 @@ def text_digest(text: Column) -> Column:
     return F.sha2(normalised(text), 256)
 
 
-def _cells(digest: Column, n_cells: int) -> list[Column]:
-    """Two cells of a row, from disjoint digits of its digest."""
-    return [F.conv(F.substring(digest, at, 12), 16, 10).cast("long") % F.lit(n_cells) for at in (1, 13)]
+def _hash(digest: Column) -> Column:
+    """60 bits of the digest."""
+    return F.conv(F.substring(digest, 1, 15), 16, 10).cast("long")
 
 
-def _repeated_cells(digests: DataFrame, n_cells: int, which: int) -> DataFrame:
-    """Bitmaps of the cells that at least two rows set: (block, bits)."""
-    cell = _cells(F.col("text_sha256"), n_cells)[which].alias("cell")
-    twice = digests.select(cell).groupBy("cell").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    return twice.groupBy(F.expr("bitmap_bucket_number(cell + 1)").alias(f"block{which}")).agg(
-        F.expr("bitmap_construct_agg(bitmap_bit_position(cell + 1))").alias(f"bits{which}")
-    )
+def _is_set(bits: Column, cell: Column) -> Column:
+    byte = F.conv(F.hex(F.substring(bits, (F.shiftright(cell, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    return F.coalesce(F.getbit(byte, cell.bitwiseAND(F.lit(7))) == 1, F.lit(False))
 
 
-def _is_set(bits: Column, cell: Column) -> Column:
-    at = cell % _BLOCK
-    byte = F.conv(F.hex(F.substring(bits, (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    return F.coalesce(byte.bitwiseAND(F.shiftleft(F.lit(1), 0) * F.pow(F.lit(2), at % 8).cast("int")) > 0, F.lit(False))
+def mark_possible_repeats(rows: DataFrame, hashes: DataFrame, *, cells_per_hash: int = 16, max_cells: int = 1 << 30) -> DataFrame:
+    """``rows`` (with ``h``) with ``possible``: false only where no other row of ``hashes`` (h) has the same hash."""
+    again = materialize(hashes.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h"), "repeated")
+    wanted = max(1, again.count() * cells_per_hash) >> _BLOCK_BITS
+    block_bits = min(30, wanted.bit_length())  # 2**30 blocks: the hash has no bits for more
+    ranges = max(1, (1 << (block_bits + _BLOCK_BITS)) // max_cells)
+    block = F.col("h").bitwiseAND(F.lit((1 << block_bits) - 1))
+    cells = [F.shiftright("h", block_bits + k * _BLOCK_BITS).bitwiseAND(F.lit((1 << _BLOCK_BITS) - 1)) for k in (0, 1)]
+    part = F.pmod(block, F.lit(ranges))
+    bitmaps = again.select(block.alias("block"), part.alias("part"), F.explode(F.array(*cells)).alias("cell")).groupBy("part", "block")
+    # position p of a bitmap is p // 8 bytes from its start
+    bitmaps = bitmaps.agg(F.expr("bitmap_construct_agg(bitmap_bit_position(cell + 1))").alias("bits"))
+    bitmaps = materialize(bitmaps, "bitmaps")
+    both = _is_set(F.col("__f.bits"), cells[0]) & _is_set(F.col("__f.bits"), cells[1])
+    packed = F.struct("block", "bits").alias("__f")
 
+    def one(r: int) -> DataFrame:
+        own = F.broadcast(bitmaps.where(F.col("part") == r).select(packed))  # at most max_cells / 8 bytes
+        return rows.where(part == r).join(own, block == F.col("__f.block"), "left").select(*rows.columns, both.alias("possible"))
 
-def mark_possible_repeats(digests: DataFrame, *, cells_per_row: int = 16, max_cells: int = 1 << 30) -> DataFrame:
-    """Add ``possible``: false only for rows whose ``text_sha256`` surely occurs once."""
-    rows = digests.count()
-    n_cells = min(max_cells, max(_BLOCK, 1 << (max(1, rows * cells_per_row) - 1).bit_length()))
-    first, second = _cells(F.col("text_sha256"), n_cells)
-    out = digests.withColumn("cell0", first).withColumn("cell1", second)
-    for i in (0, 1):
-        maps = F.broadcast(_repeated_cells(digests, n_cells, i))  # at most n_cells / 8 bytes
-        out = out.withColumn(f"block{i}", F.expr(f"bitmap_bucket_number(cell{i} + 1)")).join(maps, f"block{i}", "left")
-    both = _is_set(F.col("bits0"), F.col("cell0")) & _is_set(F.col("bits1"), F.col("cell1"))
-    return out.withColumn("possible", both).drop("cell0", "cell1", "block0", "block1", "bits0", "bits1")
+    return reduce(DataFrame.unionByName, map(one, range(ranges)))
 
 
 def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **bloom: int) -> DataFrame:
@@ -73,38 +75,28 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *
     of their group are all ``kept``. A null id is never preferred to another one; in a group of nothing but
     null ids, ``keep_id`` is null and all its rows are kept. An empty table gives an empty result.
     """
-    digests = materialize(df.select(F.col(id_col).alias("id"), text_digest(F.col(text_col)).alias("text_sha256")), "digests")
-    flagged = mark_possible_repeats(digests, **bloom)
+    digest = text_digest(F.col(text_col)).alias("text_sha256")
+    digests = materialize(df.select(F.col(id_col).alias("id"), digest), "digests").withColumn("h", _hash(F.col("text_sha256")))
+    flagged = mark_possible_repeats(digests, digests.select("h"), **bloom).drop("h")
     once = flagged.where(~F.col("possible")).select(
         "id", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256"
     )
     again = flagged.where("possible").select("id", "text_sha256")
-    # written before it is joined: a join of two exchanges can be split where a group is hot
-    groups = materialize(again.groupBy("text_sha256").agg(F.min("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")), "groups")
-    joined = again.join(groups, "text_sha256").select(
-        "id", "keep_id", "group_size", F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256"
-    )
+    groups = again.groupBy("text_sha256").agg(F.min("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+    joined = join_hot(again, materialize(groups, "groups"), ["text_sha256"], "group_size")
+    joined = joined.select("id", "keep_id", "group_size", F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
     return once.unionByName(joined).withColumnRenamed("id", id_col)
 
 
 def drop_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **bloom: int) -> DataFrame:
-    """The rows of ``df`` that stay, with their columns. Rows with a text of their own do not shuffle.
+    """The rows of ``df`` that stay, with their columns, whatever their names. Rows with a text of their own do not
+    shuffle.
 
-    Rows that repeat both id and text stay once; their other columns come from one of them.
+    Of each group of equal texts one row stays, with the smallest id (null last). Rows that repeat both id and
+    text stay once; their other columns come from one of them.
     """
-    digest = F.col("text_sha256")
-    rows = rename_clashes(df, ["text_sha256", "possible"], keep=(id_col, text_col)).withColumn("text_sha256", text_digest(F.col(text_col)))
-    narrow = materialize(rows.select("text_sha256"), "digests")
-    n = narrow.count()
-    n_cells = min(bloom.get("max_cells", 1 << 30), max(_BLOCK, 1 << (max(1, n * bloom.get("cells_per_row", 16)) - 1).bit_length()))
-    for i, cell in enumerate(_cells(digest, n_cells)):
-        rows = rows.withColumn(f"__c{i}", cell).withColumn(f"block{i}", F.expr(f"bitmap_bucket_number(__c{i} + 1)"))
-        rows = rows.join(F.broadcast(_repeated_cells(narrow, n_cells, i)), f"block{i}", "left")
-    possible = _is_set(F.col("bits0"), F.col("__c0")) & _is_set(F.col("bits1"), F.col("__c1"))
-    rows = rows.withColumn("__possible", possible)
-    once = rows.where(~F.col("__possible"))
-    again = rows.where("__possible")
-    packed = F.struct(*[F.col(c) for c in df.columns if c in rows.columns])
-    first = again.groupBy("text_sha256").agg(F.min_by(packed, F.coalesce(F.col(id_col), F.lit(2**63 - 1))).alias("__row"))
-    columns = [c for c in df.columns if c in rows.columns]
-    return once.select(*columns).unionByName(first.select("__row.*"))
+    row = F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row")
+    rows = df.select(row, F.col(id_col).alias("id"), text_digest(F.col(text_col)).alias("text_sha256")).withColumn("h", _hash(F.col("text_sha256")))
+    flagged = mark_possible_repeats(rows, materialize(rows.select("h"), "hashes"), **bloom)
+    first = flagged.where("possible").groupBy("text_sha256").agg(F.min_by("row", F.struct(F.col("id").isNull(), "id")).alias("row"))
+    return flagged.where(~F.col("possible")).select("row").unionByName(first.select("row")).select("row.*")
