@@ -28,7 +28,8 @@ from tracepairs.llm.common import map_arrow, materialize, maybe_broadcast, raw,
 _MAGIC = b"\x1f\x8b\x08"
 _VERSION = re.compile(rb"WARC/1\.[01]\r\n")
 _NEXT = re.compile(rb"\x1f\x8b\x08|WARC/1\.[01]\r\n")
-_HEADER_MOST = 1 << 20
+#: A batch of rows is closed at this many bytes of payloads or rows.
+_BATCH_BYTES, _BATCH_ROWS = 8 << 20, 2000
 
 
 # --- one record ------------------------------------------------------------------------------------------
@@ -37,7 +38,7 @@ _HEADER_MOST = 1 << 20
 @dataclass
 class Record:
     headers: dict[str, str]
-    payload: bytes
+    payload: memoryview  # of the content it was read from
     payload_bytes: int
     digest: str | None
     offset: int = 0
@@ -79,7 +80,7 @@ def read_record(data: bytes, at: int) -> tuple[Record, int]:
     version = _VERSION.match(data, at)
     if not version:
         raise Invalid("no version line")
-    stop = data.find(b"\r\n\r\n", version.end() - 2, at + _HEADER_MOST)
+    stop = data.find(b"\r\n\r\n", version.end() - 2)
     if stop < 0:
         raise Invalid("header block does not end")
     headers: dict[str, str] = {}
@@ -96,13 +97,14 @@ def read_record(data: bytes, at: int) -> tuple[Record, int]:
     body, end = stop + 4, stop + 4 + int(length)
     if data[end : end + 4] != b"\r\n\r\n":
         raise Invalid("record does not end where its length says")
-    payload, size = data[body:end], None
+    start, size = body, None
     if headers.get("content-type", "").startswith("application/http"):
-        http = payload.find(b"\r\n\r\n")
+        http = data.find(b"\r\n\r\n", body, end)
         if http < 0:
             raise Invalid("HTTP headers do not end")
-        said = re.search(rb"(?im)^content-length:\s*(\d+)\s*$", payload[:http])
-        payload, size = payload[http + 4 :], int(said[1]) if said else None
+        said = re.search(rb"(?im)^content-length:\s*(\d+)\s*$", data[body:http])
+        start, size = http + 4, int(said[1]) if said else None
+    payload = memoryview(data)[start:end]
     claimed = _digest_hex(headers.get("warc-payload-digest"))
     if headers.get("warc-type") == "revisit":
         return Record(headers, payload, len(payload) if size is None else size, claimed), end + 4
@@ -168,15 +170,17 @@ def _records(content: bytes) -> tuple[list[tuple[Record, int, int]], list[tuple[
     return found, gaps
 
 
-def salvage(data: bytes) -> tuple[list[Record], list[tuple[int, int, str]]]:
-    """All valid records in order, with offsets in the archive, and the gaps (start, end, reason).
+Gap = tuple[int, int, str]
+
+
+def salvage_stream(data: bytes) -> Iterator[Record | Gap]:
+    """All valid records in order, with offsets in the archive, and the gaps (start, end, reason), as they are found.
 
     A gap between records of one member has the member's offset and end; its range in the inflated content is in the
     reason. Records of a member that fails its own checks are kept if they pass theirs, and end where the last byte of
     the member that they need stands; the rest of the member is a gap. A record that is all of a member falls with it.
+    One member's content is held at a time; payloads are views of it.
     """
-    records: list[Record] = []
-    gaps: list[tuple[int, int, str]] = []
     at, bad = 0, None  # bad: start and reason of the open gap
     while at < len(data):
         found, inner, error = [], [], None
@@ -208,18 +212,23 @@ def salvage(data: bytes) -> tuple[list[Record], list[tuple[int, int, str]]]:
             at = later.start() if later else len(data)
             continue
         if bad:
-            gaps.append((bad[0], at, bad[1]))
+            yield bad[0], at, bad[1]
             bad = None
-        records += [r for r, _, _ in found]
-        gaps += [(at, end, f"{why}; bytes {lo} to {hi} of the member's content") for lo, hi, why in inner]
+        yield from (r for r, _, _ in found)
+        yield from ((at, end, f"{why}; bytes {lo} to {hi} of the member's content") for lo, hi, why in inner)
         at = end
         if error:
             bad = (at, error)
             later = _NEXT.search(data, at)
             at = later.start() if later else len(data)
     if bad:
-        gaps.append((bad[0], len(data), bad[1]))
-    return records, gaps
+        yield bad[0], len(data), bad[1]
+
+
+def salvage(data: bytes) -> tuple[list[Record], list[Gap]]:
+    """The records and the gaps of :func:`salvage_stream`."""
+    found = list(salvage_stream(data))
+    return [x for x in found if isinstance(x, Record)], [x for x in found if not isinstance(x, Record)]
 
 
 # --- reading ---------------------------------------------------------------------------------------------
@@ -236,19 +245,29 @@ def read_archives(archives: DataFrame, name_col: str = "archive", content_col: s
     payload they refer to, as their headers say. Records around a failed one in a gzip member are salvaged too; the gap
     has the member's range and names its own range in the content (see :func:`salvage`).
     Archives may be gzip members, plain records or both. Null or empty content has no records and no gaps.
-    A task holds one archive at a time; no shuffle.
+    A task holds one archive, one member's content and one batch of rows at a time; no shuffle.
     """
 
+    def row(name: str, x: Record | Gap) -> tuple:
+        if not isinstance(x, Record):
+            return "gap", name, x[0], x[1], *[None] * 7, x[2]
+        kind, uri = x.headers.get("warc-type"), x.headers.get("warc-target-uri")
+        own, refers = (_bare(x.headers.get(h)) for h in ("warc-record-id", "warc-refers-to"))
+        return "record", name, x.offset, x.end, kind, own, uri, refers, x.payload_bytes, x.digest, bytes(x.payload) if with_payload else None, None
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, size = [], 0
+        closed = lambda: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _READ_TYPES)], names=_READ_NAMES)
         for b in batches:
             for name, content in zip(b.column(0), b.column(1)):
-                name = name.as_py()
-                records, gaps = salvage(content.as_buffer().to_pybytes() if content.is_valid else b"")
-                rows = [("record", name, r.offset, r.end, r.headers.get("warc-type"), _bare(r.headers.get("warc-record-id")), r.headers.get("warc-target-uri"),
-                         _bare(r.headers.get("warc-refers-to")), r.payload_bytes, r.digest, r.payload if with_payload else None, None) for r in records]
-                rows += [("gap", name, lo, hi, *[None] * 7, why) for lo, hi, why in gaps]
-                for i in range(0, len(rows), 2000):
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[i : i + 2000]), _READ_TYPES)], names=_READ_NAMES)
+                for x in salvage_stream(content.as_buffer().to_pybytes() if content.is_valid else b""):
+                    rows.append(row(name.as_py(), x))
+                    size += len(rows[-1][10] or b"")
+                    if size >= _BATCH_BYTES or len(rows) >= _BATCH_ROWS:
+                        yield closed()
+                        rows, size = [], 0
+        if rows:
+            yield closed()
 
     return map_arrow(archives.select(F.col(name_col).cast("string"), F.col(content_col)), run, _READ)
 
