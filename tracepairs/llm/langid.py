@@ -1,13 +1,13 @@
 """Language identification: known words first, shorter and shorter character n-grams for unseen ones.
 
-The model holds, per language, log frequencies of the most frequent words and of character n-grams (with
-word edges) of lengths 1 to 4. It is fitted on the different texts of labelled rows: all of them up to
+The model holds, per language, log frequencies of all words and of all character n-grams (with word edges) of lengths
+1 to 4 of the texts that it is fitted on. These are the different texts of labelled rows: all of them up to
 ``max_train_docs`` different texts. Beyond that each language has an equal share of this number, what small
 languages leave goes to the others, and those texts are learned whose hash falls below the threshold of their
 language. Each text counts once for a label, so a large group of copies neither outgrows that bound nor
 outweighs other texts; and every language keeps at least one text, however rare it is.
-Counting words and n-grams is a grouped aggregation; only the bounded tables of the model reach the driver
-and the workers.
+Counting words and n-grams is a grouped aggregation; only the model, which the bound on its texts bounds, reaches the
+driver and the workers.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracepairs.llm.common import map_arrow, materialize, slices
@@ -75,9 +75,30 @@ def train_limits(counts: dict[str, int], most: int) -> dict[str, float]:
     return shares
 
 
-def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", *, max_train_docs: int = 20_000, max_words: int = 40_000, max_grams: int = 40_000) -> Model:
-    """Fit on rows with a text and a label. ``max_words`` and ``max_grams`` (per length) bound the tables per language."""
-    rows = labelled.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
+def _has_letter(word: str) -> bool:
+    return any(map(str.isalpha, word))
+
+
+def words_of(text: str) -> list[str]:
+    """Maximal runs of letters and other signs of words but digits, in lower case; those without a letter do not count."""
+    return _RUN.findall(text.lower())
+
+
+def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in slices(batches, "text", 1 << 20):
+        counts: dict[tuple[str, str], int] = {}
+        for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            for w in words_of(text):
+                counts[lang, w] = counts.get((lang, w), 0) + 1
+        counts = {k: n for k, n in counts.items() if _has_letter(k[1])}
+        if counts:
+            langs, words = zip(*counts)
+            yield pa.RecordBatch.from_arrays([pa.array(langs), pa.array(words), pa.array(list(counts.values()), pa.int64())], names=["lang", "w", "n"])
+
+
+def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", *, max_train_docs: int = 4_000) -> Model:
+    """Fit on rows with a text and a label, on ``max_train_docs`` different texts at most (or one for each language)."""
+    rows = labelled.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
     place = F.pmod(F.xxhash64("text"), F.lit(1 << 30))
     texts = rows.select("lang", F.xxhash64("text").alias("h"), place.alias("place")).distinct()
     counts = texts.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.min("place").alias("first")).collect()
@@ -85,22 +106,16 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", *,
         shares = train_limits({r.lang: r.n for r in counts}, max_train_docs)
         limits = [(r.lang, max(math.floor(shares[r.lang] * (1 << 30)), r.first + 1)) for r in counts]
         limits = labelled.sparkSession.createDataFrame(limits, "lang string, below long")
-        rows = rows.join(F.broadcast(limits), "lang").where(place < F.col("below")).select("text", "lang")
-    words = rows.distinct().select("lang", F.explode(F.split(F.lower("text"), r"[^\p{L}]+")).alias("w")).where("w != '' AND length(w) <= 40")
-    words = materialize(words.groupBy("lang", "w").agg(F.count(F.lit(1)).alias("n")), "words")
-
-    def top(df: DataFrame, key: str, most: int) -> list:
-        ranked = df.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), key)))
-        return [(r[0], r[1], r[2]) for r in ranked.where(F.col("r") <= most).select("lang", key, "n").collect()]
-
-    langs = sorted(r[0] for r in words.select("lang").distinct().collect())
-    model = Model(langs, Table(top(words, "w", max_words), langs))
-    edged = words.select("lang", "n", F.concat(F.lit("<"), "w", F.lit(">")).alias("e"))
-    for k in range(1, MAX_GRAM + 1):
-        grams = F.transform(F.sequence(F.lit(1), F.length("e") - (k - 1)), lambda i: F.substring(F.col("e"), i, F.lit(k)))
-        each = edged.where(F.length("e") >= k).select("lang", "n", F.explode(grams).alias("g"))
-        model.grams.append(Table(top(each.groupBy("lang", "g").agg(F.sum("n").alias("n")), "g", max_grams), langs))
-    return model
+        rows = rows.join(F.broadcast(limits), "lang").where(place < F.col("below")).select("lang", "text")
+    words = map_arrow(rows.distinct(), _count_words, "lang string, w string, n long")
+    words = materialize(words.groupBy("lang", "w").agg(F.sum("n").alias("n")), "words")
+    found = [tuple(r) for r in words.collect()]
+    langs = sorted({lang for lang, _, _ in found})
+    edged, start = F.concat(F.lit("<"), "w", F.lit(">")), F.sequence(F.lit(0), F.length("w") + 1)
+    # every n-gram that starts at a character, with its length
+    each = F.flatten(F.transform(start, lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(MAX_GRAM), F.length("w") + 2 - i)), lambda k: F.substring(edged, i + 1, k))))
+    grams = words.select("lang", "n", F.explode(each).alias("g")).groupBy("lang", "g").agg(F.sum("n").alias("n")).collect()
+    return Model(langs, Table(found, langs), [Table([tuple(r) for r in grams if len(r.g) == k], langs) for k in range(1, MAX_GRAM + 1)])
 
 
 class Predictor:
@@ -114,45 +129,47 @@ class Predictor:
         self.row: dict[str, int] = {}
         self.used = 0
         self.table = np.zeros((1024, len(self.model.langs)), np.float32)
+        self.known = np.zeros(1024, bool)
 
     def _add(self, word: str) -> int:
-        if not any(map(str.isalpha, word)):
-            self.row[word] = -1
-            return -1
-        i = self.used
-        if i == len(self.table):
-            self.table = np.concatenate([self.table, np.zeros_like(self.table)])
-        self.table[i] = self.model.score_word(word)
-        self.row[word] = i
+        i = self.row[word] = self.used if _has_letter(word) else -1
+        if i < 0:
+            return i
         self.used += 1
+        if i == len(self.table):
+            self.table, self.known = np.concatenate([self.table, np.zeros_like(self.table)]), np.concatenate([self.known, np.zeros_like(self.known)])
+        self.table[i], self.known[i] = self.model.score_word(word), word in self.model.words.row
         return i
 
-    def predict(self, text: str | None) -> tuple[str, float]:
-        words = _RUN.findall(text.lower()) if text else []
-        if words and self.model.langs:
-            if len(self.row) > self.size:
-                self.clear()
-            rows = list(map(self.row.get, words))
-            if None in rows:
-                row = self.row
-                rows = [(row[w] if w in row else self._add(w)) if i is None else i for i, w in zip(rows, words)]
-            at = np.array(rows)
-            at = at[at >= 0]
-            if len(at):
-                mean = self.table[at].mean(axis=0, dtype=np.float64)
-                best = int(mean.argmax())
-                return self.model.langs[best], float(1 / np.exp(mean - mean[best]).sum())
-        return UNDETERMINED, 0.0
+    def predict(self, text: str | None) -> tuple[str, float, float]:
+        """Language, score, and the share of the words that the model knows."""
+        words = words_of(text) if text else []
+        if not words or not self.model.langs:
+            return UNDETERMINED, 0.0, 0.0
+        if len(self.row) > self.size:
+            self.clear()
+        rows = list(map(self.row.get, words))
+        if None in rows:
+            row = self.row
+            rows = [(row[w] if w in row else self._add(w)) if i is None else i for i, w in zip(rows, words)]
+        at = np.array(rows)
+        at = at[at >= 0]
+        if not len(at):
+            return UNDETERMINED, 0.0, 0.0
+        mean = self.table[at].mean(axis=0, dtype=np.float64)
+        best = int(mean.argmax())
+        return self.model.langs[best], float(1 / np.exp(mean - mean[best]).sum()), float(self.known[at].mean())
 
 
 _worker: dict[str, Predictor] = {}
 
 
 def identify(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id_col, lang_pred, score`` for each row, from its text alone.
+    """``id_col, lang_pred, score, known`` for each row, from its text alone.
 
-    ``und`` with score 0 if the text is null or has no letter, or if the model has no language. ``score`` is the
-    softmax weight of the best language on mean log frequency per word, between 0 and 1.
+    ``score`` is the softmax weight of the best language on mean log frequency per word, between 0 and 1. Of languages
+    that score the same the first by code point is taken. ``known`` is the share of its words that the model has.
+    ``und`` with score 0 if the text is null or has no letter, or if the model has no language.
     """
     shared, key = df.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
@@ -163,11 +180,11 @@ def identify(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
             _worker[key] = Predictor(shared.value)
         predict = _worker[key].predict
         for b in slices(batches, "text", 1 << 20):
-            found = [predict(t.as_py()) for t in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], names=["id", "lang_pred", "score"])
+            found = list(zip(*[predict(t.as_py()) for t in b.column(1)]))
+            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(x, t) for x, t in zip(found, (pa.string(), pa.float64(), pa.float64()))]], names=["id", "lang_pred", "score", "known"])
         _worker.clear()  # workers are reused by other stages
 
-    out = map_arrow(rows, run, f"id {rows.schema['id'].dataType.simpleString()}, lang_pred string, score double")
+    out = map_arrow(rows, run, f"id {rows.schema['id'].dataType.simpleString()}, lang_pred string, score double, known double")
     return out.withColumnRenamed("id", id_col)
 
 
@@ -182,13 +199,15 @@ def identify_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     return identify(df, model, id_col, text_col).withColumn("held_out", held_out(id_col)).select(id_col, "held_out", "lang_pred", "score")
 
 
-def keep_identified(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", *, min_score: float = 0.3, **limits) -> DataFrame:
+def keep_identified(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", *, over_chance: float = 1.2, known_share: float = 0.5, **limits) -> DataFrame:
     """The rows of ``df`` whose language can be told, with their columns; one pass, no shuffle.
 
     Fitted as in :func:`identify_documents`. Rejected: texts that are null or have no letter, and texts with a
-    score below ``min_score`` (with four languages, chance is 0.25).
+    score below ``over_chance`` times chance (one over the number of languages), unless the model knows ``known_share`` of
+    their words: a text in several languages scores low for each, but is no junk.
     """
     model = fit(df.where(~held_out(id_col)), text_col, lang_col, **limits)
-    rows = df.select(F.struct(*[F.col(c) for c in df.columns]).alias("row"), F.col(text_col).alias("text"))
-    found = identify(rows, model, "row", "text")
-    return found.where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= min_score)).select("row.*")
+    row = F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row")
+    found = identify(df.select(row, F.col(text_col).alias("text")), model, "row", "text")
+    told = (F.col("score") >= min(1.0, over_chance / max(1, len(model.langs)))) | (F.col("known") >= known_share)
+    return found.where((F.col("lang_pred") != UNDETERMINED) & told).select("row.*")

@@ -9,7 +9,7 @@ at the exact word, after as many whole repeats (epochs) as fit.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracepairs.llm.common import WORD_RE, materialize
@@ -17,36 +17,46 @@ from tracepairs.llm.common import WORD_RE, materialize
 RESULT = ["size", "source_size", "target", "taken"]
 
 
-def word_count(text) -> F.Column:
+def word_count(text: Column) -> Column:
     """Number of maximal runs without ASCII white space; null has none."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD_RE)), F.lit(0)).cast("long")
 
 
+def _running(df: DataFrame, order: list[Column], sums: dict[str, str], name: str) -> DataFrame:
+    """``df`` with running sums before each row in a global order: ``sums`` names the columns that they are of.
+
+    Rows are sorted in ranges, ranges are summed, and the sums of earlier ranges are added: no task holds all rows.
+    """
+    ranged = materialize(df.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()), name)
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # one row for each range
+    offsets = ranged.groupBy("__part").agg(*[F.sum(c).alias(f"__{k}") for k, c in sums.items()])
+    offsets = offsets.select("__part", *[F.coalesce(F.sum(f"__{k}").over(before), F.lit(0)).alias(f"__{k}") for k in sums])
+    inside = Window.partitionBy("__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    out = ranged.join(F.broadcast(offsets), "__part")
+    out = out.withColumns({k: (F.coalesce(F.sum(c).over(inside), F.lit(0)) + F.col(f"__{k}")).cast("long") for k, c in sums.items()})
+    return out.drop("__part", *[f"__{k}" for k in sums])
+
+
 def source_targets(sizes: DataFrame, source_col: str, weights: tuple[int, ...], max_epochs: int) -> DataFrame:
     """``source_col, source_size, target`` from (source, source_size): weighted shares of the whole, at most
     ``max_epochs`` times a source; what is above is shared again by weight until none is above.
 
     The fixed point is found in one sweep: a source is held at its limit when the level (words for a unit
-    of weight) that the other sources would get is above its own limit. Works on one row per source.
+    of weight) that the other sources would get is above its own limit.
     """
-    by_name = Window.orderBy(F.col(source_col).asc_nulls_last())
-    w = F.element_at(F.array(*[F.lit(x) for x in weights]), (F.pmod(F.row_number().over(by_name) - 1, F.lit(len(weights))) + 1).cast("int"))
-    everything = Window.partitionBy()
-    by_limit = Window.orderBy(F.col("source_size") / F.col("w"), F.col(source_col).asc_nulls_last())
-    before = by_limit.rowsBetween(Window.unboundedPreceding, -1)
-    total, cap = F.sum("source_size").over(everything), F.col("source_size") * max_epochs
-    s = (
-        sizes.withColumn("w", w.cast("long"))
-        .withColumn("total", total)
-        .withColumn("cap", cap)
-        .withColumn("cap_before", F.coalesce(F.sum("cap").over(before), F.lit(0)))
-        .withColumn("w_rest", F.sum("w").over(everything) - F.coalesce(F.sum("w").over(before), F.lit(0)))
-        .withColumn("level", (F.col("total") - F.col("cap_before")).cast("double") / F.col("w_rest"))
-        .withColumn("held", F.col("w") * F.col("level") > F.col("cap"))
-    )
-    s = s.withColumn("final", F.min(F.when(~F.col("held"), F.struct(F.col("cap_before"), F.col("level")))).over(everything)["level"])
-    target = F.when(F.col("held") | F.col("final").isNull(), F.col("cap").cast("double")).otherwise(F.col("w") * F.col("final"))
-    return s.select(source_col, "source_size", F.least(target, F.col("cap").cast("double")).alias("target"))
+    by_name = [F.col(source_col).asc_nulls_last()]
+    s = _running(sizes.select(source_col, "source_size", F.lit(1).alias("one")), by_name, {"place": "one"}, "by_name")
+    w = F.element_at(F.array(*[F.lit(x) for x in weights]), (F.pmod(F.col("place"), F.lit(len(weights))) + 1).cast("int"))
+    s = s.select(source_col, "source_size", w.cast("long").alias("w"), (F.col("source_size") * max_epochs).alias("cap"))
+    by_limit = [(F.col("source_size") / F.col("w")).asc(), *by_name]
+    s = _running(s, by_limit, {"cap_before": "cap", "w_before": "w"}, "by_limit")
+    total, w_all = s.agg(F.sum("source_size"), F.sum("w")).first()
+    level = (F.lit(total or 0) - F.col("cap_before")).cast("double") / (F.lit(w_all or 0) - F.col("w_before"))
+    s = s.withColumn("level", level).withColumn("held", F.col("w") * F.col("level") > F.col("cap"))
+    final = s.where(~F.col("held")).agg(F.min(F.struct("cap_before", "level"))).first()[0]
+    cap = F.col("cap").cast("double")
+    target = F.when(F.col("held"), cap).otherwise(F.col("w") * F.lit(final.level if final else 0.0))
+    return s.select(source_col, "source_size", F.least(target, cap).alias("target"))
 
 
 def mix(
@@ -65,17 +75,18 @@ def mix(
     ``taken`` is how many words of the document the mix takes, repeats counted: whole repeats of its source
     plus the part of its words below the cut, so that each source gives the floor of its target exactly.
     Sources are ordered by code point, null (a source of its own) last, and weigh ``weights`` in turn.
-    Null and blank texts have size 0 and are taken 0 times. Rows with equal ids keep an order by size;
-    equal rows share the cut in either order, with equal sums. An empty table gives an empty result.
+    Null and blank texts have size 0 and are taken 0 times. Rows with equal ids keep an order by size, rows without an id
+    one by their text; equal rows share the cut in either order, with equal sums. An empty table gives an empty result.
     Text in other columns is never read. There are as many key ranges as keep one at about ``range_rows``
     rows whatever the size of the input (256 at least); their number does not change the result.
     """
+    own = F.coalesce(F.col(id_col).cast("string"), F.md5(F.col(text_col)), F.lit(""))  # rows without an id spread by their text
     sized = materialize(
         df.select(
             F.col(id_col).alias("__id"),
             F.col(source_col).alias("__src"),
             word_count(F.col(text_col)).alias("size"),
-            F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit("")))).alias("__key"),
+            F.md5(F.concat(F.lit(f"{seed}:"), own)).alias("__key"),
         ),
         "sizes",
     )

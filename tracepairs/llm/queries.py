@@ -18,12 +18,6 @@ from tracepairs.llm.suffix_dedup import remove_repeats
 from tracepairs.llm.token_counts import count_tokens
 from tracepairs.llm.warc import page_records
 
-try:
-    import public_tokenizers as _vocabularies
-except ModuleNotFoundError:  # then only the queries that need a vocabulary fail, when they run
-    _vocabularies = None
-
-
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
@@ -33,7 +27,9 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_digests(_documents(spark, sf_dir), _vocabularies.path("byte_bpe_multi_50k.tiktoken"), _vocabularies.PATTERN)
+    import public_tokenizers  # only the queries that need a vocabulary need the package
+
+    return token_digests(_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
 def op3_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,7 +88,9 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return count_tokens(_documents(spark, sf_dir), _vocabularies.path("word_bpe_49k.json"))
+    import public_tokenizers
+
+    return count_tokens(_documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
 
 def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -145,7 +143,7 @@ FROM d
 OP10_SQL = r"""
 WITH d AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS size,
-         md5('mix-1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS k
+         md5('mix-1:' || coalesce(CAST(doc_id AS VARCHAR), md5(text), '')) AS k
   FROM documents
 ), s AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size, ((row_number() OVER (ORDER BY source NULLS LAST)) - 1) % 3 + 1 AS w

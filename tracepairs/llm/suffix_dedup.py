@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracepairs.llm.common import join_hot, map_arrow, materialize, maybe_broadcast, mix, prefix_hash, raw, slices, span_hash
+from tracepairs.llm.common import join_hot, map_arrow, materialize, maybe_broadcast, mix, partitions, prefix_hash, raw, slices, span_hash
 
 GRAM = 40
 _POS_BITS = 28
@@ -306,7 +306,7 @@ def repeated_spans(texts: DataFrame, *, length: int = 200, keep_first: bool = Fa
         n_large = large.count()
         small = bodies.join(maybe_broadcast(large.select("gram"), n_large), "gram", "left_anti") if n_large else bodies
         total = small.agg(F.sum(F.octet_length("body"))).first()[0] or 0
-        block = F.pmod(F.xxhash64("gram"), F.lit(max(1, -(-total // block_bytes)))).alias("block")
+        block = F.pmod(F.xxhash64("gram"), F.lit(max(partitions(texts.sparkSession), -(-total // block_bytes)))).alias("block")
         blocks = small.select(block, "k", "o", "gram", "at", "open", "body").groupBy("block")
         spans = spans.unionByName(blocks.applyInArrow(_factor_block(length, keep_first, piece_bytes), "k long, lo int, hi int"))
         if not n_large:

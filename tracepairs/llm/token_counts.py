@@ -1,34 +1,74 @@
 """Token counts by a two-tier lookup on the map side; no pre-token is ever shuffled.
 
-The tokenizer's normaliser and splitting pattern never join characters across ASCII white space, so a text has
+Where the tokenizer's normaliser and splitting pattern never join characters across ASCII white space, a text has
 as many tokens as its white-space-separated pre-tokens together. Tier one is a broadcast table of the
-token counts of the pre-tokens most frequent in the whole table (at most ``table_size`` entries, found by
-summaries of bounded size, one a task; it only saves time, never changes a count). Tier two is a cache in each worker, bounded by
-``cache_size``, that the library fills for pre-tokens not met before.
+token counts of the pre-tokens most frequent in the whole table: each task sums its own words up in a summary of bounded
+size, and summaries are merged by tree until one is left. The table only saves time and never changes a count. Tier two
+is a cache in each worker, bounded by ``cache_size``, that the library fills for pre-tokens not met before.
+
+The tokenizer's file is checked for this when it is loaded; with any other, whole texts are encoded.
 """
 
 from __future__ import annotations
 
 import collections
+import json
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tracepairs.llm.common import map_arrow, raw, slices
+from tracepairs.llm.common import map_arrow, materialize, raw, slices
 
 _LONG = 256  # longer pre-tokens are encoded each time and kept nowhere
+_FAN_IN = 64  # summaries merged by a task
+#: Fixed value: a splitting pattern whose matches hold no white space and look at nothing outside.
+_WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
-def _summary(share: float, size: int):
-    """The words that make up ``share`` or more of a task's words, with their counts.
+def splits_at_spaces(spec: str) -> bool:
+    """Whether the tokenizer of this file never joins characters across ASCII white space."""
+    t = json.loads(spec)
+    parts = lambda x, name: [] if x is None else x[name] if x["type"] == "Sequence" else [x]
+    for x in parts(t.get("normalizer"), "normalizers"):
+        if x["type"] not in ("NFC", "Lowercase") and (x["type"], x.get("pattern"), x.get("content")) != ("Replace", {"Regex": r"\s+"}, " "):
+            return False
+    first, *others = parts(t.get("pre_tokenizer"), "pretokenizers") or [{"type": None}]
+    removed = (first["type"], first.get("pattern"), first.get("behavior"), first.get("invert")) == ("Split", {"Regex": _WORD_PATTERN}, "Removed", True)
+    plain = all(x["type"] == "ByteLevel" and not x.get("add_prefix_space") and not x.get("use_regex") for x in others)
+    flags = ("single_word", "lstrip", "rstrip", "normalized")
+    added = all(x["content"].split() == [x["content"]] and not any(x.get(f) for f in flags) for x in t.get("added_tokens", []))
+    return removed and plain and added and not t["model"].get("dropout")
 
-    Counts are kept for a bounded number of words: when there are over four times ``size``, the count of the
-    word at rank ``size`` is taken off all, and words without a rest go (Misra and Gries, 1982).
-    """
+
+# --- frequent pre-tokens ---------------------------------------------------------------------------------
+
+
+def reduced(counts: collections.Counter, size: int) -> collections.Counter:
+    """``counts`` of at most ``size`` words: the count of the word after these is taken off all, and words without a rest
+    go (Misra and Gries, 1982), which keeps each word with a share above 1 / ``size`` under any order of merging."""
+    if len(counts) <= size:
+        return counts
+    off = -int(np.partition(-np.fromiter(counts.values(), np.int64, len(counts)), size)[size])
+    return collections.Counter({w: n - off for w, n in counts.items() if n > off})
+
+
+def _packed(task: int, counts: collections.Counter) -> list[pa.Array]:
+    words = sorted(counts, key=lambda w: (-counts[w], w))
+    n = np.array([counts[w] for w in words], "<i8")
+    return [pa.array([task], pa.int64()), pa.array([b" ".join(words)], pa.binary()), pa.array([n.tobytes()], pa.binary())]
+
+
+_SUMMARY = "task long, words binary, counts binary"
+_SUMMARY_NAMES = ["task", "words", "counts"]
+
+
+def _summary(share: float, size: int):
+    """The words that make up ``share`` or more of a task's words, with their counts: one row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, total = collections.Counter(), 0
@@ -40,12 +80,20 @@ def _summary(share: float, size: int):
                 total += len(words)
                 counts.update(words)
             if len(counts) > 4 * size:
-                off = -int(np.partition(-np.fromiter(counts.values(), np.int64, len(counts)), size)[size])
-                counts = collections.Counter({w: n - off for w, n in counts.items() if n > off})
-        often = [(w, n) for w, n in counts.items() if n >= share * total and len(w) < _LONG]
+                counts = reduced(counts, size)
+        often = collections.Counter({w: n for w, n in counts.items() if n >= share * total and len(w) < _LONG})
         if often:
-            words, n = zip(*often)
-            yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(n, pa.int64())], names=["w", "n"])
+            yield pa.RecordBatch.from_arrays(_packed(TaskContext.get().partitionId(), reduced(often, size)), names=_SUMMARY_NAMES)
+
+    return run
+
+
+def _merge(size: int):
+    def run(table: pa.Table) -> pa.Table:
+        counts = collections.Counter()
+        for words, n in zip(table.column("words").to_pylist(), table.column("counts").to_pylist()):
+            counts.update(dict(zip(words.split(b" "), np.frombuffer(n, "<i8").tolist())))
+        return pa.table(_packed(table.column("task")[0].as_py() // _FAN_IN, reduced(counts, size)), names=_SUMMARY_NAMES)
 
     return run
 
@@ -53,16 +101,22 @@ def _summary(share: float, size: int):
 def frequent_lengths(df: DataFrame, text_col: str, tokenizer: Tokenizer, *, table_share: float = 5e-6, table_size: int = 65_536) -> dict[bytes, int]:
     """Token counts of the most frequent pre-tokens of all rows, ``table_size`` at most.
 
-    Each task counts its own words and hands on only those with a share of ``table_share``: summaries of bounded
-    size are summed, not pre-tokens.
+    A task's summary holds its words with a share of ``table_share`` or more. Every ``_FAN_IN`` summaries are merged into
+    one of ``table_size`` words, until one is left, which the driver reads.
     """
     texts = df.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    parts = map_arrow(texts, _summary(table_share, table_size), "w binary, n long")
-    top = parts.groupBy("w").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "w").limit(table_size)
-    found = [bytes(r.w) for r in top.select("w").collect()]
+    parts = materialize(map_arrow(texts, _summary(table_share, table_size), _SUMMARY), "summaries")
+    while parts.count() > 1:
+        merged = parts.groupBy(F.floor(F.col("task") / _FAN_IN)).applyInArrow(_merge(table_size), _SUMMARY)
+        parts = materialize(merged, "summaries")
+    row = parts.first()
+    found = bytes(row.words).split(b" ") if row else []
     return {w: len(e.ids) for w, e in zip(found, tokenizer.encode_batch([w.decode() for w in found], add_special_tokens=False))}
 
 
+# --- counts --------------------------------------------------------------------------------------------------
+
+
 def count_slice(texts: list[bytes], cache: dict[bytes, int], tokenizer: Tokenizer) -> list[int]:
     """Tokens of each text; fills ``cache`` with the pre-tokens it lacked."""
     split = [t.split() for t in texts]
@@ -84,7 +138,8 @@ def count_tokens(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", tex
 
     Counts are those of the library without begin, end or added special tokens; special strings within a
     text count as the library's default has it. No truncation or padding. Null and empty texts have none.
-    ``over_limit`` is ``n_tokens > limit``.
+    ``over_limit`` is ``n_tokens > limit``. A tokenizer that may join characters across white space
+    (:func:`splits_at_spaces`) encodes whole texts, with neither table nor cache.
     """
     spark = df.sparkSession
     with open(tokenizer_path, encoding="utf-8") as f:
@@ -92,7 +147,8 @@ def count_tokens(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", tex
     tokenizer = Tokenizer.from_str(spec)
     tokenizer.no_truncation()
     tokenizer.no_padding()
-    table = frequent_lengths(df, text_col, tokenizer, table_share=table_share, table_size=table_size)
+    by_word = splits_at_spaces(spec)
+    table = frequent_lengths(df, text_col, tokenizer, table_share=table_share, table_size=table_size) if by_word else {}
     shared = spark.sparkContext.broadcast((spec, table))
     rows = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
@@ -109,7 +165,8 @@ def count_tokens(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", tex
                 _state["cache"] = dict(table)
             data, offs = raw(b.column(1))
             data = data.tobytes()
-            n = count_slice([data[lo:hi] for lo, hi in zip(offs[:-1], offs[1:])], _state["cache"], own)
+            texts = [data[lo:hi] for lo, hi in zip(offs[:-1], offs[1:])]
+            n = count_slice(texts, _state["cache"], own) if by_word else [len(e.ids) for e in own.encode_batch([t.decode() for t in texts], add_special_tokens=False)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.diff(offs)), pa.array(n, pa.int64())], names=["id", "n_bytes", "n_tokens"])
 
     out = map_arrow(rows, run, f"id {rows.schema['id'].dataType.simpleString()}, n_bytes long, n_tokens long")
