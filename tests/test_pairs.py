@@ -57,6 +57,17 @@ def test_single_outcomes(spark):
     assert P.pairs(P.decisions(traces(spark, flipped), CFG.with_mode("correctness_priority"))).first().pref_trace_id == 0
 
 
+def test_similar_segments_are_dropped_by_similarity_alone(spark):
+    a, b = "add the seventeen red apples to the basket", "add the seventeen red apples to the baskets"
+    rows = [("q", 0, [a], [0.9], True), ("q", 1, [b], [0.1], False)]
+    for mode in ("strict_purified", "semi_purified"):
+        cfg = CFG.with_mode(mode)
+        (row,) = P.decisions(traces(spark, rows), cfg).collect()
+        assert row.final_status == "dropped_near_identical" and row.divergent_similarity == SequenceMatcher(None, a, b).ratio()
+        loose = dataclasses.replace(cfg, pair=dataclasses.replace(cfg.pair, max_near_identical_similarity=0.995))
+        assert statuses(P.decisions(traces(spark, rows), loose)) == ["kept_mixed_correctness"]
+
+
 def test_empty_tables(spark):
     t = traces(spark, [])
     d = P.decisions(t, CFG)

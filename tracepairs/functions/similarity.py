@@ -3,13 +3,20 @@
 from __future__ import annotations
 
 from difflib import SequenceMatcher
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 
+@lru_cache(maxsize=50_000)
+def _ratio(a: str, b: str) -> float:
+    """Comparisons of a prompt meet in one task and repeat signatures, so each pair is matched once."""
+    return 1.0 if a == b else SequenceMatcher(None, a, b).ratio()
+
+
 @F.pandas_udf(DoubleType())
 def signature_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     """Matching-blocks ratio of (a, b), in this order; 1 for two empty signatures, null for a null."""
-    return pd.Series([None if x is None or y is None else 1.0 if not x and not y else SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)], dtype="float64")
+    return pd.Series([None if x is None or y is None else _ratio(x, y) for x, y in zip(a, b)], dtype="float64")

@@ -5,6 +5,9 @@ Regular expressions follow Unicode (``(?U)``) and take only ``\\n`` as a line en
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -25,6 +28,11 @@ PREAMBLE = [
 ]
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value``, which is computed once however often ``body`` uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def strip(c: Column) -> Column:
     return F.regexp_replace(c, rf"(?U)\A{SPACE}+|{SPACE}+\z", "")
 
@@ -38,15 +46,23 @@ def clean_parts(parts: Column) -> Column:
     return F.filter(F.transform(parts, lambda x: strip(F.regexp_replace(x, rf"(?Ui)\A{SPACE}*{MARK}{SPACE}*", ""))), lambda x: x != "")
 
 
+def _several(steps: Column, other: Column) -> Column:
+    """``steps`` if there are two or more, else ``other``."""
+    return let(steps, lambda x: F.when(F.size(x) >= 2, x).otherwise(other))
+
+
 def split_steps(text: Column) -> Column:
     """Steps of a trace: by markers at line starts, else markers within lines, else lines, else sentences; the
     first way that gives two steps counts, sentences in any case. Null and blank texts have no steps."""
-    t = strip(F.coalesce(text, F.lit("")))
-    at_lines = clean_parts(F.split(t, rf"(?Uidm)^{SPACE}*{MARK}{SPACE}*"))
-    inline = clean_parts(F.split(t, rf"(?Ui){SPACE}+(?=step\s*\d+[:.)-]?\s*)"))
-    lines = _non_blank(F.split(t, "\n"))
-    sentences = _non_blank(F.split(t, rf"(?U)(?<=[.!?]){SPACE}+"))
-    return F.when(F.size(at_lines) >= 2, at_lines).when(F.size(inline) >= 2, inline).when(F.size(lines) >= 2, lines).otherwise(sentences)
+
+    def ways(t: Column) -> Column:
+        at_lines = clean_parts(F.split(t, rf"(?Uidm)^{SPACE}*{MARK}{SPACE}*"))
+        inline = clean_parts(F.split(t, rf"(?Ui){SPACE}+(?=step\s*\d+[:.)-]?\s*)"))
+        lines = _non_blank(F.split(t, "\n"))
+        sentences = _non_blank(F.split(t, rf"(?U)(?<=[.!?]){SPACE}+"))
+        return _several(at_lines, _several(inline, _several(lines, sentences)))
+
+    return let(strip(F.coalesce(text, F.lit(""))), ways)
 
 
 def canon(step: Column) -> Column:
@@ -94,23 +110,42 @@ def segment_signature(steps: Column) -> Column:
     return signature_of_canon(canon_steps(F.filter(steps, lambda x: strip(x) != "")))
 
 
+# Each of these has a form for a text and one, ``of_canon``, for its canonical form.
+
+
+def alnum_of_canon(c: Column) -> Column:
+    return F.regexp_replace(c, r"(?U)[^\p{Alnum}]", "")
+
+
 def alnum_signature(text: Column) -> Column:
     """Letters and digits of the canonical form alone, so that ``3+5`` equals ``35``."""
-    return F.regexp_replace(canon(text), r"(?U)[^\p{Alnum}]", "")
+    return alnum_of_canon(canon(text))
+
+
+def tokens_of_canon(c: Column) -> Column:
+    words = F.split(strip(c), rf"(?U){SPACE}+")
+    return F.array_sort(F.array_distinct(F.filter(words, lambda w: (F.length(w) >= 3) & ~w.isin(STOPWORDS))))
 
 
 def content_tokens(text: Column) -> Column:
     """Sorted set of the canonical words of three letters or more that carry content."""
-    words = F.split(strip(canon(text)), rf"(?U){SPACE}+")
-    return F.array_sort(F.array_distinct(F.filter(words, lambda w: (F.length(w) >= 3) & ~w.isin(STOPWORDS))))
+    return tokens_of_canon(canon(text))
+
+
+def math_of_canon(c: Column) -> Column:
+    return c.rlike(r"(?U)[\d+\-*/=]")
 
 
 def has_math(text: Column) -> Column:
-    return canon(text).rlike(r"(?U)[\d+\-*/=]")
+    return math_of_canon(canon(text))
+
+
+def preamble_of_canon(c: Column) -> Column:
+    return c.rlike("|".join(rf"\Q{phrase}\E" for phrase in PREAMBLE))
 
 
 def is_preamble(text: Column) -> Column:
-    return F.exists(F.array(*[F.lit(p) for p in PREAMBLE]), lambda p: F.contains(canon(text), p))
+    return preamble_of_canon(canon(text))
 
 
 def prefix_lines(prefix: Column) -> Column:
@@ -130,10 +165,31 @@ def training_prefix(prompt: Column, prefix_steps: Column) -> Column:
     return F.concat(strip(prompt), F.lit("\n\n"), segment_text(prefix_steps))
 
 
-def verifier_prompt(template: str, prompt: Column, prefix: Column) -> Column:
-    """``template`` with {prompt} and {prefix} filled in (all other text is literal)."""
-    out = F.lit(template)
-    return F.replace(F.replace(out, F.lit("{prompt}"), prompt), F.lit("{prefix}"), prefix)
+def judge_prompt(template: str, prompt: Column, prefix: Column) -> Column:
+    """``template`` with {prompt} and {prefix} filled in (all other text is literal, that of the values too)."""
+    out = [F.lit("")]
+    for i, part in enumerate(re.split(r"\{(prompt|prefix)\}", template)):
+        out.append(F.lit(part) if i % 2 == 0 else {"prompt": prompt, "prefix": prefix}[part])
+    return F.concat(*out)
+
+
+def log_prob_text(prompt: Column, prefix: Column) -> Column:
+    """Fixed form of the text whose mean token log probability is a score."""
+    return F.concat(F.lit("Question:\n"), prompt, F.lit("\n\nPartial solution:\n"), prefix)
+
+
+def reward_turns(prompt: Column, prefix: Column, system: str, step_token: str) -> Column:
+    """The conversation that a process reward model reads: array of (role, content); each step of the prefix ends with
+    the step token."""
+    turn = lambda role, content: F.struct(F.lit(role).alias("role"), content.alias("content"))
+    response = F.concat(F.array_join(prefix_lines(prefix), step_token), F.lit(step_token))
+    return F.array(turn("system", F.lit(system)), turn("user", prompt), turn("assistant", response))
+
+
+def reward_text(turns: Column) -> Column:
+    """The turns as plain text, for models without a chat template."""
+    own = lambda i: F.get(turns, F.lit(i))["content"]
+    return F.concat(own(0), F.lit("\n\n"), log_prob_text(own(1), own(2)))
 
 
 def gsm8k_answer(text: Column) -> Column:

@@ -1,7 +1,8 @@
 """Preference pairs from scored traces: one row per comparison of two traces of a prompt, kept or not, with a reason.
 
 ``decisions`` is one lazy plan: traces are exchanged once by prompt; canonical steps, group statistics and step
-support are computed once per trace before the self-join, so a comparison only looks values up.
+support are computed once per trace before the self-join. A comparison looks these up, and computes only what depends on
+both traces: the segments from where they diverge, and one canonical form of each, from which all flags are taken.
 """
 
 from __future__ import annotations
@@ -64,17 +65,20 @@ def _divergence(df: DataFrame, cfg: RunConfig) -> DataFrame:
         df = df.withColumn("similarity", F.lit(None).cast("double"))
     else:
         df = df.withColumn("similarity", signature_similarity(F.when(F.col("there"), F.col("sig_a")), F.when(F.col("there"), F.col("sig_b"))))
-    math = T.has_math(F.col("text_a")) | T.has_math(F.col("text_b"))
-    df = df.withColumn("min_chars", F.least(F.length("sig_a"), F.length("sig_b")))
+    # columns of their own, so that each is computed once for all flags
+    df = df.withColumns({f"canon_{x}": T.canon(F.col(f"text_{x}")) for x in "ab"})
+    canon_a, canon_b = F.col("canon_a"), F.col("canon_b")
+    df = df.withColumns({"math": T.math_of_canon(canon_a) | T.math_of_canon(canon_b), "min_chars": F.least(F.length("sig_a"), F.length("sig_b"))})
+    math = F.col("math")
     df = df.withColumns({
         "too_short": F.col("min_chars") < p.min_divergent_chars,
         "exact_match": F.col("sig_a") == F.col("sig_b"),
         "near_identical": F.coalesce(F.col("similarity") >= p.max_near_identical_similarity, F.lit(False)),
         "reconverges": A.reconverges(F.col("a.canon"), F.col("b.canon"), k, h),
-        "formatting_only": T.alnum_signature(F.col("text_a")) == T.alnum_signature(F.col("text_b")),
-        "boilerplate_only": T.is_preamble(F.col("text_a")) & T.is_preamble(F.col("text_b")) & ~math,
+        "formatting_only": T.alnum_of_canon(canon_a) == T.alnum_of_canon(canon_b),
+        "boilerplate_only": T.preamble_of_canon(canon_a) & T.preamble_of_canon(canon_b) & ~math,
     })
-    trivial = F.col("too_short") | ((T.content_tokens(F.col("text_a")) == T.content_tokens(F.col("text_b"))) & ~math)
+    trivial = F.col("too_short") | ((T.tokens_of_canon(canon_a) == T.tokens_of_canon(canon_b)) & ~math)
     df = df.withColumn("trivial_difference", trivial)
     weak = ["too_short", "exact_match", "formatting_only", "near_identical", "reconverges", "trivial_difference", "boilerplate_only"]
     return df.withColumn("weak", F.greatest(*[F.col(c) for c in weak]))

@@ -6,7 +6,7 @@ Denominators differ on purpose: shares of kept pairs are null when nothing is ke
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracepairs.config import RunConfig
@@ -49,6 +49,28 @@ def quality_counts(decided: DataFrame) -> DataFrame:
     return decided.agg(*[F.count_if(F.col(c)).alias(name) for name, c in QUALITY.items()])
 
 
+#: Sections of the orientation audit: which comparisons belong to each (a comparison may belong to several).
+# The titles.
+SECTIONS = {
+    "Kept: Correctness-Driven": lambda: kept() & F.col("orientation_reason").isin(CORRECTNESS_DRIVEN),
+    "Kept: Utility-Driven": lambda: kept() & F.col("orientation_reason").isin(UTILITY_DRIVEN),
+    "Kept: Same-Correctness Recovery": lambda: F.col("final_status").isin(
+        "kept_both_correct_strong_local_preference", "kept_both_wrong_delayed_error", "kept_same_correctness_utility_oriented"
+    ),
+    "Dropped: Divergence Sanity": lambda: F.col("final_status").isin([x for x in PURIFICATION_DROPS if not x.startswith("dropped_both")]),
+    "Dropped: Same-Correctness Admissibility": lambda: F.col("final_status").isin(
+        "dropped_both_correct_ambiguous", "dropped_both_wrong_uninformative", "dropped_same_correctness_low_confidence"
+    ),
+    "Dropped: Confidence Threshold": lambda: F.col("final_status") == "dropped_low_confidence",
+}
+
+
+def in_sections(decided: DataFrame) -> DataFrame:
+    """``decided`` with ``section``, once for each section of the orientation audit that a comparison belongs to."""
+    mine = F.array_compact(F.array(*[F.when(rule(), F.lit(title)) for title, rule in SECTIONS.items()]))
+    return decided.withColumn("section", F.explode(mine))
+
+
 def _taxonomy() -> dict[str, Column]:
     pattern = F.col("correctness_pattern")
     out = {p: F.count_if(kept() & (pattern == p)) for p in ("correct_vs_incorrect", "incorrect_vs_correct", "both_correct", "both_wrong")}
@@ -127,9 +149,35 @@ def histogram(df: DataFrame, value: Column, bins: int = 10) -> DataFrame:
     return all_bins.join(counts, "bin", "left").select("bin", "lo", "hi", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
 
+def median(df: DataFrame, value: Column, ranges: int = 1 << 20) -> DataFrame:
+    """One row ``median``: exact, null without values; for values from 0 to 1.
+
+    The values of each of many equal ranges are counted, which tells in which one or two of them the middle ranks are. Only
+    the different values of those are then put in order, so no task holds those of all rows.
+    """
+    v = df.select(value.alias("v")).where("v is not null").select("v", F.least(F.floor(F.col("v") * ranges), F.lit(ranges - 1)).alias("at"))
+    counts = v.groupBy("at").agg(F.count(F.lit(1)).alias("n"))
+    up_to = F.sum("n").over(Window.orderBy("at"))
+    counts = counts.select("at", (up_to - F.col("n")).alias("before"), up_to.alias("to"), F.sum("n").over(Window.partitionBy()).alias("all"))
+    middle = [F.floor((F.col("all") + i) / 2) for i in (1, 2)]  # ranks from 1
+    some = counts.where(((F.col("before") < middle[0]) & (middle[0] <= F.col("to"))) | ((F.col("before") < middle[1]) & (middle[1] <= F.col("to"))))
+    inner = v.join(F.broadcast(some), "at").groupBy("v", "at", "before", "all").agg(F.count(F.lit(1)).alias("n"))
+    place = F.col("before") + F.sum("n").over(Window.partitionBy("at").orderBy("v"))
+    inner = inner.withColumn("to", place).withColumn("first", place - F.col("n"))
+    one = lambda m: F.max(F.when((F.col("first") < m) & (m <= F.col("to")), F.col("v")))
+    return inner.agg(((one(middle[0]) + one(middle[1])) / 2).alias("median"))
+
+
+def _with_median(row: DataFrame, df: DataFrame, value: Column, name: str) -> DataFrame:
+    """The one row ``row`` with the median in place of its column ``name``."""
+    middle = median(df, value)  # one row each
+    return row.drop(name).crossJoin(F.broadcast(middle)).select(*[F.col("median").alias(name) if c == name else F.col(c) for c in row.columns])
+
+
 def confidence_stats(kept_pairs: DataFrame) -> DataFrame:
     c = pair_confidence(kept_pairs)
-    return kept_pairs.agg(F.count(F.lit(1)).alias("num_pairs"), F.avg(c).alias("mean_confidence"), F.median(c).alias("median_confidence"))
+    row = kept_pairs.agg(F.count(F.lit(1)).alias("num_pairs"), F.avg(c).alias("mean_confidence"), F.lit(None).cast("double").alias("median_confidence"))
+    return _with_median(row, kept_pairs, c, "median_confidence")
 
 
 def pearson(x: Column, y: Column) -> Column:
@@ -197,16 +245,17 @@ def analysis(decided: DataFrame, cfg: RunConfig) -> DataFrame:
     raw = F.count_if(F.col("is_candidate") & ~F.col("is_capped"))
     dropped = F.count_if(F.col("final_status") == "dropped_low_confidence")
     mean, right = F.avg(conf), F.avg(decisive)
-    return decided.agg(
+    row = decided.agg(
         F.count_if(k).alias("num_pairs"),
         raw.alias("num_raw_pairs"),
         dropped.alias("num_dropped_by_confidence"),
         (dropped / F.greatest(raw, F.lit(1))).alias("fraction_dropped_by_threshold"),
         mean.alias("mean_confidence"),
-        F.median(conf).alias("median_confidence"),
+        F.lit(None).cast("double").alias("median_confidence"),
         F.count(decisive).alias("decisive_pair_count"),
         right.alias("overall_decisive_pair_accuracy"),
         pearson(F.when(decisive.isNotNull(), conf), decisive).alias("confidence_correctness_correlation"),
         F.avg(F.when(c >= cfg.confidence.high_threshold, decisive)).alias("high_confidence_pair_accuracy"),
         (mean - right).alias("confidence_calibration_proxy"),
     )
+    return _with_median(row, decided, conf, "median_confidence")
