@@ -6,11 +6,10 @@ the last return the columns of ``documents``.
 
 from __future__ import annotations
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from tracepairs.llm.bpe_tree import bpe_round_trip
-from tracepairs.llm.common import materialize
+from tracepairs.llm.common import materialize, stage_tables
 from tracepairs.llm.exact_dedup import drop_copies
 from tracepairs.llm.langid import keep_identified
 from tracepairs.llm.mixing import take_mix
@@ -41,6 +40,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """``documents`` with token ids and the bytes decoded from them."""
+    import public_tokenizers
+
     ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     return bpe_round_trip(docs, ranks, public_tokenizers.PATTERN, ids_col=TOKEN_IDS, out_col=DECODED)
 
@@ -58,10 +59,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``."""
+    """All stages over ``documents``. The tables that a stage writes for itself go when its result is written; those of the
+    last stage and its input stay for the caller (:func:`tracepairs.llm.common.remove_tables`)."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for i, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i + 1 < len(STAGES):
-            docs = materialize(docs, name)
-    return docs
+    for name, stage in STAGES[:-1]:
+        with stage_tables(spark, keep=1):
+            docs = materialize(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
