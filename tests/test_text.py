@@ -47,3 +47,25 @@ def test_prefixes_and_schedule(spark):
     df = spark.sql("SELECT array('a', 'b') AS s UNION ALL SELECT cast(array() AS array<string>)")
     assert sorted(r[0] for r in df.select(T.cumulative_prefixes(F.col("s"))).collect()) == [[], ["a", "a\nb"]]
     assert A.schedule_steps(10, 4, 2, 0.25) == (6, 1)
+
+
+def test_texts_for_verifiers(spark):
+    row = spark.createDataFrame([("2 {prefix}?", "a\n\nb {prompt}")], "p string, x string")
+    p, x = F.col("p"), F.col("x")
+    assert row.select(T.judge_prompt("Q: {prompt} S: {prefix} {other}", p, x)).first()[0] == "Q: 2 {prefix}? S: a\n\nb {prompt} {other}"
+    assert row.select(T.log_prob_text(p, x)).first()[0] == "Question:\n2 {prefix}?\n\nPartial solution:\na\n\nb {prompt}"
+    turns = T.reward_turns(p, x, "be good", "<s>")
+    assert [tuple(t) for t in row.select(turns).first()[0]] == [("system", "be good"), ("user", "2 {prefix}?"), ("assistant", "a<s>b {prompt}<s>")]
+    assert row.select(T.reward_text(turns)).first()[0] == "be good\n\nQuestion:\n2 {prefix}?\n\nPartial solution:\na<s>b {prompt}<s>"
+
+
+def test_loss_of_tokens(spark):
+    """The penalty counts for light pairs only, and not without lambda."""
+    row = spark.createDataFrame([([-1.0, -2.0], [-1.0], [-1.5, -2.5], [-3.0])], "p array<double>, d array<double>, rp array<double>, rd array<double>")
+    loss = lambda w, lam: row.select(A.token_loss_terms(*map(F.col, ("p", "d", "rp", "rd")), F.lit(w), beta=0.2, lambda_ref=lam).alias("t")).first().t
+    import math
+
+    delta = (-3.0 + 1.0) - (-4.0 + 3.0)
+    term = math.log1p(math.exp(-0.2 * delta))
+    assert abs(loss(0.4, 0.1).loss - (0.4 * term + 0.1 * 0.6 * 0.5 * (0.25 + 4.0))) < 1e-12
+    assert loss(1.0, 0.1).loss == loss(1.0, 0.0).loss and abs(loss(0.4, 0.0).loss - 0.4 * term) < 1e-12 and abs(loss(0.4, 0.1).delta - delta) < 1e-12

@@ -7,6 +7,7 @@ import json
 from dataclasses import dataclass, field
 
 PAIR_MODES = ("current_utility", "correctness_priority", "strict_purified", "semi_purified")
+VERIFIERS = ("judge_token", "mean_logprob", "process_reward_model")
 METHODS = ("answer_dpo", "step_dpo", "confidence_filter_only", "confidence_weighted_step_dpo")
 
 
@@ -77,6 +78,8 @@ class DataConfig:
     max_process_examples: int | None = None
     prompt_sampling_seed: int = 42
     append_step_by_step_suffix: bool = True
+    dataset_name: str | None = None
+    dataset_config_name: str | None = None
 
 
 @dataclass(frozen=True)
@@ -87,10 +90,47 @@ class DiagnosticsConfig:
     num_orientation_audit_samples: int = 4
 
 
+@dataclass(frozen=True)
+class PathsConfig:
+    """Files of a run; names that nothing here reads are kept in ``other``."""
+
+    prompt_file: str | None = None
+    eval_prompt_file: str | None = None
+    process_ground_truth_file: str | None = None
+    output_dir: str | None = None
+    other: dict = field(default_factory=dict)
+
+
+@dataclass(frozen=True)
+class ResumeConfig:
+    """Which stages take up the tables of an earlier run."""
+
+    use_existing_traces: bool = False
+    use_existing_scored: bool = False
+    use_existing_pairs: bool = False
+    use_existing_checkpoint: bool = False
+    use_existing_final_eval: bool = False
+    use_existing_process_eval: bool = False
+
+
+@dataclass(frozen=True)
+class VerifierConfig:
+    mode: str = "judge_token"
+    prompt_template: str = ""
+    prm_system_prompt: str = "Please reason step by step, and put your final answer within \\boxed{}."
+    prm_step_token: str = "<extra_0>"
+    prm_positive_label_index: int = 1
+    other: dict = field(default_factory=dict)
+
+    def __post_init__(self):
+        _one_of(self.mode, VERIFIERS, "verifier mode")
+
+
 @dataclass(frozen=True)
 class TrainingConfig:
     beta: float = 0.1
     lambda_ref: float = 0.0
+    other: dict = field(default_factory=dict)
 
 
 @dataclass(frozen=True)
@@ -101,6 +141,10 @@ class RunConfig:
     data: DataConfig = field(default_factory=DataConfig)
     diagnostics: DiagnosticsConfig = field(default_factory=DiagnosticsConfig)
     training: TrainingConfig = field(default_factory=TrainingConfig)
+    paths: PathsConfig = field(default_factory=PathsConfig)
+    resume: ResumeConfig = field(default_factory=ResumeConfig)
+    verifier: VerifierConfig = field(default_factory=VerifierConfig)
+    models: dict = field(default_factory=dict)
     seed: int = 42
 
     @property
@@ -121,16 +165,42 @@ class RunConfig:
         return dataclasses.replace(self, pair=dataclasses.replace(self.pair, pair_mode=pair_mode))
 
 
+#: Sections about models, which are kept as they are.
+_MODEL_SECTIONS = ("dtype", "device", "policy", "evaluation")
+_GATE = "semi_purified_"
+
+
+def _gates(pair: dict) -> dict:
+    """``semi_purified_both_correct_min_confidence`` and the like as fields of the gates; the thresholds that the classes
+    have of their own replace the general ones of margin and gap."""
+    out = {}
+    for name, value in pair.items():
+        of = next((g for g in ("both_correct", "both_wrong") if name.startswith(f"{_GATE}{g}_")), None)
+        if of:
+            out[of] = {**out.get(of, {}), name.removeprefix(f"{_GATE}{of}_"): value}
+        elif name in ("both_correct", "both_wrong"):
+            out[name] = {**out.get(name, {}), **value}
+        elif name not in (f"{_GATE}min_utility_margin", f"{_GATE}min_local_gap"):
+            out[name] = value
+    return out
+
+
 def from_dict(values: dict, kind: type = RunConfig):
     """A dataclass from nested plain values."""
     parts = {f.name: f for f in dataclasses.fields(kind)}
-    if unknown := set(values) - set(parts):
+    values = dict(values)
+    if kind is RunConfig:
+        models = {k: values.pop(k) for k in _MODEL_SECTIONS if k in values}
+        values["models"] = {**models, **values.get("models", {})}
+        values["pair"] = _gates(values.get("pair") or {})
+    unknown = {k: values.pop(k) for k in list(values) if k not in parts}
+    if unknown and "other" not in parts:
         raise ValueError(f"unknown {kind.__name__} fields: {', '.join(sorted(unknown))}")
     base = kind() if kind is not ClassGate else None
-    out = {}
+    out = {"other": {**unknown, **values.pop("other", {})}} if "other" in parts else {}
     for name, value in values.items():
         own = getattr(base, name, None) if base is not None else None
-        out[name] = from_dict({**dataclasses.asdict(own), **value} if isinstance(own, ClassGate) else value, type(own)) if dataclasses.is_dataclass(own) else value
+        out[name] = from_dict({**dataclasses.asdict(own), **value} if isinstance(own, ClassGate) else value or {}, type(own)) if dataclasses.is_dataclass(own) else value
     return kind(**out)
 
 

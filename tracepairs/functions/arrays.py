@@ -83,14 +83,6 @@ def mean_log_prob(token_log_probs: Column) -> Column:
     return F.when(F.size(token_log_probs) >= 1, total(token_log_probs) / F.size(token_log_probs)).otherwise(F.lit(0.0))
 
 
-def dpo_loss_terms(lp_pref: Column, lp_disp: Column, ref_pref: Column, ref_disp: Column, weight: Column, beta: float) -> Column:
-    """Struct (delta, dpo_term, loss) of a weighted preference pair from its sequence log probabilities."""
-    delta = (lp_pref - lp_disp) - (ref_pref - ref_disp)
-    x = beta * delta
-    term = F.greatest(-x, F.lit(0.0)) + F.log1p(F.exp(-F.abs(x)))  # -log sigmoid without overflow
-    return F.struct(delta.alias("delta"), term.alias("dpo_term"), (weight * term).alias("loss"))
-
-
 def reference_penalty(own_pref: Column, ref_pref: Column, own_disp: Column, ref_disp: Column) -> Column:
     """Mean squared distance of token log probabilities from the reference's, averaged over both branches."""
 
@@ -101,6 +93,26 @@ def reference_penalty(own_pref: Column, ref_pref: Column, own_disp: Column, ref_
     return 0.5 * (gap(own_pref, ref_pref) + gap(own_disp, ref_disp))
 
 
+def dpo_loss_terms(lp_pref: Column, lp_disp: Column, ref_pref: Column, ref_disp: Column, weight: Column, beta: float, *, penalty: Column | None = None, lambda_ref: float = 0.0) -> Column:
+    """Struct (delta, dpo_term, loss) of a weighted preference pair from its sequence log probabilities.
+
+    With ``lambda_ref`` above 0 the less a pair weighs, the more its ``penalty`` (:func:`reference_penalty`) counts.
+    """
+    delta = (lp_pref - lp_disp) - (ref_pref - ref_disp)
+    x = beta * delta
+    term = F.greatest(-x, F.lit(0.0)) + F.log1p(F.exp(-F.abs(x)))  # -log sigmoid without overflow
+    loss = weight * term
+    if lambda_ref > 0:
+        loss = loss + lambda_ref * (1.0 - weight) * penalty
+    return F.struct(delta.alias("delta"), term.alias("dpo_term"), loss.alias("loss"))
+
+
+def token_loss_terms(own_pref: Column, own_disp: Column, ref_pref: Column, ref_disp: Column, weight: Column, *, beta: float, lambda_ref: float) -> Column:
+    """As :func:`dpo_loss_terms` from arrays of token log probabilities, whose sums are those of the sequences."""
+    penalty = reference_penalty(own_pref, ref_pref, own_disp, ref_disp)
+    return dpo_loss_terms(total(own_pref), total(own_disp), total(ref_pref), total(ref_disp), weight, beta, penalty=penalty, lambda_ref=lambda_ref)
+
+
 def schedule_steps(batches: int, accumulation: int, epochs: int, warmup_ratio: float) -> tuple[int, int]:
     """Optimizer steps and warm-up steps."""
     steps = -(-batches // accumulation) * epochs

@@ -7,11 +7,14 @@ rows are wanted, never the rows) and joined to the data.
 from __future__ import annotations
 
 import random
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tracepairs.config import RunConfig
 from tracepairs.functions import text as T
+from tracepairs.sources.jsonl import read_jsonl, write_jsonl
 
 _BROADCAST_ORDINALS = 500_000
 
@@ -32,6 +35,55 @@ def sample_rows(df: DataFrame, limit: int | None, seed: int, ord_col: str = "ord
     return df.join(F.broadcast(keep) if len(chosen) <= _BROADCAST_ORDINALS else keep, ord_col, "left_semi")
 
 
+# --- prompts of a run ------------------------------------------------------------------------------------
+
+
+def with_line_ordinals(df: DataFrame, ord_col: str = "ord") -> DataFrame:
+    """``df``, read from files, with ordinals from 0 in the order of file names and of lines.
+
+    The rows of each split of a file are counted first (one number for a split reaches the driver), so nothing is sorted or
+    shuffled. Splits of a task follow each other, so a row's place in its split is told by its place in the task.
+    """
+    split = F.struct(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"))
+    rows = df.withColumn("__split", split).withColumn("__row", F.monotonically_increasing_id())
+    shifts, before = [], 0
+    for r in sorted(rows.groupBy("__split").agg(F.count(F.lit(1)).alias("n"), F.min("__row").alias("first")).collect()):
+        shifts.append((tuple(r["__split"]), before - r["first"]))
+        before += r["n"]
+    shifts = df.sparkSession.createDataFrame(shifts, "__split struct<path string, start long>, __shift long")
+    placed = rows.join(F.broadcast(shifts), "__split")
+    return placed.withColumn(ord_col, F.col("__row") + F.col("__shift")).drop("__split", "__row", "__shift")
+
+
+def load_prompts(spark: SparkSession, cfg: RunConfig, which: str = "train") -> DataFrame:
+    """The prompts to train on (``train``) or to evaluate on (``eval``), in the number that the configuration allows.
+
+    Evaluation prompts come from their own file, or the training file if there is none, and are drawn with the next seed.
+    """
+    evaluate = {"train": False, "eval": True}[which]
+    path = (cfg.paths.eval_prompt_file if evaluate else None) or cfg.paths.prompt_file
+    limit = cfg.data.max_eval_prompts if evaluate else cfg.data.max_train_prompts
+    rows = read_jsonl(spark, path, "prompt")
+    return rows if limit is None else sample_rows(with_line_ordinals(rows), limit, cfg.data.prompt_sampling_seed + evaluate).drop("ord")
+
+
+def prepare_data(spark: SparkSession, cfg: RunConfig, train: DataFrame, test: DataFrame) -> dict[str, DataFrame]:
+    """Writes the prompt, evaluation and process files of a configuration, as far as it names them, from (ord, question,
+    answer) rows. Their seeds follow each other."""
+    d, p = cfg.data, cfg.paths
+    if d.max_train_prompts is None or d.max_eval_prompts is None:
+        raise ValueError("data preparation needs max_train_prompts and max_eval_prompts")
+    prompts = lambda df, split, n, seed: gsm8k_prompts(df, split, n, seed, append_suffix=d.append_step_by_step_suffix)
+    made = {p.prompt_file: prompts(train, "train", d.max_train_prompts, d.prompt_sampling_seed)}
+    if p.eval_prompt_file:
+        made[p.eval_prompt_file] = prompts(test, "test", d.max_eval_prompts, d.prompt_sampling_seed + 1)
+    if p.process_ground_truth_file and d.max_process_examples:
+        made[p.process_ground_truth_file] = process_rows(spark, d.max_process_examples, d.prompt_sampling_seed + 2)
+    for path, df in made.items():
+        write_jsonl(df, path)
+    return made
+
+
 def gsm8k_prompts(df: DataFrame, split: str, count: int, seed: int, *, append_suffix: bool = True, ord_col: str = "ord") -> DataFrame:
     """Prompt records of a sample of (ord, question, answer) rows, numbered in source order."""
     total = df.count()
@@ -48,51 +100,96 @@ def gsm8k_prompts(df: DataFrame, split: str, count: int, seed: int, *, append_su
     )
 
 
-# Synthetic process rows: a template has a text and steps with {names}, and formulas for what is drawn and derived.
-# `wrong` replaces steps from the gold position on.
-TEMPLATES = [
-    {
-        "draw": {"boxes": (3, 9), "each": (4, 12), "given": (2, 10)},
-        "derive": {"all": "boxes * each", "left": "boxes * each - given", "bad": "boxes + each", "bad_left": "boxes + each - given"},
-        "prompt": "A shelf holds {boxes} boxes with {each} pens in each box. {given} pens are given away. How many pens are left?",
-        "right": ["There are {boxes} * {each} = {all} pens.", "After giving away {given} pens, {all} - {given} = {left} pens are left.", "The answer is {left}."],
-        "wrong": ["There are {boxes} + {each} = {bad} pens.", "After giving away {given} pens, {bad} - {given} = {bad_left} pens are left.", "The answer is {bad_left}."],
-        "final": ("left", "bad_left"),
-        "gold": 0,
-    },
-    {
-        "draw": {"items": (5, 20), "buy": (2, 6), "gain": (1, 5)},
-        "derive": {"cost": "items * buy", "sell": "buy + gain", "sales": "items * (buy + gain)", "profit": "items * gain", "bad": "items * (buy + gain) + items * buy"},
-        "prompt": "A seller buys {items} cups for {buy} dollars each and sells all of them for {sell} dollars each. What is the profit?",
-        "right": ["The cups cost {items} * {buy} = {cost} dollars.", "The profit is {sales} - {cost} = {profit} dollars.", "The answer is {profit}."],
-        "wrong": ["The cups cost {items} * {buy} = {cost} dollars.", "The profit is {sales} + {cost} = {bad} dollars.", "The answer is {bad}."],
-        "final": ("profit", "bad"),
-        "gold": 1,
-    },
-    {
-        "draw": {"long": (6, 20), "wide": (2, 5)},
-        "derive": {"sum": "long + wide", "around": "2 * (long + wide)", "area": "long * wide"},
-        "prompt": "A garden is {long} metres long and {wide} metres wide. How long is the fence around it?",
-        "right": ["The garden has four sides.", "Length and width make {long} + {wide} = {sum} metres.", "The fence is 2 * {sum} = {around} metres.", "The answer is {around}."],
-        "wrong": ["The garden has four sides.", "Length and width make {long} + {wide} = {sum} metres.", "The fence is {long} * {wide} = {area} metres.", "The answer is {area}."],
-        "final": ("around", "area"),
-        "gold": 2,
-    },
-]
+# --- synthetic process rows --------------------------------------------------------------------------------
+#
+# A template draws its numbers and gives a question, the two chains of steps without their last one, both results, and
+# the position of the first wrong step.
+
+Example = tuple[str, list[str], list[str], int, int, int]
+
+
+def _tank(rng: random.Random) -> Example:
+    """Wrong sign of the outflow, in the first step."""
+    inflow, minutes, start = rng.randint(11, 19), rng.randint(6, 15), rng.randint(50, 120)
+    outflow = rng.randint(2, 9)
+    net, sum_ = inflow - outflow, inflow + outflow
+
+    def chain(rate: int, sign: str) -> list[str]:
+        return [
+            f"Each minute the level changes by {inflow} {sign} {outflow} = {rate} litres.",
+            f"Over {minutes} minutes that is {minutes} * {rate} = {minutes * rate} litres.",
+            f"With the {start} litres from before there are {start + minutes * rate} litres.",
+        ]
+
+    question = f"A tank already holds {start} litres. A pipe brings {inflow} litres a minute while a crack loses {outflow} litres a minute. What does the tank hold {minutes} minutes later?"
+    return question, chain(net, "-"), chain(sum_, "+"), start + minutes * net, start + minutes * sum_, 0
+
+
+def _mean(rng: random.Random) -> Example:
+    """Division by one mark too few, in the second step."""
+    marks = [rng.randint(1, 5) * 12 for _ in range(4)]
+    total = sum(marks)
+
+    def chain(by: int) -> list[str]:
+        return [f"The marks add up to {' + '.join(map(str, marks))} = {total}.", f"Shared out over the tests this is {total} / {by} = {total // by}."]
+
+    return f"Lena got {marks[0]}, {marks[1]}, {marks[2]} and {marks[3]} points in four tests. What is her mean?", chain(4), chain(3), total // 4, total // 3, 1
+
+
+def _clock(rng: random.Random) -> Example:
+    """Hours of 100 minutes, in the third step."""
+    start, first, second = rng.randint(7, 11), rng.randint(35, 55), rng.randint(70, 95)
+    minutes = first + second
+    begin = [
+        f"The film starts {first} minutes after {start} o'clock.",
+        f"Its end is {first} + {second} = {minutes} minutes after {start} o'clock.",
+    ]
+
+    def chain(hour: int) -> list[str]:
+        return [*begin, f"An hour has {hour} minutes, so {minutes // hour} full hours pass and {minutes % hour} minutes are left.", f"On the clock it is then {start + minutes // hour}:{minutes % hour:02d}."]
+
+    question = f"A film of {second} minutes begins at {start}:{first:02d}. How many minutes past the full hour does it end?"
+    return question, chain(60), chain(100), minutes % 60, minutes % 100, 2
+
+
+def _discount(rng: random.Random) -> Example:
+    """The discount instead of what is left to pay, in the last step before the answer."""
+    price, percent, pieces = rng.randint(3, 14) * 20, rng.choice([10, 15, 35, 40]), rng.randint(2, 4)
+    whole, off = price * pieces, price * pieces * percent // 100
+    begin = [
+        f"Without any discount {pieces} coats cost {pieces} * {price} = {whole} euros.",
+        f"One percent of {whole} euros is {whole / 100:g} euros.",
+        f"The discount of {percent} percent comes to {off} euros.",
+    ]
+    right, wrong = [*begin, f"Left to pay are {whole} - {off} = {whole - off} euros."], [*begin, f"Left to pay are {off} euros."]
+    return f"A coat costs {price} euros. A shop takes {percent} percent off for {pieces} coats. What do they cost together?", right, wrong, whole - off, off, 3
+
+
+def _recipe(rng: random.Random) -> Example:
+    """Grams added for each guest instead of multiplied, in the second step."""
+    serves, guests, grams = rng.choice([2, 3, 4]), rng.randint(9, 16), rng.randint(5, 13) * 12
+    each = grams // serves
+
+    def chain(sign: str, all_: int) -> list[str]:
+        return [f"For one guest the cook takes {grams} / {serves} = {each} grams of rice.", f"The party takes {each} {sign} {guests} = {all_} grams."]
+
+    question = f"A recipe for {serves} guests takes {grams} grams of rice. How many grams does a party of {guests} guests take?"
+    return question, chain("*", each * guests), chain("+", each + guests), each * guests, each + guests, 1
+
+
+TEMPLATES: list[Callable[[random.Random], Example]] = [_tank, _mean, _clock, _discount, _recipe]
 
 
 def process_rows(spark: SparkSession, count: int, seed: int) -> DataFrame:
     """``count`` gold records from the templates, by one seeded stream of draws on the driver."""
     rng, rows = random.Random(seed), []
     for i in range(count):
-        t = rng.choice(TEMPLATES)
-        right_name, wrong_name = t["final"]
-        values = {right_name: 0, wrong_name: 0}
-        while values[right_name] == values[wrong_name]:  # the mistake must show in the answer
-            values = {name: rng.randint(*span) for name, span in t["draw"].items()}
-            values |= {name: eval(formula, {"__builtins__": {}}, dict(values)) for name, formula in t["derive"].items()}  # noqa: S307 - formulas above
-        right, wrong = ([s.format(**values) for s in t[which]] for which in ("right", "wrong"))
-        rows.append((f"process_{i:05d}", t["gold"], t["prompt"].format(**values), str(values[t["final"][0]]), right, wrong, str(values[t["final"][1]])))
+        template = rng.choice(TEMPLATES)
+        question, right, wrong, answer, other, gold = template(rng)
+        while answer == other:  # the mistake must show in the answer
+            question, right, wrong, answer, other, gold = template(rng)
+        right, wrong = [*right, f"The answer is {answer}."], [*wrong, f"The answer is {other}."]
+        rows.append((f"process_{i:05d}", gold, question, str(answer), right, wrong, str(other)))
     schema = "id string, gold_earliest_error_step int, prompt string, answer string, correct_steps array<string>, incorrect_steps array<string>, incorrect_final_answer string"
     return spark.createDataFrame(rows, schema)
 
@@ -100,8 +197,6 @@ def process_rows(spark: SparkSession, count: int, seed: int) -> DataFrame:
 def audit_sample(df: DataFrame, bucket_col: str, buckets: list[str], order_by: list[str], per_bucket: int, seed: int) -> DataFrame:
     """``per_bucket`` rows of each bucket for an audit, chosen by a seeded hash of the ordering columns (stable when
     other rows come or go); a top-k per bucket, without collecting anything."""
-    from pyspark.sql import Window
-
     key = F.xxhash64(F.lit(seed), *order_by)
     ranked = df.where(F.col(bucket_col).isin(buckets)).withColumn("__rn", F.row_number().over(Window.partitionBy(bucket_col).orderBy(key, *order_by)))
     return ranked.where(F.col("__rn") <= per_bucket).drop("__rn")

@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tracepairs.config import VerifierConfig
+from tracepairs.functions import arrays as A
 from tracepairs.functions import text as T
 
 ColumnScorer = Callable[[Column, Column], Column]
@@ -29,6 +31,28 @@ def scorer(name: str) -> ColumnScorer:
     return _SCORERS[name]
 
 
+# --- verifiers: what a model reads and how its output becomes a score ---------------------------------------
+
+
+def verifier_text(cfg: VerifierConfig, prompt: Column, prefix: Column) -> Column:
+    """The text whose next token, token log probabilities or step rewards the configured verifier scores."""
+    if cfg.mode == "judge_token":
+        return T.judge_prompt(cfg.prompt_template, prompt, prefix)
+    if cfg.mode == "mean_logprob":
+        return T.log_prob_text(prompt, prefix)
+    return T.reward_text(T.reward_turns(prompt, prefix, cfg.prm_system_prompt, cfg.prm_step_token))
+
+
+def verifier_score(cfg: VerifierConfig, output: Column) -> Column:
+    """The score in a model's output: of the logits (positive, negative) of the two judging tokens, of an array of token
+    log probabilities, or of a struct (logits, token_mask) with labels' logits at each position."""
+    if cfg.mode == "judge_token":
+        return A.softmax_at(output, 0)
+    if cfg.mode == "mean_logprob":
+        return A.mean_log_prob(output)
+    return A.process_reward(output["logits"], output["token_mask"], cfg.prm_positive_label_index)
+
+
 def length_scorer(prompt: Column, prefix: Column) -> Column:
     """A deterministic stand-in for a model: shorter prefixes with more digits score higher, between 0 and 1."""
     digits = F.regexp_count(prefix, F.lit(r"\d"))

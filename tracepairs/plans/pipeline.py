@@ -40,9 +40,11 @@ def _rows(df: DataFrame) -> list[dict]:
 def run_pairs(spark: SparkSession, traces: DataFrame, cfg: RunConfig, out_dir: str, *, scorer: ColumnScorer | None = None, gold: DataFrame | None = None, resume_from: str | None = None) -> RunResult:
     """Builds and writes ``scored``, ``decisions`` and ``pairs`` under ``out_dir``; later stages read the tables.
 
-    ``scorer`` is needed for traces without ``step_scores``. Tables of stages up to ``resume_from`` are reused if there.
+    ``scorer`` is needed for traces without ``step_scores``. Tables of stages up to ``resume_from`` are reused if there, and
+    those that the configuration's flags name (decisions belong to the pairs).
     """
-    again = {s: reusable(s, STAGES, resume_from=resume_from) for s in STAGES}
+    flags = {"scored": cfg.resume.use_existing_scored, "decisions": cfg.resume.use_existing_pairs, "pairs": cfg.resume.use_existing_pairs}
+    again = {s: reusable(s, STAGES, resume_from=resume_from, flag=flags[s]) for s in STAGES}
     scored = stage_table(spark, f"{out_dir}/scored", lambda: score_traces(traces, scorer) if scorer else traces, reuse=again["scored"])
     decided = stage_table(spark, f"{out_dir}/decisions", lambda: P.decisions(scored, cfg), reuse=again["decisions"])
     kept = stage_table(spark, f"{out_dir}/pairs", lambda: P.training_order(P.pairs(decided)), reuse=again["pairs"])
@@ -50,6 +52,7 @@ def run_pairs(spark: SparkSession, traces: DataFrame, cfg: RunConfig, out_dir: s
         "method_name": cfg.method.name,
         "pair_type": cfg.pair_type,
         "pair_mode": cfg.pair.pair_mode if cfg.pair_type == "local_step" else "answer_level",
+        "lambda_ref": cfg.training.lambda_ref,
         "purity": _row(R.purity_report(decided, cfg)) | _row(R.average_steps(scored)),
         "status_counts": {r["value"]: r["n"] for r in _rows(R.value_counts(decided, "final_status").orderBy("value"))},
         "orientation_counts": {r["value"]: r["n"] for r in _rows(R.orientation_counts(decided).orderBy("value"))},
@@ -78,7 +81,7 @@ def run_summary(result: RunResult, process: dict | None = None, final: dict | No
     """The figures of all stages in one flat report."""
     purity = result.summary["purity"]
     n = max(1, purity["num_kept_pairs"])
-    out = {k: result.summary[k] for k in ("method_name", "pair_type", "pair_mode")}
+    out = {k: result.summary[k] for k in ("method_name", "pair_type", "pair_mode", "lambda_ref")}
     out |= purity | result.summary["analysis"]
     out |= {f"kept_fraction_{k}": purity[k] / n for k in ("both_correct", "both_wrong")}
     out["kept_fraction_same_correctness"] = out["kept_fraction_both_correct"] + out["kept_fraction_both_wrong"]
@@ -86,21 +89,23 @@ def run_summary(result: RunResult, process: dict | None = None, final: dict | No
     return out
 
 
-def write_reports(result: RunResult, cfg: RunConfig, out_dir: str, process: dict | None = None) -> None:
+def write_reports(result: RunResult, cfg: RunConfig, out_dir: str, process: dict | None = None, final: dict | None = None) -> None:
     """JSON and Markdown reports; every table in them is an aggregate or a bounded sample."""
     os.makedirs(out_dir, exist_ok=True)
-    write_json(run_summary(result, process), f"{out_dir}/run_summary.json")
+    whole = run_summary(result, process, final)
+    write_json(whole, f"{out_dir}/run_summary.json")
     write_json(result.summary, f"{out_dir}/pair_report.json")
     d = cfg.diagnostics
     audits = S.audit_sample(result.pairs, "confidence_bucket", ["low", "medium", "high"], ["decision_id"], d.num_audit_samples_per_bucket, d.pair_audit_seed)
-    oriented = S.audit_sample(result.decisions, "final_status", sorted(result.summary["status_counts"]), ["a_ord", "b_ord", "id"], d.num_orientation_audit_samples, d.pair_audit_seed)
+    oriented = S.audit_sample(R.in_sections(result.decisions), "section", list(R.SECTIONS), ["a_ord", "b_ord", "id"], d.num_orientation_audit_samples, d.pair_audit_seed)
     texts = {
         "confidence.md": render.confidence_report(result.summary["analysis"], result.summary["buckets"], result.summary["histogram"]),
         "pair_audit.md": render.pair_audit("Kept pairs by confidence", _rows(audits.orderBy("confidence_bucket", "decision_id"))),
-        "orientation_audit.md": render.pair_audit("Comparisons by outcome", _rows(oriented.orderBy("final_status", "id", "a_ord", "b_ord"))),
+        "orientation_audit.md": render.orientation_audit(list(R.SECTIONS), _rows(oriented.orderBy("section", "id", "a_ord", "b_ord"))),
+        "diagnosis.md": render.diagnosis_summary(whole, result.summary["status_counts"]),
     }
     if process and "metrics" in process:
-        texts["process_failures.md"] = render.process_failures(process["metrics"], process["failures"])
+        texts["process_failures.md"] = render.process_failures(process["metrics"], process["failures"], process["pair_build"]["buckets"])
     for name, text in texts.items():
         with open(f"{out_dir}/{name}", "w", encoding="utf-8") as f:
             f.write(text)

@@ -7,13 +7,16 @@ an event put into words, its score the scaled value; a trace is right when it ha
 from __future__ import annotations
 
 import dataclasses
+import random
+import tempfile
+import uuid
 from collections.abc import Callable
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tracepairs.config import ConfidenceConfig, MethodConfig, PairConfig, RunConfig
+from tracepairs.config import ConfidenceConfig, MethodConfig, PairConfig, RunConfig, VerifierConfig, from_dict
 from tracepairs.functions import arrays as A
 from tracepairs.functions import text as T
 from tracepairs.operators import pairs as P
@@ -21,6 +24,7 @@ from tracepairs.operators import process_eval as E
 from tracepairs.operators import reports as R
 from tracepairs.operators import sampling as S
 from tracepairs.operators import scoring as G
+from tracepairs.sources.jsonl import read_jsonl, write_jsonl
 
 #: For queries that SQL checks, no similarity counts as near identical: SQL has no such matching.
 BASE = RunConfig(
@@ -312,13 +316,17 @@ _GSM_SQL = r"""g AS (SELECT o_orderkey, ' What does order ' || o_orderkey || CAS
     WHEN 1 THEN 'It costs ' || CAST(floor(o_totalprice) AS BIGINT) || ' in all.' || chr(10) || '#### ' || format('{:,}', CAST(floor(o_totalprice) AS BIGINT)) ELSE 'none given' END AS answer FROM orders)"""
 
 
-@_query(rf"""WITH {_GSM_SQL} SELECT o_orderkey, CASE WHEN contains(answer, '####') THEN nullif(trim(string_split(answer, '####')[1], chr(10) || ' '), '') END AS solution,
-  CASE WHEN contains(answer, '####') THEN replace(trim(string_split(answer, '####')[-1]), ',', '') ELSE coalesce(replace(regexp_extract_all(answer, '[-+]?\d[\d,]*(?:\.\d+)?')[-1], ',', ''), trim(answer)) END AS answer FROM g""")
+_GSM_SOLUTION_SQL = "CASE WHEN contains(answer, '####') THEN nullif(trim(string_split(answer, '####')[1], chr(10) || ' '), '') END"
+_GSM_ANSWER_SQL = r"""CASE WHEN contains(answer, '####') THEN replace(trim(string_split(answer, '####')[-1]), ',', '') ELSE coalesce(replace(regexp_extract_all(answer, '[-+]?\d[\d,]*(?:\.\d+)?')[-1], ',', ''), trim(answer)) END"""
+_GSM_PROMPT_SQL = "CASE WHEN contains(lower(question), 'step by step') THEN trim(question) ELSE trim(question) || chr(10) || 'Show your reasoning step by step.' END"
+
+
+@_query(f"WITH {_GSM_SQL} SELECT o_orderkey, {_GSM_SOLUTION_SQL} AS solution, {_GSM_ANSWER_SQL} AS answer FROM g")
 def gsm8k_answer_parse(spark, sf_dir):
     return _gsm8k_source(spark, sf_dir).select("o_orderkey", T.gsm8k_answer(F.col("answer")).alias("a")).select("o_orderkey", "a.*")
 
 
-@_query(f"WITH {_GSM_SQL} SELECT o_orderkey, CASE WHEN contains(lower(question), 'step by step') THEN trim(question) ELSE trim(question) || chr(10) || 'Show your reasoning step by step.' END AS prompt FROM g")
+@_query(f"WITH {_GSM_SQL} SELECT o_orderkey, {_GSM_PROMPT_SQL} AS prompt FROM g")
 def prompt_suffix(spark, sf_dir):
     return _gsm8k_source(spark, sf_dir).select("o_orderkey", T.prompt_with_suffix(F.col("question")).alias("prompt"))
 
@@ -557,6 +565,32 @@ def _purity_sql(cfg: RunConfig) -> str:
   CAST(0 AS DOUBLE) AS near_identical_divergence_fraction, {share(f"coalesce(min_chars, 0) < {cfg.pair.min_divergent_chars}", every)} AS very_short_divergent_region_fraction FROM dec"""
 
 
+_IN = lambda names: "(" + ", ".join(repr(x) for x in names) + ")"
+_SECTION_SQL = {
+    "Kept: Correctness-Driven": f"{_KEPT_SQL} AND orientation_reason IN {_IN(R.CORRECTNESS_DRIVEN)}",
+    "Kept: Utility-Driven": f"{_KEPT_SQL} AND orientation_reason IN {_IN(R.UTILITY_DRIVEN)}",
+    "Kept: Same-Correctness Recovery": f"final_status IN {_IN(['kept_both_correct_strong_local_preference', 'kept_both_wrong_delayed_error', 'kept_same_correctness_utility_oriented'])}",
+    "Dropped: Divergence Sanity": f"final_status IN {_IN(['dropped_weak_divergence', 'dropped_trivial_segment_difference', 'dropped_near_identical', 'dropped_formatting_only', 'dropped_unstable_boundary'])}",
+    "Dropped: Same-Correctness Admissibility": f"final_status IN {_IN(['dropped_both_correct_ambiguous', 'dropped_both_wrong_uninformative', 'dropped_same_correctness_low_confidence'])}",
+    "Dropped: Confidence Threshold": "final_status = 'dropped_low_confidence'",
+}
+SEMI = BASE.with_mode("semi_purified")
+
+
+@_query(_dec(SEMI, " SELECT * FROM (" + " UNION ALL ".join(f"SELECT '{title}' AS section, count(*) AS n FROM dec WHERE {c}" for title, c in _SECTION_SQL.items()) + ") WHERE n > 0"))
+def orientation_sections(spark, sf_dir):
+    return R.in_sections(_decided(spark, sf_dir, SEMI)).groupBy("section").agg(F.count(F.lit(1)).alias("n"))
+
+
+@_query(_with(f""", ans AS ({_ANSWER_SQL}) SELECT count(*) AS num_trace_comparisons, {_F("final_status LIKE 'kept%'")} AS num_builder_candidates_before_method, {_F("final_status LIKE 'kept%'")} AS num_kept_pairs,
+  {_F("final_status LIKE 'kept%'")} AS correct_vs_incorrect, {_F("final_status NOT LIKE 'kept%'")} AS unresolved_or_skipped, 1.0::DOUBLE AS fraction_strictly_instructional_pairs,
+  1.0::DOUBLE AS fraction_orientation_driven_by_correctness, 0.0::DOUBLE AS very_short_divergent_region_fraction FROM ans"""))
+def answer_level_report(spark, sf_dir):
+    found = _rounded(R.purity_report(_decided(spark, sf_dir, ANSWER), ANSWER))
+    return found.select("num_trace_comparisons", "num_builder_candidates_before_method", "num_kept_pairs", "correct_vs_incorrect", "unresolved_or_skipped", "fraction_strictly_instructional_pairs",
+                        "fraction_orientation_driven_by_correctness", "very_short_divergent_region_fraction")
+
+
 def _rounded(df: DataFrame) -> DataFrame:
     return df.select(*[_r(f.name) if f.dataType.simpleString() == "double" else F.col(f.name) for f in df.schema])
 
@@ -689,13 +723,56 @@ def process_expand(spark, sf_dir):
 # --- sampling, scoring, losses ------------------------------------------------------------------------------------
 
 
-@_query()
+def _scratch(spark: SparkSession, name: str) -> str:
+    """A new folder that the driver and all executors share; where none is named, a temporary one of a local master."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a shared folder")
+        shared = tempfile.mkdtemp(prefix="tracepairs-")
+    return f"{shared}/{name}-{uuid.uuid4().hex}"
+
+
+_PROMPT_FILE_SQL = "p AS (SELECT 'p' || o_orderkey AS id, ' What does it cost? ' || chr(10) || '\"' || o_orderkey || '\" é' AS prompt, CAST(o_custkey AS VARCHAR) AS answer, NULL::VARCHAR AS reference_solution, CASE WHEN o_orderkey % 2 = 0 THEN 'train' END AS source_split, o_orderkey FROM orders)"
+
+
+def _prompt_file(spark: SparkSession, sf_dir: str) -> str:
+    o = _table(spark, sf_dir, "orders").orderBy("o_orderkey")
+    prompt = F.concat(F.lit(' What does it cost? \n"'), "o_orderkey", F.lit('" é'))
+    rows = o.select(F.concat(F.lit("p"), "o_orderkey").alias("id"), prompt.alias("prompt"), F.col("o_custkey").cast("string").alias("answer"), F.lit("x").alias("more"), F.when(F.col("o_orderkey") % 2 == 0, "train").alias("source_split"))
+    path = _scratch(spark, "prompts")
+    write_jsonl(rows, path)
+    return path
+
+
+@_query(f"WITH {_PROMPT_FILE_SQL} SELECT id, prompt, answer, reference_solution, source_split FROM p")
+def jsonl_round_trip(spark, sf_dir):
+    return read_jsonl(spark, _prompt_file(spark, sf_dir), "prompt")
+
+
+@_query(f"""WITH {_PROMPT_FILE_SQL}, t AS (SELECT unnest(CASE (SELECT count(*) FROM orders) {" ".join(f"WHEN {n} THEN {sorted(random.Random(5).sample(range(n), 60))}" for n in (1500, 15_000, 150_000))} END) AS ord),
+e AS (SELECT unnest(CASE (SELECT count(*) FROM orders) {" ".join(f"WHEN {n} THEN {sorted(random.Random(6).sample(range(n), 40))}" for n in (1500, 15_000, 150_000))} END) AS ord)
+SELECT 'train' AS which, id, answer FROM p JOIN t ON o_orderkey = ord UNION ALL SELECT 'eval', id, answer FROM p JOIN e ON o_orderkey = ord""")
+def prompt_samples(spark, sf_dir):
+    cfg = from_dict({"paths": {"prompt_file": _prompt_file(spark, sf_dir)}, "data": {"max_train_prompts": 60, "max_eval_prompts": 40, "prompt_sampling_seed": 5}})
+    train, evaluate = (S.load_prompts(spark, cfg, which).select(F.lit(which).alias("which"), "id", "answer") for which in ("train", "eval"))
+    return train.unionByName(evaluate)
+
+
+def _drawn_sql(count: int, seed: int) -> str:
+    """The ordinals that the generator draws for the sizes of the test table, in rising order."""
+    by_size = " ".join(f"WHEN {n} THEN {sorted(random.Random(seed).sample(range(n), count))}" for n in (1500, 15_000, 150_000))
+    return f"drawn AS (SELECT ord, row_number() OVER (ORDER BY ord) - 1 AS out FROM (SELECT unnest(CASE (SELECT count(*) FROM orders) {by_size} END) AS ord))"
+
+
+@_query(f"WITH {_drawn_sql(100, 42)} SELECT ord, o_orderkey FROM drawn JOIN orders ON o_orderkey = ord")
 def seeded_sample(spark, sf_dir):
     ordered = _gsm8k_source(spark, sf_dir)
     return S.sample_rows(ordered, 100, 42).select("ord", "o_orderkey")
 
 
-@_query()
+@_query(rf"""WITH {_GSM_SQL}, {_drawn_sql(100, 42)} SELECT 'train__1__' || lpad(CAST(out AS VARCHAR), 5, '0') AS id, {_GSM_PROMPT_SQL} AS prompt, {_GSM_ANSWER_SQL} AS answer, {_GSM_SOLUTION_SQL} AS reference_solution, 'train[:1]' AS source_split
+FROM drawn JOIN g ON o_orderkey = ord""")
 def gsm8k_prompts(spark, sf_dir):
     return S.gsm8k_prompts(_gsm8k_source(spark, sf_dir), "train[:1]", 100, 42)
 
@@ -720,6 +797,40 @@ def dpo_loss_terms(spark, sf_dir):
     return li.select("l_orderkey", "l_linenumber", terms.alias("t")).select("l_orderkey", "l_linenumber", _r("t.delta", "delta"), _r("t.dpo_term", "dpo_term"), _r("t.loss", "loss"))
 
 
+_TOKENS_SQL = """t AS (SELECT vec_id, list_transform(embedding[1:4], lambda x: -abs(CAST(x AS DOUBLE))) AS p, list_transform(embedding[5:8], lambda x: -abs(CAST(x AS DOUBLE))) AS d,
+  list_transform(embedding[9:12], lambda x: -abs(CAST(x AS DOUBLE))) AS rp, list_transform(embedding[13:16], lambda x: -abs(CAST(x AS DOUBLE))) AS rd, abs(CAST(embedding[17] AS DOUBLE)) AS w FROM embeddings),
+u AS (SELECT vec_id, w, (list_sum(p) - list_sum(d)) - (list_sum(rp) - list_sum(rd)) AS delta,
+  0.5 * (list_avg(list_transform(list_zip(p, rp), lambda x: (x[1] - x[2]) * (x[1] - x[2]))) + list_avg(list_transform(list_zip(d, rd), lambda x: (x[1] - x[2]) * (x[1] - x[2])))) AS pen FROM t)"""
+
+
+@_query(f"WITH {_TOKENS_SQL} SELECT vec_id, round(delta, 5) AS delta, round(term, 5) AS dpo_term, round(w * term + 0.1 * (1 - w) * pen, 5) AS loss FROM (SELECT *, greatest(-0.2 * delta, 0) + ln(1 + exp(-abs(0.2 * delta))) AS term FROM u)")
+def token_loss_terms(spark, sf_dir):
+    tokens = lambda i: F.transform(F.slice("embedding", i, 4), lambda x: -F.abs(x.cast("double")))
+    terms = A.token_loss_terms(tokens(1), tokens(5), tokens(9), tokens(13), F.abs(F.get("embedding", F.lit(16)).cast("double")), beta=0.2, lambda_ref=0.1)
+    t = _table(spark, sf_dir, "embeddings").select("vec_id", terms.alias("t"))
+    return t.select("vec_id", *[F.round(f"t.{c}", 5).alias(c) for c in ("delta", "dpo_term", "loss")])
+
+
+@_query("""SELECT vec_id, round(exp(embedding[1]) / (exp(embedding[1]) + exp(embedding[2])), 5) AS judge, round(list_avg(list_transform(embedding[1:6], lambda x: CAST(x AS DOUBLE))), 5) AS log_prob,
+  round(exp(embedding[4]) / (exp(embedding[3]) + exp(embedding[4])), 5) AS reward FROM embeddings""")
+def verifier_scores(spark, sf_dir):
+    e = lambda i: F.get("embedding", F.lit(i)).cast("double")
+    outputs = {
+        "judge_token": F.array(e(0), e(1)),
+        "mean_logprob": F.array(*[e(i) for i in range(6)]),
+        "process_reward_model": F.struct(F.array(F.array(e(0), e(1)), F.array(e(2), e(3)), F.array(e(4), e(5))).alias("logits"), F.array(F.lit(1), F.lit(1), F.lit(0)).alias("token_mask")),
+    }
+    scores = [F.round(G.verifier_score(VerifierConfig(mode=mode), x), 5).alias(name) for (mode, x), name in zip(outputs.items(), ("judge", "log_prob", "reward"))]
+    return _table(spark, sf_dir, "embeddings").select("vec_id", *scores)
+
+
+@_query("""SELECT conv_id, turn, 'Q: ' || text || ' {x} S: ' || role || '!' AS judge, 'Question:' || chr(10) || text || chr(10) || chr(10) || 'Partial solution:' || chr(10) || role AS log_prob,
+  'be good' || chr(10) || chr(10) || 'Question:' || chr(10) || text || chr(10) || chr(10) || 'Partial solution:' || chr(10) || role || '<s>' AS reward FROM conversations""")
+def verifier_prompts(spark, sf_dir):
+    forms = {"judge": VerifierConfig(prompt_template="Q: {prompt} {x} S: {prefix}!"), "log_prob": VerifierConfig(mode="mean_logprob"), "reward": VerifierConfig(mode="process_reward_model", prm_system_prompt="be good", prm_step_token="<s>")}
+    return _table(spark, sf_dir, "conversations").select("conv_id", "turn", *[G.verifier_text(cfg, F.col("text"), F.col("role")).alias(name) for name, cfg in forms.items()])
+
+
 @_query("SELECT vec_id, round(exp(embedding[4]) / (exp(embedding[3]) + exp(embedding[4])), 5) AS reward FROM embeddings")
 def process_reward_prob(spark, sf_dir):
     e = lambda i: F.get("embedding", F.lit(i)).cast("double")
