@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracepairs.llm.common import map_arrow, raw, slices
-from tracepairs.llm.mjpeg import encode_frames, luma_samples
+from tracepairs.llm.mjpeg import encode_frames, luma_pixels, luma_samples
 
 SIDE = 24
 FRAME_BYTES = SIDE * SIDE
@@ -243,6 +243,37 @@ def decode_avi(df: DataFrame, media_col: str = "media", *, keep_media: bool = Tr
     return _flat(map_arrow(rows, run, schema), kept, DECODED)
 
 
+FRAME = ["frame", "width", "height", "luma"]
+
+
+def decode_frames(df: DataFrame, media_col: str = "media", *, batch_pixels: int = 8 << 20) -> DataFrame:
+    """One row per frame of the AVI files: the other columns of ``df``, then ``frame`` (from 0), ``width, height`` and
+    ``luma``, the whole picture row by row as 8-bit samples (all null for a frame that cannot be decoded).
+
+    Input columns of these names are replaced. Null, empty and foreign bytes give no rows. Frames leave a task in batches of
+    about ``batch_pixels``, one frame at least.
+    """
+    kept = df.drop(media_col)
+    rows = _carried(df, media_col, F.lit(b""), [*FRAME, media_col])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                data = b.column(0)[i].as_buffer().to_pybytes()
+                avi = parse_avi(data)
+                step = max(1, batch_pixels // max(1, avi.width * avi.height))
+                for lo in range(0, len(avi.frames), step):
+                    found = luma_pixels([data[o : o + s] for o, s in avi.frames[lo : lo + step]])
+                    shape = [(None, None, None) if x is None else (x.shape[1], x.shape[0], x.tobytes()) for x in found]
+                    wide, high, luma = zip(*shape)
+                    own = b.column(1).take(pa.array([i] * len(found)))
+                    at = pa.array(range(lo, lo + len(found)), pa.int32())
+                    yield pa.RecordBatch.from_arrays([own, at, pa.array(wide, pa.int32()), pa.array(high, pa.int32()), pa.array(luma, pa.binary())], names=["__row", *FRAME])
+
+    schema = f"__row {rows.schema['__row'].dataType.simpleString()}, frame int, width int, height int, luma binary"
+    return _flat(map_arrow(rows, run, schema), kept, FRAME)
+
+
 def _shots(found: list[np.ndarray | None], cut: list[int]) -> np.ndarray:
     if not found:
         return np.zeros(0, bool)
