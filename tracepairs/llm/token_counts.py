@@ -4,7 +4,7 @@ Where the tokenizer's normaliser and splitting pattern never join characters acr
 as many tokens as its white-space-separated pre-tokens together. Tier one is a broadcast table of the
 token counts of the pre-tokens most frequent in the whole table: each task sums its own words up in a summary of bounded
 size, and summaries are merged by tree until one is left. The table only saves time and never changes a count. Tier two
-is a cache in each worker, bounded by ``cache_size``, that the library fills for pre-tokens not met before.
+is a cache in each worker, bounded by twice ``cache_size``, that the library fills for pre-tokens not met before.
 
 The tokenizer's file is checked for this when it is loaded; with any other, whole texts are encoded.
 """
@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import collections
 import json
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,6 +30,9 @@ _FAN_IN = 64  # summaries merged by a task
 #: Fixed value: a splitting pattern whose matches hold no white space and look at nothing outside.
 _WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
+#: The same on lower-case printable ASCII characters without spaces.
+_ASCII_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
+
 
 def splits_at_spaces(spec: str) -> bool:
     """Whether the tokenizer of this file never joins characters across ASCII white space."""
@@ -49,12 +53,14 @@ def splits_at_spaces(spec: str) -> bool:
 
 
 def reduced(counts: collections.Counter, size: int) -> collections.Counter:
-    """``counts`` of at most ``size`` words: the count of the word after these is taken off all, and words without a rest
-    go (Misra and Gries, 1982), which keeps each word with a share above 1 / ``size`` under any order of merging."""
+    """The ``size`` most frequent words (of equal ones the first by bytes): at most that many have a share above 1 / ``size``."""
     if len(counts) <= size:
         return counts
-    off = -int(np.partition(-np.fromiter(counts.values(), np.int64, len(counts)), size)[size])
-    return collections.Counter({w: n - off for w, n in counts.items() if n > off})
+    last = -int(np.partition(-np.fromiter(counts.values(), np.int64, len(counts)), size - 1)[size - 1])
+    out = collections.Counter({w: n for w, n in counts.items() if n > last})
+    ties = sorted(w for w, n in counts.items() if n == last)
+    out.update(dict.fromkeys(ties[: size - len(out)], last))
+    return out
 
 
 def _packed(task: int, counts: collections.Counter) -> list[pa.Array]:
@@ -93,6 +99,8 @@ def _merge(size: int):
         counts = collections.Counter()
         for words, n in zip(table.column("words").to_pylist(), table.column("counts").to_pylist()):
             counts.update(dict(zip(words.split(b" "), np.frombuffer(n, "<i8").tolist())))
+            if len(counts) > 4 * size:
+                counts = reduced(counts, size)
         return pa.table(_packed(table.column("task")[0].as_py() // _FAN_IN, reduced(counts, size)), names=_SUMMARY_NAMES)
 
     return run
@@ -111,29 +119,67 @@ def frequent_lengths(df: DataFrame, text_col: str, tokenizer: Tokenizer, *, tabl
         parts = materialize(merged, "summaries")
     row = parts.first()
     found = bytes(row.words).split(b" ") if row else []
-    return {w: len(e.ids) for w, e in zip(found, tokenizer.encode_batch([w.decode() for w in found], add_special_tokens=False))}
+    return dict(zip(found, _lengths(found, tokenizer)))
 
 
 # --- counts --------------------------------------------------------------------------------------------------
 
 
-def count_slice(texts: list[bytes], cache: dict[bytes, int], tokenizer: Tokenizer) -> list[int]:
-    """Tokens of each text; fills ``cache`` with the pre-tokens it lacked."""
-    split = [t.split() for t in texts]
-    lens = [list(map(cache.get, words)) for words in split]
-    missing = list({w for words, ns in zip(split, lens) if None in ns for w, n in zip(words, ns) if n is None})
-    found = dict(zip(missing, (len(e.ids) for e in tokenizer.encode_batch([w.decode() for w in missing], add_special_tokens=False)))) if missing else {}
-    out = []
-    for words, ns in zip(split, lens):
-        out.append(sum(found[w] if n is None else n for w, n in zip(words, ns)) if None in ns else sum(ns))
-    cache.update((w, n) for w, n in found.items() if len(w) < _LONG)
-    return out
+class Cache:
+    """Token counts of pre-tokens: the broadcast table, and what was met since, in two generations of up to ``size``.
+
+    When the younger one is full it becomes the older one; words found in that return to the younger. So frequent words stay.
+    New words of printable ASCII characters are split as the tokenizer's pattern does and counted by its model, piece by
+    piece, with up to ``size`` pieces kept; all others go through the whole tokenizer.
+    """
+
+    def __init__(self, table: dict[bytes, int], size: int, tokenizer: Tokenizer):
+        self.table, self.size, self.tokenizer, self.model = table, size, tokenizer, tokenizer.model
+        self.added = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
+        self.young, self.old = dict(table), {}
+        self.pieces: dict[str, int] = {}
+
+    def _encode(self, words: list[bytes]) -> dict[bytes, int]:
+        out, others, pieces = {}, [], self.pieces
+        if len(pieces) > self.size:
+            pieces.clear()
+        for w in words:
+            t = w.decode()
+            if not (t.isascii() and t.isprintable()) or any(a in t for a in self.added):
+                others.append(w)
+                continue
+            total = 0
+            for p in _ASCII_PIECES.findall(t.lower()):
+                n = pieces.get(p)
+                if n is None:
+                    n = pieces[p] = len(self.model.tokenize(p))
+                total += n
+            out[w] = total
+        out.update(zip(others, _lengths(others, self.tokenizer)))
+        return out
+
+    def count(self, texts: list[bytes]) -> list[int]:
+        """Tokens of each text."""
+        split = [t.split() for t in texts]
+        lens = [list(map(self.young.get, words)) for words in split]
+        missing = {w for words, ns in zip(split, lens) if None in ns for w, n in zip(words, ns) if n is None}
+        found = {w: n for w in missing if (n := self.old.get(w)) is not None}
+        found.update(self._encode([w for w in missing if w not in found]))
+        out = [sum(found[w] if n is None else n for w, n in zip(words, ns)) if None in ns else sum(ns) for words, ns in zip(split, lens)]
+        self.young.update((w, n) for w, n in found.items() if len(w) < _LONG)
+        if len(self.young) > len(self.table) + self.size:
+            self.young, self.old = dict(self.table), self.young
+        return out
+
+
+def _lengths(texts: list[bytes], tokenizer: Tokenizer) -> list[int]:
+    return [len(e) for e in tokenizer.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)]
 
 
 _state: dict[str, object] = {}
 
 
-def count_tokens(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", *, limit: int = 2048, cache_size: int = 400_000, table_share: float = 5e-6, table_size: int = 65_536) -> DataFrame:
+def count_tokens(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", *, limit: int = 2048, cache_size: int = 200_000, table_share: float = 5e-6, table_size: int = 65_536) -> DataFrame:
     """``id_col, n_bytes, n_tokens, over_limit`` for each row.
 
     Counts are those of the library without begin, end or added special tokens; special strings within a
@@ -158,15 +204,13 @@ def count_tokens(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", tex
             own = Tokenizer.from_str(spec)
             own.no_truncation()
             own.no_padding()
-            _state.update(spec=spec, tokenizer=own, cache=dict(table))
-        own = _state["tokenizer"]
+            _state.update(spec=spec, cache=Cache(table, cache_size, own))
+        cache = _state["cache"]
         for b in slices(batches, "text", 1 << 20):
-            if len(_state["cache"]) > cache_size + len(table):
-                _state["cache"] = dict(table)
             data, offs = raw(b.column(1))
             data = data.tobytes()
             texts = [data[lo:hi] for lo, hi in zip(offs[:-1], offs[1:])]
-            n = count_slice(texts, _state["cache"], own) if by_word else [len(e.ids) for e in own.encode_batch([t.decode() for t in texts], add_special_tokens=False)]
+            n = cache.count(texts) if by_word else _lengths(texts, cache.tokenizer)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.diff(offs)), pa.array(n, pa.int64())], names=["id", "n_bytes", "n_tokens"])
 
     out = map_arrow(rows, run, f"id {rows.schema['id'].dataType.simpleString()}, n_bytes long, n_tokens long")
