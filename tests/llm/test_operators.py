@@ -112,7 +112,7 @@ def components(rows):
     return {(d, x): least[x] for (d, _), x in zip(known, label)}, known, label
 
 
-@pytest.mark.parametrize("options", [{}, {"posted_share": 1.0, "chunk_sets": 2, "shared_sets": 1}, {"posted_share": 0.1, "chunk_sets": 2, "shared_sets": 0}])
+@pytest.mark.parametrize("options", [{}, {"posted_share": 1.0, "chunk_sets": 2, "shared_share": 0.5}, {"posted_share": 0.1, "chunk_sets": 2, "shared_share": 0}])
 def test_ngram_join(spark, docs, empty, options):
     df, rows = docs
     least, known, label = components(rows)
@@ -158,7 +158,7 @@ def test_ngram_join_of_large_blocks_and_ids(spark):
     least, known, label = components(rows)
     want = sorted((d, len(s), least[d, x]) for (d, s), x in zip(known, label))
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    for options in ({}, {"chunk_sets": 16, "shared_sets": 2}, {"chunk_sets": 7, "shared_sets": 0, "chunk_grams": 500}):
+    for options in ({}, {"chunk_sets": 16}, {"chunk_sets": 7, "shared_share": 0, "chunk_grams": 500}):
         assert sorted(tuple(r) for r in ngram_jaccard_components(df, **options).collect()) == want
 
 
@@ -290,6 +290,135 @@ def test_media_damage_and_shots(spark):
     assert (luma_pixels(frames[:1])[0] == 20).all() and luma_samples([b"", b"\xff\xd8\xff"]) == [None, None]
 
 
+def _plain_jpeg(planes, sampling, quant, restart, own_tables):
+    """A baseline JPEG one symbol at a time: interleaved components, standard tables written out or left out; and the
+    pictures that a decoder should show."""
+    import numpy as np
+
+    from tracepairs.llm import mjpeg as M
+
+    standard = [((M._DC_BITS, M._DC_SYMBOLS), (M._AC_BITS, M._with_rest(M._AC_FIRST))), ((M._DC_CHROMA_BITS, M._DC_SYMBOLS), (M._AC_CHROMA_BITS, M._with_rest(M._AC_CHROMA_FIRST)))]
+    x = np.arange(8)
+    dct = np.sqrt(np.where(x == 0, 1, 2) / 8)[:, None] * np.cos((2 * x + 1) * x[:, None] * np.pi / 16)
+    height, width = planes[0].shape
+    h, v = sampling
+    scans, bits, shown, means = [], "", np.zeros((height, width)), []
+    last = [0] * len(planes)
+
+    def put(code_length):
+        nonlocal bits
+        bits += format(code_length[0], f"0{code_length[1]}b")
+
+    def put_value(value, size):
+        nonlocal bits
+        if size:
+            bits += format(value if value > 0 else value + (1 << size) - 1, f"0{size}b")
+
+    def flush():
+        nonlocal bits
+        bits += "1" * (-len(bits) % 8)
+        scans.append(bytes(int(bits[i : i + 8], 2) for i in range(0, len(bits), 8)).replace(b"\xff", b"\xff\0"))
+        bits = ""
+
+    mcus = [(r, c) for r in range(height // (8 * v)) for c in range(width // (8 * h))]
+    for n, (r, c) in enumerate(mcus):
+        if restart and n and n % restart == 0:
+            flush()
+            last = [0] * len(planes)
+        for k, plane in enumerate(planes):
+            for dy, dx in [(dy, dx) for dy in range(v) for dx in range(h)] if k == 0 else [(0, 0)]:
+                top, left = ((r * v + dy) * 8, (c * h + dx) * 8) if k == 0 else (r * 8, c * 8)
+                q = np.rint(dct @ (plane[top : top + 8, left : left + 8] - 128.0) @ dct.T / quant).astype(int)
+                if k == 0:
+                    shown[top : top + 8, left : left + 8] = np.clip(np.rint(dct.T @ (q * quant) @ dct) + 128, 0, 255)
+                    means.append(min(255, max(0, (int(q[0, 0] * quant[0, 0]) + 4 >> 3) + 128)))
+                dc, ac = (M._codes(*t) for t in standard[min(k, 1)])
+                zigzag = q.ravel()[M.ZIGZAG]
+                size = abs(int(zigzag[0]) - last[k]).bit_length()
+                put(dc[size])
+                put_value(int(zigzag[0]) - last[k], size)
+                last[k], run = int(zigzag[0]), 0
+                for value in map(int, zigzag[1:]):
+                    if value == 0:
+                        run += 1
+                        continue
+                    while run > 15:
+                        put(ac[0xF0])
+                        run -= 16
+                    put(ac[run << 4 | abs(value).bit_length()])
+                    put_value(value, abs(value).bit_length())
+                    run = 0
+                if run:
+                    put(ac[0])
+    flush()
+    seg = lambda m, body: bytes([0xFF, m]) + (len(body) + 2).to_bytes(2, "big") + body
+    head = b"\xff\xd8" + seg(0xDB, b"\0" + bytes(quant.ravel()[M.ZIGZAG].astype(np.uint8)))
+    comps = b"".join(bytes([k + 1, (h << 4 | v) if k == 0 else 0x11, 0]) for k in range(len(planes)))
+    head += seg(0xC0, b"\x08" + height.to_bytes(2, "big") + width.to_bytes(2, "big") + bytes([len(planes)]) + comps)
+    if own_tables:
+        head += b"".join(seg(0xC4, bytes([kind << 4 | i]) + bytes(t[0]) + bytes(t[1])) for i, both in enumerate(standard) for kind, t in enumerate(both))
+    if restart:
+        head += seg(0xDD, restart.to_bytes(2, "big"))
+    head += seg(0xDA, bytes([len(planes)]) + b"".join(bytes([k + 1, 0x11 * min(k, 1)]) for k in range(len(planes))) + b"\0\x3f\0")
+    body = scans[0] + b"".join(bytes([0xFF, 0xD0 + (i % 8)]) + s for i, s in enumerate(scans[1:]))
+    return head + body + b"\xff\xd9", shown.astype(np.uint8), means
+
+
+def test_frames_of_other_encoders(spark):
+    """Coefficients, subsampled chroma, restart intervals, tables left out; OpenDML indexes over several RIFF chunks."""
+    import struct
+
+    import numpy as np
+
+    from tracepairs.llm import mjpeg as M
+    from tracepairs.llm.media import decode_frames, parse_avi, write_avi
+
+    own = np.random.default_rng(3)
+    quant = own.integers(1, 30, (8, 8))
+    yx = np.add.outer(np.arange(48) * 2, np.arange(64) * 1.5)
+    luma = np.clip(yx + own.normal(0, 30, (48, 64)), 0, 255)
+    chroma = [own.integers(0, 256, (48, 64)) for _ in range(2)]
+    for planes, sampling, restart, tables in (([luma], (1, 1), 0, True), ([luma, *chroma], (1, 1), 5, True), ([luma, *chroma], (2, 2), 3, False), ([luma, *chroma], (2, 1), 0, False)):
+        jpeg, shown, means = _plain_jpeg(planes, sampling, quant, restart, tables)
+        (got,), (small,) = M.luma_pixels([jpeg]), M.luma_samples([jpeg])
+        assert got.shape == shown.shape and np.abs(got.astype(int) - shown).max() <= 1 and small.tolist() == means
+        at = jpeg.rindex(b"\xff\xda") + 30
+        assert all(x is None or x.shape == shown.shape for x in M.luma_pixels([jpeg[:at]]))  # cut short: refused or filled, no crash
+    frames = [jpeg, jpeg, jpeg]
+    df = spark.createDataFrame([(1, bytearray(write_avi(frames, 64, 48, 5))), (2, None), (3, bytearray(b"junk"))], "doc_id long, media binary")
+    rows = decode_frames(df, batch_pixels=1).collect()
+    assert [(r.doc_id, r.frame, r.width, r.height) for r in rows] == [(1, i, 64, 48) for i in range(3)] and bytes(rows[2].luma) == got.tobytes()
+
+    # a second RIFF chunk whose frames only the OpenDML indexes list
+    chunk = lambda name, body: name + struct.pack("<I", len(body)) + body + b"\0" * (len(body) & 1)
+    base = write_avi(frames[:2], 64, 48, 5)
+    strl = base.index(b"strf")
+    entry = struct.pack("<HBBI4sIII", 4, 0, 0, 2, b"00dc", 0, 0, 0)
+
+    def build(at):
+        indx = chunk(b"indx", entry + b"".join(struct.pack("<QII", a, 0, 2) for a in at))
+        data = bytearray(base[:strl] + indx + base[strl:])
+        for name in (b"RIFF", b"LIST"):
+            i = data.index(name)
+            data[i + 4 : i + 8] = struct.pack("<I", struct.unpack_from("<I", data, i + 4)[0] + len(indx))
+        i = data.index(b"LIST", data.index(b"LIST") + 4)
+        data[i + 4 : i + 8] = struct.pack("<I", struct.unpack_from("<I", data, i + 4)[0] + len(indx))
+        first, found, p = bytes(data), [], 0
+        for _ in range(2):
+            p = first.index(b"00dc" + struct.pack("<I", len(jpeg)), p) + 8
+            found.append(p)
+        more = b"AVIX" + chunk(b"LIST", b"movi" + chunk(b"00dc", jpeg))
+        second = len(first) + 8 + 4 + 12 + 8
+        standard = [chunk(b"ix00", struct.pack("<HBBI4sQI", 2, 0, 1, len(x), b"00dc", 0, 0) + b"".join(struct.pack("<II", o, len(jpeg)) for o in x)) for x in (found, [second])]
+        rest = chunk(b"RIFF", more) + b"".join(standard)
+        start = len(first) + len(chunk(b"RIFF", more))
+        return first + rest, [start, start + len(standard[0])]
+
+    _, at = build([0, 0])
+    data, again = build(at)
+    assert again == at and parse_avi(data).frames and [data[o : o + s] for o, s in parse_avi(data).frames] == frames
+
+
 # --- 4: WARC ---------------------------------------------------------------------------------------------------------
 
 
@@ -405,7 +534,7 @@ def brute_spans(rows, length, keep_first):
     return gone
 
 
-@pytest.mark.parametrize("options", [{}, {"piece_bytes": 300, "block_bytes": 5000}])
+@pytest.mark.parametrize("options", [{}, {"piece_bytes": 300, "block_bytes": 5000, "group_bytes": 300}])
 def test_suffix_dedup(spark, docs, empty, options):
     df, rows = docs
     texts = [(r[1] or "").encode() for r in rows]
@@ -434,11 +563,43 @@ def test_suffix_dedup_of_a_common_line(spark, n):
     texts = [chars(own.randint(20, 60)) + (short if i % 2 else long) + chars(own.randint(20, 60)) for i in range(n)]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(8)
     gone = brute_spans([t.encode() for t in texts], 200, False)
-    for options in ({}, {"piece_bytes": 40_000}):
+    for options in ({}, {"group_bytes": 4000}):
         got = {r.doc_id: bytes(r.kept_bytes) for r in remove_repeats(df, **options).select("doc_id", "kept_bytes").collect()}
         assert got == {i: bytes(x for x, y in zip(t.encode(), g) if not y) for i, (t, g) in enumerate(zip(texts, gone))}
 
 
+def test_anchors_of_long_texts_in_steps():
+    """Cut in steps, each window keeps its anchor."""
+    import numpy as np
+
+    from tracepairs.llm.suffix_dedup import anchors_in_steps
+
+    data = np.frombuffer(bytes(random.Random(1).choices(b"abc d", k=5000)), np.uint8)
+
+    def windows(step):
+        found = {}
+        for _, fp, _, first, last, anchor in anchors_in_steps(data, np.array([0, len(data)]), 100, step):
+            for f, a, z, at in zip(fp, first, last, anchor):
+                for i in range(a, z + 1):
+                    assert i not in found
+                    found[i] = (f, at)
+        return found
+
+    assert windows(700) == windows(1 << 20) and len(windows(700)) == 4901
+
+
+def test_suffix_dedup_of_a_very_long_text(spark):
+    own = random.Random(8)
+    passage = "".join(own.choices("abcdef ", k=500))
+    long = "".join(own.choices("abcdefghijklm ", k=5_000_000))
+    rows = [(1, long[:3_000_000] + passage + long[3_000_000:] + passage), (2, "x " + passage), (3, None)]
+    got = {r.doc_id: r for r in remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    runs = lambda d: [(s.start, s.end) for s in got[d].removed]
+    at = 3_000_000
+    assert [(a <= at, z >= at + 500, z - a < 520) for a, z in runs(1)[:1]] == [(True, True, True)] and runs(1)[-1][1] == len(rows[0][1])
+    assert len(got[1].kept_bytes) == len(rows[0][1]) - sum(z - a for a, z in runs(1)) and got[3].removed == [] and runs(2)[-1][1] == 502
+
+
 def test_longest_previous_factors():
     import numpy as np
 
@@ -658,6 +819,22 @@ def test_token_counts(spark, docs, empty):
     same(by_id(count_tokens(df, other), "n_bytes", "n_tokens"), rows, want)
 
 
+def test_token_counts_of_odd_words():
+    """Single words of all kinds, by the cache's own ways and by the library."""
+    from tokenizers import Tokenizer
+
+    own, t = random.Random(8), Tokenizer.from_file(WORDS)
+    kinds = ["abcXYZ", "'stremvld", "0123456789", "!?.,-_<|>", "".join(map(chr, range(33, 127))), "éßÉİŉ中ｱ", "\x00\x1f\x7f\x85\u2028\u0301a"]
+    words = ["".join(own.choices(own.choice(kinds) + own.choice(kinds), k=own.randint(1, 12))) for _ in range(20_000)]
+    words = ["<|endoftext|>", "a<|endoftext|>b", "<|ENDOFTEXT|>", "don't", "'S", "we'LL'll", *words]
+    cache = token_counts.Cache({}, 3000, t)
+    texts = [" ".join(words[i : i + 7]) for i in range(0, len(words), 7)] * 2
+    for lo in range(0, len(texts), 100):
+        part = texts[lo : lo + 100]
+        assert cache.count([x.encode() for x in part]) == [len(t.encode(x, add_special_tokens=False).ids) for x in part]
+    assert len(cache.young) <= 3000 + 1000
+
+
 def test_frequent_words_are_found_by_tree(spark, monkeypatch):
     from tokenizers import Tokenizer
 
@@ -666,8 +843,7 @@ def test_frequent_words_are_found_by_tree(spark, monkeypatch):
     df = spark.createDataFrame([(t,) for t in texts], "text string").repartition(20)
     found = token_counts.frequent_lengths(df, "text", Tokenizer.from_file(WORDS), table_share=0.0, table_size=50)
     assert list(found)[:2] == [b"often", b"again"] and len(found) <= 50
-    counts = token_counts.reduced(collections.Counter(a=9, b=5, c=5, d=1), 2)
-    assert counts == {"a": 4}
+    assert token_counts.reduced(collections.Counter(a=9, c=5, b=5, d=1), 2) == {"a": 9, "b": 5}
 
 
 def test_tokens_of_very_long_texts(spark):

@@ -12,7 +12,7 @@ does not fit a task, but equal strings can be brought together first:
    suffix array (prefix doubling) of the suffixes that have ``length`` bytes; the previous and next smaller
    positions in suffix order, with the prefixes shared on the way, give the longest previous factor of each position
    and its earlier match.
-4. *Split groups.* A group of more contexts than a piece holds is split: all its windows agree in a core around the
+4. *Split groups.* A group of more contexts than one task should compare is split: all its windows agree in a core around the
    anchor, and each window agrees with its equals in half of the remaining bytes before the core or in half of
    those after it. So each context goes on as at most two shorter ones, its windows with the larger half before the
    core and the others, under the core grown by that half; then steps 2 and 3 again. Equal windows stay
@@ -138,6 +138,22 @@ def anchors(data: np.ndarray, offs: np.ndarray, length: int, gram: int = GRAM) -
     return text[first], h[a], context, first, last, a
 
 
+#: Windows of a longer text are cut in steps of so many bytes, which bounds a task's memory. A context at a step's end is
+#: cut in two; its windows keep their anchors.
+STEP = 4 << 20
+
+
+def anchors_in_steps(data: np.ndarray, offs: np.ndarray, length: int, step: int = STEP) -> Iterator[tuple[np.ndarray, ...]]:
+    """:func:`anchors` of a slice, or of a slice that is one long text step by step, with starts in the slice."""
+    if len(data) <= step + length or len(offs) != 2:
+        yield anchors(data, offs, length)
+        return
+    for lo in range(0, len(data) - length + 1, step):
+        part = data[lo : lo + step + length - 1]
+        text, fp, context, first, last, anchor = anchors(part, np.array([0, len(part)]), length)
+        yield text, fp, context, first + lo, last + lo, anchor + lo
+
+
 _ANCHORS = "k long, o long, gram long, context long, at int, windows int, pos int"
 
 
@@ -146,12 +162,12 @@ def _cut_anchors(length: int):
         for b in slices(batches, "text", 1 << 20):
             data, offs = raw(b.column(2))
             k, o = (b.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (0, 1))
-            text, fp, context, first, last, anchor = anchors(data, offs, length)
-            own = offs[text]
-            small = [(first - own).astype(np.int32), (last - first + 1).astype(np.int32), (anchor - first).astype(np.int32)]
-            cols = [k[text], o[text], fp.view(np.int64), context.view(np.int64), *small]
-            for lo in range(0, len(text), 100_000):
-                yield pa.RecordBatch.from_arrays([pa.array(c[lo : lo + 100_000]) for c in cols], names=[x.split()[0] for x in _ANCHORS.split(", ")])
+            for text, fp, context, first, last, anchor in anchors_in_steps(data, offs, length):
+                own = offs[text]
+                small = [(first - own).astype(np.int32), (last - first + 1).astype(np.int32), (anchor - first).astype(np.int32)]
+                cols = [k[text], o[text], fp.view(np.int64), context.view(np.int64), *small]
+                for lo in range(0, len(text), 100_000):
+                    yield pa.RecordBatch.from_arrays([pa.array(c[lo : lo + 100_000]) for c in cols], names=[x.split()[0] for x in _ANCHORS.split(", ")])
 
     return run
 
@@ -281,12 +297,12 @@ def _merged(found: DataFrame, length: int, keep_first: bool, level: int) -> tupl
     return whole, contexts, materialize(groups.drop("todo"), f"groups{level}")
 
 
-def repeated_spans(texts: DataFrame, *, length: int = 200, keep_first: bool = False, block_bytes: int = 8 << 20, piece_bytes: int = 1 << 20) -> DataFrame:
+def repeated_spans(texts: DataFrame, *, length: int = 200, keep_first: bool = False, block_bytes: int = 8 << 20, piece_bytes: int = 1 << 20, group_bytes: int = 128 << 10) -> DataFrame:
     """``k, lo, hi``: byte ranges to remove from the texts (columns ``k`` long, ``o`` long, ``text``).
 
     Ranges may overlap. Rows with equal keys ``k`` must have equal texts. With ``keep_first`` the occurrence with the
-    smallest (o, k, position) stays. ``block_bytes`` and ``piece_bytes`` bound a task's memory and do not change the
-    result: a group of contexts that may exceed a piece is split.
+    smallest (o, k, position) stays. ``block_bytes`` and ``piece_bytes`` bound a task's memory, ``group_bytes``
+    the contexts of a k-gram that one task compares: a group that may exceed it is split. None changes the result.
     """
     if length < GRAM:
         raise ValueError(f"length must be {GRAM} or more")
@@ -294,7 +310,7 @@ def repeated_spans(texts: DataFrame, *, length: int = 200, keep_first: bool = Fa
     # most k-grams occur once; cutting anchors again costs less than keeping those of the whole corpus
     often = materialize(every.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "often")
     found = materialize(every.join(often.select("gram"), "gram", "left_semi"), "anchors").withColumn("open", F.lit(True))
-    most = max(2, piece_bytes // (2 * length))  # contexts of a group that surely fit a piece
+    most = max(2, group_bytes // (2 * length))  # contexts of a group that surely fit
     spans, contexts, groups = _merged(found, length, keep_first, 0)
     wanted = join_hot(contexts, groups, ["gram"], "contexts")
     by_text = wanted.groupBy("k").agg(F.collect_list(F.struct(*_FIELDS, "contexts")).alias("own"))
@@ -312,6 +328,7 @@ def repeated_spans(texts: DataFrame, *, length: int = 200, keep_first: bool = Fa
         if not n_large:
             return spans
         parts = map_arrow(join_hot(bodies, large, ["gram"], "contexts").select(*[x for x in _SPLIT_NAMES if x != "context"]), _split(length), _SPLIT)
+        spans = materialize(spans, "spans")  # keeps plans short
         whole, contexts, groups = _merged(materialize(parts, f"parts{level}"), length, keep_first, level)
         spans = spans.unionByName(whole)
         bodies = join_hot(contexts, groups, ["gram"], "contexts").select(*bodies.columns)
@@ -363,17 +380,10 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             for i in range(b.num_rows):
                 own = b.column(2)[i]
                 body = data[offs[i] : offs[i + 1]]
-                if own.is_valid and len(own):
-                    pairs = own.values
-                    lo, hi = merge(pairs.field("lo").to_numpy(), pairs.field("hi").to_numpy())
-                    gone = np.zeros(len(body) + 1, np.int8)
-                    gone[lo] = 1
-                    gone[hi] -= 1
-                    kept.append(body[np.cumsum(gone[:-1]) == 0].tobytes())
-                    removed.append([{"start": a, "end": z} for a, z in zip(lo.tolist(), hi.tolist())])
-                else:
-                    kept.append(body.tobytes())
-                    removed.append([])
+                lo, hi = merge(own.values.field("lo").to_numpy(), own.values.field("hi").to_numpy()) if own.is_valid else (np.empty(0, np.int64),) * 2
+                between = zip([0, *hi.tolist()], [*lo.tolist(), len(body)])
+                kept.append(b"".join([body[x:y].tobytes() for x, y in between]))
+                removed.append([{"start": x, "end": y} for x, y in zip(lo.tolist(), hi.tolist())])
             kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(kept, pa.binary()), pa.array(removed, kind)], names=["row", "text", *made])
 
