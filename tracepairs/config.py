@@ -115,6 +115,7 @@ class ResumeConfig:
 
 @dataclass(frozen=True)
 class VerifierConfig:
+    # The default texts that a process reward model was trained with.
     mode: str = "judge_token"
     prompt_template: str = ""
     prm_system_prompt: str = "Please reason step by step, and put your final answer within \\boxed{}."
