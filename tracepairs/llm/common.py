@@ -106,7 +106,7 @@ def bound_batches(spark: SparkSession) -> None:
         spark.conf.set(key, f"{_BATCH_BYTES}b")
 
 
-def _give_back_memory() -> None:
+def give_back_memory() -> None:
     """Unused memory of Arrow's pool and of the C heap goes back to the system; reused workers else keep it."""
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):  # not every C library has it
@@ -120,7 +120,7 @@ def lean(run):
         try:
             yield from run(batches)
         finally:
-            _give_back_memory()
+            give_back_memory()
 
     return wrapped
 

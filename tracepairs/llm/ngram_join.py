@@ -18,8 +18,8 @@ class. Then:
    remain, no query can reach the threshold with any set in it.
 4. *Large blocks* are dealt out to chunks, one task each, and a few sets of the block go to all its chunks. The links
    within chunks and to these sets join most near copies of a block. What is left to compare are pairs with a member
-   that is not in the largest component of its block: these light members meet, for each prefix n-gram that they
-   have, the sets of the block with that n-gram. So a block of near copies costs rows in proportion to its sets. Only where
+   that is not in the largest component of its block: these light members meet the whole block if they are few, else, for
+   each prefix n-gram that they have, the sets of the block with that n-gram. So a block of near copies costs rows in proportion to its sets. Only where
    very many light members share one prefix n-gram with very many sets do copies grow, by the number of chunks.
 5. Links give components by large-star and small-star steps (only where blocks were cut; in others the
    task that holds the block has settled them).
@@ -32,13 +32,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracepairs.llm.common import join_hot, map_arrow, materialize, maybe_broadcast, mix, partitions, prefix_hash, raw, slices, span_hash
+from tracepairs.llm.common import give_back_memory, join_hot, map_arrow, materialize, maybe_broadcast, mix, partitions, prefix_hash, raw, slices, span_hash
 from tracepairs.llm.components import connected_components
 
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 #: Sets of a slice, and of a task, that share an n-gram before it counts as shared by many.
 LOCAL_HOT, TASK_HOT = 8, 16
 _COUNTERS, _REMEMBERED = 1 << 22, 1 << 20
@@ -229,7 +229,10 @@ def _count_shared(table: pa.Table) -> pa.Table:
     if not m:
         return pa.table(first, names=_SCREEN_NAMES)
     rest = [col(np.ascontiguousarray(doc["d1"]).view(np.int64)), col(doc["id"]), col(np.ascontiguousarray(doc["d2"]).view(np.int64)), i32(doc["n"]), i32(doc["posted"]), i32(doc["hot"]), none(m, pa.int32())]
-    return pa.table([pa.concat_arrays([a, b]) for a, b in zip(first, rest)], names=_SCREEN_NAMES)
+    out = pa.table([pa.concat_arrays([a, b]) for a, b in zip(first, rest)], names=_SCREEN_NAMES)
+    del grams, sets, many, docs, g, s, hot, doc
+    give_back_memory()
+    return out
 
 
 _SCREEN = "d1 long, id long, d2 long, n int, posted int, hot int, shared int"
@@ -340,7 +343,17 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 # --- the operator ------------------------------------------------------------------------------------
 
 
-def _link_large(members: DataFrame, ordered: DataFrame, packed: DataFrame, links: DataFrame, join, chunk_sets: int, chunk_grams: int) -> DataFrame:
+#: A block goes to up to so many tasks of so many sets each before these get larger.
+SPREAD_TASKS, SPREAD_SETS = 16, 128
+
+
+def _chunks(m: str, g: str, chunk_sets: int, chunk_grams: int) -> Column:
+    """Into how many chunks ``m`` sets of ``g`` n-grams are dealt."""
+    spread = F.least(F.lit(SPREAD_TASKS), F.ceil(F.col(m) / SPREAD_SETS))
+    return F.greatest(spread, F.ceil(F.col(m) / chunk_sets), F.ceil(F.col(g) / chunk_grams)).cast("int")
+
+
+def _link_large(members: DataFrame, ordered: DataFrame, packed: DataFrame, links: DataFrame, join, chunk_sets: int, chunk_grams: int, few_chunks: int = 8) -> DataFrame:
     """The links of blocks that were cut (``members``: node, component, m) which ``links`` may lack: of pairs with a member
     outside the largest component of its block."""
     labels = connected_components(links).withColumnRenamed("component", "label")
@@ -348,13 +361,20 @@ def _link_large(members: DataFrame, ordered: DataFrame, packed: DataFrame, links
     sizes = members.groupBy("component", "label").agg(F.count(F.lit(1)).alias("size"), F.first("m").alias("m"))
     largest = materialize(sizes.groupBy("component").agg(F.max_by("label", F.struct("size", "label")).alias("largest"), F.first("m").alias("m")), "largest")
     tagged = join_hot(members.drop("m"), largest, ["component"], "m").select("node", "component", (F.col("label") != F.col("largest")).alias("light"))
+    tagged = materialize(tagged, "tagged")
+    blocks = tagged.groupBy("component").agg(F.count(F.lit(1)).alias("m"), F.count_if("light").alias("r")).where("r > 0")
+    tagged = join_hot(tagged, materialize(blocks, "cut"), ["component"], "m")
+    # a few light members meet their whole block; many meet it by prefix n-gram, in as many copies as they have
+    few = F.col("r") <= few_chunks * chunk_sets
+    keys = F.when(few, F.array(F.lit(-1).cast("long"))).otherwise(F.slice("keys", 1, F.col("in_prefix")))
     postings = ordered.where("in_prefix > 0").join(tagged, "node")
-    postings = postings.select("component", "node", "light", F.size("keys").alias("g"), F.explode(F.slice("keys", 1, F.col("in_prefix"))).alias("key"))
+    postings = postings.select("component", "node", "light", F.size("keys").alias("g"), F.explode(keys).alias("key"))
     postings = materialize(postings, "prefixes")
     groups = postings.groupBy("component", "key").agg(F.count(F.lit(1)).alias("m"), F.sum("g").alias("g"), F.count_if("light").alias("r"), F.sum(F.when(F.col("light"), F.col("g"))).alias("rg"))
     groups = materialize(groups.where("r > 0 AND m > 1"), "light")
-    whole, light = (F.greatest(F.lit(1), F.ceil(F.col(x) / chunk_sets), F.ceil(F.col(y) / chunk_grams)).cast("int") for x, y in (("m", "g"), ("r", "rg")))
-    placed = join_hot(postings.drop("g"), groups.withColumns({"whole": whole, "parts": light}), ["component", "key"], "m")
+    parts = F.greatest(F.ceil(F.col("r") / chunk_sets), F.ceil(F.col("rg") / chunk_grams)).cast("int")
+    groups = groups.withColumns({"whole": _chunks("m", "g", chunk_sets, chunk_grams), "parts": parts})
+    placed = join_hot(postings.drop("g"), groups, ["component", "key"], "m")
     i, j = (F.pmod(F.xxhash64(F.lit(seed), "node"), F.col(x)).cast("int") for seed, x in ((1, "whole"), (2, "parts")))
     mine = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda x: F.struct(i.alias("i"), x.alias("j")))
     all_ = F.transform(F.sequence(F.lit(0), F.col("whole") - 1), lambda x: F.struct(x.alias("i"), j.alias("j")))
@@ -374,7 +394,7 @@ def ngram_jaccard_components(
     posted_share: float = 0.5,
     chunk_sets: int = 2048,
     chunk_grams: int = 2_000_000,
-    shared_sets: int = 128,
+    shared_share: float = 0.125,
 ) -> DataFrame:
     """``id_col, n_shingles, component_id``: one row per input row.
 
@@ -382,15 +402,15 @@ def ngram_jaccard_components(
     by links, itself included. Null texts and texts without words have no n-grams and link with nothing;
     rows with a null id get a null component and take no part. Rows that repeat an id are judged each by
     its own text. Ids are whole numbers of 64 bits. ``posted_share`` (0 to 1) trades the volume of the screen for its
-    sharpness, ``chunk_*`` bound the memory of a trie task, ``shared_sets`` of a large block go to all its tasks; none of
-    them changes the result. An empty table gives an empty result.
+    sharpness, ``chunk_*`` bound the memory of a trie task, all tasks of a large block get as many sets more as
+    ``shared_share`` of a chunk; none of them changes the result. An empty table gives an empty result.
     """
     spark = df.sparkSession
     num, den = threshold
     narrow = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     known = narrow.where("id is not null")
     volume = F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + F.lit(_DOC.itemsize))  # null and empty texts have records too
-    parts = max(partitions(spark), int((known.agg(volume).first()[0] or 0) >> 26))
+    parts = max(partitions(spark), int((known.agg(volume).first()[0] or 0) >> 25))
     posts = map_arrow(known, _post(width, posted_share, parts), "pid int, grams binary, own binary, sets binary, docs binary")
     screen = materialize(posts.groupBy("pid").applyInArrow(_count_shared, _SCREEN), "screen")
     docs = screen.where("id is not null").drop("shared")
@@ -424,9 +444,9 @@ def ngram_jaccard_components(
     blocks = materialize(connected_components(edges), "blocks")
 
     weight = blocks.join(ordered.select("node", F.size("keys").alias("g")), "node").groupBy("component").agg(F.count(F.lit(1)).alias("m"), F.sum("g").alias("g"))
-    chunks = F.greatest(F.ceil(F.col("m") / chunk_sets), F.ceil(F.col("g") / chunk_grams)).cast("int")
-    placed = materialize(join_hot(blocks, materialize(weight.select("component", "m", chunks.alias("chunks")), "weight"), ["component"], "m"), "placed")
-    to_all = (F.col("chunks") > 1) & (F.pmod(F.xxhash64(F.lit(3), "node"), F.col("m")) < shared_sets)
+    weight = weight.select("component", "m", _chunks("m", "g", chunk_sets, chunk_grams).alias("chunks"))
+    placed = materialize(join_hot(blocks, materialize(weight, "weight"), ["component"], "m"), "placed")
+    to_all = (F.col("chunks") > 1) & (F.pmod(F.xxhash64(F.lit(3), "node"), F.col("m")) < F.floor(F.col("m") * shared_share / F.col("chunks")))
     home = F.array(F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
     dealt = placed.select("component", "node", F.explode(F.when(to_all, F.sequence(F.lit(0), F.col("chunks") - 1)).otherwise(home)).alias("chunk"))
     packed = map_arrow(ordered.select("node", "n", "keys"), _pack, "node long, n int, keys binary")
