@@ -18,7 +18,6 @@ Both arguments are about one splitting pattern, :data:`SEAM_PATTERN`. With anoth
 from __future__ import annotations
 
 import base64
-import hashlib
 import unicodedata
 from collections.abc import Iterator
 
@@ -167,20 +166,14 @@ def decode_tree(ids: np.ndarray, decode, leaf: int = 256) -> bytes:
     return decode_tree(ids[:mid], decode, leaf) + decode_tree(ids[mid:], decode, leaf)
 
 
-_loaded: dict[tuple[str, str], Encoder] = {}
-
-
-def _worker_encoder(files: Broadcast, digest: str, pattern: str) -> Encoder:
-    """The encoder of a broadcast rank file, kept per worker under the file's digest."""
-    if (digest, pattern) not in _loaded:
-        _loaded[digest, pattern] = Encoder(load(files.value, pattern), pattern)
-    return _loaded[digest, pattern]
+def _share_ranks(df: DataFrame, rank_path: str) -> Broadcast:
+    with open(rank_path, "rb") as f:
+        return df.sparkSession.sparkContext.broadcast(f.read())
 
 
-def _share_ranks(df: DataFrame, rank_path: str) -> tuple[Broadcast, str]:
-    with open(rank_path, "rb") as f:
-        ranks = f.read()
-    return df.sparkSession.sparkContext.broadcast(ranks), hashlib.sha256(ranks).hexdigest()
+def _encoder(files: Broadcast, pattern: str) -> Encoder:
+    """The encoder of a broadcast rank file, made for each task: workers are reused by other stages."""
+    return Encoder(load(files.value, pattern), pattern)
 
 
 def _array_of(ids: list[np.ndarray]) -> pa.Array:
@@ -194,13 +187,13 @@ def bpe_encode(df: DataFrame, rank_path: str, pattern: str, text_col: str = "tex
     own, special strings as ordinary text. Null and empty texts give an empty array. An input column with
     the name of ``out_col`` is replaced. One pass without a shuffle; the rank file is broadcast (its size is
     that of the vocabulary)."""
-    files, digest = _share_ranks(df, rank_path)
+    files = _share_ranks(df, rank_path)
     df = rename_clashes(df, [out_col], keep=(text_col,)) if out_col != text_col else df
     others = [c for c in df.columns if c != out_col]
     rows = df.select(F.coalesce(F.col(text_col), F.lit("")).alias("__t"), F.struct(*[F.col(c) for c in others]).alias("__row"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = _worker_encoder(files, digest, pattern)
+        encode = _encoder(files, pattern)
         for b in slices(batches, "__t", 2 << 20):
             ids = [encode_tree(t, encode, leaf) for t in b.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(1), _array_of(ids)], names=["__row", "__ids"])
@@ -211,12 +204,12 @@ def bpe_encode(df: DataFrame, rank_path: str, pattern: str, text_col: str = "tex
 
 def bpe_decode(df: DataFrame, rank_path: str, pattern: str, ids_col: str = "token_ids", out_col: str = "decoded", *, leaf: int = 256) -> DataFrame:
     """``df`` with ``out_col`` (binary): the bytes of the ids. Null counts as no ids; an id outside the ranks raises."""
-    files, digest = _share_ranks(df, rank_path)
+    files = _share_ranks(df, rank_path)
     others = [c for c in df.columns if c != out_col]
     rows = df.select(F.coalesce(F.col(ids_col), F.array().cast("array<int>")).alias("__ids"), F.struct(*[F.col(c) for c in others]).alias("__row"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        decode = _worker_encoder(files, digest, pattern).encoding.decode_bytes
+        decode = _encoder(files, pattern).encoding.decode_bytes
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
                 b = whole.slice(at, 256)
@@ -232,12 +225,12 @@ def bpe_decode(df: DataFrame, rank_path: str, pattern: str, ids_col: str = "toke
 def bpe_round_trip(df: DataFrame, rank_path: str, pattern: str, text_col: str = "text", ids_col: str = "token_ids", out_col: str = "decoded", *, leaf: int = 512) -> DataFrame:
     """``df`` with ``ids_col`` as of :func:`bpe_encode` and ``out_col`` as of :func:`bpe_decode` on these ids, in one
     pass of one Python worker. Input columns of these names are replaced."""
-    files, digest = _share_ranks(df, rank_path)
+    files = _share_ranks(df, rank_path)
     others = [c for c in df.columns if c not in (ids_col, out_col)]
     rows = df.select(F.coalesce(F.col(text_col), F.lit("")).alias("__t"), F.struct(F.lit(0).alias("__x"), *[F.col(c) for c in others]).alias("__row"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = _worker_encoder(files, digest, pattern)
+        encode = _encoder(files, pattern)
         for b in slices(batches, "__t", 1 << 20):
             ids = [encode_tree(t, encode, leaf) for t in b.column(0).to_pylist()]
             decoded = pa.array([decode_tree(x, encode.encoding.decode_bytes) for x in ids], pa.binary())

@@ -20,6 +20,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,13 +34,13 @@ MAX_GRAM = 4
 class Table:
     """Smoothed log frequencies by key: one matrix with a column per language, and the row of each key."""
 
-    def __init__(self, rows: list, langs: list[str]):
-        """``rows``: (lang, key, n)."""
-        at = {x: i for i, x in enumerate(langs)}
-        self.row: dict[str, int] = {}
-        keys = np.array([self.row.setdefault(key, len(self.row)) for _, key, _ in rows], np.int64)
+    def __init__(self, counted: pa.Table, langs: list[str]):
+        """``counted``: columns (lang, key, n), one row for each language and key."""
+        lang, key, n = (c.combine_chunks() for c in counted.columns)
+        key = key.dictionary_encode()
+        self.row: dict[str, int] = {k: i for i, k in enumerate(key.dictionary.to_pylist())}
         counts = np.zeros((len(self.row), len(langs)))
-        np.add.at(counts, (keys, np.array([at[lang] for lang, _, _ in rows], np.int64)), [n for _, _, n in rows])
+        counts[key.indices.to_numpy(), pc.index_in(lang, pa.array(langs, pa.string())).to_numpy()] = n.to_numpy()
         self.score = np.log((counts + 0.5) / (counts.sum(axis=0) + 0.5 * len(counts))).astype(np.float32) if len(counts) else counts
 
 
@@ -96,7 +97,7 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(langs), pa.array(words), pa.array(list(counts.values()), pa.int64())], names=["lang", "w", "n"])
 
 
-def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", *, max_train_docs: int = 4_000) -> Model:
+def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", *, max_train_docs: int = 2_000) -> Model:
     """Fit on rows with a text and a label, on ``max_train_docs`` different texts at most (or one for each language)."""
     rows = labelled.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
     place = F.pmod(F.xxhash64("text"), F.lit(1 << 30))
@@ -109,19 +110,20 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", *,
         rows = rows.join(F.broadcast(limits), "lang").where(place < F.col("below")).select("lang", "text")
     words = map_arrow(rows.distinct(), _count_words, "lang string, w string, n long")
     words = materialize(words.groupBy("lang", "w").agg(F.sum("n").alias("n")), "words")
-    found = [tuple(r) for r in words.collect()]
-    langs = sorted({lang for lang, _, _ in found})
+    found = words.toArrow()
+    langs = sorted(found.column(0).unique().to_pylist())
     edged, start = F.concat(F.lit("<"), "w", F.lit(">")), F.sequence(F.lit(0), F.length("w") + 1)
     # every n-gram that starts at a character, with its length
     each = F.flatten(F.transform(start, lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(MAX_GRAM), F.length("w") + 2 - i)), lambda k: F.substring(edged, i + 1, k))))
-    grams = words.select("lang", "n", F.explode(each).alias("g")).groupBy("lang", "g").agg(F.sum("n").alias("n")).collect()
-    return Model(langs, Table(found, langs), [Table([tuple(r) for r in grams if len(r.g) == k], langs) for k in range(1, MAX_GRAM + 1)])
+    grams = words.select("lang", "n", F.explode(each).alias("g")).groupBy("lang", "g").agg(F.sum("n").alias("n")).toArrow()
+    size = pc.utf8_length(grams.column(1))
+    return Model(langs, Table(found, langs), [Table(grams.filter(pc.equal(size, k)), langs) for k in range(1, MAX_GRAM + 1)])
 
 
 class Predictor:
     """Scores texts; keeps the scores of up to ``cache_size`` words."""
 
-    def __init__(self, model: Model, cache_size: int = 100_000):
+    def __init__(self, model: Model, cache_size: int = 60_000):
         self.model, self.size = model, cache_size
         self.clear()
 
