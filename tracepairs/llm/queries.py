@@ -14,9 +14,13 @@ from tracepairs.llm.media import decode_avi, feature, text_to_avi
 from tracepairs.llm.mixing import mix
 from tracepairs.llm.ngram_join import ngram_jaccard_components
 from tracepairs.llm.shuffle_shards import shuffled_shards
+from tracepairs.llm.spelling import spelling_variants
 from tracepairs.llm.suffix_dedup import remove_repeats
 from tracepairs.llm.token_counts import count_tokens
+from tracepairs.llm.vector_codes import vector_codes
 from tracepairs.llm.warc import page_records
+from tracepairs.llm.winnowing import contamination, item_digest
+
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
@@ -97,6 +101,19 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(_documents(spark, sf_dir)).select("word", "form", "root", "n", "n_near", "form_n")
+
+
+def op12_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = contamination(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return judged.select("doc_id", "n_words", "n_hit", "n_items", item_digest(F.col("items")).alias("items_sha256"), "contaminated")
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 _ALL = (
     op1_ngram_jaccard_join,
     op2_byte_bpe,
@@ -108,6 +125,9 @@ _ALL = (
     op8_exact_dedup,
     op9_token_counts,
     op10_mix_sources,
+    op11_spelling_variants,
+    op12_winnowing,
+    op13_vector_codes,
 )
 
 
