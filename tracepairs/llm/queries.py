@@ -136,7 +136,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_warc": OP4_SQL, "op8_exact_dedup": OP8_SQL, "op10_mix_sources": OP10_SQL}
+    return {"op4_warc": OP4_SQL, "op8_exact_dedup": OP8_SQL, "op10_mix_sources": OP10_SQL, "op12_winnowing": OP12_SQL, "op13_vector_codes": OP13_SQL}
 
 
 OP4_SQL = """
@@ -192,3 +192,70 @@ SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target,
        CAST(epochs * size + greatest(0, least(size, budget - epochs * source_size - before)) AS BIGINT) AS taken
 FROM e
 """
+
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_NEXT = ", ".join(["word"] + [f"lead(word, {j}) OVER (PARTITION BY r ORDER BY pos)" for j in range(1, 10)])
+
+
+def _words_sql(table: str, name: str) -> str:
+    """Rows ``r, name, n, pos, next``: a word's place, and it and the nine words after it."""
+    words = f"regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+    rows = f"SELECT row_number() OVER () AS r, {name} AS name, {words} AS w FROM {table}"
+    places = f"SELECT r, name, len(w) AS n, unnest(w) AS word, unnest(range(len(w))) AS pos FROM ({rows})"
+    return f"SELECT r, name, n, pos, [{_NEXT}] AS next FROM ({places})"
+
+
+OP12_SQL = f"""
+WITH b AS (
+  SELECT DISTINCT coalesce(CAST(name AS VARCHAR), '') AS item, least(n, 10) AS m, array_to_string(next[1 : least(n, 10)], ' ') AS span
+  FROM ({_words_sql("benchmark", "item_id")}) WHERE pos + least(n, 10) <= n
+), d AS ({_words_sql("documents", "doc_id")}
+), found AS (
+  SELECT d.r, d.pos, b.m, b.item
+  FROM d JOIN (SELECT DISTINCT m FROM b) l ON d.pos + l.m <= d.n JOIN b ON b.m = l.m AND b.span = array_to_string(d.next[1 : l.m], ' ')
+), hit AS (
+  SELECT r, count(DISTINCT place) AS n_hit FROM (SELECT r, unnest(range(pos, pos + m)) AS place FROM found) GROUP BY r
+), items AS (
+  SELECT r, list_sort(list_distinct(list(item))) AS items FROM found GROUP BY r
+), docs AS (
+  SELECT row_number() OVER () AS r, doc_id FROM documents
+), sizes AS (
+  SELECT r, count(*) AS n FROM d GROUP BY r
+)
+SELECT doc_id, coalesce(n, 0) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(len(items), 0) AS n_items,
+       sha256(coalesce(array_to_string(items, ','), '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+FROM docs LEFT JOIN sizes USING (r) LEFT JOIN hit USING (r) LEFT JOIN items USING (r)
+"""
+
+
+def _assigned_sql(books: str) -> str:
+    """Parts with the distance to their nearest entry and its index: 64 * distance + index."""
+    return f"SELECT r, p, any_value(x) AS x, min(CAST({' + '.join(f'(x[{i}] - c[{i}]) * (x[{i}] - c[{i}])' for i in (1, 2, 3, 4))} AS HUGEINT) * 64 + e) AS near FROM parts JOIN {books} USING (p) GROUP BY r, p"
+
+
+def _moved_sql(books: str, assigned: str) -> str:
+    means = ", ".join(f"CAST(floor(sum(x[{i}]) / count(*)) AS BIGINT)" for i in (1, 2, 3, 4))
+    return f"SELECT p, e, coalesce(m, c) AS c FROM {books} LEFT JOIN (SELECT p, near % 64 AS e, [{means}] AS m FROM {assigned} GROUP BY ALL) USING (p, e)"
+
+
+OP13_SQL = f"""
+WITH k AS (
+  SELECT row_number() OVER (ORDER BY vec_id, embedding) AS r, vec_id, label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), parts AS (
+  SELECT r, p, v[4 * p + 1 : 4 * p + 4] AS x FROM k, range(16) t(p)
+), b0 AS (
+  SELECT p, r - 1 AS e, x AS c FROM parts WHERE r <= 64
+), a0 AS ({_assigned_sql("b0")}
+), b1 AS ({_moved_sql("b0", "a0")}
+), a1 AS ({_assigned_sql("b1")}
+), b2 AS ({_moved_sql("b1", "a1")}
+), a2 AS ({_assigned_sql("b2")}
+), sha AS (
+  SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM b2
+), coded AS (
+  SELECT r, string_agg(lower(printf('%02x', CAST(near % 64 AS INTEGER))), '' ORDER BY p) AS code, CAST(sum(near // 64) AS BIGINT) AS error FROM a2 GROUP BY r
+)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256
+FROM coded JOIN k USING (r), sha
+"""
