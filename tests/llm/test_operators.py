@@ -827,7 +827,7 @@ def test_token_counts_of_odd_words():
     kinds = ["abcXYZ", "'stremvld", "0123456789", "!?.,-_<|>", "".join(map(chr, range(33, 127))), "éßÉİŉ中ｱ", "\x00\x1f\x7f\x85\u2028\u0301a"]
     words = ["".join(own.choices(own.choice(kinds) + own.choice(kinds), k=own.randint(1, 12))) for _ in range(20_000)]
     words = ["<|endoftext|>", "a<|endoftext|>b", "<|ENDOFTEXT|>", "don't", "'S", "we'LL'll", *words]
-    cache = token_counts.Cache({}, 3000, t)
+    cache = token_counts.Cache({}, 3000, t, True)
     texts = [" ".join(words[i : i + 7]) for i in range(0, len(words), 7)] * 2
     for lo in range(0, len(texts), 100):
         part = texts[lo : lo + 100]

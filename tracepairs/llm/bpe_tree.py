@@ -28,7 +28,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracepairs.llm.common import map_arrow, raw, rename_clashes, slices
+from tracepairs.llm.common import carried, carried_columns, map_arrow, quoted, raw, rename_clashes, slices, with_row
 
 #: Fixed value: the splitting pattern for which seams are defined.
 SEAM_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -190,7 +190,7 @@ def bpe_encode(df: DataFrame, rank_path: str, pattern: str, text_col: str = "tex
     files = _share_ranks(df, rank_path)
     df = rename_clashes(df, [out_col], keep=(text_col,)) if out_col != text_col else df
     others = [c for c in df.columns if c != out_col]
-    rows = df.select(F.coalesce(F.col(text_col), F.lit("")).alias("__t"), F.struct(*[F.col(c) for c in others]).alias("__row"))
+    rows = df.select(F.coalesce(quoted(text_col), F.lit("")).alias("__t"), carried(df, others).alias("__row"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = _encoder(files, pattern)
@@ -198,15 +198,14 @@ def bpe_encode(df: DataFrame, rank_path: str, pattern: str, text_col: str = "tex
             ids = [encode_tree(t, encode, leaf) for t in b.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(1), _array_of(ids)], names=["__row", "__ids"])
 
-    schema = f"__row {rows.schema['__row'].dataType.simpleString()}, __ids array<int>"
-    return map_arrow(rows, run, schema).select("__row.*", F.col("__ids").alias(out_col))
+    return map_arrow(rows, run, with_row(rows, "__row", "__ids array<int>")).select(*carried_columns(others, "__row"), F.col("__ids").alias(out_col))
 
 
 def bpe_decode(df: DataFrame, rank_path: str, pattern: str, ids_col: str = "token_ids", out_col: str = "decoded", *, leaf: int = 256) -> DataFrame:
     """``df`` with ``out_col`` (binary): the bytes of the ids. Null counts as no ids; an id outside the ranks raises."""
     files = _share_ranks(df, rank_path)
     others = [c for c in df.columns if c != out_col]
-    rows = df.select(F.coalesce(F.col(ids_col), F.array().cast("array<int>")).alias("__ids"), F.struct(*[F.col(c) for c in others]).alias("__row"))
+    rows = df.select(F.coalesce(quoted(ids_col), F.array().cast("array<int>")).alias("__ids"), carried(df, others).alias("__row"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decode = _encoder(files, pattern).encoding.decode_bytes
@@ -218,8 +217,7 @@ def bpe_decode(df: DataFrame, rank_path: str, pattern: str, ids_col: str = "toke
                 out = [decode_tree(flat[lo:hi], decode, leaf) for lo, hi in zip(offs[:-1], offs[1:])]
                 yield pa.RecordBatch.from_arrays([b.column(1), pa.array(out, pa.binary())], names=["__row", "__out"])
 
-    schema = f"__row {rows.schema['__row'].dataType.simpleString()}, __out binary"
-    return map_arrow(rows, run, schema).select("__row.*", F.col("__out").alias(out_col))
+    return map_arrow(rows, run, with_row(rows, "__row", "__out binary")).select(*carried_columns(others, "__row"), F.col("__out").alias(out_col))
 
 
 def bpe_round_trip(df: DataFrame, rank_path: str, pattern: str, text_col: str = "text", ids_col: str = "token_ids", out_col: str = "decoded", *, leaf: int = 512) -> DataFrame:
@@ -227,7 +225,7 @@ def bpe_round_trip(df: DataFrame, rank_path: str, pattern: str, text_col: str =
     pass of one Python worker. Input columns of these names are replaced."""
     files = _share_ranks(df, rank_path)
     others = [c for c in df.columns if c not in (ids_col, out_col)]
-    rows = df.select(F.coalesce(F.col(text_col), F.lit("")).alias("__t"), F.struct(F.lit(0).alias("__x"), *[F.col(c) for c in others]).alias("__row"))
+    rows = df.select(F.coalesce(quoted(text_col), F.lit("")).alias("__t"), carried(df, others).alias("__row"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = _encoder(files, pattern)
@@ -236,14 +234,13 @@ def bpe_round_trip(df: DataFrame, rank_path: str, pattern: str, text_col: str =
             decoded = pa.array([decode_tree(x, encode.encoding.decode_bytes) for x in ids], pa.binary())
             yield pa.RecordBatch.from_arrays([b.column(1), _array_of(ids), decoded], names=["__row", "__ids", "__out"])
 
-    schema = f"__row {rows.schema['__row'].dataType.simpleString()}, __ids array<int>, __out binary"
-    out = map_arrow(rows, run, schema)
-    return out.select(*[F.col("__row").getField(c).alias(c) for c in others], F.col("__ids").alias(ids_col), F.col("__out").alias(out_col))
+    out = map_arrow(rows, run, with_row(rows, "__row", "__ids array<int>, __out binary"))
+    return out.select(*carried_columns(others, "__row"), F.col("__ids").alias(ids_col), F.col("__out").alias(out_col))
 
 
 def token_digests(df: DataFrame, rank_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """``id_col, n_tokens, ids_sha256, decoded_sha256`` of each row: encoded, then decoded from the ids."""
-    found = bpe_round_trip(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), rank_path, pattern, **options)
+    found = bpe_round_trip(df.select(quoted(id_col).alias("id"), quoted(text_col).alias("text")), rank_path, pattern, **options)
     return found.select(
         F.col("id").alias(id_col),
         F.size("token_ids").cast("long").alias("n_tokens"),

@@ -14,7 +14,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DataType, MapType, StructField, StructType
+from pyspark.sql.types import StructType
+
+from tracepairs.functions.frames import carried, carried_columns, quoted, relaxed, with_row  # noqa: F401
 
 #: ASCII white space that separates words, as a Java/RE2 character class body.
 SPACE_CLASS = r"\x20\x09-\x0D"
@@ -141,22 +143,6 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def quoted(name: str) -> Column:
-    """The column of this name, whatever characters it has."""
-    return F.col(f"`{name.replace('`', '``')}`")
-
-
-def relaxed(kind: DataType) -> DataType:
-    """The type with null allowed at every depth: Arrow functions give back no others."""
-    if isinstance(kind, StructType):
-        return StructType([StructField(f.name, relaxed(f.dataType)) for f in kind])
-    if isinstance(kind, ArrayType):
-        return ArrayType(relaxed(kind.elementType))
-    if isinstance(kind, MapType):
-        return MapType(relaxed(kind.keyType), relaxed(kind.valueType))
-    return kind
-
-
 def whole_row(df: DataFrame, but: tuple[str, ...] = ()) -> Column:
     """The columns of ``df`` as one struct, whatever their names; ``select("row.*")`` of it, as ``row``, gives them back."""
     names = [c for c in df.columns if c not in but]

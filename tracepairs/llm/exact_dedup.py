@@ -18,7 +18,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracepairs.llm.common import SPACE_CLASS, join_hot, materialize
+from tracepairs.llm.common import SPACE_CLASS, join_hot, materialize, quoted
 
 RESULT = ["keep_id", "group_size", "kept", "text_sha256"]
 _BLOCK_BITS = 15  # cells in one bitmap of Spark's bitmap functions, as a power of two
@@ -75,8 +75,8 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *
     of their group are all ``kept``. A null id is never preferred to another one; in a group of nothing but
     null ids, ``keep_id`` is null and all its rows are kept. An empty table gives an empty result.
     """
-    digest = text_digest(F.col(text_col)).alias("text_sha256")
-    digests = materialize(df.select(F.col(id_col).alias("id"), digest), "digests").withColumn("h", _hash(F.col("text_sha256")))
+    digest = text_digest(quoted(text_col)).alias("text_sha256")
+    digests = materialize(df.select(quoted(id_col).alias("id"), digest), "digests").withColumn("h", _hash(F.col("text_sha256")))
     flagged = mark_possible_repeats(digests, digests.select("h"), **bloom).drop("h")
     once = flagged.where(~F.col("possible")).select(
         "id", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256"
@@ -95,8 +95,8 @@ def drop_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *
     Of each group of equal texts one row stays, with the smallest id (null last). Rows that repeat both id and
     text stay once; their other columns come from one of them.
     """
-    row = F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row")
-    rows = df.select(row, F.col(id_col).alias("id"), text_digest(F.col(text_col)).alias("text_sha256")).withColumn("h", _hash(F.col("text_sha256")))
+    row = F.struct(*map(quoted, df.columns)).alias("row")
+    rows = df.select(row, quoted(id_col).alias("id"), text_digest(quoted(text_col)).alias("text_sha256")).withColumn("h", _hash(F.col("text_sha256")))
     flagged = mark_possible_repeats(rows, materialize(rows.select("h"), "hashes"), **bloom)
     first = flagged.where("possible").groupBy("text_sha256").agg(F.min_by("row", F.struct(F.col("id").isNull(), "id")).alias("row"))
     return flagged.where(~F.col("possible")).select("row").unionByName(first.select("row")).select("row.*")

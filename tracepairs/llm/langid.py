@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracepairs.llm.common import map_arrow, materialize, slices
+from tracepairs.llm.common import map_arrow, materialize, quoted, slices, whole_row, with_row
 
 UNDETERMINED = "und"
 _RUN = re.compile(r"[^\W\d_]+")
@@ -99,7 +99,7 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", *, max_train_docs: int = 2_000) -> Model:
     """Fit on rows with a text and a label, on ``max_train_docs`` different texts at most (or one for each language)."""
-    rows = labelled.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+    rows = labelled.where(quoted(text_col).isNotNull() & quoted(lang_col).isNotNull()).select(quoted(lang_col).alias("lang"), quoted(text_col).alias("text"))
     place = F.pmod(F.xxhash64("text"), F.lit(1 << 30))
     texts = rows.select("lang", F.xxhash64("text").alias("h"), place.alias("place")).distinct()
     counts = texts.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.min("place").alias("first")).collect()
@@ -174,7 +174,7 @@ def identify(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     ``und`` with score 0 if the text is null or has no letter, or if the model has no language.
     """
     shared, key = df.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex
-    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    rows = df.select(quoted(id_col).alias("id"), quoted(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if key not in _worker:
@@ -186,19 +186,19 @@ def identify(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
             yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(x, t) for x, t in zip(found, (pa.string(), pa.float64(), pa.float64()))]], names=["id", "lang_pred", "score", "known"])
         _worker.clear()  # workers are reused by other stages
 
-    out = map_arrow(rows, run, f"id {rows.schema['id'].dataType.simpleString()}, lang_pred string, score double, known double")
+    out = map_arrow(rows, run, with_row(rows, "id", "lang_pred string, score double, known double"))
     return out.withColumnRenamed("id", id_col)
 
 
 def held_out(id_col: str = "doc_id"):
     """True for rows that the queries never learn from: crc32(id as text) mod 3 is 1."""
-    return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 3 == 1, F.lit(False))
+    return F.coalesce(F.crc32(quoted(id_col).cast("string")) % 3 == 1, F.lit(False))
 
 
 def identify_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", **limits) -> DataFrame:
     """``id_col, held_out, lang_pred, score``: fitted on the rows of ``df`` that are not held out, applied to all."""
     model = fit(df.where(~held_out(id_col)), text_col, lang_col, **limits)
-    return identify(df, model, id_col, text_col).withColumn("held_out", held_out(id_col)).select(id_col, "held_out", "lang_pred", "score")
+    return identify(df, model, id_col, text_col).withColumn("held_out", held_out(id_col)).select(quoted(id_col), "held_out", "lang_pred", "score")
 
 
 def keep_identified(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", *, over_chance: float = 1.2, known_share: float = 0.5, **limits) -> DataFrame:
@@ -209,7 +209,6 @@ def keep_identified(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     their words: a text in several languages scores low for each, but is no junk.
     """
     model = fit(df.where(~held_out(id_col)), text_col, lang_col, **limits)
-    row = F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row")
-    found = identify(df.select(row, F.col(text_col).alias("text")), model, "row", "text")
+    found = identify(df.select(whole_row(df).alias("row"), quoted(text_col).alias("text")), model, "row", "text")
     told = (F.col("score") >= min(1.0, over_chance / max(1, len(model.langs)))) | (F.col("known") >= known_share)
     return found.where((F.col("lang_pred") != UNDETERMINED) & told).select("row.*")

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracepairs.llm.common import map_arrow, raw, slices
+from tracepairs.llm.common import carried, carried_columns, map_arrow, quoted, raw, slices, with_row
 from tracepairs.llm.mjpeg import encode_frames, luma_pixels, luma_samples
 
 SIDE = 24
@@ -169,11 +169,11 @@ def _histograms(samples: list[np.ndarray]) -> np.ndarray:
 def _carried(df: DataFrame, column: str, default, made: list[str]) -> DataFrame:
     """``column`` (null: ``default``) and all other columns that do not clash with ``made`` as one struct."""
     kept = [c for c in df.columns if c not in made]
-    return df.select(F.coalesce(F.col(column), default).alias("__in"), F.struct(F.lit(0).alias("__x"), *[F.col(c) for c in kept]).alias("__row"))
+    return df.select(F.coalesce(quoted(column), default).alias("__in"), carried(df, kept).alias("__row"))
 
 
 def _flat(out: DataFrame, df: DataFrame, made: list[str]) -> DataFrame:
-    return out.select(*[F.col("__row").getField(c).alias(c) for c in df.columns if c not in made], *made)
+    return out.select(*carried_columns([c for c in df.columns if c not in made], "__row"), *map(quoted, made))
 
 
 def payload_bytes(n: int) -> int:
@@ -200,9 +200,9 @@ def text_to_avi(df: DataFrame, text_col: str = "text", out_col: str = "media", f
             frames = encode_frames(flat.reshape(-1, FRAME_BYTES), SIDE)
             cut = at // FRAME_BYTES
             files = [write_avi(frames[lo:hi], SIDE * 8, SIDE * 8, fps) for lo, hi in zip(cut[:-1], cut[1:])]
-            yield pa.RecordBatch.from_arrays([b.column(1), pa.array(files, pa.binary())], names=["__row", out_col])
+            yield pa.RecordBatch.from_arrays([b.column(1), pa.array(files, pa.binary())], names=["__row", "__out"])
 
-    return _flat(map_arrow(rows, run, f"__row {rows.schema['__row'].dataType.simpleString()}, {out_col} binary"), df, made)
+    return _flat(map_arrow(rows, run, with_row(rows, "__row", "__out binary")).withColumnRenamed("__out", out_col), df, made)
 
 
 DECODED = ["n_frames", "bad_frames", "fps", "samples", "clips", "error"]
@@ -239,7 +239,7 @@ def decode_avi(df: DataFrame, media_col: str = "media", *, keep_media: bool = Tr
             types = [pa.int32(), pa.int32(), pa.float64(), pa.binary(), clip_type, pa.string()]
             yield pa.RecordBatch.from_arrays([b.column(1), *[pa.array(c, t) for c, t in zip(zip(*out), types)]], names=["__row", *DECODED])
 
-    schema = f"__row {rows.schema['__row'].dataType.simpleString()}, n_frames int, bad_frames int, fps double, samples binary, clips array<{CLIP}>, error string"
+    schema = with_row(rows, "__row", f"n_frames int, bad_frames int, fps double, samples binary, clips array<{CLIP}>, error string")
     return _flat(map_arrow(rows, run, schema), kept, DECODED)
 
 
@@ -270,7 +270,7 @@ def decode_frames(df: DataFrame, media_col: str = "media", *, batch_pixels: int
                     at = pa.array(range(lo, lo + len(found)), pa.int32())
                     yield pa.RecordBatch.from_arrays([own, at, pa.array(wide, pa.int32()), pa.array(high, pa.int32()), pa.array(luma, pa.binary())], names=["__row", *FRAME])
 
-    schema = f"__row {rows.schema['__row'].dataType.simpleString()}, frame int, width int, height int, luma binary"
+    schema = with_row(rows, "__row", "frame int, width int, height int, luma binary")
     return _flat(map_arrow(rows, run, schema), kept, FRAME)
 
 

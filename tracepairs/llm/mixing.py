@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracepairs.llm.common import WORD_RE, materialize
+from tracepairs.llm.common import WORD_RE, materialize, quoted
 
 RESULT = ["size", "source_size", "target", "taken"]
 
@@ -80,16 +80,19 @@ def mix(
     Text in other columns is never read. There are as many key ranges as keep one at about ``range_rows``
     rows whatever the size of the input (256 at least); their number does not change the result.
     """
-    own = F.coalesce(F.col(id_col).cast("string"), F.md5(F.col(text_col)), F.lit(""))  # rows without an id spread by their text
-    sized = materialize(
-        df.select(
-            F.col(id_col).alias("__id"),
-            F.col(source_col).alias("__src"),
-            word_count(F.col(text_col)).alias("size"),
-            F.md5(F.concat(F.lit(f"{seed}:"), own)).alias("__key"),
-        ),
-        "sizes",
-    )
+    sized = materialize(_sized(df, id_col, text_col, source_col, seed), "sizes")
+    placed = _placed(sized, weights, max_epochs, range_rows)
+    return placed.select(F.col("__id").alias(id_col), F.col("__src").alias(source_col), "size", "source_size", "target", "taken")
+
+
+def _sized(df: DataFrame, id_col: str, text_col: str, source_col: str, seed: str, *more: Column) -> DataFrame:
+    own = F.coalesce(quoted(id_col).cast("string"), F.md5(quoted(text_col)), F.lit(""))  # rows without an id spread by their text
+    key = F.md5(F.concat(F.lit(f"{seed}:"), own)).alias("__key")
+    return df.select(quoted(id_col).alias("__id"), quoted(source_col).alias("__src"), word_count(quoted(text_col)).alias("size"), key, *more)
+
+
+def _placed(sized: DataFrame, weights: tuple[int, ...], max_epochs: int, range_rows: int, *ties: str) -> DataFrame:
+    """``sized`` with ``source_size, target, taken``; ``ties`` tell rows apart that are else equal."""
     ranges = min(2**24, max(256, -(-sized.count() // range_rows)))
     sized = sized.withColumn("__range", F.floor(F.conv(F.substring("__key", 1, 6), 16, 10).cast("long") * ranges / 2**24))
     # grouped by (source, range) and then source: a hot source meets as `ranges` partial sums
@@ -98,7 +101,7 @@ def mix(
     cuts = cuts.withColumn("offset", F.coalesce(F.sum("range_size").over(earlier), F.lit(0)))
     targets = source_targets(cuts.groupBy("__src").agg(F.sum("range_size").alias("source_size")), "__src", weights, max_epochs)
     cuts = cuts.alias("c").join(targets.alias("t"), F.col("c.__src").eqNullSafe(F.col("t.__src"))).select("c.*", "source_size", "target")
-    inside = Window.partitionBy("__src", "__range").orderBy("__key", "__id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("__src", "__range").orderBy("__key", "__id", "size", *ties).rowsBetween(Window.unboundedPreceding, -1)
     placed = (
         sized.withColumn("before", F.coalesce(F.sum("size").over(inside), F.lit(0))).alias("s")
         .join(cuts.alias("c"), F.col("s.__src").eqNullSafe(F.col("c.__src")) & (F.col("s.__range") == F.col("c.__range")))
@@ -108,19 +111,21 @@ def mix(
     epochs = F.coalesce(F.floor(F.try_divide(budget, F.col("source_size"))), F.lit(0)).cast("long")
     rest = budget - epochs * F.col("source_size") - F.col("offset") - F.col("before")
     taken = epochs * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), rest))
-    return placed.select(
-        F.col("__id").alias(id_col), F.col("__src").alias(source_col), "size", "source_size", "target", taken.cast("long").alias("taken")
-    )
+    return placed.withColumn("taken", taken.cast("long"))
 
 
-def take_mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
-    """The documents of the mix with the columns of ``df``, once for each repeat.
+def take_mix(
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", *, weights: tuple[int, ...] = (1, 2, 3), max_epochs: int = 3, seed: str = "mix-1", range_rows: int = 100_000
+) -> DataFrame:
+    """The documents of the mix with the columns of ``df``, whatever their names, once for each repeat.
 
     A document at the cut is kept whole: the cut is a budget in words, not an edit of the text. Documents without
-    words are not taken. Rows that repeat an id are each taken as often as the one of them that is taken most.
+    words are not taken. Rows that repeat an id, or have none, are taken each by its own part of the mix: rows are written
+    once with numbers of their own, and only these numbers, with how often each is taken, are joined back.
     """
-    chosen = mix(df, id_col, text_col, source_col, **options).where("taken > 0")
-    times = F.max(F.ceil(F.col("taken") / F.col("size")).cast("int")).alias("__times")
-    chosen = chosen.groupBy(F.col(id_col).alias("__id")).agg(times)
-    rows = df.where(word_count(F.col(text_col)) > 0).join(chosen, F.col(id_col).eqNullSafe(F.col("__id")))
-    return rows.withColumn("__n", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*df.columns)
+    number = F.monotonically_increasing_id().alias("__number")
+    rows = materialize(_sized(df, id_col, text_col, source_col, seed, number, F.struct(*map(quoted, df.columns)).alias("__row")), "rows")
+    chosen = _placed(rows.drop("__row"), weights, max_epochs, range_rows, "__number").where("taken > 0")
+    chosen = chosen.select("__number", F.ceil(F.col("taken") / F.col("size")).cast("int").alias("__times"))
+    taken = rows.select("__number", "__row").join(chosen, "__number")
+    return taken.select("__row", F.explode(F.sequence(F.lit(1), F.col("__times")))).select("__row.*")

@@ -35,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracepairs.llm.common import give_back_memory, join_hot, map_arrow, materialize, maybe_broadcast, mix, partitions, prefix_hash, raw, slices, span_hash
+from tracepairs.llm.common import give_back_memory, join_hot, map_arrow, materialize, maybe_broadcast, mix, partitions, prefix_hash, quoted, raw, slices, span_hash
 from tracepairs.llm.components import connected_components
 
 SLICE_BYTES = 1 << 20
@@ -407,7 +407,7 @@ def ngram_jaccard_components(
     """
     spark = df.sparkSession
     num, den = threshold
-    narrow = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    narrow = df.select(quoted(id_col).cast("long").alias("id"), quoted(text_col).alias("text"))
     known = narrow.where("id is not null")
     volume = F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + F.lit(_DOC.itemsize))  # null and empty texts have records too
     parts = max(partitions(spark), int((known.agg(volume).first()[0] or 0) >> 25))
@@ -482,7 +482,8 @@ def _full_sets_null(width: int):
 def drop_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of ``df`` whose id is the smallest of its component. Rows with a null id stay, and all rows of an id of
     which some row is the smallest of its component."""
-    found = ngram_jaccard_components(df, id_col, text_col, **options).where(F.col(id_col).isNotNull())
-    gone = found.groupBy(F.col(id_col).alias("__gone")).agg(F.every(F.col("component_id") != F.col(id_col)).alias("__all")).where("__all")
-    gone = materialize(gone.select("__gone"), "gone")
-    return df.join(maybe_broadcast(gone, gone.count()), F.col(id_col) == F.col("__gone"), "left_anti")
+    found = ngram_jaccard_components(df.select(quoted(id_col).alias("id"), quoted(text_col).alias("text")), "id", "text", **options).where("id is not null")
+    gone = found.groupBy("id").agg(F.every(F.col("component_id") != F.col("id")).alias("all")).where("all").select("id")
+    gone = materialize(gone, "gone")
+    rows = df.select(F.struct(*map(quoted, df.columns)).alias("row"), quoted(id_col).alias("id"))
+    return rows.join(maybe_broadcast(gone, gone.count()), "id", "left_anti").select("row.*")

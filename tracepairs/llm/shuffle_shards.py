@@ -10,10 +10,10 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracepairs.llm.common import materialize, rename_clashes
+from tracepairs.llm.common import carried, carried_columns, materialize, quoted, rename_clashes, with_row
 
 
 def fisher_yates(n: int, seed: int) -> np.ndarray:
@@ -27,18 +27,30 @@ def fisher_yates(n: int, seed: int) -> np.ndarray:
     return np.array(order, np.int64)
 
 
+def row_bytes(df: DataFrame) -> Column:
+    """About how many bytes the values of a row take; a null takes none."""
+    sizes = [F.lit(0)]
+    for f in df.schema:
+        value, kind = quoted(f.name), f.dataType.typeName()
+        if kind in ("array", "map", "struct"):
+            value, kind = F.to_json(F.struct(value)), "string"
+        sizes.append(F.coalesce(F.octet_length(value), F.lit(0)) if kind in ("string", "binary") else F.lit(8))
+    return sum(sizes[1:], sizes[0]).cast("long")
+
+
 def shuffled_shards(df: DataFrame, n_shards: int, id_col: str = "doc_id", text_col: str = "text", *, seed: int = 7, bucket_bytes: int = 32 << 20) -> DataFrame:
     """``df`` with ``shard`` (0 to n_shards - 1) and ``slot`` (from 0 without gaps in each shard).
 
     Input columns of these names are replaced. The bucket of a record depends on the seed, its id and its text;
-    null ids and texts are values like any other. ``bucket_bytes`` is the mean size of a bucket's texts, which
+    null ids and texts are values like any other. ``bucket_bytes`` is the mean size of a bucket's rows, which
     a task holds in memory: copies spread by their ids, and only rows equal in id and text must share
     a bucket. An empty table gives an empty result. A rerun over the same rows gives the same shards and slots.
     """
     rows = rename_clashes(df, ["shard", "slot"])
-    total = rows.agg(F.sum(F.octet_length(F.col(text_col)) + 64)).first()[0] or 0
+    total = rows.agg(F.sum(row_bytes(rows) + 64)).first()[0] or 0
     n_buckets = max(1, -(-total // bucket_bytes))
-    named = rows.select(F.struct(*[F.col(c) for c in rows.columns]).alias("__row"), F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col)).alias("__h"), F.xxhash64(F.lit(seed + 1), F.col(id_col), F.col(text_col)).alias("__order"))
+    h, order = (F.xxhash64(F.lit(seed + i), quoted(id_col), quoted(text_col)) for i in (0, 1))
+    named = rows.select(carried(rows, rows.columns).alias("__row"), h.alias("__h"), order.alias("__order"))
     named = named.withColumn("__bucket", F.pmod(F.col("__h"), F.lit(n_buckets)))
 
     def permute(table: pa.Table) -> pa.Table:
@@ -48,15 +60,14 @@ def shuffled_shards(df: DataFrame, n_shards: int, id_col: str = "doc_id", text_c
         table = table.select(["__row", "__bucket"]).take(pa.array(order))
         return table.append_column("__place", pa.array(np.arange(table.num_rows, dtype=np.int64)))
 
-    kind = named.schema["__row"].dataType.simpleString()
-    buckets = materialize(named.groupBy("__bucket").applyInArrow(permute, f"__row {kind}, __bucket long, __place long"), "buckets")
+    buckets = materialize(named.groupBy("__bucket").applyInArrow(permute, with_row(named, "__row", "__bucket long, __place long")), "buckets")
     counts = buckets.groupBy("__bucket").agg(F.count(F.lit(1)).alias("n"))
     # one row per bucket: this window grows with the bytes over bucket_bytes, not with the rows
     before = Window.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(F.col("__bucket").alias("__of"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__before"))
     placed = buckets.join(F.broadcast(offsets) if n_buckets <= 500_000 else offsets, F.col("__bucket") == F.col("__of"))
     at = F.col("__before") + F.col("__place")
-    return placed.select("__row.*", F.pmod(at, F.lit(n_shards)).cast("int").alias("shard"), F.floor(at / n_shards).cast("long").alias("slot"))
+    return placed.select(*carried_columns(rows.columns, "__row"), F.pmod(at, F.lit(n_shards)).cast("int").alias("shard"), F.floor(at / n_shards).cast("long").alias("slot"))
 
 
 def write_shards(sharded: DataFrame, path: str) -> None:

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracepairs.llm.common import join_hot, map_arrow, materialize, maybe_broadcast, mix, partitions, prefix_hash, raw, slices, span_hash
+from tracepairs.llm.common import carried, carried_columns, join_hot, map_arrow, materialize, maybe_broadcast, mix, partitions, prefix_hash, quoted, raw, slices, span_hash, with_row
 
 GRAM = 40
 _POS_BITS = 28
@@ -345,11 +345,6 @@ def merge(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return lo[new], reach[np.append(np.flatnonzero(new)[1:], len(lo)) - 1]
 
 
-def _reserved(columns: list[str]) -> str:
-    """A field name that no column has (a struct may not be empty)."""
-    return "_" * (1 + max(map(len, columns), default=0))
-
-
 _SPANS = "array<struct<start: int, end: int>>"
 
 
@@ -366,10 +361,10 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     made = ["kept_bytes", "removed"]
     others = [c for c in df.columns if c not in made]
-    text = F.col(text_col)
-    key = F.xxhash64(F.col(id_col), F.coalesce(text, F.lit("")))
-    place = F.coalesce(F.col(id_col).cast("long"), F.lit(2**63 - 1)) if options.get("keep_first") else F.lit(0).cast("long")
-    rows = df.select(key.alias("k"), place.alias("o"), text.alias("text"), F.struct(F.lit(0).alias(_reserved(others)), *[F.col(c) for c in others if c != text_col]).alias("row"))
+    text, carry = quoted(text_col), [c for c in others if c != text_col]
+    key = F.xxhash64(quoted(id_col), F.coalesce(text, F.lit("")))
+    place = F.coalesce(quoted(id_col).cast("long"), F.lit(2**63 - 1)) if options.get("keep_first") else F.lit(0).cast("long")
+    rows = df.select(key.alias("k"), place.alias("o"), text.alias("text"), carried(df, carry).alias("row"))
     spans = repeated_spans(rows.select("k", "o", F.coalesce("text", F.lit("")).alias("text")), **options)
     per_text = spans.groupBy("k").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
 
@@ -388,5 +383,6 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(kept, pa.binary()), pa.array(removed, kind)], names=["row", "text", *made])
 
     joined = rows.join(per_text, "k", "left").select("row", "text", "spans")
-    out = map_arrow(joined, run, f"row {rows.schema['row'].dataType.simpleString()}, text string, kept_bytes binary, removed {_SPANS}")
-    return out.select(*[(F.col("text") if c == text_col else F.col("row").getField(c)).alias(c) for c in others], *made)
+    out = map_arrow(joined, run, with_row(rows, "row", f"text string, kept_bytes binary, removed {_SPANS}"))
+    columns = dict(zip(carry, carried_columns(carry, "row"))) | {text_col: F.col("text").alias(text_col)}
+    return out.select(*[columns[c] for c in others], *made)

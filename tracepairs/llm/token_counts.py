@@ -1,10 +1,11 @@
-"""Token counts by a two-tier lookup on the map side; no pre-token is ever shuffled.
+"""Token counts by a two-tier lookup on the map side; the pre-tokens of documents are never shuffled.
 
 Where the tokenizer's normaliser and splitting pattern never join characters across ASCII white space, a text has
 as many tokens as its white-space-separated pre-tokens together. Tier one is a broadcast table of the
 token counts of the pre-tokens most frequent in the whole table: each task sums its own words up in a summary of bounded
 size, and summaries are merged by tree until one is left. The table only saves time and never changes a count. Tier two
-is a cache in each worker, bounded by twice ``cache_size``, that the library fills for pre-tokens not met before.
+is a cache in each worker, bounded by twice ``cache_size``, that the library fills for pre-tokens not met before. What tasks exchange are their summaries,
+of at most ``table_size`` words each, and nothing else.
 
 The tokenizer's file is checked for this when it is loaded; with any other, whole texts are encoded.
 """
@@ -14,6 +15,7 @@ from __future__ import annotations
 import collections
 import json
 import re
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tracepairs.llm.common import map_arrow, materialize, raw, slices
+from tracepairs.llm.common import map_arrow, materialize, quoted, raw, slices, with_row
 
 _LONG = 256  # longer pre-tokens are encoded each time and kept nowhere
 _FAN_IN = 64  # summaries merged by a task
@@ -49,6 +51,15 @@ def splits_at_spaces(spec: str) -> bool:
     return removed and plain and added and not t["model"].get("dropout")
 
 
+def counts_by_piece(spec: str) -> bool:
+    """Whether a word of printable ASCII characters has the tokens of its pieces: the tokenizer lower-cases it, changes it in
+    no other way, and splits it by the known pattern."""
+    t = json.loads(spec)
+    normalizer = t.get("normalizer") or {"type": "Sequence", "normalizers": []}
+    kinds = [x["type"] for x in (normalizer["normalizers"] if normalizer["type"] == "Sequence" else [normalizer])]
+    return splits_at_spaces(spec) and "Lowercase" in kinds
+
+
 # --- frequent pre-tokens ---------------------------------------------------------------------------------
 
 
@@ -112,7 +123,7 @@ def frequent_lengths(df: DataFrame, text_col: str, tokenizer: Tokenizer, *, tabl
     A task's summary holds its words with a share of ``table_share`` or more. Every ``_FAN_IN`` summaries are merged into
     one of ``table_size`` words, until one is left, which the driver reads.
     """
-    texts = df.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    texts = df.select(F.coalesce(quoted(text_col), F.lit("")).alias("text"))
     parts = materialize(map_arrow(texts, _summary(table_share, table_size), _SUMMARY), "summaries")
     while parts.count() > 1:
         merged = parts.groupBy(F.floor(F.col("task") / _FAN_IN)).applyInArrow(_merge(table_size), _SUMMARY)
@@ -129,12 +140,12 @@ class Cache:
     """Token counts of pre-tokens: the broadcast table, and what was met since, in two generations of up to ``size``.
 
     When the younger one is full it becomes the older one; words found in that return to the younger. So frequent words stay.
-    New words of printable ASCII characters are split as the tokenizer's pattern does and counted by its model, piece by
-    piece, with up to ``size`` pieces kept; all others go through the whole tokenizer.
+    With ``by_piece`` (:func:`counts_by_piece`) new words of printable ASCII characters are split as the tokenizer's pattern does
+    and counted by its model, piece by piece, with up to ``size`` pieces kept; all others go through the whole tokenizer.
     """
 
-    def __init__(self, table: dict[bytes, int], size: int, tokenizer: Tokenizer):
-        self.table, self.size, self.tokenizer, self.model = table, size, tokenizer, tokenizer.model
+    def __init__(self, table: dict[bytes, int], size: int, tokenizer: Tokenizer, by_piece: bool):
+        self.table, self.size, self.tokenizer, self.model, self.by_piece = table, size, tokenizer, tokenizer.model, by_piece
         self.added = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
         self.young, self.old = dict(table), {}
         self.pieces: dict[str, int] = {}
@@ -145,7 +156,7 @@ class Cache:
             pieces.clear()
         for w in words:
             t = w.decode()
-            if not (t.isascii() and t.isprintable()) or any(a in t for a in self.added):
+            if not (self.by_piece and t.isascii() and t.isprintable()) or any(a in t for a in self.added):
                 others.append(w)
                 continue
             total = 0
@@ -176,7 +187,7 @@ def _lengths(texts: list[bytes], tokenizer: Tokenizer) -> list[int]:
     return [len(e) for e in tokenizer.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)]
 
 
-_state: dict[str, object] = {}
+_state: dict[str, Cache] = {}
 
 
 def count_tokens(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", *, limit: int = 2048, cache_size: int = 200_000, table_share: float = 5e-6, table_size: int = 65_536) -> DataFrame:
@@ -195,17 +206,18 @@ def count_tokens(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", tex
     tokenizer.no_padding()
     by_word = splits_at_spaces(spec)
     table = frequent_lengths(df, text_col, tokenizer, table_share=table_share, table_size=table_size) if by_word else {}
-    shared = spark.sparkContext.broadcast((spec, table))
-    rows = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    shared, key = spark.sparkContext.broadcast((spec, table)), uuid.uuid4().hex
+    rows = df.select(quoted(id_col).alias("id"), F.coalesce(quoted(text_col), F.lit("")).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        spec, table = shared.value
-        if _state.get("spec") != spec:
+        if key not in _state:
+            _state.clear()  # the table and cache of another call
+            spec, table = shared.value
             own = Tokenizer.from_str(spec)
             own.no_truncation()
             own.no_padding()
-            _state.update(spec=spec, cache=Cache(table, cache_size, own))
-        cache = _state["cache"]
+            _state[key] = Cache(table, cache_size, own, counts_by_piece(spec))
+        cache = _state[key]
         for b in slices(batches, "text", 1 << 20):
             data, offs = raw(b.column(1))
             data = data.tobytes()
@@ -213,5 +225,5 @@ def count_tokens(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", tex
             n = cache.count(texts) if by_word else _lengths(texts, cache.tokenizer)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.diff(offs)), pa.array(n, pa.int64())], names=["id", "n_bytes", "n_tokens"])
 
-    out = map_arrow(rows, run, f"id {rows.schema['id'].dataType.simpleString()}, n_bytes long, n_tokens long")
+    out = map_arrow(rows, run, with_row(rows, "id", "n_bytes long, n_tokens long"))
     return out.select(F.col("id").alias(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracepairs.llm.common import map_arrow, materialize, maybe_broadcast, raw, slices
+from tracepairs.llm.common import map_arrow, materialize, maybe_broadcast, quoted, raw, slices
 
 _MAGIC = b"\x1f\x8b\x08"
 _VERSION = re.compile(rb"WARC/1\.[01]\r\n")
@@ -269,7 +269,7 @@ def read_archives(archives: DataFrame, name_col: str = "archive", content_col: s
         if rows:
             yield closed()
 
-    return map_arrow(archives.select(F.col(name_col).cast("string"), F.col(content_col)), run, _READ)
+    return map_arrow(archives.select(quoted(name_col).cast("string"), quoted(content_col)), run, _READ)
 
 
 def _bare(value: str | None) -> str | None:
@@ -283,8 +283,8 @@ def classify(pages: DataFrame, id_col: str, payload_col: str, *, least: int) ->
     """``pages`` with ``__digest`` and ``__refers`` (the largest id of the equal payloads of ``least`` bytes or more; null
     for a page without such another). Copies are counted map-side; only narrow rows of repeated payloads meet."""
     digest = F.sha1(F.col("__payload"))
-    rows = pages.withColumn("__payload", F.coalesce(F.col(payload_col), F.lit(""))).withColumn("__digest", digest)
-    groups = rows.where(F.octet_length("__payload") >= least).groupBy("__digest").agg(F.max(id_col).alias("__refers"), F.count(F.lit(1)).alias("__n"))
+    rows = pages.withColumn("__payload", F.coalesce(quoted(payload_col), F.lit(""))).withColumn("__digest", digest)
+    groups = rows.where(F.octet_length("__payload") >= least).groupBy("__digest").agg(F.max(quoted(id_col)).alias("__refers"), F.count(F.lit(1)).alias("__n"))
     groups = materialize(groups.where("__n > 1").select(F.col("__digest").alias("__of"), "__refers"), "repeated")
     return rows.join(maybe_broadcast(groups, groups.count()), F.col("__digest") == F.col("__of"), "left").drop("__of")
 
@@ -299,7 +299,7 @@ def write_archives(
     null ids are written as such, a null URL becomes the record's own id. An archive is closed at ``archive_bytes``
     or after one record that is larger. An empty table gives no archives.
     """
-    marked = classify(pages.select(F.col(id_col).cast("long").alias("__id"), F.col(url_col).alias("__url"), F.col(payload_col).alias("__body")), "__id", "__body", least=revisit_bytes)
+    marked = classify(pages.select(quoted(id_col).cast("long").alias("__id"), quoted(url_col).alias("__url"), quoted(payload_col).alias("__body")), "__id", "__body", least=revisit_bytes)
     marked = marked.select("__payload", "__id", "__url", "__digest", "__refers")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
