@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import dataclasses
 import random
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -25,8 +24,9 @@ from tracepairs.operators import reports as R
 from tracepairs.operators import sampling as S
 from tracepairs.operators import scoring as G
 from tracepairs.sources.jsonl import read_jsonl, write_jsonl
+from tracepairs.sources.stages import shared_folder
 
-#: For queries that SQL checks, no similarity counts as near identical: SQL has no such matching.
+#: No similarity counts as near identical here, so that SQL needs no matching; :data:`SIMILAR` is the same with it.
 BASE = RunConfig(
     pair=PairConfig(tau_pair=0.08, min_weight=0.35, max_pairs_per_prompt=20, max_near_identical_similarity=1.01, semi_purified_min_confidence=0.6,
                     both_correct=dataclasses.replace(PairConfig().both_correct, min_confidence=0.62), both_wrong=dataclasses.replace(PairConfig().both_wrong, min_confidence=0.65)),
@@ -95,7 +95,7 @@ def _canon_sql(x: str) -> str:
 
 
 def _with(sql: str, *more: str) -> str:
-    return "WITH " + ", ".join([_EVENTS_SQL, *more]) + sql
+    return "WITH RECURSIVE " + ", ".join([_EVENTS_SQL, *more]) + sql
 
 
 def _side(x: str, h: int) -> str:
@@ -120,15 +120,43 @@ def _words(sig: str) -> str:
     return f"list_sort(list_distinct(list_filter(string_split({sig}, ' '), lambda w: len(w) >= 3 AND w NOT IN ({stop}))))"
 
 
+#: Ratio of matching blocks for each two signatures: runs of equal characters along the diagonals, then the longest one (the
+#: first in x, then in y) within an interval, and the intervals left and right of it, again and again. Up to 199 characters
+#: the library's rule for frequent characters does not apply; those of the test tables are shorter.
+_SIMILAR_CTES = """sp AS (
+  SELECT x, y, row_number() OVER () AS p FROM (SELECT DISTINCT sa.sig AS x, sb.sig AS y FROM sa JOIN sb USING (id, a, b)) WHERE x <> y
+), eq AS (
+  SELECT p, i, j, i - row_number() OVER (PARTITION BY p, i - j ORDER BY i) AS island
+  FROM (SELECT p, x, y, unnest(range(length(x))) AS i FROM sp), LATERAL (SELECT unnest(range(length(y))) AS j) WHERE substr(x, i + 1, 1) = substr(y, j + 1, 1)
+), runs AS (
+  SELECT p, min(i) AS i, min(j) AS j, count(*) AS n FROM eq GROUP BY p, i - j, island
+), blocks AS (
+  SELECT p, 0 AS alo, length(x) AS ahi, 0 AS blo, length(y) AS bhi, 0 AS matched FROM sp
+  UNION ALL
+  SELECT p, CASE WHEN side = 0 THEN alo ELSE i + n END, CASE WHEN side = 0 THEN i ELSE ahi END, CASE WHEN side = 0 THEN blo ELSE j + n END, CASE WHEN side = 0 THEN j ELSE bhi END, CASE WHEN side = 0 THEN n ELSE 0 END
+  FROM (
+    SELECT p, alo, ahi, blo, bhi, best[1] AS n, -best[2] AS i, -best[3] AS j FROM (
+      SELECT p, alo, ahi, blo, bhi, max([least(i + n, ahi, i + bhi - j) - greatest(i, alo, i + blo - j), -greatest(i, alo, i + blo - j), i - j - greatest(i, alo, i + blo - j)]) AS best
+      FROM blocks JOIN runs USING (p) WHERE least(i + n, ahi, i + bhi - j) > greatest(i, alo, i + blo - j) GROUP BY p, alo, ahi, blo, bhi
+    )
+  ), (SELECT unnest([0, 1]) AS side)
+), simil AS (
+  SELECT x, y, 2.0::DOUBLE * sum(matched) / (any_value(length(x)) + any_value(length(y))) AS ratio FROM sp JOIN blocks USING (p) GROUP BY x, y
+)"""
+
+
 def _decisions_ctes(cfg: RunConfig) -> list[str]:
     p, c, mode = cfg.pair, cfg.confidence, cfg.pair.pair_mode
+    similar = p.max_near_identical_similarity <= 1
+    ratio = "CASE WHEN sa.sig = sb.sig THEN 1 ELSE simil.ratio END" if similar else "NULL::DOUBLE"
     preamble = " OR ".join(f"contains({{x}}, '{w}')" for w in T.PREAMBLE if "'" not in w)
     info = f"""inf AS (
   SELECT kk.*, sa.sig AS siga, sb.sig AS sigb, (k IS NOT NULL AND sa.sig IS NOT NULL AND sb.sig IS NOT NULL) AS ok,
          sa.local AS loca, sb.local AS locb, da.drop_at AS dra, db.drop_at AS drb, da.n AS na, db.n AS nb, da.p AS pa, db.p AS pb,
          {p.alpha_local} * sa.local + {1.0 - p.alpha_local} * CAST(oa AS INTEGER) AS ua, {p.alpha_local} * sb.local + {1.0 - p.alpha_local} * CAST(ob AS INTEGER) AS ub,
+         {ratio} AS similarity, coalesce({ratio} >= {p.max_near_identical_similarity}, false) AS near,
          coalesce(ta.tail = tb.tail, false) AS reconv, {_canon_sql('sa.txt')} AS ca, {_canon_sql('sb.txt')} AS cb
-  FROM kk LEFT JOIN sa USING (id, a, b) LEFT JOIN sb USING (id, a, b) LEFT JOIN ta USING (id, a, b) LEFT JOIN tb USING (id, a, b) LEFT JOIN da USING (id, a, b) LEFT JOIN db USING (id, a, b)
+  FROM kk LEFT JOIN sa USING (id, a, b) LEFT JOIN sb USING (id, a, b) LEFT JOIN ta USING (id, a, b) LEFT JOIN tb USING (id, a, b) LEFT JOIN da USING (id, a, b) LEFT JOIN db USING (id, a, b){" LEFT JOIN simil ON simil.x = sa.sig AND simil.y = sb.sig" if similar else ""}
 ), fl AS (
   SELECT *, abs(ua - ub) AS margin, abs(loca - locb) AS gap, least(length(siga), length(sigb)) AS chars,
          regexp_replace(ca, '[^a-z0-9]', '', 'g') = regexp_replace(cb, '[^a-z0-9]', '', 'g') AS fmt,
@@ -138,9 +166,9 @@ def _decisions_ctes(cfg: RunConfig) -> list[str]:
 ), gg AS (
   SELECT *, chars < {p.min_divergent_chars} AS short, chars < {p.min_divergent_chars} OR (same_words AND NOT math) AS triv, both_pre AND NOT math AS boil FROM fl
 ), wk AS (
-  SELECT *, short OR siga = sigb OR fmt OR reconv OR triv OR boil AS weak FROM gg
+  SELECT *, short OR siga = sigb OR fmt OR near OR reconv OR triv OR boil AS weak FROM gg
 )"""
-    weak = "CASE WHEN fmt THEN 'dropped_formatting_only' WHEN reconv THEN 'dropped_unstable_boundary' WHEN triv OR boil THEN 'dropped_trivial_segment_difference' WHEN weak THEN 'dropped_weak_divergence' END"
+    weak = "CASE WHEN fmt THEN 'dropped_formatting_only' WHEN near THEN 'dropped_near_identical' WHEN reconv THEN 'dropped_unstable_boundary' WHEN triv OR boil THEN 'dropped_trivial_segment_difference' WHEN weak THEN 'dropped_weak_divergence' END"
     tau = f"CASE WHEN margin < {p.tau_pair} THEN 'dropped_utility_margin_below_tau_pair' END"
     orient = {
         "current_utility": (tau, "'current_utility'", "ua >= ub"),
@@ -184,10 +212,10 @@ def _decisions_ctes(cfg: RunConfig) -> list[str]:
          CASE WHEN oa <> ob THEN 'mixed_correctness' WHEN oa THEN 'both_correct' ELSE 'both_wrong' END AS correctness_bucket,
          CASE WHEN conf IS NULL THEN 'unknown' WHEN conf < {c.low_threshold} THEN 'low' WHEN conf >= {c.high_threshold} THEN 'high' ELSE 'medium' END AS confidence_bucket,
          CASE WHEN capped LIKE 'kept%' AND NOT conf < {cfg.threshold} THEN {weight} END AS training_weight,
-         ok AND weak AS weak_f, ok AND (short OR siga = sigb) AS deg_f, ok AND fmt AS fmt_f, ok AND triv AS triv_f, ok AND boil AS boil_f, ok AND reconv AS unst_f, CASE WHEN ok THEN chars END AS min_chars
+         ok AND weak AS weak_f, ok AND (short OR siga = sigb) AS deg_f, ok AND fmt AS fmt_f, ok AND triv AS triv_f, ok AND boil AS boil_f, ok AND near AS near_f, ok AND reconv AS unst_f, CASE WHEN ok THEN chars END AS min_chars
   FROM o6
 )"""
-    return [_side("a", p.window_H), _side("b", p.window_H), info, rest]
+    return [_side("a", p.window_H), _side("b", p.window_H), *([_SIMILAR_CTES] if similar else []), info, rest]
 
 
 def _dec(cfg: RunConfig, select: str) -> str:
@@ -434,7 +462,7 @@ def divergence_flags(spark, sf_dir):
     return _compared(spark, sf_dir).where("there").select("id", "a_id", "b_id", "too_short", "exact_match", "formatting_only", "trivial_difference", "boilerplate_only", "min_chars")
 
 
-@_query()
+@_query(_dec(SIMILAR, " SELECT id, a AS a_id, b AS b_id, round(similarity, 6) AS similarity, near AS near_identical FROM dec WHERE ok"))
 def similarity(spark, sf_dir):
     d = P._divergence(P.comparisons(P.prepare(scored_traces(spark, sf_dir))), SIMILAR).where("there")
     return d.select("id", F.col("a.trace_id").alias("a_id"), F.col("b.trace_id").alias("b_id"), _r("similarity"), "near_identical")
@@ -453,20 +481,20 @@ def _shown(d: DataFrame) -> DataFrame:
     return d.select("id", F.col("a_trace_id").alias("a_id"), F.col("b_trace_id").alias("b_id"), "k", "pref_trace_id", "disp_trace_id", "correctness_pattern", "orientation_reason", _r("confidence"), _r("training_weight", "weight"), "final_status")
 
 
-def _mode_query(name: str, cfg: RunConfig, sql: bool = True) -> None:
+def _mode_query(name: str, cfg: RunConfig) -> None:
     def run(spark, sf_dir):
         return _shown(P.pairs(_decided(spark, sf_dir, cfg)))
 
     run.__name__ = name
-    _query(_dec(cfg, _PAIR_SQL) if sql else None)(run)
+    _query(_dec(cfg, _PAIR_SQL))(run)
 
 
 _mode_query("pairs_current_utility", BASE)
 _mode_query("pairs_correctness_priority", BASE.with_mode("correctness_priority"))
 _mode_query("pairs_strict_without_similarity", BASE.with_mode("strict_purified"))
 _mode_query("pairs_semi_without_similarity", BASE.with_mode("semi_purified"))
-_mode_query("pairs_strict_purified", SIMILAR.with_mode("strict_purified"), sql=False)
-_mode_query("pairs_semi_purified", SIMILAR.with_mode("semi_purified"), sql=False)
+_mode_query("pairs_strict_purified", SIMILAR.with_mode("strict_purified"))
+_mode_query("pairs_semi_purified", SIMILAR.with_mode("semi_purified"))
 _mode_query("method_step", BASE.with_method("step_dpo"))
 _mode_query("method_filter", BASE.with_method("confidence_filter_only").with_mode("correctness_priority"))
 _mode_query("method_weighted", BASE.with_mode("correctness_priority"))
@@ -562,7 +590,7 @@ def _purity_sql(cfg: RunConfig) -> str:
   {share(f"{_KEPT_SQL} AND orientation_reason IN {among(R.CORRECTNESS_DRIVEN)}", kept)} AS fraction_orientation_driven_by_correctness,
   {share(f"{_KEPT_SQL} AND orientation_reason IN {among(R.UTILITY_DRIVEN)}", kept)} AS fraction_orientation_driven_only_by_utility,
   {share("unst_f", every)} AS boundary_instability_rate, {share("weak_f", every)} AS weak_divergence_fraction, {share("deg_f", every)} AS degenerate_divergence_fraction,
-  CAST(0 AS DOUBLE) AS near_identical_divergence_fraction, {share(f"coalesce(min_chars, 0) < {cfg.pair.min_divergent_chars}", every)} AS very_short_divergent_region_fraction FROM dec"""
+  {share("near_f", every)} AS near_identical_divergence_fraction, {share(f"coalesce(min_chars, 0) < {cfg.pair.min_divergent_chars}", every)} AS very_short_divergent_region_fraction FROM dec"""
 
 
 _IN = lambda names: "(" + ", ".join(repr(x) for x in names) + ")"
@@ -603,7 +631,7 @@ def purity_report(spark, sf_dir):
     return _rounded(R.purity_report(_decided(spark, sf_dir, STRICT), STRICT))
 
 
-@_query()
+@_query(_dec(SIMILAR.with_mode("semi_purified"), _purity_sql(SIMILAR.with_mode("semi_purified"))))
 def purity_report_semi(spark, sf_dir):
     cfg = SIMILAR.with_mode("semi_purified")
     return _rounded(R.purity_report(_decided(spark, sf_dir, cfg), cfg))
@@ -724,13 +752,8 @@ def process_expand(spark, sf_dir):
 
 
 def _scratch(spark: SparkSession, name: str) -> str:
-    """A new folder that the driver and all executors share; where none is named, a temporary one of a local master."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a shared folder")
-        shared = tempfile.mkdtemp(prefix="tracepairs-")
-    return f"{shared}/{name}-{uuid.uuid4().hex}"
+    """A new folder that the driver and all executors share."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 _PROMPT_FILE_SQL = "p AS (SELECT 'p' || o_orderkey AS id, ' What does it cost? ' || chr(10) || '\"' || o_orderkey || '\" é' AS prompt, CAST(o_custkey AS VARCHAR) AS answer, NULL::VARCHAR AS reference_solution, CASE WHEN o_orderkey % 2 = 0 THEN 'train' END AS source_split, o_orderkey FROM orders)"
@@ -777,11 +800,6 @@ def gsm8k_prompts(spark, sf_dir):
     return S.gsm8k_prompts(_gsm8k_source(spark, sf_dir), "train[:1]", 100, 42)
 
 
-@_query()
-def process_templates(spark, sf_dir):
-    return S.process_rows(spark, 48, 44).withColumns({c: F.array_join(c, " ## ") for c in ("correct_steps", "incorrect_steps")})
-
-
 @_query(_with(r""", px AS (SELECT x.id, x.t, x.pos, string_agg(y.step, chr(10) ORDER BY y.pos) AS prefix FROM st x JOIN st y ON x.id = y.id AND x.t = y.t AND y.pos <= x.pos GROUP BY x.id, x.t, x.pos)
 SELECT id, t AS trace_id, pos, round((1 + len(regexp_extract_all(prefix, '\d'))) / (2 + len(regexp_extract_all(prefix, '\d')) + length(prefix) / 100.0), 6) AS score FROM px"""))
 def score_prefixes(spark, sf_dir):
