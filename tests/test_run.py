@@ -164,7 +164,9 @@ def test_generated_traces(spark):
 def test_resume_and_order(spark, sf_dir, tmp_path):
     traces, cfg, out = Q.scored_traces(spark, sf_dir), Q.BASE, str(tmp_path / "run")
     first = pipeline.run_pairs(spark, traces, cfg, out)
-    ordered = [(r.confidence, r.id, r.a_ord, r.b_ord) for r in P.training_order(P.pairs(first.decisions)).collect()]
+    ranked = sorted(P.training_order(P.pairs(first.decisions)).collect(), key=lambda r: r.training_rank)
+    ordered = [(r.confidence, r.id, r.a_ord, r.b_ord) for r in ranked]
+    assert [r.training_rank for r in ranked] == list(range(1, len(ranked) + 1))
     assert ordered == sorted(ordered, key=lambda r: (-r[0], *r[1:])) and len(ordered) > 100
     stamps = lambda: {s: os.path.getmtime(f"{out}/{s}/_SUCCESS") for s in pipeline.STAGES}
     before = stamps()

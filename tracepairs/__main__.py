@@ -1,6 +1,6 @@
 """Command line: ``python -m tracepairs pairs --config run.yaml --traces scored.jsonl --out folder``.
 
-Models are functions of the caller, so generation, training and evaluation with models have no command.
+Models are functions of the caller, so generation and training have no command; final evaluation takes a model's outputs.
 """
 
 from __future__ import annotations
@@ -13,13 +13,14 @@ from tracepairs.config import load_config
 from tracepairs.operators.sampling import load_prompts, prepare_data, with_line_ordinals
 from tracepairs.operators.scoring import scorer
 from tracepairs.plans import pipeline
-from tracepairs.sources.jsonl import read_jsonl, write_jsonl
+from tracepairs.sources.datasets import load_dataset
+from tracepairs.sources.jsonl import read_jsonl, write_json, write_jsonl
 
 
 def _pairs(spark: SparkSession, args: argparse.Namespace) -> None:
     """Decisions, pairs and reports from traces, scored by ``--scorer`` if that is given."""
     cfg = load_config(args.config)
-    traces = read_jsonl(spark, args.traces, "trace" if args.scorer else "scored_trace")
+    traces = with_line_ordinals(read_jsonl(spark, args.traces, "trace" if args.scorer else "scored_trace"))
     gold = read_jsonl(spark, args.gold, "gold") if args.gold else None
     result = pipeline.run_pairs(spark, traces, cfg, args.out, scorer=scorer(args.scorer) if args.scorer else None, gold=gold, resume_from=args.resume_from)
     pipeline.write_reports(result, cfg, args.reports or args.out)
@@ -38,9 +39,24 @@ def _prompts(spark: SparkSession, args: argparse.Namespace) -> None:
 
 
 def _prepare(spark: SparkSession, args: argparse.Namespace) -> None:
-    """Prompt and process files from (question, answer) lines."""
-    read = lambda path: with_line_ordinals(spark.read.schema("question string, answer string").json(path))
-    prepare_data(spark, load_config(args.config), read(args.train), read(args.test))
+    """Prompt and process files from (question, answer) lines, or from the configuration's data set below ``--datasets``."""
+    cfg, columns = load_config(args.config), "question string, answer string"
+    if args.datasets:
+        if not cfg.data.dataset_name:
+            raise ValueError("the configuration names no data set")
+        read = lambda split: load_dataset(spark, args.datasets, cfg.data.dataset_name, cfg.data.dataset_config_name, split, columns)
+    elif args.train and args.test:
+        read = lambda split: with_line_ordinals(spark.read.schema(columns).json(getattr(args, split)))
+    else:
+        raise ValueError("give --datasets, or --train and --test")
+    prepare_data(spark, cfg, read("train"), read("test"))
+
+
+def _final(spark: SparkSession, args: argparse.Namespace) -> None:
+    """Final evaluation: grades the outputs of a model on the evaluation prompts."""
+    cfg = load_config(args.config)
+    report = pipeline.evaluate_final(spark, cfg, load_prompts(spark, cfg, "eval"), read_jsonl(spark, args.predictions, "prediction"), args.out, model_name=args.model_name)
+    write_json(report, args.report or cfg.paths.final_eval_file or f"{args.out}/final_eval.json")
 
 
 def main(argv: list[str] | None = None) -> None:
@@ -58,7 +74,8 @@ def main(argv: list[str] | None = None) -> None:
     command("pairs", _pairs, ["traces", "out"], ["scorer", "gold", "resume-from", "reports"])
     command("process", _process, ["gold", "scorer", "out", "report"], [])
     command("prompts", _prompts, ["out", "which"], [])
-    command("prepare", _prepare, ["train", "test"], [])
+    command("prepare", _prepare, [], ["train", "test", "datasets"])
+    command("final", _final, ["predictions", "out"], ["report", "model-name"])
     args = parser.parse_args(argv)
     args.run(SparkSession.builder.getOrCreate(), args)
 

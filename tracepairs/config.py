@@ -98,6 +98,8 @@ class PathsConfig:
     eval_prompt_file: str | None = None
     process_ground_truth_file: str | None = None
     output_dir: str | None = None
+    checkpoint_dir: str | None = None
+    final_eval_file: str | None = None
     other: dict = field(default_factory=dict)
 
 
@@ -129,8 +131,17 @@ class VerifierConfig:
 
 @dataclass(frozen=True)
 class TrainingConfig:
+    """What batches, loss and step figures need; the rest, which only a trainer reads, is kept in ``other``."""
+
+    model_name: str | None = None
     beta: float = 0.1
     lambda_ref: float = 0.0
+    batch_size: int = 1
+    grad_accum_steps: int = 8
+    num_epochs: int = 1
+    lr: float = 2e-5
+    warmup_ratio: float = 0.03
+    max_length: int = 2048
     other: dict = field(default_factory=dict)
 
 
@@ -201,6 +212,8 @@ def from_dict(values: dict, kind: type = RunConfig):
     out = {"other": {**unknown, **values.pop("other", {})}} if "other" in parts else {}
     for name, value in values.items():
         own = getattr(base, name, None) if base is not None else None
+        if isinstance(own, float) and isinstance(value, str):
+            value = float(value)  # YAML takes 2e-5 for a text
         out[name] = from_dict({**dataclasses.asdict(own), **value} if isinstance(own, ClassGate) else value or {}, type(own)) if dataclasses.is_dataclass(own) else value
     return kind(**out)
 

@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from tracepairs.config import ClassGate, RunConfig
 from tracepairs.functions import arrays as A
 from tracepairs.functions import text as T
-from tracepairs.functions.similarity import signature_similarity
+from tracepairs.functions.similarity import near_identical, signature_similarity
+from tracepairs.operators.order import ranked
 
 KEPT = "kept"
 CANDIDATE = ("kept_mixed_correctness", "kept_same_correctness_utility_oriented", "kept_both_correct_strong_local_preference", "kept_both_wrong_delayed_error")
@@ -22,15 +23,31 @@ CANDIDATE = ("kept_mixed_correctness", "kept_same_correctness_utility_oriented",
 # --- per trace -------------------------------------------------------------------------------------------
 
 
+def with_places(traces: DataFrame) -> DataFrame:
+    """``traces``, exchanged by prompt, with ``ord``, a trace's place among those of its prompt, and ``prompt_ord``, its prompt's.
+
+    Where traces have ``ord`` (their line in the file, see :func:`tracepairs.operators.sampling.with_line_ordinals`), it
+    is kept, and prompts follow each other as they are first seen. Else the traces of a prompt are ordered by trace_id, repeated
+    ones by their steps and scores, and all prompts have place 0.
+    """
+    t = traces.repartition("id")
+    if "ord" in traces.columns:
+        return t.withColumns({"ord": F.col("ord").cast("long"), "prompt_ord": F.min(F.col("ord").cast("long")).over(Window.partitionBy("id"))})
+    order = Window.partitionBy("id").orderBy("trace_id", "steps", "step_scores")
+    return t.withColumns({"ord": F.row_number().over(order).cast("long"), "prompt_ord": F.lit(0).cast("long")})
+
+
 def prepare(traces: DataFrame) -> DataFrame:
-    """``id, ord, trace_id, steps, canon, z, support, final_correct``, exchanged by prompt.
+    """``id, prompt_ord, ord, trace_id, steps, canon, z, support, final_correct``, exchanged by prompt.
 
     ``z``: scores normalised over all step scores of the prompt (population deviation). ``support``: for each step
     how many of the prompt's traces have the same canonical step at this position, and their share correct.
-    ``ord`` (where traces lack it: trace_id) orders the traces of a prompt.
+    Traces are told apart by their places (:func:`with_places`), so a trace_id may occur again in a prompt: each such trace
+    counts, and all take the scores of the last one.
     """
-    order = F.col("ord") if "ord" in traces.columns else F.col("trace_id")
-    t = traces.select("id", order.cast("long").alias("ord"), "trace_id", "steps", T.canon_steps(F.col("steps")).alias("canon"), "step_scores", "final_correct").repartition("id")
+    last = F.last("step_scores").over(Window.partitionBy("id", "trace_id").orderBy("ord").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    t = with_places(traces).withColumn("last_scores", last)
+    t = t.select("id", "prompt_ord", "ord", "trace_id", "steps", T.canon_steps(F.col("steps")).alias("canon"), "step_scores", "last_scores", "final_correct")
     long = t.select("id", "ord", "final_correct", F.posexplode_outer(F.arrays_zip("canon", "step_scores")).alias("pos", "s"))
     by_prompt, by_step = Window.partitionBy("id"), Window.partitionBy("id", "pos", "s.canon")
     long = (
@@ -41,13 +58,14 @@ def prepare(traces: DataFrame) -> DataFrame:
     )
     one = F.when(F.col("pos").isNotNull(), F.struct("pos", "n", "p"))
     stats = long.groupBy("id", "ord").agg(F.sort_array(F.collect_list(one)).alias("support"), F.first("mean").alias("mean"), F.first("std").alias("std"))
-    return t.join(stats, ["id", "ord"]).select("id", "ord", "trace_id", "steps", "canon", A.z_scores(F.col("step_scores"), F.col("mean"), F.col("std")).alias("z"), "support", "final_correct")
+    z = A.z_scores(F.col("last_scores"), F.col("mean"), F.col("std")).alias("z")
+    return t.join(stats, ["id", "ord"]).select("id", "prompt_ord", "ord", "trace_id", "steps", "canon", z, "support", "final_correct")
 
 
 def comparisons(prepared: DataFrame) -> DataFrame:
     """Structs ``a`` and ``b`` for each two traces of a prompt, a before b, and ``k``, where they diverge."""
-    one = F.struct(*[c for c in prepared.columns if c != "id"])
-    a, b = prepared.select("id", one.alias("a")), prepared.select("id", one.alias("b"))
+    one = F.struct(*[c for c in prepared.columns if c not in ("id", "prompt_ord")])
+    a, b = prepared.select("id", "prompt_ord", one.alias("a")), prepared.select("id", one.alias("b"))
     pairs = a.join(b, "id").where(F.col("a.ord") < F.col("b.ord"))
     return pairs.withColumn("k", A.first_divergence(F.col("a.canon"), F.col("b.canon")))
 
@@ -62,9 +80,11 @@ def _divergence(df: DataFrame, cfg: RunConfig) -> DataFrame:
     there = k.isNotNull() & (F.size("seg_a") > 0) & (F.size("seg_b") > 0)
     df = df.withColumns({"there": there, **{f"text_{x}": T.segment_text(F.col(f"seg_{x}")) for x in "ab"}, **{f"sig_{x}": T.segment_signature(F.col(f"seg_{x}")) for x in "ab"}})
     if p.max_near_identical_similarity > 1:  # no similarity can reach it: nothing to compute
-        df = df.withColumn("similarity", F.lit(None).cast("double"))
+        df = df.withColumns({"similarity": F.lit(None).cast("double"), "near_identical": F.lit(False)})
     else:
-        df = df.withColumn("similarity", signature_similarity(F.when(F.col("there"), F.col("sig_a")), F.when(F.col("there"), F.col("sig_b"))))
+        # the flag matches only what its bounds leave open; the value itself is computed only where a plan selects it
+        sig_a, sig_b = (F.when(F.col("there"), F.col(c)) for c in ("sig_a", "sig_b"))
+        df = df.withColumns({"similarity": signature_similarity(sig_a, sig_b), "near_identical": near_identical(sig_a, sig_b, p.max_near_identical_similarity)})
     # columns of their own, so that each is computed once for all flags
     df = df.withColumns({f"canon_{x}": T.canon(F.col(f"text_{x}")) for x in "ab"})
     canon_a, canon_b = F.col("canon_a"), F.col("canon_b")
@@ -73,7 +93,6 @@ def _divergence(df: DataFrame, cfg: RunConfig) -> DataFrame:
     df = df.withColumns({
         "too_short": F.col("min_chars") < p.min_divergent_chars,
         "exact_match": F.col("sig_a") == F.col("sig_b"),
-        "near_identical": F.coalesce(F.col("similarity") >= p.max_near_identical_similarity, F.lit(False)),
         "reconverges": A.reconverges(F.col("a.canon"), F.col("b.canon"), k, h),
         "formatting_only": T.alnum_of_canon(canon_a) == T.alnum_of_canon(canon_b),
         "boilerplate_only": T.preamble_of_canon(canon_a) & T.preamble_of_canon(canon_b) & ~math,
@@ -208,6 +227,7 @@ def local_decisions(traces: DataFrame, cfg: RunConfig) -> DataFrame:
         F.lit(cfg.pair.pair_mode).alias("pair_mode"),
         F.col("a.trace_id").alias("a_trace_id"),
         F.col("b.trace_id").alias("b_trace_id"),
+        "prompt_ord",
         F.col("a.ord").alias("a_ord"),
         F.col("b.ord").alias("b_ord"),
         "k",
@@ -253,10 +273,9 @@ def local_decisions(traces: DataFrame, cfg: RunConfig) -> DataFrame:
 
 def answer_decisions(traces: DataFrame, cfg: RunConfig) -> DataFrame:
     """One row per (correct, incorrect) trace pair of a prompt: whole traces, best against worst first, capped."""
-    order = F.col("ord") if "ord" in traces.columns else F.col("trace_id")
-    one = F.struct(order.cast("long").alias("ord"), "trace_id", "steps", A.mean_score(F.col("step_scores")).alias("mean"))
-    t = traces.select("id", "final_correct", one.alias("t")).repartition("id")
-    right, wrong = t.where("final_correct").select("id", F.col("t").alias("p")), t.where("not final_correct").select("id", F.col("t").alias("d"))
+    one = F.struct("ord", "trace_id", "steps", A.mean_score(F.col("step_scores")).alias("mean"))
+    t = with_places(traces).select("id", "prompt_ord", "final_correct", one.alias("t"))
+    right, wrong = t.where("final_correct").select("id", "prompt_ord", F.col("t").alias("p")), t.where("not final_correct").select("id", F.col("t").alias("d"))
     pairs = right.join(wrong, "id")
     rank = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("p.mean"), "p.ord", "d.mean", "d.ord"))
     kept = F.col("rank") <= cfg.pair.max_pairs_per_prompt
@@ -266,6 +285,7 @@ def answer_decisions(traces: DataFrame, cfg: RunConfig) -> DataFrame:
         "id",
         F.concat_ws(":", "id", F.lit("answer"), "p.trace_id", "d.trace_id").alias("decision_id"),
         F.lit("answer_level").alias("pair_mode"),
+        "prompt_ord",
         F.col("p.ord").alias("a_ord"),
         F.col("d.ord").alias("b_ord"),
         none.cast("int").alias("k"),
@@ -307,9 +327,18 @@ def pairs(decided: DataFrame) -> DataFrame:
     return decided.where(F.col("final_status").startswith(KEPT))
 
 
+def decision_order(decided: DataFrame) -> list[Column]:
+    """The order in which comparisons are decided: prompts as they are first seen, then the places of both traces (of whole
+    traces: best against worst)."""
+    within = ["rank"] if "rank" in decided.columns else ["a_ord", "b_ord"]
+    return [F.col("prompt_ord"), F.col("id"), *map(F.col, within)]
+
+
 def training_order(kept: DataFrame) -> DataFrame:
-    """Kept pairs by confidence (else weight), then weight, falling; equal ones by prompt and comparison."""
-    return kept.orderBy(F.coalesce("confidence", "training_weight").desc(), F.desc("training_weight"), "id", "a_ord", "b_ord")
+    """Kept pairs with ``training_rank``, from 1: by confidence (else weight), then weight, falling; equal ones as they were
+    decided. The place is a column, so that any reader can restore the order; no task sorts all pairs."""
+    score = F.coalesce("confidence", "training_weight")
+    return ranked(kept, [score.desc(), F.desc("training_weight"), *decision_order(kept)], "training_rank")
 
 
 def training_table(kept: DataFrame, prompts: DataFrame) -> DataFrame:

@@ -7,13 +7,13 @@ rows are wanted, never the rows) and joined to the data.
 from __future__ import annotations
 
 import random
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracepairs.config import RunConfig
 from tracepairs.functions import text as T
+from tracepairs.operators.order import ranked
+from tracepairs.operators.process_rows import process_rows_of
 from tracepairs.sources.jsonl import read_jsonl, write_jsonl
 
 _BROADCAST_ORDINALS = 500_000
@@ -41,17 +41,15 @@ def sample_rows(df: DataFrame, limit: int | None, seed: int, ord_col: str = "ord
 def with_line_ordinals(df: DataFrame, ord_col: str = "ord") -> DataFrame:
     """``df``, read from files, with ordinals from 0 in the order of file names and of lines.
 
-    The rows of each split of a file are counted first (one number for a split reaches the driver), so nothing is sorted or
-    shuffled. Splits of a task follow each other, so a row's place in its split is told by its place in the task.
+    The rows of each split of a file are counted first; splits, not rows, are put in order, and their table is broadcast only
+    if Spark finds it small. Splits of a task follow each other, so a row's place in its split is told by its place in the task.
     """
     split = F.struct(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"))
     rows = df.withColumn("__split", split).withColumn("__row", F.monotonically_increasing_id())
-    shifts, before = [], 0
-    for r in sorted(rows.groupBy("__split").agg(F.count(F.lit(1)).alias("n"), F.min("__row").alias("first")).collect()):
-        shifts.append((tuple(r["__split"]), before - r["first"]))
-        before += r["n"]
-    shifts = df.sparkSession.createDataFrame(shifts, "__split struct<path string, start long>, __shift long")
-    placed = rows.join(F.broadcast(shifts), "__split")
+    splits = rows.groupBy("__split").agg(F.count(F.lit(1)).alias("n"), F.min("__row").alias("first"))
+    before = F.sum("n").over(Window.orderBy("__split").rowsBetween(Window.unboundedPreceding, -1))  # a row for each split
+    shifts = splits.select("__split", (F.coalesce(before, F.lit(0)) - F.col("first")).alias("__shift"))
+    placed = rows.join(shifts, "__split")
     return placed.withColumn(ord_col, F.col("__row") + F.col("__shift")).drop("__split", "__row", "__shift")
 
 
@@ -100,103 +98,52 @@ def gsm8k_prompts(df: DataFrame, split: str, count: int, seed: int, *, append_su
     )
 
 
-# --- synthetic process rows --------------------------------------------------------------------------------
-#
-# A template draws its numbers and gives a question, the two chains of steps without their last one, both results, and
-# the position of the first wrong step.
-
-Example = tuple[str, list[str], list[str], int, int, int]
-
-
-def _tank(rng: random.Random) -> Example:
-    """Wrong sign of the outflow, in the first step."""
-    inflow, minutes, start = rng.randint(11, 19), rng.randint(6, 15), rng.randint(50, 120)
-    outflow = rng.randint(2, 9)
-    net, sum_ = inflow - outflow, inflow + outflow
-
-    def chain(rate: int, sign: str) -> list[str]:
-        return [
-            f"Each minute the level changes by {inflow} {sign} {outflow} = {rate} litres.",
-            f"Over {minutes} minutes that is {minutes} * {rate} = {minutes * rate} litres.",
-            f"With the {start} litres from before there are {start + minutes * rate} litres.",
-        ]
-
-    question = f"A tank already holds {start} litres. A pipe brings {inflow} litres a minute while a crack loses {outflow} litres a minute. What does the tank hold {minutes} minutes later?"
-    return question, chain(net, "-"), chain(sum_, "+"), start + minutes * net, start + minutes * sum_, 0
-
-
-def _mean(rng: random.Random) -> Example:
-    """Division by one mark too few, in the second step."""
-    marks = [rng.randint(1, 5) * 12 for _ in range(4)]
-    total = sum(marks)
-
-    def chain(by: int) -> list[str]:
-        return [f"The marks add up to {' + '.join(map(str, marks))} = {total}.", f"Shared out over the tests this is {total} / {by} = {total // by}."]
-
-    return f"Lena got {marks[0]}, {marks[1]}, {marks[2]} and {marks[3]} points in four tests. What is her mean?", chain(4), chain(3), total // 4, total // 3, 1
-
-
-def _clock(rng: random.Random) -> Example:
-    """Hours of 100 minutes, in the third step."""
-    start, first, second = rng.randint(7, 11), rng.randint(35, 55), rng.randint(70, 95)
-    minutes = first + second
-    begin = [
-        f"The film starts {first} minutes after {start} o'clock.",
-        f"Its end is {first} + {second} = {minutes} minutes after {start} o'clock.",
-    ]
-
-    def chain(hour: int) -> list[str]:
-        return [*begin, f"An hour has {hour} minutes, so {minutes // hour} full hours pass and {minutes % hour} minutes are left.", f"On the clock it is then {start + minutes // hour}:{minutes % hour:02d}."]
-
-    question = f"A film of {second} minutes begins at {start}:{first:02d}. How many minutes past the full hour does it end?"
-    return question, chain(60), chain(100), minutes % 60, minutes % 100, 2
-
-
-def _discount(rng: random.Random) -> Example:
-    """The discount instead of what is left to pay, in the last step before the answer."""
-    price, percent, pieces = rng.randint(3, 14) * 20, rng.choice([10, 15, 35, 40]), rng.randint(2, 4)
-    whole, off = price * pieces, price * pieces * percent // 100
-    begin = [
-        f"Without any discount {pieces} coats cost {pieces} * {price} = {whole} euros.",
-        f"One percent of {whole} euros is {whole / 100:g} euros.",
-        f"The discount of {percent} percent comes to {off} euros.",
-    ]
-    right, wrong = [*begin, f"Left to pay are {whole} - {off} = {whole - off} euros."], [*begin, f"Left to pay are {off} euros."]
-    return f"A coat costs {price} euros. A shop takes {percent} percent off for {pieces} coats. What do they cost together?", right, wrong, whole - off, off, 3
-
-
-def _recipe(rng: random.Random) -> Example:
-    """Grams added for each guest instead of multiplied, in the second step."""
-    serves, guests, grams = rng.choice([2, 3, 4]), rng.randint(9, 16), rng.randint(5, 13) * 12
-    each = grams // serves
+def process_rows(spark: SparkSession, count: int, seed: int) -> DataFrame:
+    """``count`` gold records, numbered from 0; see :func:`process_rows_of`."""
+    return process_rows_of(spark.range(count), F.col("id").cast("string"), F.format_string("process_%05d", "id"), seed)
 
-    def chain(sign: str, all_: int) -> list[str]:
-        return [f"For one guest the cook takes {grams} / {serves} = {each} grams of rice.", f"The party takes {each} {sign} {guests} = {all_} grams."]
 
-    question = f"A recipe for {serves} guests takes {grams} grams of rice. How many grams does a party of {guests} guests take?"
-    return question, chain("*", each * guests), chain("+", each + guests), each * guests, each + guests, 1
+# --- audits ------------------------------------------------------------------------------------------------
 
+_BLOCK = 1 << 20  # draws of a shuffle that are held at once
 
-TEMPLATES: list[Callable[[random.Random], Example]] = [_tank, _mean, _clock, _discount, _recipe]
 
+def shuffled_ordinals(rng: random.Random, n: int, k: int) -> list[int]:
+    """The first ``k`` of the ordinals 0 to n - 1 after ``rng.shuffle``, without a list of ``n``.
 
-def process_rows(spark: SparkSession, count: int, seed: int) -> DataFrame:
-    """``count`` gold records from the templates, by one seeded stream of draws on the driver."""
-    rng, rows = random.Random(seed), []
-    for i in range(count):
-        template = rng.choice(TEMPLATES)
-        question, right, wrong, answer, other, gold = template(rng)
-        while answer == other:  # the mistake must show in the answer
-            question, right, wrong, answer, other, gold = template(rng)
-        right, wrong = [*right, f"The answer is {answer}."], [*wrong, f"The answer is {other}."]
-        rows.append((f"process_{i:05d}", gold, question, str(answer), right, wrong, str(other)))
-    schema = "id string, gold_earliest_error_step int, prompt string, answer string, correct_steps array<string>, incorrect_steps array<string>, incorrect_final_answer string"
-    return spark.createDataFrame(rows, schema)
-
-
-def audit_sample(df: DataFrame, bucket_col: str, buckets: list[str], order_by: list[str], per_bucket: int, seed: int) -> DataFrame:
-    """``per_bucket`` rows of each bucket for an audit, chosen by a seeded hash of the ordering columns (stable when
-    other rows come or go); a top-k per bucket, without collecting anything."""
-    key = F.xxhash64(F.lit(seed), *order_by)
-    ranked = df.where(F.col(bucket_col).isin(buckets)).withColumn("__rn", F.row_number().over(Window.partitionBy(bucket_col).orderBy(key, *order_by)))
-    return ranked.where(F.col("__rn") <= per_bucket).drop("__rn")
+    The shuffle swaps position i, from n - 1 down to 1, with a drawn one. Followed backwards from i = 1 up, only ``k`` positions
+    matter: a table keeps where each of them came from. Draws are needed in the opposite order of the generator's, so its
+    state is noted every ``_BLOCK`` draws and each block drawn again. The generator is left as the shuffle leaves it.
+    """
+    starts, states = list(range(n - 1, 0, -_BLOCK)), []
+    for start in starts:
+        states.append(rng.getstate())
+        for i in range(start, max(start - _BLOCK, 0), -1):
+            rng.randrange(i + 1)
+    after = rng.getstate()
+    at = {p: p for p in range(min(k, n))}  # where it stands now: its final place
+    for start, state in zip(reversed(starts), reversed(states)):
+        rng.setstate(state)
+        draws = [(i, rng.randrange(i + 1)) for i in range(start, max(start - _BLOCK, 0), -1)]
+        for i, j in reversed(draws):
+            if i != j and (i in at or j in at):
+                x, y = at.pop(i, None), at.pop(j, None)
+                at.update({p: v for p, v in ((j, x), (i, y)) if v is not None})
+    rng.setstate(after)
+    return [p for p, _ in sorted(at.items(), key=lambda x: x[1])]
+
+
+def audit_sample(df: DataFrame, bucket_col: str, buckets: list[str], order: list[Column], per_bucket: int, seed: int) -> DataFrame:
+    """Up to ``per_bucket`` rows of each bucket, with ``place`` (from 0): the first ones after one seeded generator has
+    shuffled the rows of each bucket in turn, which stand in ``order`` before that.
+
+    Rows are numbered within their buckets in ranges (:func:`ranked`); only the buckets' sizes reach the driver, which follows
+    the shuffle by numbers, and the drawn numbers are joined back.
+    """
+    rows = ranked(df.where(F.col(bucket_col).isin(buckets)), order, "__ordinal", [bucket_col])
+    sizes = {r[0]: r[1] for r in rows.groupBy(bucket_col).agg(F.max("__ordinal")).collect()}
+    rng = random.Random(seed)
+    drawn = [(b, o + 1, place) for b in buckets for place, o in enumerate(shuffled_ordinals(rng, sizes.get(b, 0), per_bucket))]
+    chosen = df.sparkSession.createDataFrame(drawn, f"`{bucket_col}` string, __ordinal long, place int")
+    few = len(drawn) <= _BROADCAST_ORDINALS
+    return rows.join(F.broadcast(chosen) if few else chosen, [bucket_col, "__ordinal"]).select(*df.columns, "place")

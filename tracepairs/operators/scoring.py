@@ -7,14 +7,18 @@ columns to an iterator of score series, which Spark runs in Arrow batches with o
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import islice
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from tracepairs.config import VerifierConfig
 from tracepairs.functions import arrays as A
 from tracepairs.functions import text as T
+from tracepairs.functions.frames import relaxed
 
 ColumnScorer = Callable[[Column, Column], Column]
 BatchScorer = Callable[[Iterator[pd.DataFrame]], Iterator[pd.Series]]
@@ -68,22 +72,69 @@ def score_traces(traces: DataFrame, score: ColumnScorer) -> DataFrame:
     return traces.withColumns({"step_scores": scores, "final_correct": T.is_correct_answer(F.col("final_answer"), F.col("answer"))})
 
 
-def score_traces_in_batches(traces: DataFrame, make_scorer: Callable[[], BatchScorer]) -> DataFrame:
-    """As :func:`score_traces` for a model: one row per prefix goes through ``mapInPandas``, the scores are gathered
-    by trace (a trace has as many rows as steps)."""
-    prefixes = traces.select("id", "trace_id", "prompt", F.posexplode(T.cumulative_prefixes(F.col("steps"))).alias("pos", "prefix"))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        score = make_scorer()
-        for pdf in batches:
-            (values,) = list(score(iter([pdf[["prompt", "prefix"]]])))
-            yield pdf[["id", "trace_id", "pos"]].assign(score=values.to_numpy(dtype="float64"))
-
-    kinds = {f.name: f.dataType.simpleString() for f in prefixes.schema}
-    scored = prefixes.mapInPandas(run, f"id {kinds['id']}, trace_id {kinds['trace_id']}, pos int, score double")
-    by_trace = scored.groupBy("id", "trace_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "score"))), lambda x: x["score"]).alias("step_scores"))
-    out = traces.join(by_trace, ["id", "trace_id"], "left").withColumn("step_scores", F.coalesce("step_scores", F.array().cast("array<double>")))
-    return out.withColumn("final_correct", T.is_correct_answer(F.col("final_answer"), F.col("answer")))
+def shared_steps(traces: DataFrame, keys: list[str] = ("prompt",)) -> DataFrame:
+    """The prefix tree of each prompt: ``traces`` with ``shared``, the number of first steps whose prefix an earlier trace has.
+
+    Traces of a prompt in the order of their steps are the leaves of its tree from left to right, and no trace shares more with
+    an earlier one than with the one just before. So a trace adds the nodes below its first ``shared`` steps, and a prompt has
+    as many different prefixes as its traces add.
+    """
+    before = F.lag("steps").over(Window.partitionBy(*keys).orderBy("steps"))
+    rows = traces.withColumn("__before", before)
+    same = F.coalesce(A.first_divergence(F.col("steps"), F.col("__before")), F.size("steps"))
+    return rows.withColumn("shared", F.when(F.col("__before").isNull() | F.col("steps").isNull(), F.lit(0)).otherwise(same).cast("int")).drop("__before")
+
+
+def prefix_counts(traces: DataFrame, keys: list[str] = ("prompt",)) -> DataFrame:
+    """``keys, prefixes, different``: prefixes of all traces of a prompt, and how many of them differ (calls of a scorer)."""
+    size = F.when(F.col("steps").isNull(), F.lit(0)).otherwise(F.size("steps"))
+    return shared_steps(traces, keys).groupBy(*keys).agg(F.sum(size).cast("long").alias("prefixes"), F.sum(size - F.col("shared")).cast("long").alias("different"))
+
+
+def _in_tree(score: BatchScorer, prompts: list[str], steps: list[list[str]], path: list, max_rows: int) -> list[list[float]]:
+    """Scores of a run of traces in the order of their tree. ``path``: prompt, steps and scores of the trace before, replaced
+    by those of the last one. Each node below what a trace shares with the one before is scored, at most ``max_rows`` at once."""
+    prompt, own, known = path
+    shared = []
+    for p, s in zip(prompts, steps):
+        m = 0
+        while p == prompt and m < min(len(s), len(own)) and s[m] == own[m]:
+            m += 1
+        shared.append(m)
+        prompt, own = p, s
+    new = ((p, "\n".join(x for x in s[:i] if x is not None)) for p, s, m in zip(prompts, steps, shared) for i in range(m + 1, len(s) + 1))
+    frames = (pd.DataFrame(rows, columns=["prompt", "prefix"]) for rows in iter(lambda: list(islice(new, max_rows)), []))
+    fresh = iter([float(x) for values in score(frames) for x in values])
+    out = []
+    for s, m in zip(steps, shared):
+        known = known[:m] + list(islice(fresh, len(s) - m))
+        out.append(known)
+    path[:] = [prompt, own, known]
+    return out
+
+
+def score_traces_in_batches(traces: DataFrame, make_scorer: Callable[[], BatchScorer], *, max_rows: int = 4096) -> DataFrame:
+    """As :func:`score_traces` for a model, which ``make_scorer`` loads once for each task.
+
+    Traces are put in ranges of (prompt, steps, trace), so that even a prompt with a large share of all traces is spread over
+    tasks. A task walks along the prefix trees of its range: a prefix that the trace before has is not scored again but takes
+    its score from there. So each different (prompt, prefix) is scored once, and the path at the border of two ranges twice.
+    """
+    rows = traces.drop("step_scores", "final_correct").withColumn("__steps", F.coalesce("steps", F.array().cast("array<string>")))
+    rows = rows.select(*[F.col(f"`{f.name}`").cast(relaxed(f.dataType)).alias(f.name) for f in rows.schema])
+    path_order = ["prompt", "__steps", "trace_id"]
+    rows = rows.repartitionByRange(*path_order).sortWithinPartitions(*path_order)
+    schema = StructType([*rows.drop("__steps").schema, StructField("step_scores", ArrayType(DoubleType()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        score, path = make_scorer(), [None, [], []]
+        for b in batches:
+            at = {name: b.schema.get_field_index(name) for name in ("prompt", "__steps")}
+            scores = _in_tree(score, b.column(at["prompt"]).to_pylist(), b.column(at["__steps"]).to_pylist(), path, max_rows)
+            kept = [i for i in range(b.num_columns) if i != at["__steps"]]
+            yield pa.RecordBatch.from_arrays([*[b.column(i) for i in kept], pa.array(scores, pa.list_(pa.float64()))], names=schema.names)
+
+    return rows.mapInArrow(run, schema).withColumn("final_correct", T.is_correct_answer(F.col("final_answer"), F.col("answer")))
 
 
 def parse_generations(generated: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ from tracepairs.operators import pairs as P
 from tracepairs.operators import process_eval as E
 from tracepairs.operators import reports as R
 from tracepairs.operators import sampling as S
-from tracepairs.operators.scoring import ColumnScorer, score_traces
+from tracepairs.operators.scoring import ColumnScorer, final_accuracy, grade, score_traces
 from tracepairs.plans import render
 from tracepairs.sources.jsonl import reusable, stage_table, write_json
 
@@ -77,6 +77,26 @@ def evaluate_process(spark: SparkSession, gold: DataFrame, cfg: RunConfig, score
     }
 
 
+def resolve_model_name(spark: SparkSession, cfg: RunConfig, name: str | None = None) -> dict:
+    """Which model a final evaluation is of: ``name``, else the final checkpoint if there, else the base model; and whether that
+    is a folder with an adapter."""
+    there = lambda path: (at := spark._jvm.org.apache.hadoop.fs.Path(path)).getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+    final = f"{cfg.paths.checkpoint_dir.rstrip('/')}/final" if cfg.paths.checkpoint_dir else None
+    chosen = name or (final if final and there(final) else cfg.training.model_name)
+    adapter = chosen is not None and there(f"{chosen}/adapter_config.json")
+    return {"model_name": chosen, "base_model_name": cfg.training.model_name, "adapter_path": chosen if adapter else None, "adapter_loaded": adapter}
+
+
+def evaluate_final(spark: SparkSession, cfg: RunConfig, prompts: DataFrame, predictions: DataFrame, out_dir: str, *, model_name: str | None = None) -> dict:
+    """Grades ``predictions`` (id, output) of the evaluation prompts: writes the graded table (id, pred, gold, correct) under
+    ``out_dir`` and gives the report. A prompt without a prediction is wrong; of repeated ones the first text counts; others are left out."""
+    outputs = predictions.groupBy("id").agg(F.min("output").alias("output"))
+    rows = prompts.select("id", "answer").join(outputs, "id", "left")
+    graded = stage_table(spark, f"{out_dir}/graded", lambda: grade(rows).select("id", "pred", F.col("answer").alias("gold"), "correct", F.col("output").isNull().alias("missing")))
+    found = _row(final_accuracy(graded))
+    return resolve_model_name(spark, cfg, model_name) | {"accuracy": found["final_accuracy"], "num_correct": found["num_correct"], "num_examples": found["num_examples"], "num_missing": graded.where("missing").count()}
+
+
 def run_summary(result: RunResult, process: dict | None = None, final: dict | None = None) -> dict:
     """The figures of all stages in one flat report."""
     purity = result.summary["purity"]
@@ -96,12 +116,12 @@ def write_reports(result: RunResult, cfg: RunConfig, out_dir: str, process: dict
     write_json(whole, f"{out_dir}/run_summary.json")
     write_json(result.summary, f"{out_dir}/pair_report.json")
     d = cfg.diagnostics
-    audits = S.audit_sample(result.pairs, "confidence_bucket", ["low", "medium", "high"], ["decision_id"], d.num_audit_samples_per_bucket, d.pair_audit_seed)
-    oriented = S.audit_sample(R.in_sections(result.decisions), "section", list(R.SECTIONS), ["a_ord", "b_ord", "id"], d.num_orientation_audit_samples, d.pair_audit_seed)
+    audits = S.audit_sample(result.pairs, "confidence_bucket", ["low", "medium", "high"], [F.col("training_rank")], d.num_audit_samples_per_bucket, d.pair_audit_seed)
+    oriented = S.audit_sample(R.in_sections(result.decisions), "section", list(R.SECTIONS), P.decision_order(result.decisions), d.num_orientation_audit_samples, d.pair_audit_seed)
     texts = {
         "confidence.md": render.confidence_report(result.summary["analysis"], result.summary["buckets"], result.summary["histogram"]),
-        "pair_audit.md": render.pair_audit("Kept pairs by confidence", _rows(audits.orderBy("confidence_bucket", "decision_id"))),
-        "orientation_audit.md": render.orientation_audit(list(R.SECTIONS), _rows(oriented.orderBy("section", "id", "a_ord", "b_ord"))),
+        "pair_audit.md": render.pair_audit("Kept pairs by confidence", _rows(audits.orderBy("confidence_bucket", "place"))),
+        "orientation_audit.md": render.orientation_audit(list(R.SECTIONS), _rows(oriented.orderBy("section", "place"))),
         "diagnosis.md": render.diagnosis_summary(whole, result.summary["status_counts"]),
     }
     if process and "metrics" in process:

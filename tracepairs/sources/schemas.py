@@ -17,10 +17,13 @@ TRACE = _schema(id=_S, prompt=_S, answer=_S, trace_id=_I, reasoning=_S, steps=_S
 SCORED_TRACE = _schema(**{f.name: f.dataType for f in TRACE}, step_scores=_SCORES, final_correct=_B)
 GOLD = _schema(id=_S, gold_earliest_error_step=_I, prompt=_S, answer=_S, correct_steps=_STEPS, incorrect_steps=_STEPS, incorrect_final_answer=_S)
 
+PREDICTION = _schema(id=_S, output=_S)
+
 REQUIRED = {
     "prompt": ["id", "prompt", "answer"],
     "trace": [f.name for f in TRACE],
     "scored_trace": [f.name for f in SCORED_TRACE],
     "gold": ["id", "gold_earliest_error_step"],
+    "prediction": ["id", "output"],
 }
-SCHEMAS = {"prompt": PROMPT, "trace": TRACE, "scored_trace": SCORED_TRACE, "gold": GOLD}
+SCHEMAS = {"prompt": PROMPT, "trace": TRACE, "scored_trace": SCORED_TRACE, "gold": GOLD, "prediction": PREDICTION}
