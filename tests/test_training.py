@@ -395,3 +395,25 @@ def test_final_evaluation(spark, tmp_path):
     main([*command, "--model-name", "mine"])
     assert report()["model_name"] == "mine" and report()["adapter_path"] is None
     assert from_dict(run).training.lr == 2e-5
+
+
+def test_process_evaluation_of_given_pairs(spark, tmp_path):
+    """Gold rows without traces are judged by the pairs of a run."""
+    rows = []
+    for q in "ab":
+        rows += [(q, 0, ["first add the apples", "then count them all"], [0.9, 0.9], True), (q, 1, ["first add the apples", "then lose some pears"], [0.9, 0.1], False)]
+    traces = spark.createDataFrame(rows, "id string, trace_id int, steps array<string>, step_scores array<double>, final_correct boolean")
+    cfg = RunConfig(pair=PairConfig(pair_mode="correctness_priority", tau_pair=0.0, min_weight=0.0, min_divergent_chars=1))
+    P.training_order(P.pairs(P.decisions(traces, cfg))).write.parquet(str(tmp_path / "pairs"))
+    (tmp_path / "gold.jsonl").write_text("\n".join(json.dumps({"id": i, "gold_earliest_error_step": g}) for i, g in (("a", 1), ("b", 0), ("c", 2))))
+    for method in ("step_dpo", "answer_dpo"):
+        (tmp_path / "run.json").write_text(json.dumps({"method": {"name": method}}))
+        main(["process", "--config", str(tmp_path / "run.json"), "--gold", str(tmp_path / "gold.jsonl"), "--report", str(tmp_path / "r.json"), "--pairs", str(tmp_path / "pairs")])
+        report = json.loads((tmp_path / "r.json").read_text())
+        if method == "answer_dpo":
+            assert report["not_applicable"] and report["num_evaluated_examples"] == 3
+        else:
+            assert report["scope"] == "pairs of a run" and report["metrics"]["num_evaluated_examples"] == 3
+            assert (report["metrics"]["num_correct"], report["metrics"]["coverage"], report["metrics"]["earliest_error_near_miss"]) == (1, 2 / 3, 2 / 3)
+    with pytest.raises(ValueError, match="--pairs"):
+        main(["process", "--config", str(tmp_path / "run.json"), "--gold", str(tmp_path / "gold.jsonl"), "--report", "x"])

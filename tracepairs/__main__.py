@@ -27,10 +27,15 @@ def _pairs(spark: SparkSession, args: argparse.Namespace) -> None:
 
 
 def _process(spark: SparkSession, args: argparse.Namespace) -> None:
-    """Earliest-error evaluation on gold rows."""
-    cfg = load_config(args.config)
-    found = pipeline.evaluate_process(spark, read_jsonl(spark, args.gold, "gold"), cfg, scorer(args.scorer), args.out)
-    pipeline.write_json(found, args.report)
+    """Earliest-error evaluation: of the traces in gold rows, scored by ``--scorer``, or of the pairs that a run wrote to ``--pairs``."""
+    cfg, gold = load_config(args.config), read_jsonl(spark, args.gold, "gold")
+    if args.pairs:
+        found = pipeline.evaluate_process_of_pairs(gold, cfg, spark.read.parquet(args.pairs))
+    elif args.scorer and args.out:
+        found = pipeline.evaluate_process(spark, gold, cfg, scorer(args.scorer), args.out)
+    else:
+        raise ValueError("give --pairs, or --scorer and --out")
+    write_json(found, args.report)
 
 
 def _prompts(spark: SparkSession, args: argparse.Namespace) -> None:
@@ -72,7 +77,7 @@ def main(argv: list[str] | None = None) -> None:
         p.set_defaults(run=run)
 
     command("pairs", _pairs, ["traces", "out"], ["scorer", "gold", "resume-from", "reports"])
-    command("process", _process, ["gold", "scorer", "out", "report"], [])
+    command("process", _process, ["gold", "report"], ["scorer", "out", "pairs"])
     command("prompts", _prompts, ["out", "which"], [])
     command("prepare", _prepare, [], ["train", "test", "datasets"])
     command("final", _final, ["predictions", "out"], ["report", "model-name"])

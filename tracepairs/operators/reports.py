@@ -50,18 +50,17 @@ def quality_counts(decided: DataFrame) -> DataFrame:
 
 
 #: Sections of the orientation audit: which comparisons belong to each (a comparison may belong to several).
-# The titles.
 SECTIONS = {
-    "Kept: Correctness-Driven": lambda: kept() & F.col("orientation_reason").isin(CORRECTNESS_DRIVEN),
-    "Kept: Utility-Driven": lambda: kept() & F.col("orientation_reason").isin(UTILITY_DRIVEN),
-    "Kept: Same-Correctness Recovery": lambda: F.col("final_status").isin(
+    "Kept, turned by the final answers": lambda: kept() & F.col("orientation_reason").isin(CORRECTNESS_DRIVEN),
+    "Kept, turned by utility alone": lambda: kept() & F.col("orientation_reason").isin(UTILITY_DRIVEN),
+    "Kept with equal final answers": lambda: F.col("final_status").isin(
         "kept_both_correct_strong_local_preference", "kept_both_wrong_delayed_error", "kept_same_correctness_utility_oriented"
     ),
-    "Dropped: Divergence Sanity": lambda: F.col("final_status").isin([x for x in PURIFICATION_DROPS if not x.startswith("dropped_both")]),
-    "Dropped: Same-Correctness Admissibility": lambda: F.col("final_status").isin(
+    "Dropped for the divergence": lambda: F.col("final_status").isin([x for x in PURIFICATION_DROPS if not x.startswith("dropped_both")]),
+    "Dropped for equal final answers": lambda: F.col("final_status").isin(
         "dropped_both_correct_ambiguous", "dropped_both_wrong_uninformative", "dropped_same_correctness_low_confidence"
     ),
-    "Dropped: Confidence Threshold": lambda: F.col("final_status") == "dropped_low_confidence",
+    "Dropped for low confidence": lambda: F.col("final_status") == "dropped_low_confidence",
 }
 
 

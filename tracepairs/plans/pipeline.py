@@ -63,20 +63,33 @@ def run_pairs(spark: SparkSession, traces: DataFrame, cfg: RunConfig, out_dir: s
     return RunResult(decided, kept, summary)
 
 
-def evaluate_process(spark: SparkSession, gold: DataFrame, cfg: RunConfig, scorer: ColumnScorer, out_dir: str) -> dict:
-    """Earliest-error evaluation on gold rows with both traces; not defined for answer-level pairs."""
-    if cfg.pair_type == "answer_level":
-        return {"not_applicable": True, "reason": "answer-level pairs have no local boundary", "num_evaluated_examples": gold.count()}
-    result = run_pairs(spark, E.expand_gold(gold), cfg, out_dir, scorer=scorer, gold=gold)
-    judged = E.judge(E.predict(result.pairs), gold)
+def _not_applicable(gold: DataFrame) -> dict:
+    return {"not_applicable": True, "reason": "answer-level pairs have no local boundary", "num_evaluated_examples": gold.count()}
+
+
+def _process_report(judged: DataFrame, scope: str) -> dict:
     return {
+        "scope": scope,
         "metrics": _row(E.metrics(judged)),
         "confusion": _rows(E.confusion(judged).orderBy("gold", F.col("pred").asc_nulls_first())),
         "failures": _rows(E.failures(judged)),
-        "pair_build": result.summary,
     }
 
 
+def evaluate_process_of_pairs(gold: DataFrame, cfg: RunConfig, kept: DataFrame) -> dict:
+    """Earliest-error evaluation of the pairs that a run kept, on gold rows of which only id and position are needed."""
+    return _not_applicable(gold) if cfg.pair_type == "answer_level" else _process_report(E.judge(E.predict(kept), gold), "pairs of a run")
+
+
+def evaluate_process(spark: SparkSession, gold: DataFrame, cfg: RunConfig, scorer: ColumnScorer, out_dir: str) -> dict:
+    """Earliest-error evaluation on gold rows with both traces, which are scored and paired here; not defined for answer-level
+    pairs."""
+    if cfg.pair_type == "answer_level":
+        return _not_applicable(gold)
+    result = run_pairs(spark, E.expand_gold(gold), cfg, out_dir, scorer=scorer, gold=gold)
+    return _process_report(E.judge(E.predict(result.pairs), gold), "traces of the gold rows") | {"pair_build": result.summary}
+
+
 def resolve_model_name(spark: SparkSession, cfg: RunConfig, name: str | None = None) -> dict:
     """Which model a final evaluation is of: ``name``, else the final checkpoint if there, else the base model; and whether that
     is a folder with an adapter."""
@@ -105,6 +118,7 @@ def run_summary(result: RunResult, process: dict | None = None, final: dict | No
     out |= purity | result.summary["analysis"]
     out |= {f"kept_fraction_{k}": purity[k] / n for k in ("both_correct", "both_wrong")}
     out["kept_fraction_same_correctness"] = out["kept_fraction_both_correct"] + out["kept_fraction_both_wrong"]
+    out["process_scope"] = (process or {}).get("scope")
     out |= {f"process_{k}": v for k, v in (process or {}).get("metrics", {}).items()} | {f"final_{k}": v for k, v in (final or {}).items()}
     return out
 
@@ -125,7 +139,7 @@ def write_reports(result: RunResult, cfg: RunConfig, out_dir: str, process: dict
         "diagnosis.md": render.diagnosis_summary(whole, result.summary["status_counts"]),
     }
     if process and "metrics" in process:
-        texts["process_failures.md"] = render.process_failures(process["metrics"], process["failures"], process["pair_build"]["buckets"])
+        texts["process_failures.md"] = render.process_failures(process["metrics"], process["failures"], process.get("pair_build", {}).get("buckets"))
     for name, text in texts.items():
         with open(f"{out_dir}/{name}", "w", encoding="utf-8") as f:
             f.write(text)

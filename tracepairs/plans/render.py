@@ -53,7 +53,7 @@ DIAGNOSIS = {
         "fraction_strictly_instructional_pairs", "fraction_ambiguous_pairs", "kept_fraction_same_correctness", "kept_fraction_both_correct",
         "kept_fraction_both_wrong", "fraction_misoriented_mixed_correctness_pairs",
     ],
-    "Downstream": ["final_final_accuracy", "process_earliest_error_exact", "process_earliest_error_near_miss", "process_coverage"],
+    "Downstream": ["final_final_accuracy", "process_earliest_error_exact", "process_earliest_error_near_miss", "process_coverage", "process_scope"],
 }
 
 

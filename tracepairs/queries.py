@@ -595,12 +595,12 @@ def _purity_sql(cfg: RunConfig) -> str:
 
 _IN = lambda names: "(" + ", ".join(repr(x) for x in names) + ")"
 _SECTION_SQL = {
-    "Kept: Correctness-Driven": f"{_KEPT_SQL} AND orientation_reason IN {_IN(R.CORRECTNESS_DRIVEN)}",
-    "Kept: Utility-Driven": f"{_KEPT_SQL} AND orientation_reason IN {_IN(R.UTILITY_DRIVEN)}",
-    "Kept: Same-Correctness Recovery": f"final_status IN {_IN(['kept_both_correct_strong_local_preference', 'kept_both_wrong_delayed_error', 'kept_same_correctness_utility_oriented'])}",
-    "Dropped: Divergence Sanity": f"final_status IN {_IN(['dropped_weak_divergence', 'dropped_trivial_segment_difference', 'dropped_near_identical', 'dropped_formatting_only', 'dropped_unstable_boundary'])}",
-    "Dropped: Same-Correctness Admissibility": f"final_status IN {_IN(['dropped_both_correct_ambiguous', 'dropped_both_wrong_uninformative', 'dropped_same_correctness_low_confidence'])}",
-    "Dropped: Confidence Threshold": "final_status = 'dropped_low_confidence'",
+    "Kept, turned by the final answers": f"{_KEPT_SQL} AND orientation_reason IN {_IN(R.CORRECTNESS_DRIVEN)}",
+    "Kept, turned by utility alone": f"{_KEPT_SQL} AND orientation_reason IN {_IN(R.UTILITY_DRIVEN)}",
+    "Kept with equal final answers": f"final_status IN {_IN(['kept_both_correct_strong_local_preference', 'kept_both_wrong_delayed_error', 'kept_same_correctness_utility_oriented'])}",
+    "Dropped for the divergence": f"final_status IN {_IN(['dropped_weak_divergence', 'dropped_trivial_segment_difference', 'dropped_near_identical', 'dropped_formatting_only', 'dropped_unstable_boundary'])}",
+    "Dropped for equal final answers": f"final_status IN {_IN(['dropped_both_correct_ambiguous', 'dropped_both_wrong_uninformative', 'dropped_same_correctness_low_confidence'])}",
+    "Dropped for low confidence": "final_status = 'dropped_low_confidence'",
 }
 SEMI = BASE.with_mode("semi_purified")
 
