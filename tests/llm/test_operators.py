@@ -534,7 +534,7 @@ def brute_spans(rows, length, keep_first):
     return gone
 
 
-@pytest.mark.parametrize("options", [{}, {"piece_bytes": 300, "block_bytes": 5000, "group_bytes": 300}])
+@pytest.mark.parametrize("options", [{}, {"piece_bytes": 300, "block_bytes": 5000, "group_bytes": 300}, {"key_bits": 3}])
 def test_suffix_dedup(spark, docs, empty, options):
     df, rows = docs
     texts = [(r[1] or "").encode() for r in rows]

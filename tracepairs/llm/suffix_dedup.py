@@ -27,13 +27,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracepairs.llm.common import carried, carried_columns, join_hot, map_arrow, materialize, maybe_broadcast, mix, partitions, prefix_hash, quoted, raw, slices, span_hash, with_row
 
 GRAM = 40
 _POS_BITS = 28
+_SHARED_KEYS = 10_000  # numbers that several texts share: of 64 bits, some hundred among 10**11 rows
 
 
 # --- suffix arrays ------------------------------------------------------------------------------------
@@ -345,10 +346,26 @@ def merge(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return lo[new], reach[np.append(np.flatnonzero(new)[1:], len(lo)) - 1]
 
 
+def _key(df: DataFrame, content: list[Column], bits: int = 64) -> Column:
+    """A number for each row, equal only for rows of equal ``content``: the last ``bits`` bits of a hash. Rows of one number whose
+    second hashes differ are found (narrow records, combined map-side) and get a number from both hashes instead, until none
+    are left; so only texts that agree in all 128 bits are taken for one."""
+    key, check = F.xxhash64(*content).bitwiseAND(F.lit((1 << bits) - 1 if bits < 64 else -1)), F.xxhash64(F.lit(1), *content)
+    for seed in range(2, 12):
+        shared = df.select(key.alias("k"), check.alias("c")).groupBy("k").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo != hi")
+        again = [r[0] for r in shared.select("k").limit(_SHARED_KEYS + 1).collect()]
+        if not again:
+            return key
+        # few keys are named; with more (only where few bits are asked for) all rows take their second hash
+        other = F.xxhash64(F.lit(seed), check, *content)
+        key = F.when(key.isin(again), other).otherwise(key) if len(again) <= _SHARED_KEYS else other
+    raise RuntimeError("keys of different texts stay equal")
+
+
 _SPANS = "array<struct<start: int, end: int>>"
 
 
-def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, key_bits: int = 64, **options) -> DataFrame:
     """``df`` with ``kept_bytes`` (binary: the UTF-8 bytes that stay) and ``removed`` (maximal runs, start and end).
 
     Each byte goes that a string of ``length`` bytes covers which starts anywhere else too, in the same text or
@@ -356,15 +373,16 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     id must be a number then; null comes last, rows that repeat an id are in an order by a hash of their text. Texts are
     compared as UTF-8 bytes; a match never crosses texts; null counts as empty. Rows that repeat id and text are judged
     as one text that has itself as a copy, and give equal results (with ``keep_first`` the copy is not seen as one:
-    they are one row written twice). Columns with the names of the results are replaced. An empty table gives an empty
+    they are one row written twice). Rows are told apart by ``key_bits`` bits of a hash, those that then share one by other
+    hashes (:func:`_key`). Columns with the names of the results are replaced. An empty table gives an empty
     result.
     """
     made = ["kept_bytes", "removed"]
     others = [c for c in df.columns if c not in made]
     text, carry = quoted(text_col), [c for c in others if c != text_col]
-    key = F.xxhash64(quoted(id_col), F.coalesce(text, F.lit("")))
     place = F.coalesce(quoted(id_col).cast("long"), F.lit(2**63 - 1)) if options.get("keep_first") else F.lit(0).cast("long")
-    rows = df.select(key.alias("k"), place.alias("o"), text.alias("text"), carried(df, carry).alias("row"))
+    content = [quoted(id_col), F.coalesce(text, F.lit(""))]
+    rows = df.select(_key(df, content, key_bits).alias("k"), place.alias("o"), text.alias("text"), carried(df, carry).alias("row"))
     spans = repeated_spans(rows.select("k", "o", F.coalesce("text", F.lit("")).alias("text")), **options)
     per_text = spans.groupBy("k").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
 
