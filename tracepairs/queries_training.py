@@ -154,10 +154,10 @@ def optimizer_steps(spark, sf_dir):
     return steps.select("run", "step", "epoch", "batches", *[_r(c) for c in ("loss", "dpo_term", "ref_pen", "mean_loss", "moving_loss")], F.round("learning_rate", 9).alias("learning_rate"))
 
 
-@_query(_with(" SELECT run, CAST(max(batch) AS BIGINT) AS num_batches, CAST(count(DISTINCT step) AS BIGINT) AS num_steps, 6 AS effective_batch_size, round(avg(loss), 6) AS mean_loss, round(avg(dpo_term), 6) AS mean_dpo_term, round(coalesce(avg(ref_pen), 0), 6) AS mean_ref_pen FROM s GROUP BY run", _METRICS_SQL))
+@_query(_with(" SELECT run, CAST(max(batch) AS BIGINT) AS num_batches, CAST(count(DISTINCT step) AS BIGINT) AS num_steps, 6 AS effective_batch_size, round(avg(loss), 12) AS mean_loss, round(avg(dpo_term), 12) AS mean_dpo_term, round(coalesce(avg(ref_pen), 0), 12) AS mean_ref_pen FROM s GROUP BY run", _METRICS_SQL))
 def training_summary(spark, sf_dir):
     out = B.training_summary(_metrics(spark, sf_dir), TRAINING)
-    return out.select("run", "num_batches", "num_steps", "effective_batch_size", *[_r(c) for c in ("mean_loss", "mean_dpo_term", "mean_ref_pen")])
+    return out.select("run", "num_batches", "num_steps", "effective_batch_size", *[F.round(c, 12).alias(c) for c in ("mean_loss", "mean_dpo_term", "mean_ref_pen")])
 
 
 # --- data -----------------------------------------------------------------------------------------------------
