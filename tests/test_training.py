@@ -4,6 +4,7 @@ plain restatement."""
 import collections
 import json
 import math
+import os
 import random
 import uuid
 from difflib import SequenceMatcher
@@ -24,6 +25,7 @@ from tracepairs.operators.process_rows import process_rows_of
 from tracepairs.operators.scoring import prefix_counts, register_scorer, score_traces, score_traces_in_batches, scorer
 from tracepairs.sources.datasets import load_dataset, splits
 from tracepairs.sources.jsonl import read_jsonl
+from tracepairs.sources.stages import shared_folder, staged, staging
 
 TRACE = "id string, prompt string, answer string, trace_id int, reasoning string, steps array<string>, final_answer string"
 
@@ -210,6 +212,24 @@ def test_audit_is_that_of_one_generator(spark):
     assert S.audit_sample(df.limit(0), "bucket", ["low"], [F.col("o")], 8, 42).count() == 0
 
 
+def test_staged_tables_go(spark):
+    here = lambda: {x for x in os.listdir(shared_folder(spark).removeprefix("file://")) if x.startswith("mine")}
+    with staging(spark):
+        assert staged(spark.range(3), "mine").count() == 3 and len(here()) == 1
+    assert not here()
+
+    class Cluster:
+        class sparkContext:  # noqa: N801
+            master = "spark://host:7077"
+            getConf = staticmethod(dict)
+
+        class conf:  # noqa: N801
+            get = staticmethod(lambda *_: None)
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        shared_folder(Cluster)
+
+
 def test_line_ordinals_of_many_splits(spark, tmp_path):
     for name, lines in (("b", range(40, 90)), ("a", range(40))):
         (tmp_path / f"{name}.jsonl").write_text("\n".join(json.dumps({"i": i, "t": "x" * (i % 9)}) for i in lines))

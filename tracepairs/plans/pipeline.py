@@ -16,6 +16,7 @@ from tracepairs.operators import sampling as S
 from tracepairs.operators.scoring import ColumnScorer, final_accuracy, grade, score_traces
 from tracepairs.plans import render
 from tracepairs.sources.jsonl import reusable, stage_table, write_json
+from tracepairs.sources.stages import staging
 
 STAGES = ["scored", "decisions", "pairs"]
 
@@ -47,7 +48,8 @@ def run_pairs(spark: SparkSession, traces: DataFrame, cfg: RunConfig, out_dir: s
     again = {s: reusable(s, STAGES, resume_from=resume_from, flag=flags[s]) for s in STAGES}
     scored = stage_table(spark, f"{out_dir}/scored", lambda: score_traces(traces, scorer) if scorer else traces, reuse=again["scored"])
     decided = stage_table(spark, f"{out_dir}/decisions", lambda: P.decisions(scored, cfg), reuse=again["decisions"])
-    kept = stage_table(spark, f"{out_dir}/pairs", lambda: P.training_order(P.pairs(decided)), reuse=again["pairs"])
+    with staging(spark):
+        kept = stage_table(spark, f"{out_dir}/pairs", lambda: P.training_order(P.pairs(decided)), reuse=again["pairs"])
     summary = {
         "method_name": cfg.method.name,
         "pair_type": cfg.pair_type,
@@ -130,12 +132,14 @@ def write_reports(result: RunResult, cfg: RunConfig, out_dir: str, process: dict
     write_json(whole, f"{out_dir}/run_summary.json")
     write_json(result.summary, f"{out_dir}/pair_report.json")
     d = cfg.diagnostics
-    audits = S.audit_sample(result.pairs, "confidence_bucket", ["low", "medium", "high"], [F.col("training_rank")], d.num_audit_samples_per_bucket, d.pair_audit_seed)
-    oriented = S.audit_sample(R.in_sections(result.decisions), "section", list(R.SECTIONS), P.decision_order(result.decisions), d.num_orientation_audit_samples, d.pair_audit_seed)
+    with staging(result.pairs.sparkSession):
+        audits = S.audit_sample(result.pairs, "confidence_bucket", ["low", "medium", "high"], [F.col("training_rank")], d.num_audit_samples_per_bucket, d.pair_audit_seed)
+        oriented = S.audit_sample(R.in_sections(result.decisions), "section", list(R.SECTIONS), P.decision_order(result.decisions), d.num_orientation_audit_samples, d.pair_audit_seed)
+        drawn, turned = _rows(audits.orderBy("confidence_bucket", "place")), _rows(oriented.orderBy("section", "place"))
     texts = {
         "confidence.md": render.confidence_report(result.summary["analysis"], result.summary["buckets"], result.summary["histogram"]),
-        "pair_audit.md": render.pair_audit("Kept pairs by confidence", _rows(audits.orderBy("confidence_bucket", "place"))),
-        "orientation_audit.md": render.orientation_audit(list(R.SECTIONS), _rows(oriented.orderBy("section", "place"))),
+        "pair_audit.md": render.pair_audit("Kept pairs by confidence", drawn),
+        "orientation_audit.md": render.orientation_audit(list(R.SECTIONS), turned),
         "diagnosis.md": render.diagnosis_summary(whole, result.summary["status_counts"]),
     }
     if process and "metrics" in process:

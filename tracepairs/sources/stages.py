@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import shutil
 import tempfile
 import uuid
@@ -24,9 +25,26 @@ def shared_folder(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+_open: list[list[str]] = []
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """``df``, written as Parquet into a new folder of the shared one and read back: lost executors, and ranges that Spark would
-    sample anew, change nothing in it any more."""
+    sample anew, change nothing in it any more. It stays until the :func:`staging` around it ends, if there is one."""
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    if _open:
+        _open[-1].append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+@contextlib.contextmanager
+def staging(spark: SparkSession):
+    """Tables staged inside are deleted at its end; whatever reads them must have been written by then."""
+    _open.append([])
+    try:
+        yield
+    finally:
+        for path in _open.pop():
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
