@@ -23,6 +23,7 @@ from tracepairs.operators import training as B
 from tracepairs.operators.order import ranked, running_sums
 from tracepairs.operators.process_rows import process_rows_of
 from tracepairs.operators.scoring import prefix_counts, register_scorer, score_traces, score_traces_in_batches, scorer
+from tracepairs.plans import render
 from tracepairs.sources.datasets import load_dataset, splits
 from tracepairs.sources.jsonl import read_jsonl
 from tracepairs.sources.stages import shared_folder, staged, staging
@@ -336,6 +337,18 @@ def test_steps_are_those_of_the_loop(spark, batches, accumulation, epochs):
         assert (s.mean_loss, s.mean_dpo_term, s.mean_ref_pen) == pytest.approx((sum(flat) / len(flat), sum(flat) / len(flat) / 2, 0.0 if run == "a" else sum(flat) / len(flat) / 4))
 
 
+def test_training_report(spark, tmp_path):
+    (tmp_path / "run.json").write_text(json.dumps({"training": {"grad_accum_steps": 2, "batch_size": 3, "num_epochs": 1, "model_name": "base"}}))
+    lines = [{"run": run, "epoch": 1, "batch": i + 1, "loss": 0.5 * i} for run in "ba" for i in range(5)]
+    (tmp_path / "m.jsonl").write_text("\n".join(map(json.dumps, lines)))
+    main(["steps", "--config", str(tmp_path / "run.json"), "--metrics", str(tmp_path / "m.jsonl"), "--out", str(tmp_path / "out")])
+    runs = json.loads((tmp_path / "out" / "training.json").read_text())["runs"]
+    assert [(r["run"], r["num_batches"], r["num_steps"], r["effective_batch_size"], r["mean_loss"], r["mean_dpo_term"], r["base_model_name"]) for r in runs] == [(x, 5, 3, 6, 1.0, None, "base") for x in "ab"]
+    assert [(r.step, r.loss) for r in spark.read.parquet(str(tmp_path / "out" / "steps")).where("run = 'a'").orderBy("step").collect()] == [(1, 0.5), (2, 1.5), (3, 2.0)]
+    assert "## b" in (tmp_path / "out" / "training.md").read_text()
+    assert render.training_report([]) == "# Training\n\nNo batches.\n"
+
+
 # --- data sets, gold rows, final evaluation --------------------------------------------------------------------
 
 

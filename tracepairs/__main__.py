@@ -12,7 +12,7 @@ from pyspark.sql import SparkSession
 from tracepairs.config import load_config
 from tracepairs.operators.sampling import load_prompts, prepare_data, with_line_ordinals
 from tracepairs.operators.scoring import scorer
-from tracepairs.plans import pipeline
+from tracepairs.plans import pipeline, render
 from tracepairs.sources.datasets import load_dataset
 from tracepairs.sources.jsonl import read_jsonl, write_json, write_jsonl
 
@@ -64,6 +64,14 @@ def _final(spark: SparkSession, args: argparse.Namespace) -> None:
     write_json(report, args.report or cfg.paths.final_eval_file or f"{args.out}/final_eval.json")
 
 
+def _steps(spark: SparkSession, args: argparse.Namespace) -> None:
+    """Figures by optimizer step, and a summary of each run, from the metrics of its batches."""
+    runs = pipeline.training_report(spark, load_config(args.config), read_jsonl(spark, args.metrics, "metric"), args.out)
+    write_json({"runs": runs}, f"{args.out}/training.json")
+    with open(f"{args.out}/training.md", "w", encoding="utf-8") as f:
+        f.write(render.training_report(runs))
+
+
 def main(argv: list[str] | None = None) -> None:
     parser = argparse.ArgumentParser(prog="tracepairs")
     commands = parser.add_subparsers(required=True)
@@ -81,6 +89,7 @@ def main(argv: list[str] | None = None) -> None:
     command("prompts", _prompts, ["out", "which"], [])
     command("prepare", _prepare, [], ["train", "test", "datasets"])
     command("final", _final, ["predictions", "out"], ["report", "model-name"])
+    command("steps", _steps, ["metrics", "out"], [])
     args = parser.parse_args(argv)
     args.run(SparkSession.builder.getOrCreate(), args)
 

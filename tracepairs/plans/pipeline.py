@@ -13,6 +13,7 @@ from tracepairs.operators import pairs as P
 from tracepairs.operators import process_eval as E
 from tracepairs.operators import reports as R
 from tracepairs.operators import sampling as S
+from tracepairs.operators import training as B
 from tracepairs.operators.scoring import ColumnScorer, final_accuracy, grade, score_traces
 from tracepairs.plans import render
 from tracepairs.sources.jsonl import reusable, stage_table, write_json
@@ -112,6 +113,14 @@ def evaluate_final(spark: SparkSession, cfg: RunConfig, prompts: DataFrame, pred
     return resolve_model_name(spark, cfg, model_name) | {"accuracy": found["final_accuracy"], "num_correct": found["num_correct"], "num_examples": found["num_examples"], "num_missing": graded.where("missing").count()}
 
 
+def training_report(spark: SparkSession, cfg: RunConfig, metrics: DataFrame, out_dir: str) -> list[dict]:
+    """Writes the figures by optimizer step of all runs under ``out_dir`` and gives a summary of each run, by name; none without
+    batches."""
+    stage_table(spark, f"{out_dir}/steps", lambda: B.optimizer_steps(metrics, cfg))
+    base = {"method_name": cfg.method.name, "pair_type": cfg.pair_type, "num_epochs": cfg.training.num_epochs, "base_model_name": cfg.training.model_name}
+    return [r | base for r in _rows(B.training_summary(metrics, cfg).orderBy("run"))]
+
+
 def run_summary(result: RunResult, process: dict | None = None, final: dict | None = None) -> dict:
     """The figures of all stages in one flat report."""
     purity = result.summary["purity"]

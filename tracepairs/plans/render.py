@@ -46,6 +46,12 @@ def process_failures(metrics: dict, failures: list[dict], buckets: list[dict] |
     return f"# Earliest wrong step\n\n{facts}\n\n{by_confidence}## First failures\n\n{first}\n"
 
 
+def training_report(runs: list[dict]) -> str:
+    """A part for each run."""
+    parts = [f"## {r['run']}\n\n" + "\n".join(f"- {k}: {_cell(v)}" for k, v in r.items() if k != "run") for r in runs]
+    return "\n\n".join(["# Training", *(parts or ["No batches."])]) + "\n"
+
+
 #: The figures of a run that tell how good its pairs are, by heading.
 DIAGNOSIS = {
     "Run": ["method_name", "pair_type", "pair_mode", "lambda_ref", "num_pairs", "num_raw_pairs", "num_dropped_by_confidence", "mean_confidence"],

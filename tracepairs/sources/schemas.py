@@ -18,6 +18,7 @@ SCORED_TRACE = _schema(**{f.name: f.dataType for f in TRACE}, step_scores=_SCORE
 GOLD = _schema(id=_S, gold_earliest_error_step=_I, prompt=_S, answer=_S, correct_steps=_STEPS, incorrect_steps=_STEPS, incorrect_final_answer=_S)
 
 PREDICTION = _schema(id=_S, output=_S)
+METRIC = _schema(run=_S, epoch=_I, batch=_I, loss=_D, dpo_term=_D, ref_pen=_D)
 
 REQUIRED = {
     "prompt": ["id", "prompt", "answer"],
@@ -25,5 +26,6 @@ REQUIRED = {
     "scored_trace": [f.name for f in SCORED_TRACE],
     "gold": ["id", "gold_earliest_error_step"],
     "prediction": ["id", "output"],
+    "metric": ["run", "epoch", "batch", "loss"],
 }
-SCHEMAS = {"prompt": PROMPT, "trace": TRACE, "scored_trace": SCORED_TRACE, "gold": GOLD, "prediction": PREDICTION}
+SCHEMAS = {"prompt": PROMPT, "trace": TRACE, "scored_trace": SCORED_TRACE, "gold": GOLD, "prediction": PREDICTION, "metric": METRIC}
