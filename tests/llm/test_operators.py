@@ -887,7 +887,7 @@ def test_sql(spark, sf_dir):
     import duckdb
 
     con = duckdb.connect()
-    for name in ("documents", "pages"):
+    for name in ("documents", "pages", "benchmark", "embeddings"):
         con.sql(f"CREATE VIEW {name} AS SELECT * FROM '{sf_dir}/{name}.parquet'")
     for name, sql in Q.oracle_sql().items():
         df = Q.queries()[name](spark, sf_dir)

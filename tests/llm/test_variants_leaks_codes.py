@@ -366,14 +366,3 @@ def test_large_components_stay_exact(spark):
     assert x.tolist() == [[big, -big] * 8, [25_600_000] * 16]
     codes, error = vector_codes.nearest(x, np.zeros((16, 1, 1), np.int64))
     assert error.tolist() == [16 * big * big, 16 * 25_600_000**2] and not codes.any()
-
-
-def test_sql_of_leaks_and_codes(spark, sf_dir):
-    import duckdb
-
-    con = duckdb.connect()
-    for name in ("documents", "benchmark", "embeddings"):
-        con.sql(f"CREATE VIEW {name} AS SELECT * FROM '{sf_dir}/{name}.parquet'")
-    for name in ("op12_winnowing", "op13_vector_codes"):
-        df, want = Q.queries()[name](spark, sf_dir), con.sql(Q.oracle_sql()[name])
-        assert sorted(repr(tuple(r)) for r in df.collect()) == sorted(repr(r) for r in want.select(*df.columns).fetchall()), name
