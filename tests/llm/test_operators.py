@@ -819,6 +819,25 @@ def test_token_counts(spark, docs, empty):
     same(by_id(count_tokens(df, other), "n_bytes", "n_tokens"), rows, want)
 
 
+def test_token_counts_keep_the_tokenizer_between_tasks(spark):
+    """A worker loads the tokenizer once for all its tasks."""
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    def kept(batches):
+        from tracepairs.llm import token_counts as own
+
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([len(own._state)] * b.num_rows, pa.int64())], names=["n"])
+
+    texts = spark.range(64).select(F.col("id").alias("doc_id"), F.concat(F.lit("Some words of row "), "id").alias("text")).repartition(16)
+    assert {r.n_tokens for r in count_tokens(texts, WORDS).collect()} <= {5, 6}
+    assert spark.range(0, 16, 1, 16).mapInArrow(kept, "n long").agg(F.max("n")).first()[0] == 1
+    library = Tokenizer.from_file(WORDS)
+    long = ["word " * 30_000, "", "a b", *["x"] * 2500]
+    assert token_counts._lengths([t.encode() for t in long], library) == [len(library.encode(t, add_special_tokens=False)) for t in long]
+
+
 def test_token_counts_of_odd_words():
     """Single words of all kinds, by the cache's own ways and by the library."""
     from tokenizers import Tokenizer

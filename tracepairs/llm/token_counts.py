@@ -4,7 +4,7 @@ Where the tokenizer's normaliser and splitting pattern never join characters acr
 as many tokens as its white-space-separated pre-tokens together. Tier one is a broadcast table of the
 token counts of the pre-tokens most frequent in the whole table: each task sums its own words up in a summary of bounded
 size, and summaries are merged by tree until one is left. The table only saves time and never changes a count. Tier two
-is a cache in each worker, bounded by twice ``cache_size``, that the library fills for pre-tokens not met before. What tasks exchange are their summaries,
+is a cache in each worker, bounded by ``cache_size``, that the library fills for pre-tokens not met before. What tasks exchange are their summaries,
 of at most ``table_size`` words each, and nothing else.
 
 The tokenizer's file is checked for this when it is loaded; with any other, whole texts are encoded.
@@ -20,12 +20,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tracepairs.llm.common import map_arrow, materialize, quoted, raw, slices, with_row
+from tracepairs.llm.common import give_back_memory, map_arrow, materialize, quoted, raw, slices, with_row
 
 _LONG = 256  # longer pre-tokens are encoded each time and kept nowhere
 _FAN_IN = 64  # summaries merged by a task
@@ -88,6 +88,7 @@ def _summary(share: float, size: int):
     """The words that make up ``share`` or more of a task's words, with their counts: one row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_caches()
         counts, total = collections.Counter(), 0
         for b in slices(batches, "text", 1 << 20):
             data, offs = raw(b.column(0))
@@ -137,17 +138,18 @@ def frequent_lengths(df: DataFrame, text_col: str, tokenizer: Tokenizer, *, tabl
 
 
 class Cache:
-    """Token counts of pre-tokens: the broadcast table, and what was met since, in two generations of up to ``size``.
+    """Token counts of pre-tokens: the broadcast table, and what was met since, in two generations of words and one of their
+    pieces, which hold ``size`` entries together, but for those of the last texts.
 
     When the younger one is full it becomes the older one; words found in that return to the younger. So frequent words stay.
     With ``by_piece`` (:func:`counts_by_piece`) new words of printable ASCII characters are split as the tokenizer's pattern does
-    and counted by its model, piece by piece, with up to ``size`` pieces kept; all others go through the whole tokenizer.
+    and counted by its model, piece by piece; all others go through the whole tokenizer.
     """
 
     def __init__(self, table: dict[bytes, int], size: int, tokenizer: Tokenizer, by_piece: bool):
-        self.table, self.size, self.tokenizer, self.model, self.by_piece = table, size, tokenizer, tokenizer.model, by_piece
+        self.table, self.size, self.tokenizer, self.model, self.by_piece = table, size // 3, tokenizer, tokenizer.model, by_piece
         self.added = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
-        self.young, self.old = dict(table), {}
+        self.young, self.old = dict(table or {}), {}
         self.pieces: dict[str, int] = {}
 
     def _encode(self, words: list[bytes]) -> dict[bytes, int]:
@@ -184,12 +186,58 @@ class Cache:
 
 
 def _lengths(texts: list[bytes], tokenizer: Tokenizer) -> list[int]:
-    return [len(e) for e in tokenizer.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)]
+    """Tokens of each text; encodings, which are far larger than texts, are held for few of them at a time."""
+    out: list[int] = []
+    while len(out) < len(texts):
+        lo = hi = len(out)
+        size = 0
+        while hi < len(texts) and hi < lo + 1000 and (size := size + len(texts[hi])) <= 1 << 16 or hi == lo:
+            hi += 1
+        out += [len(e) for e in tokenizer.encode_batch_fast([t.decode() for t in texts[lo:hi]], add_special_tokens=False)]
+    return out
+
+
+def _tokenizer(spec: str) -> Tokenizer:
+    out = Tokenizer.from_str(spec)
+    out.no_truncation()
+    out.no_padding()
+    return out
 
 
 _state: dict[str, Cache] = {}
 
 
+def drop_caches() -> None:
+    """Caches of earlier calls, which a reused worker still has, go."""
+    if _state:
+        _state.clear()
+        give_back_memory()
+
+
+class _Counted:
+    """Counts the rows (id, text) of a task. A class of the module: a function within another one would be sent with a ``_state``
+    of its own, and each task would load the tokenizer and fill its cache anew."""
+
+    def __init__(self, shared: Broadcast, cache_size: int):
+        self.shared, self.cache_size, self.key = shared, cache_size, uuid.uuid4().hex
+
+    def _cache(self) -> Cache:
+        if self.key not in _state:
+            drop_caches()
+            spec, table, by_piece = self.shared.value
+            _state[self.key] = Cache(table, self.cache_size, _tokenizer(spec), by_piece)
+        return _state[self.key]
+
+    def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache = self._cache()
+        for b in slices(batches, "text", 1 << 20):
+            data, offs = raw(b.column(1))
+            data = data.tobytes()
+            texts = [data[lo:hi] for lo, hi in zip(offs[:-1], offs[1:])]
+            n = _lengths(texts, cache.tokenizer) if cache.table is None else cache.count(texts)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.diff(offs)), pa.array(n, pa.int64())], names=["id", "n_bytes", "n_tokens"])
+
+
 def count_tokens(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", *, limit: int = 2048, cache_size: int = 200_000, table_share: float = 5e-6, table_size: int = 65_536) -> DataFrame:
     """``id_col, n_bytes, n_tokens, over_limit`` for each row.
 
@@ -201,29 +249,8 @@ def count_tokens(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", tex
     spark = df.sparkSession
     with open(tokenizer_path, encoding="utf-8") as f:
         spec = f.read()
-    tokenizer = Tokenizer.from_str(spec)
-    tokenizer.no_truncation()
-    tokenizer.no_padding()
-    by_word = splits_at_spaces(spec)
-    table = frequent_lengths(df, text_col, tokenizer, table_share=table_share, table_size=table_size) if by_word else {}
-    shared, key = spark.sparkContext.broadcast((spec, table)), uuid.uuid4().hex
+    table = frequent_lengths(df, text_col, _tokenizer(spec), table_share=table_share, table_size=table_size) if splits_at_spaces(spec) else None
+    shared = spark.sparkContext.broadcast((spec, table, counts_by_piece(spec)))
     rows = df.select(quoted(id_col).alias("id"), F.coalesce(quoted(text_col), F.lit("")).alias("text"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if key not in _state:
-            _state.clear()  # the table and cache of another call
-            spec, table = shared.value
-            own = Tokenizer.from_str(spec)
-            own.no_truncation()
-            own.no_padding()
-            _state[key] = Cache(table, cache_size, own, counts_by_piece(spec))
-        cache = _state[key]
-        for b in slices(batches, "text", 1 << 20):
-            data, offs = raw(b.column(1))
-            data = data.tobytes()
-            texts = [data[lo:hi] for lo, hi in zip(offs[:-1], offs[1:])]
-            n = cache.count(texts) if by_word else _lengths(texts, cache.tokenizer)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.diff(offs)), pa.array(n, pa.int64())], names=["id", "n_bytes", "n_tokens"])
-
-    out = map_arrow(rows, run, with_row(rows, "id", "n_bytes long, n_tokens long"))
+    out = map_arrow(rows, _Counted(shared, cache_size), with_row(rows, "id", "n_bytes long, n_tokens long"))
     return out.select(F.col("id").alias(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
