@@ -68,6 +68,21 @@ def test_similar_segments_are_dropped_by_similarity_alone(spark):
         assert statuses(P.decisions(traces(spark, rows), loose)) == ["kept_mixed_correctness"]
 
 
+def _split_sums(prompts):
+    """Per prompt a right trace and two wrong ones of equal score sums, cut at different places."""
+    rng, out = random.Random(3), []
+    for i in range(prompts):
+        x, y, d = (rng.randint(5, 40) / 100 for _ in range(3))
+        out += [(f"q{i}", 0, ["count the red apples", "add the green ones"], [0.9, 0.8], True), (f"q{i}", 1, ["divide by all the pears", "it is seven"], [x, y + d], False), (f"q{i}", 2, ["take the plums away", "it is eleven"], [x + d, y], False)]
+    return out
+
+
+def test_answers_with_equal_means_follow_their_places(spark):
+    t = traces(spark, _split_sums(150))
+    found = P.decisions(t, CFG.with_method("answer_dpo")).select("rank", "disp_trace_id").distinct().collect()
+    assert {tuple(r) for r in found} == {(1, 1), (2, 2)}
+
+
 def test_empty_tables(spark):
     t = traces(spark, [])
     d = P.decisions(t, CFG)
