@@ -92,6 +92,15 @@ def test_equal_confidences_follow_their_places(spark):
     assert len(kept) == 150 and {tuple(r) for r in kept} == {(0, 1)}
 
 
+def test_the_cap_sorts_no_whole_traces(spark):
+    d = P.decisions(traces(spark, SHARED), CFG).select("id", "confidence", "final_status")
+    plan = d._jdf.queryExecution().optimizedPlan().toString()
+    window = next(line for line in plan.splitlines() if "row_number" in line and "Window" in line)
+    below = plan.split(window, 1)[1].lstrip().splitlines()[0]  # what the sort of the window holds
+    assert "Project" in below and "step_scores" not in below and " AS a#" not in below and ", a#" not in below and ", b#" not in below and "[a#" not in below
+    assert d.columns == ["id", "confidence", "final_status"] and d.count() == 1
+
+
 def test_empty_tables(spark):
     t = traces(spark, [])
     d = P.decisions(t, CFG)
