@@ -17,6 +17,7 @@ from tracepairs.operators import scoring as G
 from tracepairs.operators import training as B
 from tracepairs.queries import _KEPT_SQL, BASE, _dec, _query, _r, _scratch, _table, _with, scored_traces
 from tracepairs.sources.datasets import load_dataset
+from tracepairs.sources.stages import staged
 
 # --- prefix trees -------------------------------------------------------------------------------------------
 
@@ -54,6 +55,8 @@ def _ordered_traces(spark, sf_dir):
 @_query(_dec(BASE, f""" SELECT id, a AS a_id, b AS b_id, k, row_number() OVER (ORDER BY round(conf, 6) DESC, round(training_weight, 6) DESC, {_LAST} - id, a, b) AS training_rank FROM dec WHERE {_KEPT_SQL}"""))
 def training_rank(spark, sf_dir):
     kept = P.pairs(P.decisions(_ordered_traces(spark, sf_dir), BASE)).withColumns({c: F.round(c, 6) for c in ("confidence", "training_weight")})
+    # staged, as the ranges' sampling reads its input once more; and only what the order and the result need
+    kept = staged(kept.select("id", "a_trace_id", "b_trace_id", "k", "confidence", "training_weight", "prompt_ord", "a_ord", "b_ord"), "kept")
     return P.training_order(kept).select("id", F.col("a_trace_id").alias("a_id"), F.col("b_trace_id").alias("b_id"), "k", "training_rank")
 
 
