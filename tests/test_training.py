@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from tracepairs import queries as Q
 from tracepairs.__main__ import main
 from tracepairs.config import MethodConfig, PairConfig, RunConfig, TrainingConfig, from_dict
+from tracepairs.functions import text as T
 from tracepairs.functions.similarity import can_reach, near_identical, signature_similarity
 from tracepairs.operators import pairs as P
 from tracepairs.operators import sampling as S
@@ -132,6 +133,27 @@ def test_similarity_is_computed_only_where_it_is_asked_for(spark, sf_dir):
     assert plan(decided.select("final_status")).count("signature_similarity(") < plan(decided.select("final_status", "divergent_similarity")).count("signature_similarity(")
 
 
+def test_forms_of_segments_are_computed_before_the_self_join(spark, sf_dir):
+    """Once for each trace and position, not for each comparison."""
+    decided = P.decisions(Q.scored_traces(spark, sf_dir), Q.SIMILAR.with_mode("semi_purified"))
+    plan = decided._jdf.queryExecution().optimizedPlan().toString()
+    above, join, below = plan.partition("Join Inner")
+    assert join and all(x not in above and x in below for x in ("regexp_replace(", "translate("))
+
+
+def test_forms_of_segments(spark):
+    rng = random.Random(8)
+    steps = ["Step 1: add 3 + 5", "step", "2. so, 8", "First, let us see", " ", "", "!!!", "the apples , and pears", "日本 é", None]
+    traces = [(p, t, [rng.choice(steps) for _ in range(rng.randint(0, 5))], [], bool(t % 2)) for p in ("p", "q", "r") for t in range(12)]
+    df = spark.createDataFrame(traces, "id string, trace_id int, steps array<string>, step_scores array<double>, final_correct boolean")
+    there = P.compared(df, Q.SIMILAR).where("there")
+    text = {x: T.segment_text(F.col(f"seg_{x}")) for x in "ab"}
+    want = [T.segment_signature(F.col(f"seg_{x}")) for x in "ab"] + [T.alnum_signature(text["a"]) == T.alnum_signature(text["b"]), T.content_tokens(text["a"]) == T.content_tokens(text["b"]), T.has_math(text["a"]) | T.has_math(text["b"])]
+    got = [F.col("form_a.s.sig"), F.col("form_b.s.sig"), F.col("formatting_only"), F.col("form_a.c.words") == F.col("form_b.c.words"), F.col("math")]
+    rows = there.select(F.struct(*[w.alias(f"c{i}") for i, w in enumerate(want)]).alias("want"), F.struct(*[g.alias(f"c{i}") for i, g in enumerate(got)]).alias("got")).collect()
+    assert len(rows) > 100 and all(r.want == r.got for r in rows)
+
+
 # --- order, places, audits ----------------------------------------------------------------------------------
 
 
