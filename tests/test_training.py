@@ -14,6 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tracepairs import queries as Q
+from tracepairs import queries_training as QT
 from tracepairs.__main__ import main
 from tracepairs.config import MethodConfig, PairConfig, RunConfig, TrainingConfig, from_dict
 from tracepairs.functions import text as T
@@ -398,6 +399,16 @@ def test_data_sets(spark, root):
     assert "answer" not in plan.split("ReadSchema")[1].split(">")[0]
 
 
+def test_files_of_a_data_set_do_not_grow(spark, sf_dir, monkeypatch):
+    want = sorted(map(tuple, QT.dataset_slices(spark, sf_dir).collect()))
+    monkeypatch.setattr(QT, "_FILE_ROWS", 100)
+    df = QT.dataset_slices(spark, sf_dir)
+    assert sorted(map(tuple, df.collect())) == want
+    n = spark.read.parquet(f"{sf_dir}/orders.parquet").count()
+    for split in ("train", "test"):
+        assert sum(f"/{split}/" in f for f in df.inputFiles()) == math.ceil(n / 100)
+
+
 def test_data_sets_that_are_not_there(spark, root):
     for name, config, split, schema, message in (
         ("none", "main", "train", None, "no data set"), ("some/sums", "mine", "train", None, "configuration 'mine'.*main, other"), ("some/sums", None, "train", None, "configuration None"),

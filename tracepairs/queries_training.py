@@ -165,15 +165,17 @@ def training_summary(spark, sf_dir):
 
 # --- data -----------------------------------------------------------------------------------------------------
 
+_FILE_ROWS = 500_000  # of a file; one task puts them in order
 
 @_query("""WITH o AS (SELECT o_orderkey, 'q' || o_orderkey AS question, o_orderstatus AS answer, count(*) OVER () AS n FROM orders)
 SELECT question, answer, o_orderkey - n // 10 AS ord FROM o WHERE o_orderkey >= n // 10 AND o_orderkey < n // 5 UNION ALL SELECT question, answer, n // 5 - n // 10 + o_orderkey - (n - 5) FROM o WHERE o_orderkey >= n - 5""")
 def dataset_slices(spark, sf_dir):
-    """A tenth of one split and the last rows of another, from several files."""
+    """A tenth of one split and the last rows of another, from several files, more of them the more rows there are."""
     root = _scratch(spark, "datasets")
+    full = -(-_table(spark, sf_dir, "orders").count() // _FILE_ROWS)
     rows = _table(spark, sf_dir, "orders").select("o_orderkey", F.concat(F.lit("q"), "o_orderkey").alias("question"), F.col("o_orderstatus").alias("answer"), F.lit("unused").alias("more"))
-    rows.repartitionByRange(3, "o_orderkey").sortWithinPartitions("o_orderkey").drop("o_orderkey").write.parquet(f"{root}/sums/main/train")
-    rows.repartitionByRange(2, "o_orderkey").sortWithinPartitions("o_orderkey").drop("o_orderkey").write.json(f"{root}/sums/main/test")
+    rows.repartitionByRange(max(3, full), "o_orderkey").sortWithinPartitions("o_orderkey").drop("o_orderkey").write.parquet(f"{root}/sums/main/train")
+    rows.repartitionByRange(max(2, full), "o_orderkey").sortWithinPartitions("o_orderkey").drop("o_orderkey").write.json(f"{root}/sums/main/test")
     return load_dataset(spark, root, "sums", "main", "train[10%:20%]+test[-5:]", "question string, answer string")
 
 
