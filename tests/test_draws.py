@@ -30,3 +30,15 @@ def test_audit_sample(spark, copied):
         want += [(bucket, place, key) for place, key in enumerate(keys[:40])]
     got = Q.queries()["audit_sample"](spark, folder).select("bucket", "place", "o_orderkey")
     assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
+def test_gsm8k_prompts(spark, copied):
+    folder, orders = copied
+    want = []
+    for out, key in enumerate(sorted(random.Random(42).sample(range(len(orders)), 100))):
+        price, asked = int(orders[key].o_totalprice), f"What does order {key} cost?"
+        prompt = f"{asked} Think Step by Step." if key % 2 == 0 else f"{asked}\nShow your reasoning step by step."
+        answer, solution = [(str(price), None), (str(price), f"It costs {price} in all."), ("none given", None)][key % 3]
+        want.append((f"train__1__{out:05d}", prompt, answer, solution, "train[:1]"))
+    got = Q.queries()["gsm8k_prompts"](spark, folder).select("id", "prompt", "answer", "reference_solution", "source_split")
+    assert sorted(map(tuple, got.collect())) == want
