@@ -42,3 +42,12 @@ def test_gsm8k_prompts(spark, copied):
         want.append((f"train__1__{out:05d}", prompt, answer, solution, "train[:1]"))
     got = Q.queries()["gsm8k_prompts"](spark, folder).select("id", "prompt", "answer", "reference_solution", "source_split")
     assert sorted(map(tuple, got.collect())) == want
+
+
+def test_prompt_samples(spark, copied):
+    folder, orders = copied
+    want = []
+    for which, count, seed in (("train", 60, 5), ("eval", 40, 6)):
+        want += [(which, f"p{key}", str(orders[key].o_custkey)) for key in random.Random(seed).sample(range(len(orders)), count)]
+    got = Q.queries()["prompt_samples"](spark, folder).select("which", "id", "answer")
+    assert sorted(map(tuple, got.collect())) == sorted(want)
