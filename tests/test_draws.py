@@ -51,3 +51,9 @@ def test_prompt_samples(spark, copied):
         want += [(which, f"p{key}", str(orders[key].o_custkey)) for key in random.Random(seed).sample(range(len(orders)), count)]
     got = Q.queries()["prompt_samples"](spark, folder).select("which", "id", "answer")
     assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
+def test_seeded_sample(spark, copied):
+    folder, orders = copied
+    got = Q.queries()["seeded_sample"](spark, folder).select("ord", "o_orderkey")
+    assert sorted(map(tuple, got.collect())) == [(key, key) for key in sorted(random.Random(42).sample(range(len(orders)), 100))]
